@@ -55,8 +55,8 @@ def _point_columns(s: DataFrame) -> DataFrame:
     kept = (F.col("prev_c0").isNull()                                  # lowest score: last point
             | ((F.col("cum_c0") == P) & (F.col("cum_c1") == N))        # highest score: first point
             | (F.col("c0") != F.col("prev_c0")) | (F.col("c1") != F.col("prev_c1")))
-    tpr = tps.cast("double") / P
-    fpr = fps.cast("double") / N
+    tpr = F.try_divide(tps.cast("double"), P)
+    fpr = F.try_divide(fps.cast("double"), N)
     return s.select("*", tps.alias("tps"), fps.alias("fps"), kept.alias("kept"),
                     tpr.alias("tpr"), fpr.alias("fpr"),
                     F.abs(tpr + fpr - 1).alias("obj"))

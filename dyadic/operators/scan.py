@@ -7,9 +7,12 @@ group holding a third of all rows would be processed by one core. The scan
 here is the textbook distributed prefix sum:
 
 1. ``repartitionByRange(n, *group, *order)`` splits the data into ``n``
-   contiguous, sampled ranges -- a hot group spans many slices. The exchange
-   has an explicit partition count, so AQE keeps it as is and
-   ``spark_partition_id()`` is the slice number.
+   contiguous, sampled ranges -- a hot group spans many slices -- and
+   ``spark_partition_id()`` is recorded as the slice number. The sliced data
+   is written once with a reliable ``checkpoint()`` (the session's
+   ``spark.checkpoint.dir``): the range bounds come from a sample whose rows
+   depend on shuffle arrival order, so two evaluations of the same plan, or a
+   recomputation after a lost executor, could otherwise slice differently.
 2. Per slice and group a small summary (totals, last row) is aggregated; a
    window over that summary (at most ``groups + n`` rows) turns it into the
    offsets of each slice and the group totals.
@@ -18,8 +21,7 @@ here is the textbook distributed prefix sum:
 4. Local sums + offsets give exact running totals; the last row of the
    previous slice supplies the lag of a slice's first row.
 
-Both branches read the same range exchange (Spark reuses it), so the slices
-agree.
+Both branches read the same checkpointed slices, so they always agree.
 """
 
 from __future__ import annotations
@@ -99,6 +101,7 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[str],
     n = slices or default_slices(df.sparkSession)
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in by + order])
               .withColumn("_slice", F.spark_partition_id()))
+    ranged = ranged.checkpoint(eager=True)
 
     aggs = [F.sum(c).alias(c) for c in sums]
     if lags:

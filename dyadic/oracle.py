@@ -84,11 +84,13 @@ def r6(expr: str, name: str | None = None) -> str:
     return f"round({expr}, 6) {name or expr}"
 
 
-def curve_ctes(src: str, score: str, label: str = "label", by: str = "se", prefix: str = "cv") -> list[str]:
+def curve_ctes(src: str, score: str, label: str = "label", by: str = "se", prefix: str = "cv",
+               out: str | None = None) -> list[str]:
     """CTEs ``{prefix}_pts`` (one row per group and distinct score with the
     curve quantities) and ``{prefix}`` (per group: n_label0, n_label1, auc,
     aupr, optimal_thr, cut counts, medians)."""
     p = prefix
+    out = out or (by if by.isidentifier() else "g")
     return [
         f"""{p}_hist as (
   select {by} g, {score} score,
@@ -119,7 +121,7 @@ def curve_ctes(src: str, score: str, label: str = "label", by: str = "se", prefi
     quantile_cont(score, 0.5) filter (where {label} = 0) median_neg
   from (select {by} g, {score} score, {label} from {src} where {score} is not null) group by g)""",
         f"""{p} as (
-  select a.g {by}, a.n_label0, a.n_label1,
+  select a.g {out}, a.n_label0, a.n_label1,
     case when a.n_label0 > 0 and a.n_label1 > 0 then a.auc_num / (a.n_label0 * a.n_label1) end auc,
     case when a.n_label0 > 0 and a.n_label1 > 0 then a.ap_num / a.n_label0 end aupr,
     case when a.n_label0 > 0 and a.n_label1 > 0 then

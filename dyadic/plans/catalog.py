@@ -297,3 +297,108 @@ def q_margin_loss(spark, sf):
 select round(avg(cast((score_fwd > 0.5) = (label = 1) as double)), 6) raw_accuracy from fx_scored"""))
 def q_raw_accuracy(spark, sf):
     return rounded(M.raw_accuracy(fx.scored(spark, sf), score="score_fwd"))
+
+
+# ------------------------------------------------------------ reshape and sets
+from ..operators import reshape as R  # noqa: E402
+from ..operators import sampling as S  # noqa: E402
+from .calibrate import calibrate  # noqa: E402
+
+_MIRROR_CTE = """q_mirror as (
+  select row_id * 2 row_id, drug1, drug2, se, label, score_fwd score from fx_scored
+  union all
+  select row_id * 2 + 1 row_id, drug2 drug1, drug1 drug2, se, label, score_rev score from fx_scored)"""
+
+
+def _mirrored(spark, sf):
+    return R.mirror_pairs(fx.scored(spark, sf), score_cols=("score_fwd", "score_rev"))
+
+
+@register("swap_pair", O.with_fixtures(select="select row_id, drug2 drug1, drug1 drug2, se, label from fx_pairs"))
+def q_swap_pair(spark, sf):
+    return R.swap_pair(fx.pairs(spark, sf))
+
+
+@register("mirror_pairs", O.with_fixtures(_MIRROR_CTE, select="""
+select row_id, drug1, drug2, se, label, round(score, 6) score from q_mirror"""))
+def q_mirror_pairs(spark, sf):
+    return rounded(_mirrored(spark, sf))
+
+
+def _draw_sql(src: str, k: str, strata: str = "se, label", frac: float = 0.1) -> str:
+    return f"""(select * from (
+  select *, row_number() over (partition by {k}, {strata}
+                               order by ((row_id % 1000003) * 7919 + {k} * 104729) % 1000003, row_id) rn,
+            count(*) over (partition by {k}, {strata}) n
+  from {src}) where rn <= round_even({frac}::double * n, 0))"""
+
+
+@register("stratified_holdout", O.with_fixtures(
+    "q_src as (select 0 sample_no, * from fx_pairs)",
+    select=f"select row_id, drug1, drug2, se, label from {_draw_sql('q_src', 'sample_no')}"))
+def q_stratified_holdout(spark, sf):
+    return S.stratified_holdout(fx.pairs(spark, sf), 0.1)
+
+
+@register("repeated_holdout", O.with_fixtures(
+    "q_src as (select cast(r.range as integer) sample_no, p.* from fx_pairs p cross join range(0, 3) r)",
+    select=f"select sample_no, row_id, drug1, drug2, se, label from {_draw_sql('q_src', 'sample_no')}"))
+def q_repeated_holdout(spark, sf):
+    return S.repeated_holdout(fx.pairs(spark, sf), 0.1, 3)
+
+
+@register("holdout_remainder", O.with_fixtures(
+    _MIRROR_CTE, "q_src as (select 0 sample_no, * from q_mirror)",
+    f"q_hold as (select * from {_draw_sql('q_src', 'sample_no')})",
+    select="""select drug1, drug2, se, label from (
+  select drug1, drug2, se, label from q_mirror union all select drug1, drug2, se, label from q_hold)
+group by drug1, drug2, se, label having count(*) = 1"""))
+def q_holdout_remainder(spark, sf):
+    m = _mirrored(spark, sf)
+    return R.holdout_remainder(m, S.stratified_holdout(m, 0.1))
+
+
+@register("calibrate", O.with_fixtures(
+    _MIRROR_CTE, "q_src as (select cast(r.range as integer) sample_no, m.* from q_mirror m cross join range(0, 3) r)",
+    f"q_hold as (select * from {_draw_sql('q_src', 'sample_no')})",
+    *O.curve_ctes("q_hold", "score", by="sample_no * 1000 + se", prefix="cc"),
+    select="""select cast(g % 1000 as integer) se, cast(g // 1000 as integer) sample_no, round(optimal_thr, 6) thr
+from cc"""))
+def q_calibrate(spark, sf):
+    return rounded(calibrate(_mirrored(spark, sf), samples=3, frac=0.1).thresholds)
+
+
+@register("split_sizes", O.with_fixtures(
+    _MIRROR_CTE, "q_src as (select cast(r.range as integer) sample_no, m.* from q_mirror m cross join range(0, 3) r)",
+    f"q_hold as (select * from {_draw_sql('q_src', 'sample_no')})",
+    select="""select h.sample_no, t.n_train, h.n_holdout from
+  (select sample_no, count(*) n_holdout from q_hold group by sample_no) h join
+  (select sample_no, count(*) n_train from (
+     select sample_no from (
+       select sample_no, drug1, drug2, se, label from q_src
+       union all select sample_no, drug1, drug2, se, label from q_hold) u
+     group by sample_no, drug1, drug2, se, label having count(*) = 1) x group by sample_no) t
+  on h.sample_no = t.sample_no"""))
+def q_split_sizes(spark, sf):
+    return calibrate(_mirrored(spark, sf), samples=3, frac=0.1).sizes
+
+
+@register("train_test_split", O.with_fixtures(select="""
+select row_id, case when rn <= round_even(0.8::double * n, 0) then 'train' else 'test' end split from (
+  select row_id, row_number() over (order by ((row_id % 1000003) * 7919) % 1000003, row_id) rn,
+         count(*) over () n from fx_pairs)"""))
+def q_train_test_split(spark, sf):
+    return S.train_test_split(fx.pairs(spark, sf).select("row_id"), 0.8)
+
+
+@register("tail_validation_split", O.with_fixtures(select="""
+select row_id from (select row_id, row_number() over (order by row_id) rn, count(*) over () n from fx_pairs)
+where rn > floor(n * (1.0 - 0.1))"""))
+def q_tail_validation_split(spark, sf):
+    return S.tail_validation_split(fx.pairs(spark, sf).select("row_id"), 0.1)
+
+
+@register("batch_assign", O.with_fixtures(select="""
+select row_id, cast(floor((row_number() over (order by row_id) - 1) / 1024) as bigint) batch_id from fx_pairs"""))
+def q_batch_assign(spark, sf):
+    return S.batch_assign(fx.pairs(spark, sf).select("row_id"), 1024)
