@@ -56,8 +56,13 @@ def capitalize(x) -> Column:
     return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
 
 
-def round_half_even(x, places: int = ROUND_API) -> Column:
-    return F.bround(_c(x), places)
+def round_places(x, places: int = ROUND_API) -> Column:
+    """Round to ``places`` decimals with IEEE operations only
+    (``floor(x * 10^p + 0.5) / 10^p``): equal to Python's ``round`` except on
+    exact decimal ties, and bit-equal across engines."""
+    v = _c(x)
+    k = float(10 ** places)
+    return F.when(F.abs(v) < 1e15, F.floor(v * k + 0.5) / k).otherwise(v)
 
 
 def severity(rounded_gap) -> Column:
@@ -73,11 +78,13 @@ def se_display_name(name, se) -> Column:
 
 
 def score_text(score) -> Column:
-    return F.format_string("%.2f", _c(score))
+    """Two decimals. The value is rounded first (``round_places``) so the text
+    does not depend on how an engine rounds half-way decimal expansions."""
+    return F.format_string("%.2f", round_places(score, 2))
 
 
 def gap_text(g) -> Column:
-    return F.format_string("+%.3f", _c(g))
+    return F.format_string("+%.3f", round_places(g, 3))
 
 
 def drug_menu_text(name, drug_id) -> Column:

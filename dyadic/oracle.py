@@ -35,6 +35,10 @@ fx_threshold as (
   select c.se, cast(r.range as integer) sample_no,
          cast(350 + 5 * cast(r.range as integer) + 3 * c.se as double) / 1000.0 thr
   from fx_se_cat c cross join range(0, 8) r),
+fx_screen_threshold as (
+  select c.se, cast(r.range as integer) sample_no,
+         cast(2600 + 5 * cast(r.range as integer) + 5 * c.se as double) / 1000.0 thr
+  from fx_se_cat c cross join range(0, 8) r),
 fx_thr_mean as (
   select se, avg(thr) optimal_thr from fx_threshold where sample_no between 1 and 5 group by se),
 fx_request as (

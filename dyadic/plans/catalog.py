@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import oracle as O
 from ..operators import metrics as M
-from ..operators.thresholds import apply_threshold, merge_both_pairs, threshold_mean
+from ..operators.thresholds import apply_threshold, threshold_mean
 from ..sources import fixtures as fx
 from .evaluate import evaluate, orientations
 
@@ -402,3 +402,225 @@ def q_tail_validation_split(spark, sf):
 select row_id, cast(floor((row_number() over (order by row_id) - 1) / 1024) as bigint) batch_id from fx_pairs"""))
 def q_batch_assign(spark, sf):
     return S.batch_assign(fx.pairs(spark, sf).select("row_id"), 1024)
+
+
+# --------------------------------------------------------------- Q3 screen
+from ..functions import scalar as C  # noqa: E402
+from ..operators.joins import pair_se_grid, profile_lookup, se_name_lookup  # noqa: E402
+from ..operators.scoring import identity_score, se_translation_fit  # noqa: E402
+from .screen import rank_flagged, score_identity, screen, valid_requests  # noqa: E402
+
+
+def _r_table(spark, sf):
+    return se_translation_fit(profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf)))
+
+
+def _screen(spark, sf):
+    return screen(fx.requests(spark, sf), fx.profile(spark, sf), fx.screen_threshold(spark, sf),
+                  fx.side_effect(spark, sf), fx.se_catalogue(spark, sf), r_table=_r_table(spark, sf), mode="last5")
+
+
+def _dist_sql(a, b, r="r"):
+    return (f"sqrt(list_sum(list_transform(list_zip({a}, {r}, {b}), "
+            f"lambda t: (t[1] + t[2] - t[3]) * (t[1] + t[2] - t[3]))))")
+
+
+_PV_CTE = """q_pv as (select p.*, a.vec vec1, b.vec vec2 from fx_pairs p
+  left join fx_profile a on p.drug1 = a.drug_id left join fx_profile b on p.drug2 = b.drug_id)"""
+_R_CTES = [_PV_CTE, """q_r_long as (
+  select se, pos, avg(d) v from (
+    select se, unnest(range(0, len(vec1))) pos,
+      unnest(case when drug1 < drug2 then list_transform(list_zip(vec2, vec1), lambda t: t[1] - t[2])
+                  else list_transform(list_zip(vec1, vec2), lambda t: t[1] - t[2]) end) d
+    from q_pv where label = 1 and vec1 is not null and vec2 is not null) group by se, pos)""",
+           "q_r as (select se, list(v order by pos) r from q_r_long group by se)"]
+_SCREEN_CTES = _R_CTES + [
+    """q_valid as (select request_id, drug1, drug2 from fx_request
+  where drug1 is not null and drug2 is not null and drug1 <> 0 and drug2 <> 0)""",
+    "q_pairs as (select distinct drug1, drug2 from q_valid)",
+    "q_thr as (select se, avg(thr) optimal_thr from fx_screen_threshold where sample_no >= 3 group by se)",
+    """q_grid as (select p.drug1, p.drug2, c.se, a.vec vec1, b.vec vec2, r.r, t.optimal_thr
+  from q_pairs p cross join fx_se_cat c left join fx_profile a on p.drug1 = a.drug_id
+  left join fx_profile b on p.drug2 = b.drug_id left join q_r r on c.se = r.se left join q_thr t on c.se = t.se)""",
+    f"""q_sc as (select drug1, drug2, se, optimal_thr,
+  case when vec1 is null or vec2 is null or r is null then null
+       else {_dist_sql('vec1', 'vec2')} + {_dist_sql('vec2', 'vec1')} end sx,
+  case when vec1 is null or vec2 is null or r is null then null
+       else {_dist_sql('vec2', 'vec1')} + {_dist_sql('vec1', 'vec2')} end sy
+  from q_grid)""",
+    """q_lab as (select *, (sx + sy) / 2 mean_score, abs((sx + sy) / 2 - optimal_thr) gap
+  from q_sc where coalesce((sx + sy) / 2 < optimal_thr, false))""",
+    """q_rank as (select *, row_number() over (partition by drug1, drug2 order by gap desc, se) rank,
+  count(*) over (partition by drug1, drug2) total_predicted_reactions from q_lab)""",
+    """q_res as (select r.drug1, r.drug2, r.rank, r.se,
+  upper(substr(coalesce(n.name, 'Unknown SE #' || cast(r.se as varchar)), 1, 1))
+    || lower(substr(coalesce(n.name, 'Unknown SE #' || cast(r.se as varchar)), 2)) name,
+  floor(r.gap * 1e4 + 0.5) / 1e4 confidence_gap, floor(r.mean_score * 1e4 + 0.5) / 1e4 probability_score,
+  r.total_predicted_reactions
+  from q_rank r left join fx_side_effect n on r.se = n.se where r.rank <= 30)""",
+]
+
+
+@register("se_translation_fit", O.with_fixtures(*_R_CTES, select="""
+select se, cast(pos as integer) pos, round(v, 6) r_value from q_r_long"""))
+def q_se_translation_fit(spark, sf):
+    r = _r_table(spark, sf)
+    return rounded(r.select("se", F.posexplode("r").alias("pos", "r_value")))
+
+
+@register("screen", O.with_fixtures(*_SCREEN_CTES, select="""
+select drug1, drug2, rank, se, name, confidence_gap, probability_score,
+  case when confidence_gap > 0.15 then 'Critical' when confidence_gap > 0.08 then 'High' else 'Moderate' end severity,
+  total_predicted_reactions from q_res"""))
+def q_screen(spark, sf):
+    return _screen(spark, sf).results.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("top_side_effects", O.with_fixtures(*_SCREEN_CTES, select="""
+select drug1, drug2, rank, se from q_res"""))
+def q_top_side_effects(spark, sf):
+    return _screen(spark, sf).results.select("drug1", "drug2", F.col("rank").cast("bigint"), "se")
+
+
+@register("sink_pair_json", O.with_fixtures(*_SCREEN_CTES, """
+q_items as (select drug1, drug2, max(total_predicted_reactions) total,
+  '[' || string_agg(printf('{"se_id": %d, "name": "%s", "confidence_gap": %.4f, "probability_score": %.4f}',
+                           se, name, confidence_gap, probability_score), ', ' order by rank) || ']' items
+  from q_res group by drug1, drug2)""", select="""
+select v.request_id, v.drug1, v.drug2, 'success' status, coalesce(i.total, 0) total_predicted_reactions,
+  coalesce(i.items, '[]') top_results,
+  case when coalesce(i.total, 0) = 0 then 'No significant side effect interactions predicted'
+       else printf('Found %d potential adverse reactions', coalesce(i.total, 0)) end summary
+from q_valid v left join q_items i on v.drug1 = i.drug1 and v.drug2 = i.drug2"""))
+def q_sink_pair_json(spark, sf):
+    return _screen(spark, sf).responses
+
+
+@register("valid_requests", O.with_fixtures(select="""
+select request_id, drug1, drug2 from fx_request
+where drug1 is not null and drug2 is not null and drug1 <> 0 and drug2 <> 0 and drug1 <> drug2"""))
+def q_valid_requests(spark, sf):
+    return valid_requests(fx.requests(spark, sf), distinct_guard=True)[0]
+
+
+@register("src_requests", O.with_fixtures(select="""
+select request_id, drug1, drug2, case when drug1 is null or drug2 is null or drug1 = 0 or drug2 = 0
+  then 'missing drug id' else 'same drug twice' end reason
+from fx_request where drug1 is null or drug2 is null or drug1 = 0 or drug2 = 0 or drug1 = drug2"""))
+def q_src_requests(spark, sf):
+    return valid_requests(fx.requests(spark, sf), distinct_guard=True)[1]
+
+
+@register("pair_se_cross", O.with_fixtures("""
+q_pairs as (select distinct drug1, drug2 from fx_request
+  where drug1 is not null and drug2 is not null and drug1 <> 0 and drug2 <> 0)""",
+    select="select p.drug1, p.drug2, c.se from q_pairs p cross join fx_se_cat c"))
+def q_pair_se_cross(spark, sf):
+    v, _ = valid_requests(fx.requests(spark, sf))
+    return pair_se_grid(v.select("drug1", "drug2").distinct(), fx.se_catalogue(spark, sf))
+
+
+@register("translation_score", O.with_fixtures(*_SCREEN_CTES, select="""
+select drug1, drug2, se, round(sx, 6) score from q_sc"""))
+def q_translation_score(spark, sf):
+    v, _ = valid_requests(fx.requests(spark, sf))
+    pairs = v.select("drug1", "drug2").distinct()
+    s = score_identity(pairs, fx.profile(spark, sf), _r_table(spark, sf),
+                       threshold_mean(fx.screen_threshold(spark, sf), "last5"), fx.se_catalogue(spark, sf))
+    return rounded(s.select("drug1", "drug2", "se", F.col("predicted_score_x").alias("score")))
+
+
+@register("predict_pairs", O.with_fixtures(*_R_CTES, """
+q_thr as (select se, avg(thr) optimal_thr from fx_screen_threshold where sample_no >= 3 group by se)""", f"""
+q_s as (select p.row_id, p.drug1, p.drug2, p.se, t.optimal_thr,
+  case when p.vec1 is null or p.vec2 is null or r.r is null then null
+       else {_dist_sql('p.vec1', 'p.vec2', 'r.r')} + {_dist_sql('p.vec2', 'p.vec1', 'r.r')} end score
+  from q_pv p left join q_r r on p.se = r.se left join q_thr t on p.se = t.se)""", select="""
+select row_id, drug1, drug2, se, cast(coalesce(score < optimal_thr, false) as integer) predicted_label,
+  round(score, 6) predicted_score from q_s"""))
+def q_predict_pairs(spark, sf):
+    """Score a pair table (one orientation, dummy labels), threshold, keep
+    drug1, drug2, se, predicted_label, predicted_score."""
+    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf))
+    r = _r_table(spark, sf)
+    thr = threshold_mean(fx.screen_threshold(spark, sf), "last5")
+    from ..operators.joins import bounded_broadcast
+    j = pv.join(bounded_broadcast(r), "se", "left").join(bounded_broadcast(thr), "se", "left")
+    s = j.select("row_id", "drug1", "drug2", "se", identity_score("vec1", "vec2", "r").alias("predicted_score"),
+                 "optimal_thr")
+    return rounded(s.select("row_id", "drug1", "drug2", "se",
+                            C.predicted_label("predicted_score", "optimal_thr").alias("predicted_label"),
+                            "predicted_score"))
+
+
+@register("flagged_only", O.with_fixtures(*O.MERGED_CTES, select="""
+select drug1, drug2, se, round(gap, 6) gap from q1_merged where final_predicted_label = 1"""))
+def q_flagged_only(spark, sf):
+    m = _evaluation(spark, sf).merged
+    return rounded(m.where(F.col("final_predicted_label") == 1).select("drug1", "drug2", "se", "gap"))
+
+
+@register("se_name_lookup", O.with_fixtures(select="""
+select c.se, coalesce(n.name, 'Unknown SE #' || cast(c.se as varchar)) name
+from fx_se_cat c left join fx_side_effect n on c.se = n.se"""))
+def q_se_name_lookup(spark, sf):
+    return se_name_lookup(fx.se_catalogue(spark, sf), fx.side_effect(spark, sf))
+
+
+@register("capitalize_name", O.with_fixtures(select="""
+select c_custkey, upper(substr(c_name, 1, 1)) || lower(substr(c_name, 2)) name_cap,
+  upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) segment_cap from customer"""))
+def q_capitalize_name(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    return c.select("c_custkey", C.capitalize("c_name").alias("name_cap"),
+                    C.capitalize("c_mktsegment").alias("segment_cap"))
+
+
+@register("round4", O.with_fixtures(select="""
+select row_id, floor(score_fwd * 1e4 + 0.5) / 1e4 score4, floor(abs(score_fwd - score_rev) * 1e4 + 0.5) / 1e4 gap4
+from fx_scored"""))
+def q_round4(spark, sf):
+    s = fx.scored(spark, sf)
+    return s.select("row_id", C.round_places("score_fwd", 4).alias("score4"),
+                    C.round_places(F.abs(F.col("score_fwd") - F.col("score_rev")), 4).alias("gap4"))
+
+
+@register("severity_bucket", O.with_fixtures(select="""
+select row_id, case when g > 0.15 then 'Critical' when g > 0.08 then 'High' else 'Moderate' end severity
+from (select row_id, floor(abs(score_fwd - score_rev) * 1e4 + 0.5) / 1e4 g from fx_scored)"""))
+def q_severity_bucket(spark, sf):
+    s = fx.scored(spark, sf)
+    g = C.round_places(F.abs(F.col("score_fwd") - F.col("score_rev")), 4)
+    return s.select("row_id", C.severity(g).alias("severity"))
+
+
+@register("display_text", O.with_fixtures(select="""
+select row_id, printf('%.2f', floor(score_fwd * 1e2 + 0.5) / 1e2) score_text,
+  printf('+%.3f', floor(abs(score_fwd - score_rev) * 1e3 + 0.5) / 1e3) gap_text
+from fx_scored"""))
+def q_display_text(spark, sf):
+    s = fx.scored(spark, sf)
+    return s.select("row_id", C.score_text("score_fwd").alias("score_text"),
+                    C.gap_text(F.abs(F.col("score_fwd") - F.col("score_rev"))).alias("gap_text"))
+
+
+@register("drug_menu", O.with_fixtures(select="""
+select drug_id, name, printf('%s (CID: %d)', name, drug_id) menu_text from fx_drug"""))
+def q_drug_menu(spark, sf):
+    d = fx.drug(spark, sf)
+    return d.select("drug_id", "name", C.drug_menu_text("name", "drug_id").alias("menu_text"))
+
+
+@register("src_drug", O.with_fixtures(select="select drug_id, stitch_id, name from fx_drug"))
+def q_src_drug(spark, sf):
+    return fx.drug(spark, sf)
+
+
+@register("sink_metadata", O.with_fixtures(select="""
+select drug_id, name, '{"pubchemID": ' || cast(drug_id as varchar) || ', "name": "' || name || '"}' record
+from fx_drug"""))
+def q_sink_metadata(spark, sf):
+    d = fx.drug(spark, sf)
+    rec = F.concat(F.lit('{"pubchemID": '), F.col("drug_id").cast("string"), F.lit(', "name": "'), F.col("name"),
+                   F.lit('"}'))
+    return d.select("drug_id", "name", rec.alias("record"))

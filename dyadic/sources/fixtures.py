@@ -89,16 +89,28 @@ def side_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("se"), F.col("n_name").alias("name"))
 
 
-def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long thresholds (se, sample_no, thr) for every quantity bucket (the se catalogue)."""
-    ses = table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("int") % 30).alias("se")).distinct()
+def se_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every side-effect id (quantity bucket) that occurs."""
+    return table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("int") % 30).alias("se")).distinct()
+
+
+def threshold(spark: SparkSession, sf_dir: str, base: int = 350, per_sample: int = 5,
+              per_se: int = 3) -> DataFrame:
+    """Long thresholds ``(se, sample_no, thr)`` for the se catalogue:
+    ``thr = (base + per_sample * sample_no + per_se * se) / 1000``."""
     samples = F.explode(F.sequence(F.lit(0), F.lit(N_THRESHOLD_SAMPLES - 1))).alias("sample_no")
-    return (ses.select("se", samples)
+    return (se_catalogue(spark, sf_dir).select("se", samples)
             .select("se", "sample_no",
-                    ((F.lit(350) + 5 * F.col("sample_no") + 3 * F.col("se")).cast("double") / 1000.0)
+                    ((F.lit(base) + per_sample * F.col("sample_no") + per_se * F.col("se")).cast("double") / 1000.0)
                     .alias("thr")))
 
 
+def screen_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds on the scale of the identity-head scores (unit vectors:
+    distances near 1.4, scores near 2.8)."""
+    return threshold(spark, sf_dir, base=2600, per_sample=5, per_se=5)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("request_id"), "ts",
