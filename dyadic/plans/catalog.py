@@ -624,3 +624,217 @@ def q_sink_metadata(spark, sf):
     rec = F.concat(F.lit('{"pubchemID": '), F.col("drug_id").cast("string"), F.lit(', "name": "'), F.col("name"),
                    F.lit('"}'))
     return d.select("drug_id", "name", rec.alias("record"))
+
+
+# ------------------------------------------------------- Q4 signature analysis
+from ..operators import analysis as A  # noqa: E402
+from ..operators.fit import ridge_gram  # noqa: E402
+
+N_SE = 30   # size of the stand-in side-effect catalogue (quantity buckets 0..29)
+
+_FIRST_CTE = """q_first as (select drug1, drug2, row_id, se, label from (
+  select *, row_number() over (partition by drug1, drug2 order by row_id) rn from fx_pairs where label = 1)
+  where rn = 1)"""
+_LISTS_CTE = """q_lists as (select f.drug1, f.drug2, list(o.se order by o.se) se_list
+  from q_first f left join fx_pairs o on f.drug1 = o.drug1 and f.drug2 = o.drug2 group by f.drug1, f.drug2)"""
+
+
+@register("drug_positive_pairs", O.with_fixtures(select="""
+select drug1 focus, row_id, drug1, drug2, se, label from fx_pairs where label = 1
+union all
+select drug2 focus, row_id, drug1, drug2, se, label from fx_pairs where label = 1 and drug1 <> drug2"""))
+def q_drug_positive_pairs(spark, sf):
+    return A.drug_positive_pairs(fx.pairs(spark, sf))
+
+
+@register("first_positive_pair", O.with_fixtures(_FIRST_CTE, select="select * from q_first"))
+def q_first_positive_pair(spark, sf):
+    return A.first_positive_pair(fx.pairs(spark, sf))
+
+
+@register("drug_pairs_both_sides", O.with_fixtures(_FIRST_CTE, select="""
+select drug1 focus, drug1, drug2, row_id, se, label from q_first
+union all
+select drug2 focus, drug2 drug1, drug1 drug2, row_id, se, label from q_first where drug1 <> drug2"""))
+def q_drug_pairs_both_sides(spark, sf):
+    return A.drug_pairs_both_sides(fx.pairs(spark, sf))
+
+
+@register("pair_se_list", O.with_fixtures(_FIRST_CTE, _LISTS_CTE, select="""
+select drug1 focus, drug1, drug2, array_to_string(se_list, ',') se_list from q_lists
+union all
+select drug2 focus, drug1, drug2, array_to_string(se_list, ',') se_list from q_lists where drug1 <> drug2"""))
+def q_pair_se_list(spark, sf):
+    s = A.se_lists(fx.pairs(spark, sf))
+    return s.select("focus", "drug1", "drug2", F.array_join("se_list", ",").alias("se_list"))
+
+
+@register("pair_se_binary", O.with_fixtures(_FIRST_CTE, _LISTS_CTE, select=f"""
+select drug1, drug2, array_to_string(list_transform(range(0, {N_SE}),
+  lambda i: case when list_contains(se_list, cast(i as integer)) then 1 else 0 end), '') se_bits from q_lists"""))
+def q_pair_se_binary(spark, sf):
+    s = A.se_lists(fx.pairs(spark, sf)).where(F.col("focus") == F.col("drug1"))
+    b = R.pair_se_binary(s, N_SE)
+    return b.select("drug1", "drug2", F.array_join(F.transform("se_binary", lambda x: x.cast("string")), "")
+                    .alias("se_bits"))
+
+
+@register("top_genes", O.with_fixtures(select="""
+select drug_id, rank, pos, 1000 + pos gene_id, round(a, 6) abs_value from (
+  select drug_id, pos, a, row_number() over (partition by drug_id order by a desc, pos) rank from (
+    select drug_id, unnest(range(0, len(vec))) pos, abs(unnest(vec)) a from fx_profile))
+where rank <= 10"""))
+def q_top_genes(spark, sf):
+    t = A.top_positions(fx.profile(spark, sf), "vec", 10, fx.gene_header(64))
+    return rounded(t.select("drug_id", F.col("rank").cast("bigint"), F.col("pos").cast("bigint"), "gene_id",
+                            "abs_value"))
+
+
+@register("corr_distance", O.with_fixtures("""
+q_long as (select drug_id, unnest(range(0, len(vec))) pos, unnest(vec) x from fx_profile)""", select="""
+select cast(a.pos as integer) pos_i, cast(b.pos as integer) pos_j, round(1 - corr(a.x, b.x), 6) distance
+from q_long a join q_long b on a.drug_id = b.drug_id group by a.pos, b.pos"""))
+def q_corr_distance(spark, sf):
+    return rounded(A.gene_corr_distance(fx.profile(spark, sf), "vec"))
+
+
+@register("clip_values", O.with_fixtures(select="""
+select drug_id, pos, round(greatest(-0.2, least(0.2, x)), 6) value from (
+  select drug_id, unnest(range(0, len(vec))) pos, unnest(vec) x from fx_profile)"""))
+def q_clip_values(spark, sf):
+    c = R.clip_values(fx.profile(spark, sf), "vec", -0.2, 0.2)
+    return rounded(c.select("drug_id", F.posexplode("vec").alias("pos", "value"))
+                   .withColumn("pos", F.col("pos").cast("bigint")))
+
+
+@register("fill_zero", O.with_fixtures(_PV_CTE, select="""
+select row_id, round(coalesce(list_sum(vec1), 0.0), 6) s1, len(vec1) n1 from q_pv"""))
+def q_fill_zero(spark, sf):
+    """Vectors of drug1 after the NaN/NULL -> 0 rule; a drug without profile keeps a NULL vector."""
+    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf))
+    f = R.fill_zero_vec(pv, "vec1")
+    s = F.aggregate("vec1", F.lit(0.0), lambda a, x: a + x)
+    return rounded(f.select("row_id", F.coalesce(s, F.lit(0.0)).alias("s1"), F.size("vec1").cast("bigint").alias("n1"))
+                   .withColumn("n1", F.when(F.col("n1") >= 0, F.col("n1"))))
+
+
+# -------------------------------------------------------- Q5 descriptors
+_DESC_CTE = """q_desc as (select vec_id row_id,
+  list_transform(embedding[1:16], lambda x: case when x > 0 then 1.0 else 0.0 end)
+    || [case when embedding[17] > embedding[18] then 1.0 else 0.0 end] fp,
+  cast(embedding[17:26] as double[]) d, cast(embedding[27:34] as double[]) y from embeddings)"""
+
+
+def _parts(spark, sf, n_desc=10):
+    return R.split_descriptor_both(fx.descriptors(spark, sf), n_desc, keep=("row_id",))
+
+
+@register("split_descriptor_both", O.with_fixtures(_DESC_CTE, select="""
+select row_id, 'fp' part, pos, round(v, 6) value from (select row_id, unnest(range(0, len(fp))) pos, unnest(fp) v from q_desc)
+union all
+select row_id, 'desc' part, pos, round(v, 6) value from (select row_id, unnest(range(0, len(d))) pos, unnest(d) v from q_desc)
+union all
+select row_id, 'y' part, pos, round(v, 6) value from (select row_id, unnest(range(0, len(y))) pos, unnest(y) v from q_desc)"""))
+def q_split_descriptor_both(spark, sf):
+    p = _parts(spark, sf)
+    out = None
+    for part in ("fp", "desc", "y"):
+        x = p.select("row_id", F.lit(part).alias("part"), F.posexplode(part).alias("pos", "value"))
+        out = x if out is None else out.unionByName(x)
+    return rounded(out.withColumn("pos", F.col("pos").cast("bigint")))
+
+
+@register("split_fp_label", O.with_fixtures(_DESC_CTE, select="""
+select row_id, len(fp) n_fp, len(d) + len(y) n_rest, round(list_sum(d) + list_sum(y), 6) rest_sum from q_desc"""))
+def q_split_fp_label(spark, sf):
+    p = R.split_fp_label(fx.descriptors(spark, sf), keep=("row_id",))
+    tot = F.aggregate("rest", F.lit(0.0), lambda a, x: a + x)
+    return rounded(p.select("row_id", F.size("fp").cast("bigint").alias("n_fp"),
+                            F.size("rest").cast("bigint").alias("n_rest"), tot.alias("rest_sum")))
+
+
+@register("split_desc_label", O.with_fixtures(_DESC_CTE, select="""
+select row_id, len(d) n_desc, len(y) n_y, round(list_sum(d), 6) desc_sum, round(list_sum(y), 6) y_sum from q_desc"""))
+def q_split_desc_label(spark, sf):
+    p = R.split_desc_label(fx.descriptors(spark, sf), 10, keep=("row_id",))
+    sm = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return rounded(p.select("row_id", F.size("desc").cast("bigint").alias("n_desc"),
+                            F.size("y").cast("bigint").alias("n_y"), sm("desc").alias("desc_sum"),
+                            sm("y").alias("y_sum")))
+
+
+@register("split_features", O.with_fixtures(_DESC_CTE, select="""
+select row_id, len(fp) n_fp, len(d) + len(y) n_desc from q_desc"""))
+def q_split_features(spark, sf):
+    p = R.split_features(fx.descriptors(spark, sf), keep=("row_id",))
+    return p.select("row_id", F.size("fp").cast("bigint").alias("n_fp"), F.size("desc").cast("bigint").alias("n_desc"))
+
+
+_PAIRED_CTE = "q_py as (select row_id, y, d[1:8] p from q_desc)"
+
+
+def _paired(spark, sf):
+    p = _parts(spark, sf)
+    return p.select("row_id", "y", F.slice("desc", 1, 8).alias("pred"))
+
+
+def _pearson_sql(a, b):
+    ma = f"(list_sum({a}) / len({a}))"
+    mb = f"(list_sum({b}) / len({b}))"
+    cov = f"list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - {ma}) * (t[2] - {mb})))"
+    va = f"list_sum(list_transform({a}, lambda x: (x - {ma}) * (x - {ma})))"
+    vb = f"list_sum(list_transform({b}, lambda x: (x - {mb}) * (x - {mb})))"
+    return f"case when sqrt({va} * {vb}) > 0 then {cov} / sqrt({va} * {vb}) end"
+
+
+@register("row_pearson", O.with_fixtures(_DESC_CTE, _PAIRED_CTE, select=f"""
+select row_id, round({_pearson_sql('y', 'p')}, 6) pearson from q_py"""))
+def q_row_pearson(spark, sf):
+    return rounded(_paired(spark, sf).select("row_id", A.row_pearson("y", "pred").alias("pearson")))
+
+
+@register("gene_pearson", O.with_fixtures(_DESC_CTE, _PAIRED_CTE, """
+q_z as (select unnest(range(0, 8)) pos, unnest(y) t, unnest(p) p from q_py)""", """
+q_s as (select pos, count(*) n, sum(t) st, sum(p) sp, sum(t * p) stp, sum(t * t) stt, sum(p * p) spp
+  from q_z group by pos)""", select="""
+select cast(pos as integer) pos, round(greatest(-1.0, least(1.0, (stp - st * sp / n) /
+  (sqrt(greatest(stt - st * st / n, 0.0) * greatest(spp - sp * sp / n, 0.0)) + 1e-7))), 6) r from q_s"""))
+def q_gene_pearson(spark, sf):
+    return rounded(A.gene_pearson(_paired(spark, sf), "y", "pred"))
+
+
+@register("mse", O.with_fixtures(_DESC_CTE, _PAIRED_CTE, select="""
+select round(sum(list_sum(list_transform(list_zip(y, p), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))
+  / sum(len(y)), 6) mse from q_py"""))
+def q_mse(spark, sf):
+    return rounded(A.mse(_paired(spark, sf), "y", "pred"))
+
+
+@register("ridge_gram", O.with_fixtures(_DESC_CTE, """
+q_x as (select row_id, [1.0] || d x, y from q_desc)""", """
+q_l as (select row_id, unnest(range(0, 11)) i, unnest(x) xi from q_x)""", """
+q_r as (select row_id, unnest(range(0, 8)) j, unnest(y) yj from q_x)""", select="""
+select 'xx' block, cast(a.i as integer) i, cast(b.i as integer) j, round(sum(a.xi * b.xi), 6) value
+from q_l a join q_l b on a.row_id = b.row_id group by a.i, b.i
+union all
+select 'xy' block, cast(a.i as integer) i, cast(b.j as integer) j, round(sum(a.xi * b.yj), 6) value
+from q_l a join q_r b on a.row_id = b.row_id group by a.i, b.j"""))
+def q_ridge_gram(spark, sf):
+    return rounded(ridge_gram(_parts(spark, sf), "desc", "y", intercept=True))
+
+
+@register("activations", O.with_fixtures(select="""
+select row_id, round(case when score_fwd - 0.4 > 0 then score_fwd - 0.4 else exp(score_fwd - 0.4) - 1 end, 6) elu,
+  round(greatest(score_fwd - 0.4, 0.0), 6) relu, round(1 / (1 + exp(-(score_fwd - 0.4))), 6) sigmoid,
+  round(10 * tanh(score_fwd - 0.4), 6) tanh10 from fx_scored"""))
+def q_activations(spark, sf):
+    x = F.col("score_fwd") - 0.4
+    return rounded(fx.scored(spark, sf).select("row_id", C.elu(x).alias("elu"), C.relu(x).alias("relu"),
+                                               C.sigmoid(x).alias("sigmoid"), C.tanh10(x).alias("tanh10")))
+
+
+@register("se_distinct", O.with_fixtures(select="""
+select count(distinct se) n_se, min(se) min_se, max(se) max_se from fx_pairs"""))
+def q_se_distinct(spark, sf):
+    p = fx.pairs(spark, sf)
+    return p.agg(F.countDistinct("se").alias("n_se"), F.min("se").alias("min_se"), F.max("se").alias("max_se"))
