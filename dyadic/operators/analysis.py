@@ -95,14 +95,18 @@ def gene_corr_distance(df: DataFrame, vec_col: str = "vec") -> DataFrame:
 def profile_clusters(df: DataFrame, vec_col: str = "vec", k: int = 5, seed: int = 7,
                      id_cols: Sequence[str] = ("drug_id",)) -> DataFrame:
     """Cluster rows by correlation: rows are centred and scaled to unit length
-    (cosine of such rows = Pearson), missing values become 0, then
-    ``BisectingKMeans`` with cosine distance. Replaces average-linkage
-    clustering, which has no distributed form; the labels are not the same."""
-    from pyspark.ml.clustering import BisectingKMeans
+    (cosine of such rows = Pearson), missing values become 0, then k-means
+    with cosine distance (k-means|| start). Replaces average-linkage
+    clustering, which has no distributed form; the labels are not the same.
+
+    The features are persisted for the iterations of the fit (each iteration
+    is one pass); the persisted copy is recomputed from lineage if lost."""
+    from pyspark import StorageLevel
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     cu = df.select(*id_cols, centre_unit(fill_zero(vec_col)).alias("_u")).where(F.col("_u").isNotNull())
-    feats = cu.select(*id_cols, array_to_vector("_u").alias("features"))
-    model = BisectingKMeans(k=k, seed=seed, distanceMeasure="cosine").fit(feats)
+    feats = cu.select(*id_cols, array_to_vector("_u").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(feats)
     return model.transform(feats).select(*id_cols, F.col("prediction").alias("cluster"))
 
 

@@ -838,3 +838,99 @@ select count(distinct se) n_se, min(se) min_se, max(se) max_se from fx_pairs""")
 def q_se_distinct(spark, sf):
     p = fx.pairs(spark, sf)
     return p.agg(F.countDistinct("se").alias("n_se"), F.min("se").alias("min_se"), F.max("se").alias("max_se"))
+
+
+# ------------------------------------------- model-based queries (rows only)
+from ..operators.scoring import FeatureModel, PairModel, pair_embed, predict_expression, screen_scores_full  # noqa: E402
+from .profiles import predict_profiles  # noqa: E402
+from .signature import drug_signature  # noqa: E402
+
+MODEL_SEED = 3      # weights are inputs; the registered queries use seeded stand-in weights
+
+
+def _pair_model(width=64, emb=16, n_se=N_SE):
+    return PairModel.random(MODEL_SEED, width, emb, list(range(n_se)))
+
+
+def _request_pairs(spark, sf):
+    v, _ = valid_requests(fx.requests(spark, sf))
+    return profile_lookup(v.select("drug1", "drug2").distinct(), fx.profile(spark, sf))
+
+
+@register("pair_embed")
+def q_pair_embed(spark, sf):
+    """Embeddings of every distinct observed pair (both drugs), full model."""
+    pv = profile_lookup(fx.pairs(spark, sf).select("drug1", "drug2").distinct(), fx.profile(spark, sf))
+    e = pair_embed(pv, _pair_model())
+    return e.select("drug1", "drug2", "e1", "e2")
+
+
+@register("gated_profile")
+def q_gated_profile(spark, sf):
+    """Gated profile of drug1 (``s1``) per pair, by layer name, not position."""
+    pv = profile_lookup(fx.pairs(spark, sf).select("drug1", "drug2").distinct(), fx.profile(spark, sf))
+    return pair_embed(pv, _pair_model()).select("drug1", "drug2", "s1", "h1")
+
+
+@register("translation_score_full")
+def q_translation_score_full(spark, sf):
+    """Both orientations of every requested pair against all side effects,
+    full heads, every score emitted (no threshold)."""
+    return screen_scores_full(_request_pairs(spark, sf), _pair_model(), None, flagged_only=False)
+
+
+@register("screen_full")
+def q_screen_full(spark, sf):
+    """The screen with the full pair model: flagged rows only leave the batch."""
+    s = screen(fx.requests(spark, sf), fx.profile(spark, sf), fx.threshold(spark, sf, base=1750, per_sample=5,
+                                                                            per_se=5),
+               fx.side_effect(spark, sf), fx.se_catalogue(spark, sf), model=_pair_model(), mode="last5")
+    return s.results
+
+
+@register("predict_expression")
+def q_predict_expression(spark, sf):
+    m = FeatureModel.random(MODEL_SEED, 17, 10, 8, "both", hidden_fp=(12, 6), hidden_pr=(6,))
+    return predict_expression(_parts(spark, sf), m)
+
+
+@register("predict_profiles")
+def q_predict_profiles(spark, sf):
+    """Descriptors -> ridge fit on Spark -> predictions -> quality summary."""
+    return predict_profiles(fx.descriptors(spark, sf), 10).quality
+
+
+@register("ridge_fit")
+def q_ridge_fit(spark, sf):
+    from ..operators.fit import ridge_fit
+    p = _parts(spark, sf)
+    W = ridge_fit(p.select(F.concat("fp", "desc").alias("x"), "y"), "x", "y", 0.01)
+    rows = [(i, j, float(W[i, j])) for i in range(W.shape[0]) for j in range(W.shape[1])]
+    return spark.createDataFrame(rows, "i int, j int, w double")
+
+
+@register("profile_clusters")
+def q_profile_clusters(spark, sf):
+    return A.profile_clusters(fx.profile(spark, sf), "vec", 5)
+
+
+@register("drug_signature")
+def q_drug_signature(spark, sf):
+    """Top-genes table of the signature job (identity model) for all drugs."""
+    sig = drug_signature(fx.pairs(spark, sf), fx.profile(spark, sf), N_SE, k=10, genes=fx.gene_header(64))
+    return sig.top_genes
+
+
+@register("signature_clusters")
+def q_signature_clusters(spark, sf):
+    """Clusters of the focus drugs' pair vectors (identity model)."""
+    sig = drug_signature(fx.pairs(spark, sf), fx.profile(spark, sf), N_SE, k=10, genes=fx.gene_header(64))
+    return sig.clusters()
+
+
+@register("se_one_hot", O.with_fixtures(select=f"""
+select row_id, array_to_string(list_transform(range(0, {N_SE}),
+  lambda i: case when i = se then 1 else 0 end), '') one_hot from fx_pairs"""))
+def q_se_one_hot(spark, sf):
+    o = R.se_one_hot(fx.pairs(spark, sf), N_SE)
+    return o.select("row_id", F.array_join(F.transform("se_one_hot", lambda x: x.cast("string")), "").alias("one_hot"))

@@ -20,8 +20,16 @@ class Signature:
     pairs: DataFrame         # focus, drug1, drug2, se, label, row_id, vec1
     se_lists: DataFrame      # focus, drug1, drug2, se_list, se_binary
     top_genes: DataFrame     # focus, drug1, drug2, rank, pos, gene_id, abs_value
-    corr_distance: DataFrame
-    clusters: DataFrame
+    vectors: DataFrame       # focus, drug1, drug2, vec1 (non-missing)
+    n_clusters: int = 5
+
+    def corr_distance(self) -> DataFrame:
+        """Column (position) correlation distance; runs a job when called."""
+        return gene_corr_distance(self.vectors, "vec1")
+
+    def clusters(self) -> DataFrame:
+        """Cluster labels of the vectors; fits a model when called."""
+        return profile_clusters(self.vectors, "vec1", self.n_clusters, id_cols=("focus", "drug1", "drug2"))
 
 
 def drug_signature(pairs: DataFrame, profile: DataFrame, n_se: int, k: int = 100, genes=None,
@@ -37,5 +45,4 @@ def drug_signature(pairs: DataFrame, profile: DataFrame, n_se: int, k: int = 100
     tops = top_positions(pv.select("focus", "drug1", "drug2", "vec1").where(F.col("vec1").isNotNull()),
                          "vec1", k, genes)
     vecs = pv.select("focus", "drug1", "drug2", "vec1").where(F.col("vec1").isNotNull())
-    return Signature(pv, lists, tops, gene_corr_distance(vecs, "vec1"),
-                     profile_clusters(vecs, "vec1", n_clusters, id_cols=("focus", "drug1", "drug2")))
+    return Signature(pv, lists, tops, vecs, n_clusters)
