@@ -3,8 +3,10 @@
 Two forms of the pair model:
 
 * **identity head** (``H = T = I``, offset ``r`` per side effect, embedding =
-  profile): pure column expressions (``zip_with`` / ``aggregate``), JVM side;
-  this is the SQL-checkable form;
+  profile): available as column expressions (``identity_score``, used for
+  per-row scoring of a pair table) and as the same Arrow-batched kernel as
+  the full model (``screen_scores_identity``) for the pair x catalogue screen,
+  where the higher-order array functions would run interpreted per row;
 * **full model**: per pair, shared dense + batch norm on each drug, two
   sigmoid gates on the concatenation, gated batch norms, a shared dense
   embedding; per side effect, ``||H e1 + r - T e2|| + ||H e2 + r - T e1||``.
@@ -239,6 +241,70 @@ def screen_scores_full(pairs_with_vecs: DataFrame, model: PairModel, thr: dict[i
     return pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, schema)
 
 
+def identity_params(r_table: DataFrame, thr: DataFrame | None, max_se: int = 100_000):
+    """Collect the per-side-effect offsets (and thresholds) of the identity
+    head: a catalogue-sized table, checked against ``max_se`` rows."""
+    t = r_table.select("se", "r")
+    if thr is not None:
+        t = t.join(thr.select("se", "optimal_thr"), "se", "left")
+    rows = t.limit(max_se + 1).collect()
+    if len(rows) > max_se:
+        raise ValueError(f"side-effect catalogue larger than {max_se}")
+    rows = [r for r in rows if r["r"] is not None]
+    se = np.array([r["se"] for r in rows], dtype=np.int64)
+    R = np.array([r["r"] for r in rows], dtype=float) if rows else np.zeros((0, 0))
+    th = np.array([r["optimal_thr"] if thr is not None and r["optimal_thr"] is not None else np.nan
+                   for r in rows], dtype=float)
+    return se, R, th
+
+
+def screen_scores_identity(pairs_with_vecs: DataFrame, se_ids: np.ndarray, R: np.ndarray, thr: np.ndarray,
+                           flagged_only: bool = True, cells: int = 4_000_000) -> DataFrame:
+    """Identity-head scores of both orientations for every (pair, se), computed
+    per Arrow batch as dense arrays (side effects in blocks of at most
+    ``cells`` pair x se x width values); with ``flagged_only`` only rows with
+    ``mean < thr`` leave the batch."""
+    spark = pairs_with_vecs.sparkSession
+    _check_size(R.nbytes + thr.nbytes, "identity head")
+    bc = spark.sparkContext.broadcast((se_ids, R, thr))
+    width = R.shape[1] if R.size else 0
+    schema = T.StructType([T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()),
+                           T.StructField("se", T.IntegerType()),
+                           T.StructField("predicted_score_x", T.DoubleType()),
+                           T.StructField("predicted_score_y", T.DoubleType()),
+                           T.StructField("mean_predicted_score", T.DoubleType())])
+
+    def run(batches):
+        se, Rm, th = bc.value
+        for pdf in batches:
+            x1, p1 = _mat(pdf["vec1"], width)
+            x2, p2 = _mat(pdf["vec2"], width)
+            ok = p1 & p2
+            if not ok.any() or len(se) == 0:
+                continue
+            x1, x2 = x1[ok], x2[ok]
+            d1 = pdf["drug1"].to_numpy()[ok]
+            d2 = pdf["drug2"].to_numpy()[ok]
+            P = x1.shape[0]
+            step = max(1, cells // max(1, P * width))
+            for a in range(0, len(se), step):
+                r = Rm[a:a + step][None, :, :]
+                u = x1[:, None, :] + r - x2[:, None, :]
+                v = x2[:, None, :] + r - x1[:, None, :]
+                du = np.sqrt(np.einsum("psd,psd->ps", u, u))
+                dv = np.sqrt(np.einsum("psd,psd->ps", v, v))
+                sx, sy = du + dv, dv + du
+                mean = (sx + sy) / 2
+                mask = (mean < th[None, a:a + step]) if flagged_only else np.ones_like(mean, dtype=bool)
+                pi, si = np.nonzero(mask)
+                if len(pi):
+                    yield pd.DataFrame({"drug1": d1[pi], "drug2": d2[pi], "se": se[a + si].astype(np.int32),
+                                        "predicted_score_x": sx[pi, si], "predicted_score_y": sy[pi, si],
+                                        "mean_predicted_score": mean[pi, si]})
+
+    return pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, schema)
+
+
 # -------------------------------------------------------- expression predictor
 @dataclass
 class FeatureModel:

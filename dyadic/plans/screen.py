@@ -8,10 +8,12 @@ request.
 
 Plan shape: the per-pair work (profile lookup, embedding) happens once per
 *distinct* pair, before the side effects are attached, so it is not repeated
-for each of the side effects; side effects are a bounded catalogue attached by
-a generator (no join); per-side-effect parameters and thresholds are broadcast
-after a size check; ranking is a window per pair (at most catalogue-size rows
-per pair, and Spark applies the top-k limit before the shuffle).
+for each of the side effects; the side-effect catalogue (offsets or heads and
+thresholds) is shipped once per executor after a size check, every Arrow
+batch of pairs is scored against it as dense arrays, and only flagged rows
+leave the batch -- the pair x catalogue product never exists as rows; ranking
+is a window per pair (at most catalogue-size rows per pair, and Spark applies
+the top-k limit before the shuffle).
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import (TOP_RESULTS, gap, predicted_label, round_places, se_display_name, severity,
                                  summary_sentence)
 from ..operators.joins import bounded_broadcast, pair_se_grid, profile_lookup
-from ..operators.scoring import PairModel, identity_score, screen_scores_full
+from ..operators.scoring import (PairModel, identity_params, identity_score, screen_scores_full,
+                                 screen_scores_identity)
 from ..operators.thresholds import threshold_mean
 
 
@@ -103,7 +106,9 @@ def screen(requests: DataFrame, profile: DataFrame, thresholds: DataFrame, names
     pairs = valid.select("drug1", "drug2").distinct()
     thr = threshold_mean(thresholds, mode)
     if model is None:
-        scored = score_identity(pairs, profile, r_table, thr, se_catalogue)
+        se_ids, R, th = identity_params(r_table, thr)
+        flagged = screen_scores_identity(profile_lookup(pairs, profile), se_ids, R, th, flagged_only=True)
+        scored = flagged.join(bounded_broadcast(thr), "se", "left")
     else:
         thr_map = {int(r["se"]): r["optimal_thr"] for r in bounded_broadcast(thr).collect()
                    if r["optimal_thr"] is not None}
