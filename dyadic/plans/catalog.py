@@ -934,3 +934,25 @@ select row_id, array_to_string(list_transform(range(0, {N_SE}),
 def q_se_one_hot(spark, sf):
     o = R.se_one_hot(fx.pairs(spark, sf), N_SE)
     return o.select("row_id", F.array_join(F.transform("se_one_hot", lambda x: x.cast("string")), "").alias("one_hot"))
+
+
+# ------------------------------------------------------------ Q6 stream
+@register("screen_stream", ORACLE["sink_pair_json"])
+def q_screen_stream(spark, sf):
+    """The request stream (events file as a stream source) screened by
+    ``foreachBatch`` into a parquet sink under the session's checkpoint dir;
+    the result read back must equal the batch responses."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import screen_stream as ss
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/screen_stream/{uuid.uuid4().hex}"
+    ev_schema = fx.table(spark, sf, "events").schema
+    stream = (spark.readStream.schema(ev_schema).option("basePath", sf).parquet(f"{sf}/events.parque[t]")
+              .select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"),
+                      F.col("user_id").alias("drug1"),
+                      (F.col("event_id") % 1000).alias("drug2")))
+    side = ss.prepare(fx.profile(spark, sf), fx.screen_threshold(spark, sf), fx.side_effect(spark, sf),
+                      _r_table(spark, sf))
+    q = ss.start(spark, stream, side, f"{base}/out", f"{base}/chk")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
