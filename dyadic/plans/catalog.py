@@ -956,3 +956,71 @@ def q_screen_stream(spark, sf):
     q = ss.start(spark, stream, side, f"{base}/out", f"{base}/chk")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+# ------------------------------------------------------- sources and sinks
+from ..sources import readers as RD  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+
+@register("src_pairs_zip", O.with_fixtures(select="""
+select l_suppkey drug1, l_partkey drug2, l_linenumber se, case when l_returnflag = 'R' then 1 else 0 end label
+from lineitem"""))
+def q_src_pairs_zip(spark, sf):
+    """Features and labels as two separate projections of one file, zipped
+    back together by row position."""
+    li = fx.table(spark, sf, "lineitem")
+    x = RD.with_row_index(li.select(F.col("l_suppkey").alias("drug1"), F.col("l_partkey").alias("drug2"),
+                                    F.col("l_linenumber").alias("se")))
+    y = RD.with_row_index(li.select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label")))
+    return x.join(y, "row_id").select("drug1", "drug2", "se", "label")
+
+
+@register("src_side_effect", O.with_fixtures(select="select se, name from fx_side_effect"))
+def q_src_side_effect(spark, sf):
+    return fx.side_effect(spark, sf)
+
+
+@register("src_profile", O.with_fixtures(select="""
+select drug_id, len(vec) width, round(list_sum(vec), 6) total from fx_profile"""))
+def q_src_profile(spark, sf):
+    p = fx.profile(spark, sf)
+    return rounded(p.select("drug_id", F.size("vec").cast("bigint").alias("width"),
+                            F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@register("src_thresholds", O.with_fixtures(select="select se, sample_no, round(thr, 6) thr from fx_threshold"))
+def q_src_thresholds(spark, sf):
+    return rounded(fx.threshold(spark, sf))
+
+
+@register("src_occurrence", O.with_fixtures(select="""
+select se, count(*) num_occur from fx_pairs_raw group by se"""))
+def q_src_occurrence(spark, sf):
+    """Occurrence count per side effect, derived from the observations."""
+    return fx.pairs_raw(spark, sf).groupBy("se").agg(F.count(F.lit(1)).alias("num_occur"))
+
+
+@register("sink_top_genes", O.with_fixtures("""
+q_top as (select drug_id, 1000 + pos gene_id, row_number() over (partition by drug_id order by a desc, pos) rank
+  from (select drug_id, unnest(range(0, len(vec))) pos, abs(unnest(vec)) a from fx_profile))""",
+    select="select drug_id, " + ", ".join(
+        f'max(case when rank = {r + 1} then gene_id end) "{r}"' for r in range(10)) + " from q_top group by drug_id"))
+def q_sink_top_genes(spark, sf):
+    t = A.top_positions(fx.profile(spark, sf), "vec", 10, fx.gene_header(64))
+    return SK.top_genes_wide(t, key=("drug_id",), k=10)
+
+
+@register("sink_predictions", ORACLE["merge_both_pairs"])
+def q_sink_predictions(spark, sf):
+    """Merged predictions written as parquet (partitioned by se) under the
+    checkpoint dir, read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions/{uuid.uuid4().hex}"
+    SK.write_predictions(rounded(_evaluation(spark, sf).merged), path, partition_by_se=True)
+    back = spark.read.parquet(path)
+    return back.select(*[c for c in
+                         ["drug1", "drug2", "se", "label", "predicted_label_x", "predicted_label_y",
+                          "predicted_score_x", "predicted_score_y", "mean_predicted_score",
+                          "final_predicted_label", "gap"]]).withColumn("se", F.col("se").cast("int"))
