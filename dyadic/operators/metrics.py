@@ -32,29 +32,38 @@ from .scan import ordered_scan
 INF = float("inf")
 
 
-def score_histogram(scored: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
-    """One row per (group, distinct non-NULL score): ``c0`` = rows with label 0,
-    ``c1`` = rows with label 1. Partial aggregation happens before the shuffle."""
-    return (scored.where(F.col(score).isNotNull())
-            .groupBy(*by, F.col(score).alias("score"))
-            .agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).cast("long").alias("c0"),
-                 F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("c1")))
+def _cnt(cond):
+    return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
 
-def _scanned(scored, by, score, label, broadcast_offsets=None):
-    hist = score_histogram(scored, by, score, label)
+def score_histogram(scored: DataFrame, by: Sequence[str], score: str, label: str,
+                    extra: dict | None = None) -> DataFrame:
+    """One row per (group, distinct score) -- the missing score included as
+    its own row -- with ``c0`` / ``c1`` = rows of label 0 / 1 with a score, and
+    one count per ``extra`` condition. Partial aggregation happens before the
+    shuffle, so this is the only pass over the scored rows."""
+    s, l = F.col(score), F.col(label)
+    aggs = [_cnt(s.isNotNull() & (l == 0)).alias("c0"), _cnt(s.isNotNull() & (l == 1)).alias("c1")]
+    aggs += [_cnt(cond).alias(name) for name, cond in (extra or {}).items()]
+    return scored.groupBy(*by, s.alias("score")).agg(*aggs)
+
+
+def _scanned(scored, by, score, label, broadcast_offsets=None, extra=None):
+    hist = score_histogram(scored, by, score, label, extra)
     return ordered_scan(hist, by, ["score"], sums=["c0", "c1"], lags=["c0", "c1"],
                         broadcast_offsets=broadcast_offsets)
 
 
 def _point_columns(s: DataFrame) -> DataFrame:
-    """Curve quantities of each distinct score (descending-order view)."""
+    """Curve quantities of each distinct score (descending-order view). The
+    missing-score row (counts 0, sorted first) is never a curve point."""
     P, N = F.col("tot_c0"), F.col("tot_c1")
     tps = P - F.col("cum_c0") + F.col("c0")          # y=1 (label 0) with score >= s
     fps = N - F.col("cum_c1") + F.col("c1")          # y=0 (label 1) with score >= s
-    kept = (F.col("prev_c0").isNull()                                  # lowest score: last point
-            | ((F.col("cum_c0") == P) & (F.col("cum_c1") == N))        # highest score: first point
-            | (F.col("c0") != F.col("prev_c0")) | (F.col("c1") != F.col("prev_c1")))
+    lowest = (F.col("cum_c0") == F.col("c0")) & (F.col("cum_c1") == F.col("c1"))
+    highest = (F.col("cum_c0") == P) & (F.col("cum_c1") == N)
+    kept = F.col("score").isNotNull() & (
+        lowest | highest | (F.col("c0") != F.col("prev_c0")) | (F.col("c1") != F.col("prev_c1")))
     tpr = F.try_divide(tps.cast("double"), P)
     fpr = F.try_divide(fps.cast("double"), N)
     return s.select("*", tps.alias("tps"), fps.alias("fps"), kept.alias("kept"),
@@ -79,14 +88,17 @@ def _interp(name: str):
 
 
 def curve_summary(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "score",
-                  label: str = "label", broadcast_offsets: bool | None = None) -> DataFrame:
+                  label: str = "label", broadcast_offsets: bool | None = None,
+                  extra: dict | None = None) -> DataFrame:
     """Per group: class sizes, AUC, AP, optimal cut-off, the counts at the
-    cut-off and the medians of both classes -- all from one scan."""
+    cut-off and the medians of both classes -- all from one scan. Each
+    ``extra`` condition is counted per row and summed per group (same pass)."""
     by = list(by)
-    pts = _point_columns(_scanned(scored, by, score, label, broadcast_offsets))
+    extra = extra or {}
+    pts = _point_columns(_scanned(scored, by, score, label, broadcast_offsets, extra))
     P, N = F.col("tot_c0"), F.col("tot_c1")
     auc_term = F.col("c0") * (F.col("cum_c1") - F.col("c1") / 2.0)
-    ap_term = F.col("c0") * F.col("tps").cast("double") / (F.col("tps") + F.col("fps"))
+    ap_term = F.col("c0") * F.try_divide(F.col("tps").cast("double"), F.col("tps") + F.col("fps"))
     best = F.min_by(F.struct(F.col("score"), F.col("cum_c0"), F.col("cum_c1"), F.col("obj")),
                     F.when(F.col("kept"), F.struct(F.col("obj"), -F.col("score"))))
     agg = pts.groupBy(*by).agg(
@@ -94,7 +106,8 @@ def curve_summary(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "
         F.sum(auc_term).alias("_auc_num"), F.sum(ap_term).alias("_ap_num"),
         best.alias("_best"),
         *_quantile_aggs("c1", "cum_c1", "tot_c1", 0.5, "median_pos"),
-        *_quantile_aggs("c0", "cum_c0", "tot_c0", 0.5, "median_neg"))
+        *_quantile_aggs("c0", "cum_c0", "tot_c0", 0.5, "median_neg"),
+        *[F.sum(name).alias(name) for name in extra])
     two = (F.col("n_label0") > 0) & (F.col("n_label1") > 0)
     use_inf = F.col("_best.obj") >= 1.0
     return agg.select(
@@ -104,7 +117,7 @@ def curve_summary(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "
         F.when(two, F.when(use_inf, F.lit(INF)).otherwise(F.col("_best.score"))).alias("optimal_thr"),
         F.when(two, F.when(use_inf, F.col("n_label0")).otherwise(F.col("_best.cum_c0"))).alias("cut_le_label0"),
         F.when(two, F.when(use_inf, F.col("n_label1")).otherwise(F.col("_best.cum_c1"))).alias("cut_le_label1"),
-        _interp("median_pos"), _interp("median_neg"))
+        _interp("median_pos"), _interp("median_neg"), *list(extra))
 
 
 # ----------------------------------------------------------------- single metrics
@@ -175,11 +188,9 @@ def calibrate_se(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "s
     Groups with a single class keep their row with NULL curve metrics.
     """
     by = list(by)
-    cs = curve_summary(scored, by, score, label)
-    nulls = scored.where(F.col(score).isNull()).groupBy(*by).agg(
-        F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).cast("long").alias("_null0"),
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("_null1"))
-    t = cs.join(nulls, by, "left").na.fill(0, ["_null0", "_null1"])
+    s, l = F.col(score), F.col(label)
+    t = curve_summary(scored, by, score, label,
+                      extra={"_null0": s.isNull() & (l == 0), "_null1": s.isNull() & (l == 1)})
     tp = F.col("cut_le_label1") + F.col("_null1")
     fp = F.col("cut_le_label0") + F.col("_null0")
     fn = F.col("n_label1") - F.col("cut_le_label1")
@@ -192,24 +203,28 @@ def calibrate_se(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "s
 def test_performance(df: DataFrame, pred: str = "predicted_label", score: str = "predicted_score",
                      label: str = "label", by: Sequence[str] = ("se",),
                      with_excluded: bool = False):
-    """SN, SP, PR, AUC, AUPR per group on given predicted labels.
+    """SN, SP, PR, AUC, AUPR per group on given predicted labels (binary labels).
 
     Groups with one class only are skipped; groups with a missing score are
     skipped too (the reference swallows the error) and, with
     ``with_excluded=True``, returned in a second DataFrame with the reason.
+    Confusion counts, class counts and missing scores are counted in the same
+    histogram pass as the curves.
     """
     by = list(by)
-    prof = class_profile(df, by, score, label)
-    ok = prof.where((F.col("n_classes") > 1) & (F.col("n_missing") == 0)).select(*by)
-    kept = df.join(ok, by, "left_semi")
-    conf = sn_sp_pr(confusion_counts(kept, pred, label, by))
-    curves = curve_summary(kept, by, score, label).select(*by, "auc", "aupr")
-    perf = conf.join(curves, by).select(*by, "sn", "sp", "pr", "auc", "aupr")
+    s, l, p = F.col(score), F.col(label), F.col(pred)
+    extra = {"_l0": l == 0, "_l1": l == 1, "_miss": s.isNull(), "_rows": F.lit(True),
+             "tn": (l == 0) & (p == 0), "fp": (l == 0) & (p == 1),
+             "fn": (l == 1) & (p == 0), "tp": (l == 1) & (p == 1)}
+    cs = curve_summary(df, by, score, label, extra=extra)
+    n_classes = (F.col("_l0") > 0).cast("int") + (F.col("_l1") > 0).cast("int")
+    ok = (n_classes > 1) & (F.col("_miss") == 0)
+    perf = sn_sp_pr(cs.where(ok)).select(*by, "sn", "sp", "pr", "auc", "aupr")
     if not with_excluded:
         return perf
-    excluded = prof.where((F.col("n_classes") <= 1) | (F.col("n_missing") > 0)).select(
-        *by, F.when(F.col("n_classes") <= 1, F.lit("single class")).otherwise(F.lit("missing score")).alias("reason"),
-        "n_rows", "n_missing")
+    excluded = cs.where(~ok).select(
+        *by, F.when(n_classes <= 1, F.lit("single class")).otherwise(F.lit("missing score")).alias("reason"),
+        F.col("_rows").alias("n_rows"), F.col("_miss").alias("n_missing"))
     return perf, excluded
 
 
