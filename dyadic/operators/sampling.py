@@ -56,6 +56,21 @@ def repeated_holdout(df: DataFrame, frac: float = 0.1, samples: int = 1, strata:
     return s.where(take).select("sample_no", *df.columns)
 
 
+def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se", "label"),
+                 sample_no: int = 0, method: str = "lcg") -> DataFrame:
+    """Hold-out by *unordered pair*: both orientations of a drawn pair leave
+    training together (against the leakage of drawing mirrored rows one by
+    one). The draw runs over canonical rows ``(least, greatest, se, label)``
+    keyed by ``row_id = min(row_id)`` of the pair; every row of ``df`` whose
+    canonical key was drawn is returned."""
+    lo, hi = F.least("drug1", "drug2"), F.greatest("drug1", "drug2")
+    canon = (df.select(lo.alias("_a"), hi.alias("_b"), *strata, "row_id")
+             .groupBy("_a", "_b", *strata).agg(F.min("row_id").alias("row_id")))
+    drawn = stratified_holdout(canon, frac, strata, sample_no, "row_id", method).drop("row_id")
+    keyed = df.select("*", lo.alias("_a"), hi.alias("_b"))
+    return keyed.join(drawn, ["_a", "_b", *strata], "left_semi").drop("_a", "_b")
+
+
 def train_test_split(df: DataFrame, train_frac: float = 0.8, row_id: str = "row_id", seed: int = 0,
                      method: str = "lcg") -> DataFrame:
     """Shuffle and cut: the first ``bround(train_frac * n)`` rows of the shuffled

@@ -1024,3 +1024,75 @@ def q_sink_predictions(spark, sf):
                          ["drug1", "drug2", "se", "label", "predicted_label_x", "predicted_label_y",
                           "predicted_score_x", "predicted_score_y", "mean_predicted_score",
                           "final_predicted_label", "gap"]]).withColumn("se", F.col("se").cast("int"))
+
+
+# ------------------------------------------------------- remaining inventory
+@register("profile_lookup", O.with_fixtures(_PV_CTE, select="""
+select row_id, drug1, drug2, len(vec1) width1, len(vec2) width2,
+  round(list_sum(vec1), 6) sum1, round(list_sum(vec2), 6) sum2 from q_pv"""))
+def q_profile_lookup(spark, sf):
+    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf))
+    sm = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    w = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
+    return rounded(pv.select("row_id", "drug1", "drug2", w("vec1").alias("width1"), w("vec2").alias("width2"),
+                             sm("vec1").alias("sum1"), sm("vec2").alias("sum2")))
+
+
+@register("src_pairs_indexed", O.with_fixtures(select="select row_id, drug1, drug2, se, label from fx_pairs"))
+def q_src_pairs_indexed(spark, sf):
+    """Features and labels carried as two tables with an explicit index,
+    joined on it (the indexed-file layout)."""
+    s = fx.pairs(spark, sf)
+    x = s.select(F.col("row_id").alias("idx"), "drug1", "drug2", "se")
+    y = s.select(F.col("row_id").alias("idx"), "label")
+    return x.join(y, "idx").select(F.col("idx").alias("row_id"), "drug1", "drug2", "se", "label")
+
+
+@register("src_genes", O.with_fixtures(select="""
+select distinct cast(pos as integer) pos, 1000 + pos gene_id from (
+  select unnest(range(0, len(vec))) pos from fx_profile)"""))
+def q_src_genes(spark, sf):
+    """Gene header for the profile positions present in the data."""
+    p = fx.profile(spark, sf).select(F.explode(F.sequence(F.lit(0), F.size("vec") - 1)).alias("pos")).distinct()
+    return p.select(F.col("pos").cast("int"), (F.lit(1000) + F.col("pos")).cast("bigint").alias("gene_id"))
+
+
+@register("src_descriptor", O.with_fixtures(select="select vec_id row_id, " + ", ".join(
+    [f"case when embedding[{i + 1}] > 0 then 1.0 else 0.0 end fp{i}" for i in range(16)] +
+    ["case when embedding[17] > embedding[18] then 1.0 else 0.0 end pubfp_x"] +
+    [f"round(cast(embedding[{17 + i}] as double), 6) d{i}" for i in range(10)] +
+    [f"round(cast(embedding[{27 + i}] as double), 6) y{i}" for i in range(8)]) + " from embeddings"))
+def q_src_descriptor(spark, sf):
+    return rounded(fx.descriptors(spark, sf))
+
+
+@register("sink_thresholds", ORACLE["calibrate"])
+def q_sink_thresholds(spark, sf):
+    """Calibrated thresholds written in long form and read back from one path."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/thresholds/{uuid.uuid4().hex}"
+    SK.write_thresholds(rounded(calibrate(_mirrored(spark, sf), samples=3, frac=0.1).thresholds), path)
+    return spark.read.parquet(path)
+
+
+@register("pair_holdout", O.with_fixtures(_MIRROR_CTE, """
+q_canon as (select least(drug1, drug2) a, greatest(drug1, drug2) b, se, label, min(row_id) row_id, 0 sample_no
+  from q_mirror group by least(drug1, drug2), greatest(drug1, drug2), se, label)""",
+    f"q_drawn as (select * from {_draw_sql('q_canon', 'sample_no')})", select="""
+select m.row_id, m.drug1, m.drug2, m.se, m.label from q_mirror m
+where exists (select 1 from q_drawn d where d.a = least(m.drug1, m.drug2) and d.b = greatest(m.drug1, m.drug2)
+              and d.se = m.se and d.label = m.label)"""))
+def q_pair_holdout(spark, sf):
+    return S.pair_holdout(_mirrored(spark, sf).drop("score"), 0.1)
+
+
+@register("drug_menu_order", O.with_fixtures(select="""
+select drug_id, row_number() over (order by lower(name), drug_id) menu_pos from fx_drug"""))
+def q_drug_menu_order(spark, sf):
+    """Menu position: case-insensitive name order, id as tie-break, numbered
+    with the distributed ordered scan (no single-partition window)."""
+    from ..operators.scan import ordered_scan
+    d = fx.drug(spark, sf).select("drug_id", F.lower("name").alias("_k"), F.lit(1).alias("_one"))
+    s = ordered_scan(d, [], ["_k", "drug_id"], sums=["_one"], broadcast_offsets=True)
+    return s.select("drug_id", F.col("cum__one").alias("menu_pos"))
