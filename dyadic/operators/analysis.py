@@ -52,11 +52,19 @@ def drug_pairs_both_sides(pairs: DataFrame, row_id: str = "row_id") -> DataFrame
 def se_lists(pairs: DataFrame, row_id: str = "row_id") -> DataFrame:
     """SE lists of each focus drug's first positive pairs, in the pair's
     original orientation (two rows per pair: one per focus side), listing
-    every observed side effect of the pair whatever its label."""
+    every observed side effect of the pair whatever its label (sorted, with
+    repeats), plus the compact ``se_counts`` (distinct se, count)."""
     f = first_positive_pair(pairs, row_id).select("drug1", "drug2")
-    obs = pairs.select("drug1", "drug2", "se")
-    lists = (f.join(obs, ["drug1", "drug2"], "left").groupBy("drug1", "drug2")
-             .agg(F.sort_array(F.collect_list("se")).alias("se_list")))
+    # pre-aggregate to (pair, se, count): what reaches a pair's group is bounded
+    # by the side-effect catalogue, however many times the pair was observed
+    obs = pairs.groupBy("drug1", "drug2", "se").agg(F.count(F.lit(1)).alias("_n"))
+    per_pair = (f.join(obs, ["drug1", "drug2"], "left").groupBy("drug1", "drug2")
+                .agg(F.sort_array(F.collect_list(F.when(F.col("se").isNotNull(), F.struct("se", "_n"))))
+                     .alias("se_counts")))
+    expand = F.flatten(F.transform("se_counts", lambda x: F.array_repeat(x["se"], x["_n"].cast("int"))))
+    lists = per_pair.select("drug1", "drug2", expand.alias("se_list"),
+                            F.transform("se_counts", lambda x: F.struct(x["se"].alias("se"), x["_n"].alias("n")))
+                            .alias("se_counts"))
     a = lists.withColumn("focus", F.col("drug1"))
     b = lists.withColumn("focus", F.col("drug2")).where(F.col("drug1") != F.col("drug2"))
     return a.unionByName(b)
@@ -79,17 +87,27 @@ def gene_corr_distance(df: DataFrame, vec_col: str = "vec") -> DataFrame:
     """``1 - Pearson`` between vector positions over all rows (the column
     distance of the cluster map), as ``(pos_i, pos_j, distance)``.
 
-    The correlation matrix is width x width -- bounded by the profile width,
-    not by the data -- and is aggregated with one tree aggregation over rows.
+    Every partition adds up its ``[1, x]' [1, x]`` in one Arrow pass
+    (``fit.ridge_gram``); the ``width^2`` sums are combined by a keyed
+    aggregation and turned into correlations on the executors -- nothing
+    passes through the driver.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
-    spark = df.sparkSession
-    v = df.where(F.col(vec_col).isNotNull()).select(array_to_vector(fill_zero(vec_col)).alias("v"))
-    m = Correlation.corr(v, "v", "pearson").head()[0].toArray()
-    d = m.shape[0]
-    rows = [(i, j, float(1.0 - m[i, j])) for i in range(d) for j in range(d)]
-    return spark.createDataFrame(rows, "pos_i int, pos_j int, distance double")
+    from .fit import ridge_gram
+    v = df.where(F.col(vec_col).isNotNull()).select(fill_zero(vec_col).alias("_x"))
+    g = ridge_gram(v, "_x", None, intercept=True).where(F.col("block") == "xx").drop("block")
+    n = g.where((F.col("i") == 0) & (F.col("j") == 0)).select(F.col("value").alias("_n"))
+    s1 = g.where((F.col("i") == 0) & (F.col("j") > 0)).select(F.col("j").alias("_k"), F.col("value").alias("_s"))
+    sq = g.where((F.col("i") == F.col("j")) & (F.col("i") > 0)).select(F.col("i").alias("_k"), F.col("value").alias("_q"))
+    stats = F.broadcast(s1.join(sq, "_k").join(F.broadcast(n), how="inner"))  # width rows
+    a = stats.select(F.col("_k").alias("i"), F.col("_s").alias("si"), F.col("_q").alias("qi"), F.col("_n").alias("n"))
+    b = stats.select(F.col("_k").alias("j"), F.col("_s").alias("sj"), F.col("_q").alias("qj"))
+    cross = g.where((F.col("i") > 0) & (F.col("j") > 0)).join(a, "i").join(b, "j")
+    nn = F.col("n")
+    num = nn * F.col("value") - F.col("si") * F.col("sj")
+    den = F.sqrt((nn * F.col("qi") - F.col("si") * F.col("si")) * (nn * F.col("qj") - F.col("sj") * F.col("sj")))
+    r = F.when(den > 0, num / den)
+    return cross.select((F.col("i") - 1).cast("int").alias("pos_i"), (F.col("j") - 1).cast("int").alias("pos_j"),
+                        (1 - r).alias("distance"))
 
 
 def profile_clusters(df: DataFrame, vec_col: str = "vec", k: int = 5, seed: int = 7,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import UNKNOWN_SE_PREFIX
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 512 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -45,11 +46,15 @@ def profile_lookup(pairs: DataFrame, profile: DataFrame, key_col: str = "drug_id
 
     Adds ``vec1`` and ``vec2`` (NULL when a drug has no profile). The profile
     table is one row per drug (its size is the drug catalogue) and is
-    broadcast after a size check.
+    broadcast only if rows x vector width stays under the byte limit;
+    otherwise the joins are left to the planner.
     """
     prof = profile.select(F.col(key_col).alias("_k"), F.col(vec_col).alias("_v"))
     if broadcast_profiles:
-        prof = bounded_broadcast(prof, max_rows)
+        first = profile.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("w")).limit(1).collect()
+        width = first[0]["w"] if first else 0
+        rows_by_bytes = DEFAULT_BROADCAST_BYTES // (8 * width + 48)
+        prof = bounded_broadcast(prof, min(max_rows, rows_by_bytes))
     p1 = prof.select(F.col("_k").alias("drug1"), F.col("_v").alias("vec1"))
     p2 = prof.select(F.col("_k").alias("drug2"), F.col("_v").alias("vec2"))
     return pairs.join(p1, "drug1", "left").join(p2, "drug2", "left").select(*pairs.columns, "vec1", "vec2")

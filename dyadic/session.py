@@ -29,6 +29,7 @@ def get_session(master: str | None = None, app: str = "dyadic",
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DYADIC_DRIVER_MEMORY", "16g"))
         .config("spark.python.worker.reuse", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
     )
     spark = builder.getOrCreate()
