@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import default_slices
+from ..session import default_slices, ensure_checkpoint_dir
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -99,6 +99,7 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[str],
     """
     by, order, sums, lags = list(by), list(order), list(sums), list(lags)
     n = slices or default_slices(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in by + order])
               .withColumn("_slice", F.spark_partition_id()))
     ranged = ranged.checkpoint(eager=True)

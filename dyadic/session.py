@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared, reliable folder for checkpoints")
     path = tempfile.mkdtemp(prefix="dyadic-ckpt-")
     sc.setCheckpointDir(path)
     return path
