@@ -32,24 +32,26 @@ from .scan import ordered_scan
 INF = float("inf")
 
 
-def _cnt(cond):
-    return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+def _cnt(cond, weight: str | None = None):
+    w = F.col(weight) if weight else F.lit(1)
+    return F.sum(F.when(cond, w).otherwise(0)).cast("long")
 
 
 def score_histogram(scored: DataFrame, by: Sequence[str], score: str, label: str,
-                    extra: dict | None = None) -> DataFrame:
+                    extra: dict | None = None, weight: str | None = None) -> DataFrame:
     """One row per (group, distinct score) -- the missing score included as
     its own row -- with ``c0`` / ``c1`` = rows of label 0 / 1 with a score, and
     one count per ``extra`` condition. Partial aggregation happens before the
-    shuffle, so this is the only pass over the scored rows."""
+    shuffle, so this is the only pass over the scored rows. ``weight`` names a
+    copy-count column (a row standing for ``weight`` identical rows)."""
     s, l = F.col(score), F.col(label)
-    aggs = [_cnt(s.isNotNull() & (l == 0)).alias("c0"), _cnt(s.isNotNull() & (l == 1)).alias("c1")]
-    aggs += [_cnt(cond).alias(name) for name, cond in (extra or {}).items()]
+    aggs = [_cnt(s.isNotNull() & (l == 0), weight).alias("c0"), _cnt(s.isNotNull() & (l == 1), weight).alias("c1")]
+    aggs += [_cnt(cond, weight).alias(name) for name, cond in (extra or {}).items()]
     return scored.groupBy(*by, s.alias("score")).agg(*aggs)
 
 
-def _scanned(scored, by, score, label, broadcast_offsets=None, extra=None):
-    hist = score_histogram(scored, by, score, label, extra)
+def _scanned(scored, by, score, label, broadcast_offsets=None, extra=None, weight=None):
+    hist = score_histogram(scored, by, score, label, extra, weight)
     return ordered_scan(hist, by, ["score"], sums=["c0", "c1"], lags=["c0", "c1"],
                         broadcast_offsets=broadcast_offsets)
 
@@ -89,13 +91,13 @@ def _interp(name: str):
 
 def curve_summary(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "score",
                   label: str = "label", broadcast_offsets: bool | None = None,
-                  extra: dict | None = None) -> DataFrame:
+                  extra: dict | None = None, weight: str | None = None) -> DataFrame:
     """Per group: class sizes, AUC, AP, optimal cut-off, the counts at the
     cut-off and the medians of both classes -- all from one scan. Each
     ``extra`` condition is counted per row and summed per group (same pass)."""
     by = list(by)
     extra = extra or {}
-    pts = _point_columns(_scanned(scored, by, score, label, broadcast_offsets, extra))
+    pts = _point_columns(_scanned(scored, by, score, label, broadcast_offsets, extra, weight))
     P, N = F.col("tot_c0"), F.col("tot_c1")
     auc_term = F.col("c0") * (F.col("cum_c1") - F.col("c1") / 2.0)
     ap_term = F.col("c0") * F.try_divide(F.col("tps").cast("double"), F.col("tps") + F.col("fps"))
@@ -148,10 +150,11 @@ def roc_points(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "sco
     return curve.unionByName(origin)
 
 
-def confusion_counts(df: DataFrame, pred: str, label: str = "label", by: Sequence[str] = ("se",)) -> DataFrame:
+def confusion_counts(df: DataFrame, pred: str, label: str = "label", by: Sequence[str] = ("se",),
+                     weight: str | None = None) -> DataFrame:
     """tn, fp, fn, tp with interaction (label 1) as the positive class."""
     l, p = F.col(label), F.col(pred)
-    cnt = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    cnt = lambda cond: _cnt(cond, weight)
     return df.groupBy(*by).agg(cnt((l == 0) & (p == 0)).alias("tn"), cnt((l == 0) & (p == 1)).alias("fp"),
                                cnt((l == 1) & (p == 0)).alias("fn"), cnt((l == 1) & (p == 1)).alias("tp"))
 
@@ -202,7 +205,7 @@ def calibrate_se(scored: DataFrame, by: Sequence[str] = ("se",), score: str = "s
 
 def test_performance(df: DataFrame, pred: str = "predicted_label", score: str = "predicted_score",
                      label: str = "label", by: Sequence[str] = ("se",),
-                     with_excluded: bool = False):
+                     with_excluded: bool = False, weight: str | None = None):
     """SN, SP, PR, AUC, AUPR per group on given predicted labels (binary labels).
 
     Groups with one class only are skipped; groups with a missing score are
@@ -216,7 +219,7 @@ def test_performance(df: DataFrame, pred: str = "predicted_label", score: str =
     extra = {"_l0": l == 0, "_l1": l == 1, "_miss": s.isNull(), "_rows": F.lit(True),
              "tn": (l == 0) & (p == 0), "fp": (l == 0) & (p == 1),
              "fn": (l == 1) & (p == 0), "tp": (l == 1) & (p == 1)}
-    cs = curve_summary(df, by, score, label, extra=extra)
+    cs = curve_summary(df, by, score, label, extra=extra, weight=weight)
     n_classes = (F.col("_l0") > 0).cast("int") + (F.col("_l1") > 0).cast("int")
     ok = (n_classes > 1) & (F.col("_miss") == 0)
     perf = sn_sp_pr(cs.where(ok)).select(*by, "sn", "sp", "pr", "auc", "aupr")
@@ -229,8 +232,11 @@ def test_performance(df: DataFrame, pred: str = "predicted_label", score: str =
 
 
 def merged_performance(merged: DataFrame, by: Sequence[str] = ("se",), with_excluded: bool = False):
+    """Test performance of the merged table; a ``n_copies`` column (from the
+    merge) weights each row."""
+    weight = "n_copies" if "n_copies" in merged.columns else None
     return test_performance(merged, pred="final_predicted_label", score="mean_predicted_score",
-                            by=by, with_excluded=with_excluded)
+                            by=by, with_excluded=with_excluded, weight=weight)
 
 
 PERF_METRICS = ("sn", "sp", "pr", "auc", "aupr")

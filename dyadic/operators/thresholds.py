@@ -16,7 +16,7 @@ from .joins import bounded_broadcast
 SCORED_COLUMNS = ["drug1", "drug2", "se", "label", "predicted_label", "predicted_score", "gap"]
 MERGED_COLUMNS = ["drug1", "drug2", "se", "label", "predicted_label_x", "predicted_label_y",
                   "predicted_score_x", "predicted_score_y", "mean_predicted_score",
-                  "final_predicted_label", "gap"]
+                  "final_predicted_label", "gap", "n_copies"]
 
 
 def threshold_mean(thr: DataFrame, mode: str = "compat", out: str = "optimal_thr") -> DataFrame:
@@ -63,25 +63,34 @@ def apply_threshold(scored: DataFrame, thr: DataFrame, score: str = "predicted_s
 
 
 def merge_both_pairs(ori: DataFrame, swi: DataFrame, thr: DataFrame, thr_col: str = "optimal_thr") -> DataFrame:
-    """Inner join of the scores of ``(drug1, drug2, se)`` with the scores of the
+    """Join of the scores of ``(drug1, drug2, se)`` with the scores of the
     swapped rows ``(drug2, drug1, se)``; mean score, final label and gap.
 
     ``ori``/``swi`` carry ``drug1, drug2, se, label, predicted_label,
-    predicted_score``. Duplicated keys multiply, as an inner join does.
+    predicted_score``. Identical rows are collapsed on each side first (map-side
+    partial aggregation) and joined once: a key present k times on one side
+    and k' times on the other gives one row with ``n_copies = k * k'`` where a
+    row-level inner join would emit k x k' copies -- same multiset, no blow-up
+    on a heavily copied key.
     """
-    a = ori.select("drug1", "drug2", "se", "label",
-                   F.col("predicted_label").alias("predicted_label_x"),
-                   F.col("predicted_score").alias("predicted_score_x"))
-    b = swi.select(F.col("drug2").alias("drug1"), F.col("drug1").alias("drug2"), "se",
-                   F.col("predicted_label").alias("predicted_label_y"),
-                   F.col("predicted_score").alias("predicted_score_y"))
+    wa = F.col("n_copies") if "n_copies" in ori.columns else F.lit(1)
+    wb = F.col("n_copies") if "n_copies" in swi.columns else F.lit(1)
+    a = (ori.groupBy("drug1", "drug2", "se", "label",
+                     F.col("predicted_label").alias("predicted_label_x"),
+                     F.col("predicted_score").alias("predicted_score_x"))
+         .agg(F.sum(wa).cast("long").alias("_na")))
+    b = (swi.groupBy(F.col("drug2").alias("drug1"), F.col("drug1").alias("drug2"), "se",
+                     F.col("predicted_label").alias("predicted_label_y"),
+                     F.col("predicted_score").alias("predicted_score_y"))
+         .agg(F.sum(wb).cast("long").alias("_nb")))
     m = a.join(b, ["drug1", "drug2", "se"])
     m = m.withColumn("mean_predicted_score", mean_of_orientations("predicted_score_x", "predicted_score_y"))
     t = bounded_broadcast(thr.select("se", thr_col))
     m = m.join(t, "se", "left")
-    return m.select(*MERGED_COLUMNS[:-2],
+    return m.select(*MERGED_COLUMNS[:-3],
                     predicted_label("mean_predicted_score", thr_col).alias("final_predicted_label"),
-                    gap("mean_predicted_score", thr_col).alias("gap"))
+                    gap("mean_predicted_score", thr_col).alias("gap"),
+                    (F.col("_na") * F.col("_nb")).alias("n_copies"))
 
 
 def merge_scored_orientations(df: DataFrame, thr: DataFrame, fwd: str = "score_fwd", rev: str = "score_rev",
@@ -95,6 +104,6 @@ def merge_scored_orientations(df: DataFrame, thr: DataFrame, fwd: str = "score_f
         predicted_label(rev, thr_col).alias("predicted_label_y"),
         F.col(fwd).alias("predicted_score_x"), F.col(rev).alias("predicted_score_y"),
         mean_of_orientations(fwd, rev).alias("mean_predicted_score"), thr_col)
-    return m.select(*MERGED_COLUMNS[:-2],
+    return m.select(*MERGED_COLUMNS[:-3],
                     predicted_label("mean_predicted_score", thr_col).alias("final_predicted_label"),
-                    gap("mean_predicted_score", thr_col).alias("gap"))
+                    gap("mean_predicted_score", thr_col).alias("gap"), F.lit(1).cast("long").alias("n_copies"))

@@ -10,18 +10,21 @@ from __future__ import annotations
 
 FIXTURE_CTES = """
 fx_pairs_raw as (
-  select l1.l_suppkey drug1, l2.l_suppkey drug2, cast(l1.l_quantity as integer) % 30 se,
-         case when l1.l_returnflag = 'R' then 1 else 0 end label,
-         cast(round(l1.l_extendedprice * 100) as bigint) c1,
-         cast(round(l2.l_extendedprice * 100) as bigint) c2
-  from lineitem l1 join lineitem l2
-    on l1.l_orderkey = l2.l_orderkey and l2.l_linenumber = l1.l_linenumber + 1
-  where l1.l_suppkey <> l2.l_suppkey),
+  select a.drug1, b.drug2, a.se, a.label, a.c1, b.c2, a.n1 * b.n2 n
+  from (select l_orderkey order_key, l_linenumber + 1 line_no, l_suppkey drug1,
+               cast(l_quantity as integer) % 30 se, case when l_returnflag = 'R' then 1 else 0 end label,
+               cast(round(l_extendedprice * 100) as bigint) c1, count(*) n1
+        from lineitem group by all) a
+  join (select l_orderkey order_key, l_linenumber line_no, l_suppkey drug2,
+               cast(round(l_extendedprice * 100) as bigint) c2, count(*) n2
+        from lineitem group by all) b
+    on a.order_key = b.order_key and a.line_no = b.line_no
+  where a.drug1 <> b.drug2),
 fx_scored as (
   select (drug1 * 100000 + drug2) * 100 + se row_id, drug1, drug2, se,
-         case when 3 * sum(label) > count(*) then 1 else 0 end label,
-         cast(sum(c1) as double) / count(*) / 1e7 score_fwd,
-         cast(sum(c2) as double) / count(*) / 1e7 score_rev
+         case when 3 * sum(label * n) > sum(n) then 1 else 0 end label,
+         cast(sum(c1 * n) as double) / sum(n) / 1e7 score_fwd,
+         cast(sum(c2 * n) as double) / sum(n) / 1e7 score_rev
   from fx_pairs_raw group by drug1, drug2, se),
 fx_pairs as (select row_id, drug1, drug2, se, label from fx_scored),
 fx_drug as (
@@ -189,8 +192,11 @@ MERGED_CTES = [
          (a.predicted_score + b.predicted_score) / 2 mean_predicted_score,
          cast(coalesce((a.predicted_score + b.predicted_score) / 2 < t.optimal_thr, false) as integer)
            final_predicted_label,
-         abs((a.predicted_score + b.predicted_score) / 2 - t.optimal_thr) gap
-  from q1_ori a join q1_swi b on a.drug1 = b.drug2 and a.drug2 = b.drug1 and a.se = b.se
+         abs((a.predicted_score + b.predicted_score) / 2 - t.optimal_thr) gap,
+         a.n * b.n n_copies
+  from (select drug1, drug2, se, label, predicted_label, predicted_score, count(*) n from q1_ori group by all) a
+  join (select drug1, drug2, se, predicted_label, predicted_score, count(*) n from q1_swi group by all) b
+    on a.drug1 = b.drug2 and a.drug2 = b.drug1 and a.se = b.se
   left join fx_thr_mean t on a.se = t.se)""",
 ]
 

@@ -82,7 +82,7 @@ def q_merged_performance(spark, sf):
 @register("merge_both_pairs", O.with_fixtures(*O.MERGED_CTES, select="""
 select drug1, drug2, se, label, predicted_label_x, predicted_label_y,
   round(predicted_score_x, 6) predicted_score_x, round(predicted_score_y, 6) predicted_score_y,
-  round(mean_predicted_score, 6) mean_predicted_score, final_predicted_label, round(gap, 6) gap
+  round(mean_predicted_score, 6) mean_predicted_score, final_predicted_label, round(gap, 6) gap, n_copies
 from q1_merged"""))
 def q_merge_both_pairs(spark, sf):
     return rounded(_evaluation(spark, sf).merged)
@@ -995,10 +995,10 @@ def q_src_thresholds(spark, sf):
 
 
 @register("src_occurrence", O.with_fixtures(select="""
-select se, count(*) num_occur from fx_pairs_raw group by se"""))
+select se, cast(sum(n) as bigint) num_occur from fx_pairs_raw group by se"""))
 def q_src_occurrence(spark, sf):
     """Occurrence count per side effect, derived from the observations."""
-    return fx.pairs_raw(spark, sf).groupBy("se").agg(F.count(F.lit(1)).alias("num_occur"))
+    return fx.pairs_raw(spark, sf).groupBy("se").agg(F.sum("n").alias("num_occur"))
 
 
 @register("sink_top_genes", O.with_fixtures("""
@@ -1023,7 +1023,7 @@ def q_sink_predictions(spark, sf):
     return back.select(*[c for c in
                          ["drug1", "drug2", "se", "label", "predicted_label_x", "predicted_label_y",
                           "predicted_score_x", "predicted_score_y", "mean_predicted_score",
-                          "final_predicted_label", "gap"]]).withColumn("se", F.col("se").cast("int"))
+                          "final_predicted_label", "gap", "n_copies"]]).withColumn("se", F.col("se").cast("int"))
 
 
 # ------------------------------------------------------- remaining inventory

@@ -11,7 +11,7 @@ All stand-ins are linear in their inputs (no all-pairs expansion):
 * ``pairs_raw``  -- two lines of one order on adjacent line numbers form an
   observation "drug1 taken with drug2" (drugs are suppliers), ``se`` is the
   quantity bucket, ``label`` is "line was returned". Equi-join on
-  ``(order, line + 1)``.
+  ``(order, line + 1)`` after collapsing identical lines (copy count ``n``).
 * ``scored``     -- one row per ``(drug1, drug2, se)`` with a score for each
   orientation (ratio of integer sums: bit-equal in Spark and DuckDB).
 * ``profile``    -- 64-float vectors from ``embeddings``; vectors of class 3
@@ -34,34 +34,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with a copy count ``n``: identical lines are collapsed on
+    each side before the join and their counts multiplied, so a line copied
+    k times yields one row with ``n = k * k'`` instead of k x k' rows."""
     li = table(spark, sf_dir, "lineitem")
-    first = li.select(
+    first = (li.select(
         F.col("l_orderkey").alias("order_key"),
         (F.col("l_linenumber") + 1).alias("line_no"),
         F.col("l_suppkey").alias("drug1"),
         (F.col("l_quantity").cast("int") % 30).alias("se"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c1"),
-    )
-    second = li.select(
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c1"))
+        .groupBy("order_key", "line_no", "drug1", "se", "label", "c1").agg(F.count(F.lit(1)).alias("n1")))
+    second = (li.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_suppkey").alias("drug2"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c2"),
-    )
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c2"))
+        .groupBy("order_key", "line_no", "drug2", "c2").agg(F.count(F.lit(1)).alias("n2")))
     return (first.join(second, ["order_key", "line_no"])
             .where(F.col("drug1") != F.col("drug2"))
-            .select("drug1", "drug2", "se", "label", "c1", "c2"))
+            .select("drug1", "drug2", "se", "label", "c1", "c2", (F.col("n1") * F.col("n2")).alias("n")))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (drug1, drug2, se): majority-ish label and both orientations' scores."""
     raw = pairs_raw(spark, sf_dir)
-    n = F.count(F.lit(1))
+    n = F.sum("n")
     return (raw.groupBy("drug1", "drug2", "se")
-            .agg(F.when(3 * F.sum("label") > n, 1).otherwise(0).alias("label"),
-                 (F.sum("c1").cast("double") / n / 1e7).alias("score_fwd"),
-                 (F.sum("c2").cast("double") / n / 1e7).alias("score_rev"))
+            .agg(F.when(3 * F.sum(F.col("label") * F.col("n")) > n, 1).otherwise(0).alias("label"),
+                 (F.sum(F.col("c1") * F.col("n")).cast("double") / n / 1e7).alias("score_fwd"),
+                 (F.sum(F.col("c2") * F.col("n")).cast("double") / n / 1e7).alias("score_rev"))
             .select(((F.col("drug1") * 100000 + F.col("drug2")) * 100 + F.col("se")).alias("row_id"),
                     "drug1", "drug2", "se", "label", "score_fwd", "score_rev"))
 

@@ -92,7 +92,13 @@ def test_duplicate_pair_multiplies(spark):
     swi = R.swap_pair(ori)
     thr = spark.createDataFrame([(0, 0.5)], "se int, optimal_thr double")
     m = merge_both_pairs(apply_threshold(ori, thr), apply_threshold(swi, thr), thr)
-    assert m.count() == 4
+    rows = m.collect()
+    # 2 copies x 2 copies: the multiset of the row-level join (4 rows), carried as counts
+    assert sum(r["n_copies"] for r in rows) == 4
+    assert len(rows) == 4      # the two copies differ in score, so 2 x 2 distinct combinations
+    same = spark.createDataFrame([(1, 2, 0, 1, 0.3)] * 3, "drug1 long, drug2 long, se int, label int, predicted_score double")
+    m2 = merge_both_pairs(apply_threshold(same, thr), apply_threshold(R.swap_pair(same), thr), thr).collect()
+    assert len(m2) == 1 and m2[0]["n_copies"] == 9
 
 
 def test_self_pair_removed_by_remainder(spark):
