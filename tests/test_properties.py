@@ -93,3 +93,45 @@ def test_row_index_is_dense_over_many_partitions(spark, tmp_path):
     idx = with_row_index(df).collect()
     assert sorted(r["row_id"] for r in idx) == list(range(5000))
     assert all(r["v"] == 3 * r["row_id"] for r in idx)
+
+
+def test_evaluate_swap_invariance_and_totals(spark, sf_dir):
+    """Swapping the two inputs of the evaluation keeps mean, label and gap;
+    confusion counts add up to the rows; gaps are non-negative."""
+    from dyadic.plans.evaluate import evaluate, orientations
+    from dyadic.sources import fixtures as fx
+    s = fx.scored(spark, sf_dir)
+    thr = fx.threshold(spark, sf_dir)
+    ori, swi = orientations(s)
+    a = evaluate(ori, swi, thr).merged
+    b = evaluate(swi, ori, thr).merged     # the swapped table as the "original"
+    cols = ["se", "label", "mean_predicted_score", "final_predicted_label", "gap"]
+    ka = a.select(F.least("drug1", "drug2").alias("x"), F.greatest("drug1", "drug2").alias("y"), *cols)
+    kb = b.select(F.least("drug1", "drug2").alias("x"), F.greatest("drug1", "drug2").alias("y"), *cols)
+    assert ka.exceptAll(kb).count() == 0 and kb.exceptAll(ka).count() == 0
+    assert a.where(F.col("gap") < 0).count() == 0
+    conf = M.confusion_counts(a, "final_predicted_label", weight="n_copies")
+    tot = conf.select(F.sum(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))).collect()[0][0]
+    assert tot == a.select(F.sum("n_copies")).collect()[0][0]
+
+
+def test_screen_ranks_contiguous(spark, sf_dir):
+    import __spark_entry__ as e
+    res = e.queries()["screen"](spark, sf_dir)
+    bad = (res.groupBy("drug1", "drug2")
+           .agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("m"), F.min("rank").alias("lo"),
+                F.max("total_predicted_reactions").alias("t"))
+           .where((F.col("n") != F.col("m")) | (F.col("lo") != 1) | (F.col("n") > 30) | (F.col("t") < F.col("n"))))
+    assert res.count() > 0 and bad.count() == 0
+
+
+def test_pair_model_weights_roundtrip(spark, tmp_path):
+    from dyadic.operators.scoring import PairModel, load_pair_model, save_pair_model
+    m = PairModel.random(11, 6, 3, [0, 4, 7])
+    save_pair_model(spark, m, str(tmp_path / "w"))
+    back = load_pair_model(spark, str(tmp_path / "w"))
+    for k, v in m.__dict__.items():
+        if isinstance(v, np.ndarray):
+            assert np.allclose(getattr(back, k), v)
+    x = np.random.default_rng(0).standard_normal((5, 6))
+    assert np.allclose(m.embed(x, x[::-1])[0], back.embed(x, x[::-1])[0])
