@@ -7,6 +7,7 @@ merge orientations -> per-se SN/SP/PR/AUC/AUPR -> describe.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +19,27 @@ from ..operators.thresholds import apply_threshold, merge_both_pairs, threshold_
 
 @dataclass
 class Evaluation:
+    """The merged table is a plan; the performance tables are built on first
+    use (their ordered scan writes a checkpoint, so they cost a job)."""
     merged: DataFrame
-    performance: DataFrame
-    describe: DataFrame
-    excluded: DataFrame
     thresholds: DataFrame
 
+    @cached_property
+    def _perf(self):
+        return merged_performance(self.merged, with_excluded=True)
+
+    @property
+    def performance(self) -> DataFrame:
+        return self._perf[0]
+
+    @property
+    def excluded(self) -> DataFrame:
+        return self._perf[1]
+
+    @cached_property
+    def describe(self) -> DataFrame:
+        return perf_describe(self.performance)
+
 
 def orientations(scored: DataFrame, fwd: str = "score_fwd", rev: str = "score_rev"):
     """Split a table holding both orientations' scores into the original rows
@@ -37,5 +53,4 @@ def orientations(scored: DataFrame, fwd: str = "score_fwd", rev: str = "score_re
 def evaluate(ori: DataFrame, swi: DataFrame, thresholds: DataFrame, mode: str = "compat") -> Evaluation:
     thr = bounded_broadcast(threshold_mean(thresholds, mode))
     merged = merge_both_pairs(apply_threshold(ori, thr), apply_threshold(swi, thr), thr)
-    perf, excluded = merged_performance(merged, with_excluded=True)
-    return Evaluation(merged, perf, perf_describe(perf), excluded, thr)
+    return Evaluation(merged, thr)
