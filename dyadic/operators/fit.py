@@ -71,15 +71,25 @@ def ridge_fit(df: DataFrame, x_col: str, y_col: str, l2: float = 0.01, intercept
     return np.linalg.solve(A + pen, B)
 
 
-def apply_linear(df: DataFrame, x_col: str, W: np.ndarray, out: str = "pred", intercept: bool = True) -> DataFrame:
-    """``x -> [1, x] W`` as an array column (weights are a small literal)."""
-    rows = W.shape[0]
-    cols = []
-    for j in range(W.shape[1]):
-        terms = F.lit(float(W[0, j])) if intercept else F.lit(0.0)
-        w = [float(v) for v in (W[1:, j] if intercept else W[:, j])]
-        wv = F.array(*[F.lit(v) for v in w])
-        dotp = F.aggregate(F.zip_with(F.col(x_col), wv, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
-        cols.append(terms + dotp)
-    assert rows >= 1
-    return df.withColumn(out, F.array(*cols))
+def apply_linear(df: DataFrame, x_col: str, W: np.ndarray, out: str = "pred", intercept: bool = True,
+                 max_bytes: int = 1 << 30) -> DataFrame:
+    """``x -> [1, x] W`` as an array column. The weights (width_in x width_out,
+    size-checked) are broadcast once and applied per Arrow batch as one GEMM."""
+    if W.nbytes > max_bytes:
+        raise ValueError(f"weights of {W.nbytes} bytes exceed the broadcast limit {max_bytes}")
+    bc = df.sparkSession.sparkContext.broadcast(np.asarray(W, dtype=float))
+    fields = list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))]
+
+    def run(batches):
+        w = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf[x_col].to_numpy()).astype(float)
+            if intercept:
+                X = np.hstack([np.ones((X.shape[0], 1)), X])
+            res = pdf.copy()
+            res[out] = list(X @ w)
+            yield res
+
+    return df.mapInPandas(run, T.StructType(fields))
