@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,28 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
 
 
-def centre_unit(vec) -> Column:
-    """Centre a vector and scale it to unit length (NULL if constant)."""
+def _with_scalar(arr, scalar, op) -> Column:
+    """Element-wise ``op(x, scalar)``. The scalar is handed to ``zip_with`` as
+    a repeated array argument, which is evaluated once per row; referring to
+    a row-level aggregate *inside* a lambda would re-evaluate it for every
+    element (O(width^2) per row, worse once the optimizer inlines it)."""
+    a = _c(arr)
+    return F.zip_with(a, F.array_repeat(scalar, F.size(a)), op)
+
+
+def mean(vec) -> Column:
     v = _c(vec)
-    mean = F.aggregate(v, F.lit(0.0), lambda s, z: s + z) / F.size(v)
-    centred = F.transform(v, lambda x: x - mean)
-    norm = l2norm(centred)
-    return F.when(norm > 0, F.transform(centred, lambda x: x / norm))
+    return F.aggregate(v, F.lit(0.0), lambda s, z: s + z) / F.size(v)
+
+
+def centre(vec) -> Column:
+    return _with_scalar(vec, mean(vec), lambda x, m: x - m)
+
+
+def with_centre_unit(df: DataFrame, vec, out: str) -> DataFrame:
+    """Add ``out``: the vector centred and scaled to unit length (NULL if
+    constant); O(width) per row."""
+    t = df.withColumn("_cu_c", centre(vec))
+    n = l2norm("_cu_c")
+    t = t.withColumn(out, F.when(n > 0, _with_scalar("_cu_c", n, lambda x, k: x / k)))
+    return t.drop("_cu_c")

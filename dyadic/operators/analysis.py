@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import centre_unit, fill_zero
+from ..functions.vector import centre, fill_zero, with_centre_unit
 from .reshape import swap_pair
 
 
@@ -122,24 +122,23 @@ def profile_clusters(df: DataFrame, vec_col: str = "vec", k: int = 5, seed: int
     from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    cu = df.select(*id_cols, centre_unit(fill_zero(vec_col)).alias("_u")).where(F.col("_u").isNotNull())
+    cu = with_centre_unit(df.select(*id_cols, fill_zero(vec_col).alias("_z")), "_z", "_u").where(
+        F.col("_u").isNotNull())
     feats = cu.select(*id_cols, array_to_vector("_u").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
     model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(feats)
     return model.transform(feats).select(*id_cols, F.col("prediction").alias("cluster"))
 
 
-def row_pearson(a, b) -> "F.Column":
-    """Pearson correlation of two equal-length array columns, per row (NULL
-    if either is constant)."""
-    ca, cb = F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b
-    n = F.size(ca)
-    ma = F.aggregate(ca, F.lit(0.0), lambda s, x: s + x) / n
-    mb = F.aggregate(cb, F.lit(0.0), lambda s, x: s + x) / n
-    cov = F.aggregate(F.zip_with(ca, cb, lambda x, y: (x - ma) * (y - mb)), F.lit(0.0), lambda s, z: s + z)
-    va = F.aggregate(ca, F.lit(0.0), lambda s, x: s + (x - ma) * (x - ma))
-    vb = F.aggregate(cb, F.lit(0.0), lambda s, x: s + (x - mb) * (x - mb))
+def with_row_pearson(df: DataFrame, a: str, b: str, out: str = "pearson") -> DataFrame:
+    """Add ``out``: Pearson correlation of two equal-length array columns per
+    row (NULL if either is constant); O(width) per row."""
+    t = df.withColumn("_rp_a", centre(a)).withColumn("_rp_b", centre(b))
+    ssum = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, z: s + z)
+    cov = ssum(F.zip_with("_rp_a", "_rp_b", lambda x, y: x * y))
+    va = ssum(F.transform("_rp_a", lambda x: x * x))
+    vb = ssum(F.transform("_rp_b", lambda x: x * x))
     den = F.sqrt(va * vb)
-    return F.when(den > 0, cov / den)
+    return t.withColumn(out, F.when(den > 0, cov / den)).drop("_rp_a", "_rp_b")
 
 
 def gene_pearson(df: DataFrame, truth: str, pred: str, eps: float = 1e-7) -> DataFrame:

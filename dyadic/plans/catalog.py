@@ -790,7 +790,7 @@ def _pearson_sql(a, b):
 @register("row_pearson", O.with_fixtures(_DESC_CTE, _PAIRED_CTE, select=f"""
 select row_id, round({_pearson_sql('y', 'p')}, 6) pearson from q_py"""))
 def q_row_pearson(spark, sf):
-    return rounded(_paired(spark, sf).select("row_id", A.row_pearson("y", "pred").alias("pearson")))
+    return rounded(A.with_row_pearson(_paired(spark, sf), "y", "pred").select("row_id", "pearson"))
 
 
 @register("gene_pearson", O.with_fixtures(_DESC_CTE, _PAIRED_CTE, """

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.analysis import gene_pearson, mse, row_pearson
+from ..operators.analysis import gene_pearson, mse, with_row_pearson
 from ..operators.fit import apply_linear, ridge_fit
 from ..operators.reshape import split_descriptor_both
 from ..operators.scoring import FeatureModel, predict_expression
@@ -26,7 +26,7 @@ class ProfilePrediction:
 
 
 def profile_quality(pred: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = pred.select("row_id", row_pearson("y", "pred").alias("pearson"))
+    rows = with_row_pearson(pred.select("row_id", "y", "pred"), "y", "pred").select("row_id", "pearson")
     g = gene_pearson(pred, "y", "pred").agg(F.avg("r").alias("mean_gene_pearson"))
     r = rows.agg(F.avg("pearson").alias("value")).select(F.lit("mean_row_pearson").alias("metric"), "value")
     g = g.select(F.lit("mean_gene_pearson").alias("metric"), F.col("mean_gene_pearson").alias("value"))
