@@ -28,7 +28,9 @@ class ProfilePrediction:
 def profile_quality(pred: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = with_row_pearson(pred.select("row_id", "y", "pred"), "y", "pred").select("row_id", "pearson")
     g = gene_pearson(pred, "y", "pred").agg(F.avg("r").alias("mean_gene_pearson"))
-    r = rows.agg(F.avg("pearson").alias("value")).select(F.lit("mean_row_pearson").alias("metric"), "value")
+    # the mean is NULL as soon as one row is constant (a mean over a NaN)
+    mean_r = F.when(F.count("pearson") == F.count(F.lit(1)), F.avg("pearson"))
+    r = rows.agg(mean_r.alias("value")).select(F.lit("mean_row_pearson").alias("metric"), "value")
     g = g.select(F.lit("mean_gene_pearson").alias("metric"), F.col("mean_gene_pearson").alias("value"))
     e = mse(pred, "y", "pred").select(F.lit("mse").alias("metric"), F.col("mse").alias("value"))
     return rows, r.unionByName(g).unionByName(e)

@@ -39,17 +39,25 @@ class Screen:
 
 
 def valid_requests(requests: DataFrame, distinct_guard: bool = False):
-    """Split requests into valid ones and rejects. Ids are cast like ``int()``
-    (a failed cast is a reject); 0 and missing ids are rejected, as the API's
-    truthiness test does. ``distinct_guard`` also rejects ``drug1 = drug2``
-    (the browser's rule; the API accepts it)."""
-    d1 = F.col("drug1").try_cast("bigint")
-    d2 = F.col("drug2").try_cast("bigint")
-    r = requests.select("request_id", d1.alias("drug1"), d2.alias("drug2"))
-    missing = F.col("drug1").isNull() | F.col("drug2").isNull() | (F.col("drug1") == 0) | (F.col("drug2") == 0)
-    bad = missing | (F.col("drug1") == F.col("drug2")) if distinct_guard else missing
-    reason = F.when(missing, F.lit("missing drug id")).otherwise(F.lit("same drug twice"))
-    return r.where(~bad), r.where(bad).withColumn("reason", reason)
+    """Split requests into valid ones and rejects. Ids are cast like ``int()``;
+    a missing, empty or 0 id is rejected as missing (the API's truthiness
+    test), a value that is not an integer as invalid (the API's cast error).
+    ``distinct_guard`` also rejects ``drug1 = drug2`` (the browser's rule; the
+    API accepts it)."""
+    raw1, raw2 = F.col("drug1").cast("string"), F.col("drug2").cast("string")
+    d1, d2 = F.col("drug1").try_cast("bigint"), F.col("drug2").try_cast("bigint")
+    r = requests.select("request_id", d1.alias("drug1"), d2.alias("drug2"),
+                        (raw1.isNull() | (raw1 == "")).alias("_m1"), (raw2.isNull() | (raw2 == "")).alias("_m2"))
+    zero = lambda c: F.coalesce(F.col(c) == 0, F.lit(False))
+    missing = F.col("_m1") | F.col("_m2") | zero("drug1") | zero("drug2")
+    invalid = ~missing & (F.col("drug1").isNull() | F.col("drug2").isNull())
+    bad = missing | invalid
+    if distinct_guard:
+        bad = bad | F.coalesce(F.col("drug1") == F.col("drug2"), F.lit(False))
+    reason = (F.when(missing, F.lit("missing drug id")).when(invalid, F.lit("invalid drug id"))
+              .otherwise(F.lit("same drug twice")))
+    return (r.where(~bad).drop("_m1", "_m2"),
+            r.where(bad).withColumn("reason", reason).drop("_m1", "_m2"))
 
 
 def score_identity(pairs: DataFrame, profile: DataFrame, r_table: DataFrame, thr: DataFrame,

@@ -178,3 +178,14 @@ def test_edge_none_flagged(spark):
                                "mean_predicted_score double, optimal_thr double")
     names = spark.createDataFrame([(0, "X")], "se int, name string")
     assert rank_flagged(sc, names).count() == 0
+
+
+def test_request_rejects(spark):
+    from dyadic.plans.screen import valid_requests
+    from dyadic.sources.readers import requests_from_rows
+    req = requests_from_rows(spark, [(1, "5", "7"), (2, "0", "7"), (3, None, "7"), (4, "abc", "7"), (5, "", "7"),
+                                     (6, "9", "9")])
+    ok, rej = valid_requests(req, distinct_guard=True)
+    assert sorted(r["request_id"] for r in ok.collect()) == [1]
+    assert dict((r["request_id"], r["reason"]) for r in rej.collect()) == {
+        2: "missing drug id", 3: "missing drug id", 4: "invalid drug id", 5: "missing drug id", 6: "same drug twice"}
