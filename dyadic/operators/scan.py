@@ -39,6 +39,10 @@ from ..session import default_slices, ensure_checkpoint_dir
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def _key(row) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in row.tolist())
+
+
 def _local_scan(by: list[str], sums: list[str], lags: list[str], int_lags: set[str]):
     def run(batches):
         prev_key = None
@@ -50,8 +54,10 @@ def _local_scan(by: list[str], sums: list[str], lags: list[str], int_lags: set[s
             n = len(pdf)
             if by:
                 keys = pdf[by]
-                change = keys.ne(keys.shift()).any(axis=1).to_numpy().copy()
-                first_key = tuple(keys.iloc[0].tolist())
+                prev = keys.shift()
+                same = (keys == prev) | (keys.isna() & prev.isna())      # NULL keys form one group
+                change = (~same.all(axis=1)).to_numpy().copy()
+                first_key = _key(keys.iloc[0])
                 change[0] = prev_key is None or first_key != prev_key
             else:
                 change = np.zeros(n, dtype=bool)
@@ -78,7 +84,7 @@ def _local_scan(by: list[str], sums: list[str], lags: list[str], int_lags: set[s
             for c in lags:
                 if c in int_lags:
                     res[f"_lagl_{c}"] = pd.array(res[f"_lagl_{c}"], dtype="Int64")
-            prev_key = tuple(pdf[by].iloc[-1].tolist()) if by else ()
+            prev_key = _key(pdf[by].iloc[-1]) if by else ()
             yield res
     return run
 
@@ -91,7 +97,8 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[str],
     Adds, for every ``c`` in ``sums``: ``cum_c`` (inclusive running sum) and
     ``tot_c`` (group total); for every ``c`` in ``lags``: ``prev_c`` (value of
     the previous row of the group, NULL on the first row). ``order`` must be a
-    total order inside a group (unique per row); group keys must not be NULL.
+    total order inside a group (unique per row); a NULL group key is a group
+    of its own.
 
     ``broadcast_offsets``: True when the caller knows the number of groups is
     small (the offset table has at most ``groups + slices`` rows); None leaves
@@ -131,9 +138,12 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[str],
     local = (ranged.sortWithinPartitions(*[F.col(c) for c in by + order])
              .mapInPandas(_local_scan(by, sums, lags, int_lags), T.StructType(out_fields)))
 
+    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in by + ["_slice"]],
+                             *[c for c in offsets.columns if c not in by and c != "_slice"])
     if broadcast_offsets:
         offsets = F.broadcast(offsets)
-    joined = local.join(offsets, [*by, "_slice"])
+    cond = [local[c].eqNullSafe(offsets[f"_o_{c}"]) for c in by] + [local["_slice"] == offsets["_o__slice"]]
+    joined = local.join(offsets, cond)
     cols = [F.col(c) for c in df.columns]
     cols += [(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sums]
     cols += [F.col(f"tot_{c}") for c in sums]

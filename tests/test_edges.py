@@ -189,3 +189,15 @@ def test_request_rejects(spark):
     assert sorted(r["request_id"] for r in ok.collect()) == [1]
     assert dict((r["request_id"], r["reason"]) for r in rej.collect()) == {
         2: "missing drug id", 3: "missing drug id", 4: "invalid drug id", 5: "missing drug id", 6: "same drug twice"}
+
+
+def test_ordered_scan_null_group_key(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") % 3).alias("g"),
+                                     F.col("id").alias("k"), (F.col("id") % 5).alias("m"))
+    res = ordered_scan(df, ["g"], ["k"], sums=["m"], lags=["m"], slices=5)
+    w = Window.partitionBy("g").orderBy("k")
+    ref = df.select("*", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_m"),
+                    F.sum("m").over(Window.partitionBy("g")).alias("tot_m"), F.lag("m").over(w).alias("prev_m"))
+    assert res.count() == 3000
+    assert res.exceptAll(ref).count() == 0 and ref.exceptAll(res).count() == 0
