@@ -15,7 +15,9 @@ here is the textbook distributed prefix sum:
    recomputation after a lost executor, could otherwise slice differently.
 2. Per slice and group a small summary (totals, last row) is aggregated; a
    window over that summary (at most ``groups + n`` rows) turns it into the
-   offsets of each slice and the group totals.
+   offsets of each slice and the group totals. This table is checkpointed
+   and counted, and broadcast when the count is under the limit, so the big
+   side is never shuffled for the join in step 4.
 3. Inside each slice the rows are already contiguous and sorted, so the local
    running sums are one pass of ``mapInPandas`` -- no second shuffle.
 4. Local sums + offsets give exact running totals; the last row of the
@@ -36,6 +38,7 @@ from pyspark.sql import types as T
 
 from ..session import default_slices, ensure_checkpoint_dir
 
+OFFSET_BROADCAST_ROWS = 2_000_000
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -100,9 +103,9 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[str],
     total order inside a group (unique per row); a NULL group key is a group
     of its own.
 
-    ``broadcast_offsets``: True when the caller knows the number of groups is
-    small (the offset table has at most ``groups + slices`` rows); None leaves
-    the join strategy to AQE, which broadcasts at run time when it is small.
+    ``broadcast_offsets``: None (default) broadcasts the offset table when its
+    counted size is at most ``OFFSET_BROADCAST_ROWS`` (it has at most
+    ``groups + slices`` rows), otherwise the planner joins it by shuffle.
     """
     by, order, sums, lags = list(by), list(order), list(sums), list(lags)
     n = slices or default_slices(df.sparkSession)
@@ -124,7 +127,12 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order: Sequence[str],
     off_cols += [F.sum(c).over(whole).alias(f"tot_{c}") for c in sums]
     if lags:
         off_cols.append(F.lag("_last").over(w).alias("_prev_last"))
-    offsets = summary.select(*by, "_slice", *off_cols)
+    # the offset table has at most groups + slices rows; it is written once
+    # (cheap: one pass over the sliced data, aggregated per slice) so its size
+    # is known before the join is planned
+    offsets = summary.select(*by, "_slice", *off_cols).checkpoint(eager=True)
+    if broadcast_offsets is None:
+        broadcast_offsets = offsets.limit(OFFSET_BROADCAST_ROWS + 1).count() <= OFFSET_BROADCAST_ROWS
 
     schema = ranged.schema
     types = {f.name: f.dataType for f in schema.fields}
