@@ -191,16 +191,44 @@ def pair_embed(pairs_with_vecs: DataFrame, model: PairModel) -> DataFrame:
     return pairs_with_vecs.mapInPandas(run, out_schema)
 
 
+def _se_block_ranges(n_se: int, per_se_bytes: int, shared_bytes: int, limit: int) -> list[tuple[int, int]]:
+    """Split ``n_se`` side effects into contiguous blocks whose parameters
+    (plus the shared part) each fit under ``limit`` bytes."""
+    room = limit - shared_bytes
+    if room < per_se_bytes:
+        raise ValueError("shared model layers alone exceed the broadcast limit")
+    step = max(1, room // max(1, per_se_bytes))
+    return [(a, min(n_se, a + step)) for a in range(0, n_se, step)]
+
+
+def _model_block(model: PairModel, a: int, b: int) -> PairModel:
+    return PairModel(**{**model.__dict__, "se_ids": model.se_ids[a:b], "heads": model.heads[a:b],
+                        "tails": model.tails[a:b], "r": model.r[a:b]})
+
+
 def screen_scores_full(pairs_with_vecs: DataFrame, model: PairModel, thr: dict[int, float] | None = None,
-                       flagged_only: bool = True, block: int = 32) -> DataFrame:
+                       flagged_only: bool = True, block: int = 32, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Both orientations of each pair against every side effect of the model.
 
     Emits ``drug1, drug2, se, predicted_score_x, predicted_score_y,
     mean_predicted_score`` (and only rows with ``mean < thr`` when
     ``flagged_only``). ``thr``: threshold per se (a catalogue-sized dict).
+
+    The model is broadcast when it fits ``limit``; beyond it the side-effect
+    heads are split into blocks that fit, each block is scored in its own
+    pass over the pairs, and the passes are unioned.
     """
+    if model.nbytes() > limit:
+        n_se = len(model.se_ids)
+        per_se = (model.heads.nbytes + model.tails.nbytes + model.r.nbytes) // max(1, n_se)
+        shared = model.nbytes() - per_se * n_se
+        parts = [screen_scores_full(pairs_with_vecs, _model_block(model, a, b), thr, flagged_only, block, limit)
+                 for a, b in _se_block_ranges(n_se, per_se, shared, limit)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     spark = pairs_with_vecs.sparkSession
-    _check_size(model.nbytes(), "pair model")
     thr_arr = None
     if thr is not None:
         thr_arr = np.array([thr.get(int(s), np.nan) for s in model.se_ids], dtype=float)
@@ -259,13 +287,23 @@ def identity_params(r_table: DataFrame, thr: DataFrame | None, max_se: int = 100
 
 
 def screen_scores_identity(pairs_with_vecs: DataFrame, se_ids: np.ndarray, R: np.ndarray, thr: np.ndarray,
-                           flagged_only: bool = True, cells: int = 4_000_000) -> DataFrame:
+                           flagged_only: bool = True, cells: int = 4_000_000,
+                           limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Identity-head scores of both orientations for every (pair, se), computed
     per Arrow batch as dense arrays (side effects in blocks of at most
     ``cells`` pair x se x width values); with ``flagged_only`` only rows with
-    ``mean < thr`` leave the batch."""
+    ``mean < thr`` leave the batch. Offsets beyond ``limit`` bytes are split
+    into side-effect blocks scored in separate passes (unioned)."""
+    if R.nbytes + thr.nbytes > limit and len(se_ids) > 1:
+        per_se = (R.nbytes + thr.nbytes) // len(se_ids)
+        parts = [screen_scores_identity(pairs_with_vecs, se_ids[a:b], R[a:b], thr[a:b], flagged_only, cells, limit)
+                 for a, b in _se_block_ranges(len(se_ids), per_se, 0, limit)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     spark = pairs_with_vecs.sparkSession
-    _check_size(R.nbytes + thr.nbytes, "identity head")
+    _check_size(R.nbytes + thr.nbytes, "identity head", limit)
     bc = spark.sparkContext.broadcast((se_ids, R, thr))
     width = R.shape[1] if R.size else 0
     schema = T.StructType([T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()),

@@ -67,3 +67,16 @@ def test_expression_predictor_range(spark):
     ref = m.predict(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
     got = {r["row_id"]: r["pred"] for r in out}
     assert np.allclose(np.array([got[i] for i in range(20)]), ref)
+
+
+def test_full_scores_blocked_equal_broadcast(spark):
+    """Above the broadcast limit the side effects are scored in blocks; the
+    result is the same rows."""
+    df, _ = _pairs(spark, n=15)
+    m = PairModel.random(7, 8, 4, list(range(9)))
+    whole = screen_scores_full(df, m, None, flagged_only=False)
+    shared = m.nbytes() - (m.heads.nbytes + m.tails.nbytes + m.r.nbytes)
+    per_se = (m.heads.nbytes + m.tails.nbytes + m.r.nbytes) // 9
+    blocked = screen_scores_full(df, m, None, flagged_only=False, limit=shared + 2 * per_se)
+    assert blocked.count() == whole.count() == 15 * 9
+    assert blocked.exceptAll(whole).count() == 0
