@@ -95,11 +95,15 @@ def split_features(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 # ------------------------------------------------------------ vectors and lists
 def pair_se_binary(df: DataFrame, n_se: int, list_col: str = "se_list") -> DataFrame:
-    """Pair x side-effect indicator vector: 1 at every listed id (duplicates collapse)."""
+    """Pair x side-effect indicator vector: 1 at every listed id (duplicates
+    collapse). Membership is tested against the distinct ids (at most the
+    catalogue); ``se_counts`` (distinct id, count) is the sparse form to keep
+    when the dense vector is not needed."""
+    src = "se_counts.se" if "se_counts" in df.columns else list_col
     return df.withColumn(
         "se_binary",
         F.transform(F.sequence(F.lit(0), F.lit(n_se - 1)),
-                    lambda i: F.array_contains(F.col(list_col), i).cast("int")))
+                    lambda i: F.array_contains(F.col(src), i).cast("int")))
 
 
 def se_one_hot(df: DataFrame, n_se: int, col: str = "se") -> DataFrame:
