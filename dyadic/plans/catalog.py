@@ -1058,8 +1058,8 @@ def q_src_genes(spark, sf):
 
 
 @register("src_descriptor", O.with_fixtures(select="select vec_id row_id, " + ", ".join(
-    [f"case when embedding[{i + 1}] > 0 then 1.0 else 0.0 end fp{i}" for i in range(16)] +
-    ["case when embedding[17] > embedding[18] then 1.0 else 0.0 end pubfp_x"] +
+    [f"cast(case when embedding[{i + 1}] > 0 then 1.0 else 0.0 end as double) fp{i}" for i in range(16)] +
+    ["cast(case when embedding[17] > embedding[18] then 1.0 else 0.0 end as double) pubfp_x"] +
     [f"round(cast(embedding[{17 + i}] as double), 6) d{i}" for i in range(10)] +
     [f"round(cast(embedding[{27 + i}] as double), 6) y{i}" for i in range(8)]) + " from embeddings"))
 def q_src_descriptor(spark, sf):

@@ -201,3 +201,18 @@ def test_ordered_scan_null_group_key(spark):
                     F.sum("m").over(Window.partitionBy("g")).alias("tot_m"), F.lag("m").over(w).alias("prev_m"))
     assert res.count() == 3000
     assert res.exceptAll(ref).count() == 0 and ref.exceptAll(res).count() == 0
+
+
+def test_hot_group_spans_many_slices(spark):
+    """A group holding a third of all rows is spread over several range slices
+    (and so several tasks) by the ordered scan."""
+    from dyadic.operators import scan as SC
+    df = spark.range(0, 60000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50 + 1).cast("int").alias("g"),
+        F.col("id").alias("k"), F.lit(1).alias("one"))
+    ranged = df.repartitionByRange(8, "g", "k").withColumn("_slice", F.spark_partition_id())
+    hot_slices = ranged.where("g = 0").select("_slice").distinct().count()
+    assert hot_slices >= 3
+    res = SC.ordered_scan(df, ["g"], ["k"], sums=["one"], slices=8)
+    top = res.where("g = 0").agg(F.max("cum_one").alias("m"), F.max("tot_one").alias("t")).collect()[0]
+    assert top["m"] == top["t"] == 20000
