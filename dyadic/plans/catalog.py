@@ -1096,3 +1096,31 @@ def q_drug_menu_order(spark, sf):
     d = fx.drug(spark, sf).select("drug_id", F.lower("name").alias("_k"), F.lit(1).alias("_one"))
     s = ordered_scan(d, [], ["_k", "drug_id"], sums=["_one"], broadcast_offsets=True)
     return s.select("drug_id", F.col("cum__one").alias("menu_pos"))
+
+
+@register("calibrate_identity", O.with_fixtures(
+    *_R_CTES,
+    """q_m2 as (select row_id * 2 row_id, drug1, drug2, se, label from fx_pairs
+  union all select row_id * 2 + 1 row_id, drug2 drug1, drug1 drug2, se, label from fx_pairs)""",
+    "q_src2 as (select cast(r.range as integer) sample_no, m.* from q_m2 m cross join range(0, 2) r)",
+    f"q_hold2 as (select * from {_draw_sql('q_src2', 'sample_no')})",
+    f"""q_hs as (select h.sample_no, h.se, h.label,
+  case when a.vec is null or b.vec is null or r.r is null then null
+       else {_dist_sql('a.vec', 'b.vec', 'r.r')} + {_dist_sql('b.vec', 'a.vec', 'r.r')} end score
+  from q_hold2 h left join fx_profile a on h.drug1 = a.drug_id left join fx_profile b on h.drug2 = b.drug_id
+  left join q_r r on h.se = r.se)""",
+    *O.curve_ctes("q_hs", "score", by="sample_no * 1000 + se", prefix="ci"),
+    select="""select cast(g % 1000 as integer) se, cast(g // 1000 as integer) sample_no, round(optimal_thr, 6) thr
+from ci"""))
+def q_calibrate_identity(spark, sf):
+    """Q2 as a pipeline: two stratified draws over the mirrored observations,
+    every drawn row scored by the identity-head model, cut-off per (draw, se)."""
+    from ..operators.joins import bounded_broadcast
+    prof, r = fx.profile(spark, sf), bounded_broadcast(_r_table(spark, sf))
+
+    def score_fn(hold):
+        pv = profile_lookup(hold, prof).join(r, "se", "left")
+        return pv.withColumn("score", identity_score("vec1", "vec2", "r"))
+
+    train = R.mirror_pairs(fx.pairs(spark, sf))
+    return rounded(calibrate(train, samples=2, frac=0.1, score_fn=score_fn).thresholds)
