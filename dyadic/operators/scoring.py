@@ -343,6 +343,47 @@ def screen_scores_identity(pairs_with_vecs: DataFrame, se_ids: np.ndarray, R: np
     return pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, schema)
 
 
+def score_rows_full(rows_with_vecs: DataFrame, model: PairModel) -> DataFrame:
+    """Score each row's *own* side effect with the full model, both
+    orientations in one pass: adds ``score_fwd`` (drug1, drug2) and
+    ``score_rev`` (drug2, drug1). Inside an Arrow batch the rows are grouped
+    by side effect and each group is one GEMM against that head. Rows with a
+    missing profile or an unknown side effect get NULL scores."""
+    spark = rows_with_vecs.sparkSession
+    _check_size(model.nbytes(), "pair model")
+    bc = spark.sparkContext.broadcast(model)
+    d_in = model.W1.shape[0]
+    keep = [c for c in rows_with_vecs.columns if c not in ("vec1", "vec2")]
+    schema = T.StructType([f for f in rows_with_vecs.schema.fields if f.name in keep] +
+                          [T.StructField("score_fwd", T.DoubleType()), T.StructField("score_rev", T.DoubleType())])
+
+    def run(batches):
+        m = bc.value
+        pos = {int(s): i for i, s in enumerate(m.se_ids)}
+        for pdf in batches:
+            x1, p1 = _mat(pdf["vec1"], d_in)
+            x2, p2 = _mat(pdf["vec2"], d_in)
+            fwd = np.full(len(pdf), np.nan)
+            rev = np.full(len(pdf), np.nan)
+            se_idx = pdf["se"].map(lambda v: pos.get(int(v), -1) if pd.notna(v) else -1).to_numpy()
+            ok = p1 & p2 & (se_idx >= 0)
+            if ok.any():
+                a1, a2, *_ = m.embed(x1[ok], x2[ok])
+                b1, b2, *_ = m.embed(x2[ok], x1[ok])
+                idx_ok = np.nonzero(ok)[0]
+                for k in np.unique(se_idx[ok]):
+                    sel = se_idx[ok] == k
+                    sub = _model_block(m, k, k + 1)
+                    fwd[idx_ok[sel]] = sub.scores(a1[sel], a2[sel])[:, 0]
+                    rev[idx_ok[sel]] = sub.scores(b1[sel], b2[sel])[:, 0]
+            res = pdf[keep].copy()
+            res["score_fwd"] = pd.array(np.where(np.isnan(fwd), None, fwd), dtype="Float64")
+            res["score_rev"] = pd.array(np.where(np.isnan(rev), None, rev), dtype="Float64")
+            yield res
+
+    return rows_with_vecs.mapInPandas(run, schema)
+
+
 # -------------------------------------------------------- expression predictor
 @dataclass
 class FeatureModel:

@@ -1124,3 +1124,19 @@ def q_calibrate_identity(spark, sf):
 
     train = R.mirror_pairs(fx.pairs(spark, sf))
     return rounded(calibrate(train, samples=2, frac=0.1, score_fn=score_fn).thresholds)
+
+
+@register("evaluate_full")
+def q_evaluate_full(spark, sf):
+    """Q1 with our own scorer: every observation scored by the full model in
+    both orientations in one pass (no orientation join), labelled against the
+    averaged thresholds, per-se performance. The test set is the observations
+    whose two drugs have a profile (a missing profile would exclude its se)."""
+    from ..operators.scoring import score_rows_full
+    from ..operators.thresholds import merge_scored_orientations
+    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf)).where(
+        F.col("vec1").isNotNull() & F.col("vec2").isNotNull())
+    scored = score_rows_full(pv, _pair_model())
+    thr = threshold_mean(fx.threshold(spark, sf, base=1750, per_sample=5, per_se=5), "last5")
+    merged = merge_scored_orientations(scored, thr)
+    return M.merged_performance(merged)

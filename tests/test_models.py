@@ -80,3 +80,18 @@ def test_full_scores_blocked_equal_broadcast(spark):
     blocked = screen_scores_full(df, m, None, flagged_only=False, limit=shared + 2 * per_se)
     assert blocked.count() == whole.count() == 15 * 9
     assert blocked.exceptAll(whole).count() == 0
+
+
+def test_score_rows_full_matches_catalogue_scores(spark):
+    from dyadic.operators.scoring import score_rows_full
+    df, rows = _pairs(spark, n=12)
+    m = PairModel.random(9, 8, 4, [0, 1, 2])
+    with_se = df.withColumn("se", (F.col("drug1") % 4).cast("int"))      # se 3 is unknown to the model
+    got = {(r["drug1"], r["se"]): (r["score_fwd"], r["score_rev"]) for r in score_rows_full(with_se, m).collect()}
+    full = {(r["drug1"], r["se"]): (r["predicted_score_x"], r["predicted_score_y"]) for r in
+            screen_scores_full(df, m, None, flagged_only=False).collect()}
+    for (d1, se), (f, r) in got.items():
+        if se == 3 or d1 == 999:
+            assert f is None and r is None
+        else:
+            assert abs(f - full[(d1, se)][0]) < 1e-9 and abs(r - full[(d1, se)][1]) < 1e-9
