@@ -143,12 +143,32 @@ def with_row_pearson(df: DataFrame, a: str, b: str, out: str = "pearson") -> Dat
 
 def gene_pearson(df: DataFrame, truth: str, pred: str, eps: float = 1e-7) -> DataFrame:
     """Per position, Pearson of truth vs prediction over all rows with
-    ``denominator + eps``, clipped to [-1, 1]; then the mean over positions.
-    One aggregation keyed by position (partial sums, width groups)."""
-    z = df.select(F.posexplode(F.arrays_zip(F.col(truth).alias("t"), F.col(pred).alias("p"))).alias("pos", "z"))
-    t, p = F.col("z.t"), F.col("z.p")
-    s = z.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("st"), F.sum(p).alias("sp"),
-                             F.sum(t * p).alias("stp"), F.sum(t * t).alias("stt"), F.sum(p * p).alias("spp"))
+    ``denominator + eps``, clipped to [-1, 1] (average them for the single
+    number). Each partition sums its rows as vectors in one Arrow pass and
+    emits ``width`` rows; a keyed sum combines the partitions -- rows are never
+    exploded into one row per position."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("n", T.LongType())] +
+                          [T.StructField(c, T.DoubleType()) for c in ("st", "sp", "stp", "stt", "spp")])
+
+    def part(batches):
+        acc = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            t = np.stack(pdf[truth].to_numpy()).astype(float)
+            p = np.stack(pdf[pred].to_numpy()).astype(float)
+            cur = [np.full(t.shape[1], t.shape[0], dtype=np.int64), t.sum(0), p.sum(0), (t * p).sum(0),
+                   (t * t).sum(0), (p * p).sum(0)]
+            acc = cur if acc is None else [a + c for a, c in zip(acc, cur)]
+        if acc is not None:
+            yield pd.DataFrame({"pos": np.arange(len(acc[0]), dtype=np.int32), "n": acc[0], "st": acc[1],
+                                "sp": acc[2], "stp": acc[3], "stt": acc[4], "spp": acc[5]})
+
+    parts = df.select(truth, pred).mapInPandas(part, schema)
+    s = parts.groupBy("pos").agg(*[F.sum(c).alias(c) for c in ("n", "st", "sp", "stp", "stt", "spp")])
     n = F.col("n")
     num = F.col("stp") - F.col("st") * F.col("sp") / n
     den = F.sqrt(F.greatest(F.col("stt") - F.col("st") * F.col("st") / n, F.lit(0.0)) *
