@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,17 +28,31 @@ class Calibration:
     thresholds: DataFrame      # se, sample_no, thr
     table: DataFrame           # sample_no, se, median_pos, median_neg, optimal_thr, sn, sp, pr, auc, aupr
     holdout: DataFrame         # sample_no + drawn rows
-    sizes: DataFrame           # sample_no, n_train, n_holdout
+    train: DataFrame
+    samples: int
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """sample_no, n_train, n_holdout (computed on first use)."""
+        return remainder_sizes(self.train, self.holdout, self.samples)
 
 
 def remainder_sizes(train: DataFrame, holdout: DataFrame, samples: int, first: int = 0) -> DataFrame:
     """Per sample, the size of the reference's remainder (rows occurring once
-    in train + hold-out) and of the hold-out."""
-    rep = train.select(*PAIR_COLS, F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("sample_no"))
-    rest = occurs_once(rep.unionByName(holdout.select("sample_no", *PAIR_COLS)), ["sample_no", *PAIR_COLS])
-    n_train = rest.groupBy("sample_no").agg(F.count(F.lit(1)).alias("n_train"))
+    in train + hold-out) and of the hold-out.
+
+    The drawn rows are training rows, so a row survives exactly when its key
+    occurs once in ``train`` and was not drawn: ``n_train = (#keys occurring
+    once in train) - (#drawn rows with such a key)``. No copy of the training
+    set per sample is made."""
+    once = train.groupBy(*PAIR_COLS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).drop("_n")
+    n_once = once.count()
+    drawn_once = (holdout.join(once, PAIR_COLS, "left_semi").groupBy("sample_no")
+                  .agg(F.count(F.lit(1)).alias("_d")))
     n_hold = holdout.groupBy("sample_no").agg(F.count(F.lit(1)).alias("n_holdout"))
-    return n_train.join(n_hold, "sample_no", "outer").na.fill(0)
+    return (n_hold.join(drawn_once, "sample_no", "left")
+            .select("sample_no", (F.lit(n_once) - F.coalesce(F.col("_d"), F.lit(0))).cast("long").alias("n_train"),
+                    "n_holdout"))
 
 
 def calibrate(train: DataFrame, samples: int = 1, frac: float = 0.1,
@@ -49,4 +64,4 @@ def calibrate(train: DataFrame, samples: int = 1, frac: float = 0.1,
     scored = score_fn(hold) if score_fn else hold
     table = calibrate_se(scored, by=["sample_no", "se"], score=score)
     thresholds = table.select("se", "sample_no", F.col("optimal_thr").alias("thr"))
-    return Calibration(thresholds, table, hold, remainder_sizes(train, hold, samples))
+    return Calibration(thresholds, table, hold, train, samples)
