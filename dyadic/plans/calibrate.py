@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import calibrate_se
-from ..operators.reshape import occurs_once
 from ..operators.sampling import repeated_holdout
 
 PAIR_COLS = ["drug1", "drug2", "se", "label"]

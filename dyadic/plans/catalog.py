@@ -408,7 +408,7 @@ def q_batch_assign(spark, sf):
 from ..functions import scalar as C  # noqa: E402
 from ..operators.joins import pair_se_grid, profile_lookup, se_name_lookup  # noqa: E402
 from ..operators.scoring import identity_score, se_translation_fit  # noqa: E402
-from .screen import rank_flagged, score_identity, screen, valid_requests  # noqa: E402
+from .screen import score_identity, screen, valid_requests  # noqa: E402
 
 
 def _r_table(spark, sf):

@@ -3,8 +3,6 @@ stream's responses equal the batch responses for the same requests."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from dyadic.plans.catalog import _r_table
 from dyadic.plans.screen import screen
 from dyadic.sources import fixtures as fx
