@@ -2,10 +2,11 @@
 stratum into one task: every rank below comes from ``ordered_scan``.
 
 Draw order. A draw takes, inside each stratum, the rows with the smallest
-*order key*. The default key is a portable permutation of the row id,
-``((row_id % 1000003) * 7919 + k * 104729) % 1000003`` with the row id as tie
-break (k = sample number), which DuckDB can compute the same way; ``xxhash64``
-is the alternative for ids beyond that range.
+*order key*, ties broken by the row id. The default key is
+``xxhash64(row_id, k)`` (k = sample number). ``method='lcg'`` is a portable
+permutation, ``((row_id % 1000003) * 7919 + k * 104729) % 1000003``, that
+DuckDB computes identically -- used by the SQL-checked queries; it has only
+about a million distinct values, so it is not meant for larger strata.
 
 Sizes use half-to-even rounding, as the reference's pandas ``sample(frac=)``
 does: strata of 5 rows give 0 at 10 %, 15 give 2, 25 give 2.
@@ -25,7 +26,7 @@ MULT = 7919
 STEP = 104729
 
 
-def draw_key(row_id: str = "row_id", sample_no: Column | int = 0, method: str = "lcg") -> Column:
+def draw_key(row_id: str = "row_id", sample_no: Column | int = 0, method: str = "xxhash64") -> Column:
     rid = F.col(row_id)
     k = sample_no if isinstance(sample_no, Column) else F.lit(sample_no)
     if method == "lcg":
@@ -36,13 +37,13 @@ def draw_key(row_id: str = "row_id", sample_no: Column | int = 0, method: str =
 
 
 def stratified_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se", "label"),
-                       sample_no: int = 0, row_id: str = "row_id", method: str = "lcg") -> DataFrame:
+                       sample_no: int = 0, row_id: str = "row_id", method: str = "xxhash64") -> DataFrame:
     """Per stratum, ``bround(frac * n)`` rows without replacement."""
     return repeated_holdout(df, frac, 1, strata, row_id, method, first=sample_no).drop("sample_no")
 
 
 def repeated_holdout(df: DataFrame, frac: float = 0.1, samples: int = 1, strata: Sequence[str] = ("se", "label"),
-                     row_id: str = "row_id", method: str = "lcg", first: int = 0) -> DataFrame:
+                     row_id: str = "row_id", method: str = "xxhash64", first: int = 0) -> DataFrame:
     """``samples`` independent draws in one job (rows may recur across draws).
 
     Each row is repeated once per sample number and ranked within
@@ -57,7 +58,7 @@ def repeated_holdout(df: DataFrame, frac: float = 0.1, samples: int = 1, strata:
 
 
 def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se", "label"),
-                 sample_no: int = 0, method: str = "lcg") -> DataFrame:
+                 sample_no: int = 0, method: str = "xxhash64") -> DataFrame:
     """Hold-out by *unordered pair*: both orientations of a drawn pair leave
     training together (against the leakage of drawing mirrored rows one by
     one). The draw runs over canonical rows ``(least, greatest, se, label)``
@@ -72,7 +73,7 @@ def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se"
 
 
 def train_test_split(df: DataFrame, train_frac: float = 0.8, row_id: str = "row_id", seed: int = 0,
-                     method: str = "lcg") -> DataFrame:
+                     method: str = "xxhash64") -> DataFrame:
     """Shuffle and cut: the first ``bround(train_frac * n)`` rows of the shuffled
     order are ``train``, the rest ``test`` (column ``split``)."""
     keyed = df.select("*", draw_key(row_id, seed, method).alias("_key"), F.lit(1).alias("_one"))

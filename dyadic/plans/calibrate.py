@@ -56,7 +56,7 @@ def remainder_sizes(train: DataFrame, holdout: DataFrame, samples: int, first: i
 
 def calibrate(train: DataFrame, samples: int = 1, frac: float = 0.1,
               score_fn: Callable[[DataFrame], DataFrame] | None = None, score: str = "score",
-              method: str = "lcg") -> Calibration:
+              method: str = "xxhash64") -> Calibration:
     """``train`` holds ``row_id, drug1, drug2, se, label`` (already mirrored if
     wanted) and, without ``score_fn``, a ``score`` column."""
     hold = repeated_holdout(train, frac, samples, ("se", "label"), "row_id", method)

@@ -337,14 +337,14 @@ def _draw_sql(src: str, k: str, strata: str = "se, label", frac: float = 0.1) ->
     "q_src as (select 0 sample_no, * from fx_pairs)",
     select=f"select row_id, drug1, drug2, se, label from {_draw_sql('q_src', 'sample_no')}"))
 def q_stratified_holdout(spark, sf):
-    return S.stratified_holdout(fx.pairs(spark, sf), 0.1)
+    return S.stratified_holdout(fx.pairs(spark, sf), 0.1, method="lcg")
 
 
 @register("repeated_holdout", O.with_fixtures(
     "q_src as (select cast(r.range as integer) sample_no, p.* from fx_pairs p cross join range(0, 3) r)",
     select=f"select sample_no, row_id, drug1, drug2, se, label from {_draw_sql('q_src', 'sample_no')}"))
 def q_repeated_holdout(spark, sf):
-    return S.repeated_holdout(fx.pairs(spark, sf), 0.1, 3)
+    return S.repeated_holdout(fx.pairs(spark, sf), 0.1, 3, method="lcg")
 
 
 @register("holdout_remainder", O.with_fixtures(
@@ -355,7 +355,7 @@ def q_repeated_holdout(spark, sf):
 group by drug1, drug2, se, label having count(*) = 1"""))
 def q_holdout_remainder(spark, sf):
     m = _mirrored(spark, sf)
-    return R.holdout_remainder(m, S.stratified_holdout(m, 0.1))
+    return R.holdout_remainder(m, S.stratified_holdout(m, 0.1, method="lcg"))
 
 
 @register("calibrate", O.with_fixtures(
@@ -365,7 +365,7 @@ def q_holdout_remainder(spark, sf):
     select="""select cast(g % 1000 as integer) se, cast(g // 1000 as integer) sample_no, round(optimal_thr, 6) thr
 from cc"""))
 def q_calibrate(spark, sf):
-    return rounded(calibrate(_mirrored(spark, sf), samples=3, frac=0.1).thresholds)
+    return rounded(calibrate(_mirrored(spark, sf), samples=3, frac=0.1, method="lcg").thresholds)
 
 
 @register("split_sizes", O.with_fixtures(
@@ -380,7 +380,7 @@ def q_calibrate(spark, sf):
      group by sample_no, drug1, drug2, se, label having count(*) = 1) x group by sample_no) t
   on h.sample_no = t.sample_no"""))
 def q_split_sizes(spark, sf):
-    return calibrate(_mirrored(spark, sf), samples=3, frac=0.1).sizes
+    return calibrate(_mirrored(spark, sf), samples=3, frac=0.1, method="lcg").sizes
 
 
 @register("train_test_split", O.with_fixtures(select="""
@@ -388,7 +388,7 @@ select row_id, case when rn <= round_even(0.8::double * n, 0) then 'train' else
   select row_id, row_number() over (order by ((row_id % 1000003) * 7919) % 1000003, row_id) rn,
          count(*) over () n from fx_pairs)"""))
 def q_train_test_split(spark, sf):
-    return S.train_test_split(fx.pairs(spark, sf).select("row_id"), 0.8)
+    return S.train_test_split(fx.pairs(spark, sf).select("row_id"), 0.8, method="lcg")
 
 
 @register("tail_validation_split", O.with_fixtures(select="""
@@ -1072,7 +1072,7 @@ def q_sink_thresholds(spark, sf):
     import uuid
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/thresholds/{uuid.uuid4().hex}"
-    SK.write_thresholds(rounded(calibrate(_mirrored(spark, sf), samples=3, frac=0.1).thresholds), path)
+    SK.write_thresholds(rounded(calibrate(_mirrored(spark, sf), samples=3, frac=0.1, method="lcg").thresholds), path)
     return spark.read.parquet(path)
 
 
@@ -1084,7 +1084,7 @@ select m.row_id, m.drug1, m.drug2, m.se, m.label from q_mirror m
 where exists (select 1 from q_drawn d where d.a = least(m.drug1, m.drug2) and d.b = greatest(m.drug1, m.drug2)
               and d.se = m.se and d.label = m.label)"""))
 def q_pair_holdout(spark, sf):
-    return S.pair_holdout(_mirrored(spark, sf).drop("score"), 0.1)
+    return S.pair_holdout(_mirrored(spark, sf).drop("score"), 0.1, method="lcg")
 
 
 @register("drug_menu_order", O.with_fixtures(select="""
@@ -1123,7 +1123,7 @@ def q_calibrate_identity(spark, sf):
         return pv.withColumn("score", identity_score("vec1", "vec2", "r"))
 
     train = R.mirror_pairs(fx.pairs(spark, sf))
-    return rounded(calibrate(train, samples=2, frac=0.1, score_fn=score_fn).thresholds)
+    return rounded(calibrate(train, samples=2, frac=0.1, score_fn=score_fn, method="lcg").thresholds)
 
 
 @register("evaluate_full")
