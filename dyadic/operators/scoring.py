@@ -134,17 +134,27 @@ class PairModel:
         e2 = _bn_apply(_elu(s2 @ self.V + self.v), self.bn_e)
         return e1, e2, s1, s2, h1
 
-    def scores(self, e1: np.ndarray, e2: np.ndarray, block: int = 32) -> np.ndarray:
-        """(P, S) translation scores; side effects in blocks to bound memory."""
+    def scores(self, e1: np.ndarray, e2: np.ndarray, block: int | None = None, cells: int = 2_000_000) -> np.ndarray:
+        """(P, S) translation scores. Side effects are taken in blocks so that
+        each intermediate (pairs x block x head width) stays within ``cells``
+        values (about 16 MB each), whatever the Arrow batch size."""
         P, S = e1.shape[0], len(self.se_ids)
         out = np.empty((P, S))
+        f_width = self.heads.shape[1] if self.heads.ndim == 3 else 1
+        if block is None:
+            block = max(1, min(S, cells // max(1, P * f_width)))
         for a in range(0, S, block):
             H, Tt, r = self.heads[a:a + block], self.tails[a:a + block], self.r[a:a + block]
-            h1 = np.einsum("pe,sfe->psf", e1, H)
-            h2 = np.einsum("pe,sfe->psf", e2, H)
-            t1 = np.einsum("pe,sfe->psf", e1, Tt)
-            t2 = np.einsum("pe,sfe->psf", e2, Tt)
-            out[:, a:a + block] = (np.linalg.norm(h1 + r - t2, axis=2) + np.linalg.norm(h2 + r - t1, axis=2))
+            s, f, e = H.shape
+            # one GEMM per side: (P, E) x (E, s*f) -> (P, s, f)
+            Hm, Tm = H.reshape(s * f, e).T, Tt.reshape(s * f, e).T
+            h1 = (e1 @ Hm).reshape(P, s, f)
+            h2 = (e2 @ Hm).reshape(P, s, f)
+            t1 = (e1 @ Tm).reshape(P, s, f)
+            t2 = (e2 @ Tm).reshape(P, s, f)
+            u = h1 + r - t2
+            v = h2 + r - t1
+            out[:, a:a + block] = np.sqrt(np.einsum("psf,psf->ps", u, u)) + np.sqrt(np.einsum("psf,psf->ps", v, v))
         return out
 
 
@@ -207,7 +217,8 @@ def _model_block(model: PairModel, a: int, b: int) -> PairModel:
 
 
 def screen_scores_full(pairs_with_vecs: DataFrame, model: PairModel, thr: dict[int, float] | None = None,
-                       flagged_only: bool = True, block: int = 32, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                       flagged_only: bool = True, block: int | None = None,
+                       limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Both orientations of each pair against every side effect of the model.
 
     Emits ``drug1, drug2, se, predicted_score_x, predicted_score_y,
