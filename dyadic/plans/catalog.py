@@ -490,7 +490,9 @@ q_items as (select drug1, drug2, max(total_predicted_reactions) total,
 select v.request_id, v.drug1, v.drug2, 'success' status, coalesce(i.total, 0) total_predicted_reactions,
   coalesce(i.items, '[]') top_results,
   case when coalesce(i.total, 0) = 0 then 'No significant side effect interactions predicted'
-       else printf('Found %d potential adverse reactions', coalesce(i.total, 0)) end summary
+       else printf('Found %d potential adverse reactions', coalesce(i.total, 0)) end summary,
+  printf('{"status": "success", "drug1_requested": %d, "drug2_requested": %d, "total_predicted_reactions": %d, '
+         || '"top_results": ', v.drug1, v.drug2, coalesce(i.total, 0)) || coalesce(i.items, '[]') || '}' response_json
 from q_valid v left join q_items i on v.drug1 = i.drug1 and v.drug2 = i.drug2"""))
 def q_sink_pair_json(spark, sf):
     return _screen(spark, sf).responses

@@ -102,9 +102,12 @@ def responses(valid: DataFrame, results: DataFrame) -> DataFrame:
     total = F.coalesce(F.col("total_predicted_reactions"), F.lit(0)).cast("long")
     items = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform("_items", lambda x: x["txt"]), ", "), F.lit("]")),
                        F.lit("[]"))
+    doc = F.concat(F.format_string('{"status": "success", "drug1_requested": %d, "drug2_requested": %d, '
+                                   '"total_predicted_reactions": %d, "top_results": ', "drug1", "drug2", total),
+                   items, F.lit("}"))
     return j.select("request_id", "drug1", "drug2", F.lit("success").alias("status"),
                     total.alias("total_predicted_reactions"), items.alias("top_results"),
-                    summary_sentence(total).alias("summary"))
+                    summary_sentence(total).alias("summary"), doc.alias("response_json"))
 
 
 def screen(requests: DataFrame, profile: DataFrame, thresholds: DataFrame, names: DataFrame,
