@@ -31,6 +31,9 @@ from ..operators.scoring import (PairModel, identity_params, identity_score, scr
 from ..operators.thresholds import threshold_mean
 
 
+MAX_CATALOGUE = 100_000     # side effects a screen may carry to the executors
+
+
 @dataclass
 class Screen:
     results: DataFrame      # drug1, drug2, rank, se, name, confidence_gap, probability_score, severity, total
@@ -121,8 +124,10 @@ def screen(requests: DataFrame, profile: DataFrame, thresholds: DataFrame, names
         flagged = screen_scores_identity(profile_lookup(pairs, profile), se_ids, R, th, flagged_only=True)
         scored = flagged.join(bounded_broadcast(thr), "se", "left")
     else:
-        thr_map = {int(r["se"]): r["optimal_thr"] for r in bounded_broadcast(thr).collect()
-                   if r["optimal_thr"] is not None}
+        rows = thr.limit(MAX_CATALOGUE + 1).collect()          # one row per side effect
+        if len(rows) > MAX_CATALOGUE:
+            raise ValueError(f"side-effect catalogue larger than {MAX_CATALOGUE}")
+        thr_map = {int(r["se"]): r["optimal_thr"] for r in rows if r["optimal_thr"] is not None}
         pv = profile_lookup(pairs, profile)
         flagged = screen_scores_full(pv, model, thr_map, flagged_only=True)
         scored = flagged.join(bounded_broadcast(thr), "se", "left")
