@@ -90,7 +90,15 @@ def tail_validation_split(df: DataFrame, validation_split: float = 0.1, row_id:
     return s.where(F.col("cum__one") > split_at).select(*df.columns)
 
 
-def batch_assign(df: DataFrame, batch_size: int = 1024, row_id: str = "row_id") -> DataFrame:
-    """``batch_id = floor(rank / batch_size)`` in row order; ``ceil(n / b)`` batches."""
-    s = ordered_scan(df.withColumn("_one", F.lit(1)), [], [row_id], sums=["_one"], broadcast_offsets=True)
+def batch_assign(df: DataFrame, batch_size: int = 1024, row_id: str = "row_id",
+                 shuffle_seed: int | None = None, method: str = "xxhash64") -> DataFrame:
+    """``batch_id = floor(rank / batch_size)``; ``ceil(n / b)`` batches. Rank is
+    row order, or with ``shuffle_seed`` a seeded shuffle (one per epoch: pass
+    the epoch number as the seed)."""
+    keyed = df.withColumn("_one", F.lit(1))
+    order = [row_id]
+    if shuffle_seed is not None:
+        keyed = keyed.withColumn("_key", draw_key(row_id, shuffle_seed, method))
+        order = ["_key", row_id]
+    s = ordered_scan(keyed, [], order, sums=["_one"], broadcast_offsets=True)
     return s.select(*df.columns, F.floor((F.col("cum__one") - 1) / batch_size).cast("long").alias("batch_id"))

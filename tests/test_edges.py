@@ -216,3 +216,13 @@ def test_hot_group_spans_many_slices(spark):
     res = SC.ordered_scan(df, ["g"], ["k"], sums=["one"], slices=8)
     top = res.where("g = 0").agg(F.max("cum_one").alias("m"), F.max("tot_one").alias("t")).collect()[0]
     assert top["m"] == top["t"] == 20000
+
+
+def test_batches_cover_rows_and_shuffle(spark):
+    df = spark.range(0, 2500).withColumnRenamed("id", "row_id")
+    plain = S.batch_assign(df, 1000)
+    assert sorted(r["count"] for r in plain.groupBy("batch_id").count().collect()) == [500, 1000, 1000]
+    assert plain.where("batch_id = 0").agg(F.max("row_id")).collect()[0][0] == 999
+    shuf = S.batch_assign(df, 1000, shuffle_seed=1)
+    assert sorted(r["count"] for r in shuf.groupBy("batch_id").count().collect()) == [500, 1000, 1000]
+    assert shuf.where("batch_id = 0").agg(F.max("row_id")).collect()[0][0] > 999
