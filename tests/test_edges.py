@@ -51,7 +51,9 @@ def test_auc_complement_and_monotone_invariance(spark):
     b = _one(M.curve_summary(flipped))["auc"]
     assert abs(a + b - 1) < 1e-12
     mono = df.withColumn("score", F.exp(F.col("score") * 3))
-    assert abs(_one(M.curve_summary(mono))["auc"] - a) < 1e-12
+    m = _one(M.curve_summary(mono))
+    assert abs(m["auc"] - a) < 1e-12
+    assert abs(m["aupr"] - _one(M.curve_summary(df))["aupr"]) < 1e-12
 
 
 def test_single_class_excluded(spark):
