@@ -22,17 +22,20 @@ from pyspark.sql import types as T
 
 def ridge_gram(df: DataFrame, x_col: str, y_col: str | None = None, intercept: bool = True) -> DataFrame:
     """Entries of ``X'X`` (``block='xx'``) and ``X'Y`` (``block='xy'``) as
-    ``(block, i, j, value)``, summed over all rows. With ``intercept`` a
+    ``(block, i, j, value, rows)``, summed over all rows (``rows`` = row count). With ``intercept`` a
     leading 1 is added to each x row."""
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("i", T.IntegerType()),
-                           T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
+                           T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType()),
+                           T.StructField("rows", T.LongType())])
     cols = [x_col] + ([y_col] if y_col else [])
 
     def part(batches):
         xx = xy = None
+        n = 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
+            n += len(pdf)
             X = np.stack(pdf[x_col].to_numpy()).astype(float)
             if intercept:
                 X = np.hstack([np.ones((X.shape[0], 1)), X])
@@ -48,11 +51,13 @@ def ridge_gram(df: DataFrame, x_col: str, y_col: str | None = None, intercept: b
                 continue
             ii, jj = np.indices(m.shape)
             out.append(pd.DataFrame({"block": name, "i": ii.ravel().astype(np.int32),
-                                     "j": jj.ravel().astype(np.int32), "value": m.ravel()}))
+                                     "j": jj.ravel().astype(np.int32), "value": m.ravel(), "rows": n}))
         yield pd.concat(out, ignore_index=True)
 
     parts = df.select(*cols).mapInPandas(part, schema)
-    return parts.groupBy("block", "i", "j").agg(F.sum("value").alias("value"))
+    # every partition with rows emits every entry, so the summed ``rows`` of any
+    # entry is the total row count
+    return parts.groupBy("block", "i", "j").agg(F.sum("value").alias("value"), F.sum("rows").alias("rows"))
 
 
 def ridge_fit(df: DataFrame, x_col: str, y_col: str, l2: float = 0.01, intercept: bool = True) -> np.ndarray:

@@ -822,7 +822,7 @@ union all
 select 'xy' block, cast(a.i as integer) i, cast(b.j as integer) j, round(sum(a.xi * b.yj), 6) value
 from q_l a join q_r b on a.row_id = b.row_id group by a.i, b.j"""))
 def q_ridge_gram(spark, sf):
-    return rounded(ridge_gram(_parts(spark, sf), "desc", "y", intercept=True))
+    return rounded(ridge_gram(_parts(spark, sf), "desc", "y", intercept=True).drop("rows"))
 
 
 @register("activations", O.with_fixtures(select="""
