@@ -289,7 +289,7 @@ def identity_params(r_table: DataFrame, thr: DataFrame | None, max_se: int = 100
     rows = t.limit(max_se + 1).collect()
     if len(rows) > max_se:
         raise ValueError(f"side-effect catalogue larger than {max_se}")
-    rows = [r for r in rows if r["r"] is not None]
+    rows = sorted((r for r in rows if r["r"] is not None), key=lambda r: r["se"])
     se = np.array([r["se"] for r in rows], dtype=np.int64)
     R = np.array([r["r"] for r in rows], dtype=float) if rows else np.zeros((0, 0))
     th = np.array([r["optimal_thr"] if thr is not None and r["optimal_thr"] is not None else np.nan
@@ -395,6 +395,100 @@ def score_rows_full(rows_with_vecs: DataFrame, model: PairModel) -> DataFrame:
     return rows_with_vecs.mapInPandas(run, schema)
 
 
+RANKED_SCHEMA = T.StructType([
+    T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()), T.StructField("se", T.IntegerType()),
+    T.StructField("predicted_score_x", T.DoubleType()), T.StructField("predicted_score_y", T.DoubleType()),
+    T.StructField("mean_predicted_score", T.DoubleType()), T.StructField("gap", T.DoubleType()),
+    T.StructField("rank", T.IntegerType()), T.StructField("total_predicted_reactions", T.LongType())])
+
+
+def _rank_rows(d1, d2, se_ids, sx, sy, th, top):
+    """Per pair (row): flagged side effects (``mean < thr``), their count, and
+    the ``top`` largest gaps (ties: lower se id first, the columns being in se
+    order)."""
+    mean = (sx + sy) / 2
+    with np.errstate(invalid="ignore"):
+        flag = mean < th[None, :]
+    gap = np.abs(mean - th[None, :])
+    total = flag.sum(axis=1)
+    key = np.where(flag, gap, -np.inf)
+    k = min(top, key.shape[1])
+    order = np.argsort(-key, axis=1, kind="stable")[:, :k]
+    P = key.shape[0]
+    pi = np.repeat(np.arange(P), k)
+    si = order.ravel()
+    rk = np.tile(np.arange(1, k + 1, dtype=np.int32), P)
+    keep = flag[pi, si]
+    pi, si, rk = pi[keep], si[keep], rk[keep]
+    return pd.DataFrame({"drug1": d1[pi], "drug2": d2[pi], "se": se_ids[si].astype(np.int32),
+                         "predicted_score_x": sx[pi, si], "predicted_score_y": sy[pi, si],
+                         "mean_predicted_score": mean[pi, si], "gap": gap[pi, si], "rank": rk,
+                         "total_predicted_reactions": total[pi].astype(np.int64)})
+
+
+def screen_ranked(pairs_with_vecs: DataFrame, thr: np.ndarray, top: int, se_ids: np.ndarray | None = None,
+                  R: np.ndarray | None = None, model: PairModel | None = None,
+                  cells: int = 4_000_000) -> DataFrame:
+    """Screen of *distinct* pairs with the ranking done in the kernel: each
+    pair is scored against the whole catalogue (identity head ``R`` or the
+    full ``model``) inside one task, so its flagged count and its top ``top``
+    side effects are final there -- only those rows leave the batch and no
+    ranking shuffle follows. ``thr`` is aligned with the catalogue order
+    (ascending se). Rows are processed in chunks so the pair x catalogue
+    matrices stay within ``cells`` values."""
+    spark = pairs_with_vecs.sparkSession
+    if model is not None:
+        se_ids = model.se_ids
+        _check_size(model.nbytes() + thr.nbytes, "pair model")
+        width = model.W1.shape[0]
+    else:
+        _check_size(R.nbytes + thr.nbytes, "identity head")
+        width = R.shape[1] if R.size else 0
+    bc = spark.sparkContext.broadcast((se_ids, R, model, thr))
+
+    def identity_scores(x1, x2, Rm):
+        S = Rm.shape[0]
+        sx = np.empty((x1.shape[0], S))
+        sy = np.empty((x1.shape[0], S))
+        step = max(1, cells // max(1, x1.shape[0] * max(1, Rm.shape[1])))
+        for a in range(0, S, step):
+            r = Rm[a:a + step][None, :, :]
+            u = x1[:, None, :] + r - x2[:, None, :]
+            v = x2[:, None, :] + r - x1[:, None, :]
+            du = np.sqrt(np.einsum("psd,psd->ps", u, u))
+            dv = np.sqrt(np.einsum("psd,psd->ps", v, v))
+            sx[:, a:a + step] = du + dv
+            sy[:, a:a + step] = dv + du
+        return sx, sy
+
+    def run(batches):
+        se, Rm, m, th = bc.value
+        S = len(se)
+        chunk = max(1, cells // max(1, S))
+        for pdf in batches:
+            x1, p1 = _mat(pdf["vec1"], width)
+            x2, p2 = _mat(pdf["vec2"], width)
+            ok = p1 & p2
+            if not ok.any() or S == 0:
+                continue
+            x1, x2 = x1[ok], x2[ok]
+            d1 = pdf["drug1"].to_numpy()[ok]
+            d2 = pdf["drug2"].to_numpy()[ok]
+            for c in range(0, x1.shape[0], chunk):
+                a1, a2 = x1[c:c + chunk], x2[c:c + chunk]
+                if m is None:
+                    sx, sy = identity_scores(a1, a2, Rm)
+                else:
+                    e1, e2, *_ = m.embed(a1, a2)
+                    f1, f2, *_ = m.embed(a2, a1)
+                    sx, sy = m.scores(e1, e2), m.scores(f1, f2)
+                out = _rank_rows(d1[c:c + chunk], d2[c:c + chunk], se, sx, sy, th, top)
+                if len(out):
+                    yield out
+
+    return pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, RANKED_SCHEMA)
+
+
 # -------------------------------------------------------- expression predictor
 @dataclass
 class FeatureModel:

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import (TOP_RESULTS, gap, predicted_label, round_places, se_display_name, severity,
                                  summary_sentence)
 from ..operators.joins import bounded_broadcast, pair_se_grid, profile_lookup
-from ..operators.scoring import (PairModel, identity_params, identity_score, screen_scores_full,
-                                 screen_scores_identity)
+import numpy as np
+
+from ..operators.scoring import (MAX_BROADCAST_BYTES, PairModel, identity_params, identity_score, screen_ranked,
+                                 screen_scores_full, screen_scores_identity)
 from ..operators.thresholds import threshold_mean
 
 
@@ -76,8 +78,20 @@ def score_identity(pairs: DataFrame, profile: DataFrame, r_table: DataFrame, thr
                     ((x + y) / 2).alias("mean_predicted_score"), "optimal_thr")
 
 
+def format_ranked(ranked: DataFrame, names: DataFrame) -> DataFrame:
+    """Names (default ``Unknown SE #id``, capitalised), 4-place rounding and
+    severity for ranked rows (``rank``, ``gap``, ``mean_predicted_score``)."""
+    n = bounded_broadcast(names.select("se", F.col("name").alias("_name")))
+    named = ranked.join(n, "se", "left")
+    g4 = round_places("gap", 4)
+    return named.select("drug1", "drug2", "rank", "se", se_display_name("_name", "se").alias("name"),
+                        g4.alias("confidence_gap"), round_places("mean_predicted_score", 4).alias("probability_score"),
+                        severity(g4).alias("severity"), "total_predicted_reactions")
+
+
 def rank_flagged(scored: DataFrame, names: DataFrame, top: int = TOP_RESULTS) -> DataFrame:
-    """Flagged rows only, ranked per pair by gap (ties: lower se first)."""
+    """Flagged rows only, ranked per pair by gap (ties: lower se first) with a
+    window -- for scored rows that do not come from the ranking kernel."""
     lab = scored.select("*", predicted_label("mean_predicted_score", "optimal_thr").alias("final_predicted_label"),
                         gap("mean_predicted_score", "optimal_thr").alias("gap"))
     flagged = lab.where(F.col("final_predicted_label") == 1)
@@ -85,13 +99,7 @@ def rank_flagged(scored: DataFrame, names: DataFrame, top: int = TOP_RESULTS) ->
     w = pair.orderBy(F.col("gap").desc(), F.col("se"))
     ranked = flagged.select("*", F.row_number().over(w).alias("rank"),
                             F.count(F.lit(1)).over(pair).alias("total_predicted_reactions"))
-    top_rows = ranked.where(F.col("rank") <= top)
-    n = bounded_broadcast(names.select("se", F.col("name").alias("_name")))
-    named = top_rows.join(n, "se", "left")
-    g4 = round_places("gap", 4)
-    return named.select("drug1", "drug2", "rank", "se", se_display_name("_name", "se").alias("name"),
-                        g4.alias("confidence_gap"), round_places("mean_predicted_score", 4).alias("probability_score"),
-                        severity(g4).alias("severity"), "total_predicted_reactions")
+    return format_ranked(ranked.where(F.col("rank") <= top), names)
 
 
 def responses(valid: DataFrame, results: DataFrame) -> DataFrame:
@@ -113,23 +121,40 @@ def responses(valid: DataFrame, results: DataFrame) -> DataFrame:
                     summary_sentence(total).alias("summary"), doc.alias("response_json"))
 
 
+def _sorted_model(model: PairModel) -> PairModel:
+    order = np.argsort(model.se_ids, kind="stable")
+    return PairModel(**{**model.__dict__, "se_ids": model.se_ids[order], "heads": model.heads[order],
+                        "tails": model.tails[order], "r": model.r[order]})
+
+
 def screen(requests: DataFrame, profile: DataFrame, thresholds: DataFrame, names: DataFrame,
            se_catalogue: DataFrame, r_table: DataFrame | None = None, model: PairModel | None = None,
            mode: str = "last5", top: int = TOP_RESULTS, distinct_guard: bool = False) -> Screen:
+    """The screen. Pairs are distinct, so every pair is scored against the
+    whole catalogue inside one task and ranked there (``screen_ranked``);
+    when the catalogue's parameters exceed the broadcast limit they are
+    scored in blocks and ranked by a window instead."""
     valid, rejects = valid_requests(requests, distinct_guard)
     pairs = valid.select("drug1", "drug2").distinct()
     thr = threshold_mean(thresholds, mode)
+    pv = profile_lookup(pairs, profile)
     if model is None:
         se_ids, R, th = identity_params(r_table, thr)
-        flagged = screen_scores_identity(profile_lookup(pairs, profile), se_ids, R, th, flagged_only=True)
-        scored = flagged.join(bounded_broadcast(thr), "se", "left")
+        if R.nbytes + th.nbytes <= MAX_BROADCAST_BYTES:
+            results = format_ranked(screen_ranked(pv, th, top, se_ids=se_ids, R=R), names)
+        else:
+            flagged = screen_scores_identity(pv, se_ids, R, th, flagged_only=True)
+            results = rank_flagged(flagged.join(bounded_broadcast(thr), "se", "left"), names, top)
     else:
         rows = thr.limit(MAX_CATALOGUE + 1).collect()          # one row per side effect
         if len(rows) > MAX_CATALOGUE:
             raise ValueError(f"side-effect catalogue larger than {MAX_CATALOGUE}")
         thr_map = {int(r["se"]): r["optimal_thr"] for r in rows if r["optimal_thr"] is not None}
-        pv = profile_lookup(pairs, profile)
-        flagged = screen_scores_full(pv, model, thr_map, flagged_only=True)
-        scored = flagged.join(bounded_broadcast(thr), "se", "left")
-    results = rank_flagged(scored, names, top)
+        if model.nbytes() <= MAX_BROADCAST_BYTES:
+            m = _sorted_model(model)
+            th = np.array([thr_map.get(int(x), np.nan) for x in m.se_ids], dtype=float)
+            results = format_ranked(screen_ranked(pv, th, top, model=m), names)
+        else:
+            flagged = screen_scores_full(pv, model, thr_map, flagged_only=True)
+            results = rank_flagged(flagged.join(bounded_broadcast(thr), "se", "left"), names, top)
     return Screen(results, responses(valid, results), rejects)

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast, profile_lookup
-from ..operators.scoring import identity_params, screen_scores_identity
+from ..functions.scalar import TOP_RESULTS
+from ..operators.scoring import identity_params, screen_ranked
 from ..operators.thresholds import threshold_mean
-from ..plans.screen import rank_flagged, responses, valid_requests
+from ..plans.screen import format_ranked, responses, valid_requests
 
 
 @dataclass
@@ -43,9 +44,8 @@ def screen_batch(requests: DataFrame, side: StaticSide) -> DataFrame:
     """Responses for one batch of requests (same rules as ``plans.screen``)."""
     valid, _ = valid_requests(requests)
     pairs = valid.select("drug1", "drug2").distinct()
-    flagged = screen_scores_identity(profile_lookup(pairs, side.profile), side.se_ids, side.R, side.th)
-    results = rank_flagged(flagged.join(side.thr, "se", "left"), side.names)
-    return responses(valid, results)
+    ranked = screen_ranked(profile_lookup(pairs, side.profile), side.th, TOP_RESULTS, se_ids=side.se_ids, R=side.R)
+    return responses(valid, format_ranked(ranked, side.names))
 
 
 def start(spark: SparkSession, stream: DataFrame, side: StaticSide, out_path: str, checkpoint: str,

@@ -95,3 +95,24 @@ def test_score_rows_full_matches_catalogue_scores(spark):
             assert f is None and r is None
         else:
             assert abs(f - full[(d1, se)][0]) < 1e-9 and abs(r - full[(d1, se)][1]) < 1e-9
+
+
+def test_kernel_ranking_equals_window_ranking(spark):
+    """In-kernel top-k per pair equals flagged rows ranked by a window."""
+    from pyspark.sql import Window
+    from dyadic.operators.scoring import screen_ranked
+    df, _ = _pairs(spark, n=30)
+    m = PairModel.random(4, 8, 4, list(range(12)))
+    allrows = screen_scores_full(df, m, None, flagged_only=False)
+    med = allrows.approxQuantile("mean_predicted_score", [0.5], 0.0)[0]
+    th = np.full(12, med)
+    k = 5
+    got = screen_ranked(df, th, k, model=m).select("drug1", "drug2", "se", "rank", "total_predicted_reactions")
+    fl = allrows.where(F.col("mean_predicted_score") < med).withColumn("gap", F.abs(F.col("mean_predicted_score") - med))
+    pair = Window.partitionBy("drug1", "drug2")
+    ref = (fl.select("drug1", "drug2", "se",
+                     F.row_number().over(pair.orderBy(F.col("gap").desc(), "se")).alias("rank"),
+                     F.count(F.lit(1)).over(pair).alias("total_predicted_reactions"))
+           .where(F.col("rank") <= k))
+    assert got.count() == ref.count() > 0
+    assert got.exceptAll(ref).count() == 0
