@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import calibration_label, safe_ratio
+from .joins import bounded_broadcast
 from .scan import ordered_scan
 
 INF = float("inf")
@@ -279,7 +280,7 @@ def score_box_stats(scored: DataFrame, score: str = "score", label: str = "label
                      (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
                      (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
     s = F.col(score)
-    w = scored.join(F.broadcast(fence), label).groupBy(label).agg(
+    w = scored.join(bounded_broadcast(fence), label).groupBy(label).agg(
         F.min(F.when(s >= F.col("_lo"), s)).alias("whisker_low"),
         F.max(F.when(s <= F.col("_hi"), s)).alias("whisker_high"),
         F.sum(F.when((s < F.col("_lo")) | (s > F.col("_hi")), 1).otherwise(0)).cast("long").alias("n_outliers"))
