@@ -12,7 +12,9 @@ Two forms of the pair model:
   embedding; per side effect, ``||H e1 + r - T e2|| + ||H e2 + r - T e1||``.
   It runs in ``mapInPandas``: each Arrow batch of pairs becomes one matrix,
   every layer is a GEMM, side effects are processed in blocks, and the
-  threshold test happens inside the batch so only flagged rows leave it.
+  threshold test happens inside the batch so only flagged rows leave it;
+  for a screen of distinct pairs (``screen_ranked``) the per-pair count and
+  top-k ranking are done there too.
 
 Weights are inputs (arrays or parquet), never trained here. They are shipped
 to executors once as broadcast variables after a size check.
