@@ -62,7 +62,7 @@ def profile_lookup(pairs: DataFrame, profile: DataFrame, key_col: str = "drug_id
 
 def threshold_lookup(scored: DataFrame, thr: DataFrame, thr_col: str = "optimal_thr") -> DataFrame:
     """Left-join one threshold per side effect (``thr``: se, optimal_thr)."""
-    return scored.join(bounded_broadcast(thr.select("se", thr_col)), "se", "left").select(*scored.columns, thr_col)
+    return scored.join(bounded_broadcast(thr).select("se", thr_col), "se", "left").select(*scored.columns, thr_col)
 
 
 def pair_se_list(chosen: DataFrame, observations: DataFrame) -> DataFrame:

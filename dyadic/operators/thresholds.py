@@ -55,7 +55,7 @@ def apply_threshold(scored: DataFrame, thr: DataFrame, score: str = "predicted_s
     """Label and gap per row: ``predicted_label = score < thr`` (strict),
     ``gap = |score - thr|``. ``thr`` has one row per se (broadcast after a
     size check)."""
-    t = bounded_broadcast(thr.select("se", thr_col))
+    t = bounded_broadcast(thr).select("se", thr_col)
     j = scored.join(t, "se", "left")
     return j.select(*[c for c in scored.columns],
                     predicted_label(score, thr_col).alias("predicted_label"),
@@ -85,7 +85,7 @@ def merge_both_pairs(ori: DataFrame, swi: DataFrame, thr: DataFrame, thr_col: st
          .agg(F.sum(wb).cast("long").alias("_nb")))
     m = a.join(b, ["drug1", "drug2", "se"])
     m = m.withColumn("mean_predicted_score", mean_of_orientations("predicted_score_x", "predicted_score_y"))
-    t = bounded_broadcast(thr.select("se", thr_col))
+    t = bounded_broadcast(thr).select("se", thr_col)
     m = m.join(t, "se", "left")
     return m.select(*MERGED_COLUMNS[:-3],
                     predicted_label("mean_predicted_score", thr_col).alias("final_predicted_label"),
@@ -97,7 +97,7 @@ def merge_scored_orientations(df: DataFrame, thr: DataFrame, fwd: str = "score_f
                               thr_col: str = "optimal_thr") -> DataFrame:
     """The merge when one row already holds both orientations' scores (our own
     scorer emits both in one pass): no join, same columns as ``merge_both_pairs``."""
-    t = bounded_broadcast(thr.select("se", thr_col))
+    t = bounded_broadcast(thr).select("se", thr_col)
     m = df.join(t, "se", "left").select(
         "drug1", "drug2", "se", "label",
         predicted_label(fwd, thr_col).alias("predicted_label_x"),
