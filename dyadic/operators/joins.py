@@ -51,10 +51,12 @@ def profile_lookup(pairs: DataFrame, profile: DataFrame, key_col: str = "drug_id
     """
     prof = profile.select(F.col(key_col).alias("_k"), F.col(vec_col).alias("_v"))
     if broadcast_profiles:
-        first = profile.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("w")).limit(1).collect()
-        width = first[0]["w"] if first else 0
-        rows_by_bytes = DEFAULT_BROADCAST_BYTES // (8 * width + 48)
-        prof = bounded_broadcast(prof, min(max_rows, rows_by_bytes))
+        # one bounded pass: row count (up to the limit + 1) and the widest vector
+        probe = prof.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("w")).collect()[0]
+        width = max(int(probe["w"] or 0), 0)
+        limit = min(max_rows, DEFAULT_BROADCAST_BYTES // (8 * width + 48))
+        if probe["n"] <= limit:
+            prof = F.broadcast(prof)
     p1 = prof.select(F.col("_k").alias("drug1"), F.col("_v").alias("vec1"))
     p2 = prof.select(F.col("_k").alias("drug2"), F.col("_v").alias("vec2"))
     return pairs.join(p1, "drug1", "left").join(p2, "drug2", "left").select(*pairs.columns, "vec1", "vec2")
