@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, url_filter, warc_index
+from . import decontaminate, exact_dedup, url_filter, warc_index
 from .common import read
 
 LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,6 +23,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -30,6 +34,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_index": op6_warc_index,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
 }
 
@@ -52,6 +57,28 @@ ORACLE = {
                case when page_id = first_id then 'response' else 'revisit' end as record_type,
                case when page_id <> first_id then first_id end as refers_to
         from q""",
+    "op8_decontaminate": rf"""
+        with dw as (select doc_id, row_number() over () as r,
+                           regexp_extract_all({LOWER.format(c='text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+                    from documents),
+             iw as (select item_id, regexp_extract_all({LOWER.format(c='text')},
+                                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+                    from benchmark where item_id is not null),
+             wins as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[s:s + 12], ' ') as g
+                      from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as s from iw
+                            where len(w) > 0)),
+             sizes as (select distinct n from wins),
+             grams as (select r, n, s, array_to_string(w[s:s + n - 1], ' ') as g
+                       from (select r, n, w, unnest(range(1, len(w) - n + 2)) as s from dw, sizes where len(w) >= n)),
+             hit as (select grams.r, grams.n, s, item_id from grams join wins on grams.g = wins.g and grams.n = wins.n),
+             pos as (select r, count(distinct p) as n_hit
+                     from (select r, unnest(range(s, s + n)) as p from hit) group by r),
+             ids as (select r, count(*) as n_items, string_agg(i, ',' order by i) as items
+                     from (select distinct r, cast(item_id as varchar) as i from hit) group by r)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(items, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from dw left join pos using (r) left join ids using (r)""",
     "op9_url_filter": """
         with a as (select page_id, case when contains(url, '://')
                           then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') else '' end as r
