@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, url_filter, warc_index
+from . import decontaminate, exact_dedup, line_templates, url_filter, warc_index
 from .common import read
 
 LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,6 +14,11 @@ URL_RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "exa
              url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_templates": op3_line_templates,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_index": op6_warc_index,
     "op8_decontaminate": op8_decontaminate,
@@ -39,6 +45,26 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_line_templates": """
+        with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line,
+                          unnest(range(len(string_split(text, chr(10))))) as i from documents),
+             t as (select doc_id, i, list_transform(
+                       list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda x: x <> ''),
+                       lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as w from l),
+             m as (select *, len(w) as n, cast(ceil((len(w) - 3) / 4) as integer) as q from t where len(w) >= 4),
+             k as (select doc_id, i, n, unnest(case when n < 10 then [array_to_string(w, ' ')] else [
+                          array_to_string(w, ' '),
+                          concat('0 ', n, array_to_string(w[1:3] || w[4 + q:], ' ')),
+                          concat('1 ', n, array_to_string(w[1:3 + q], ' '), ' * ', array_to_string(w[4 + 2 * q:], ' ')),
+                          concat('2 ', n, array_to_string(w[1:3 + 2 * q], ' '), ' * ',
+                                 array_to_string(w[4 + 3 * q:], ' ')),
+                          concat('3 ', n, array_to_string(w[1:3 + 3 * q], ' '))] end) as g from m),
+             r as (select g, n, max(doc_id) as keeper from k group by g, n
+                   having count(distinct doc_id) >= case when n < 10 then 10 else 2 end),
+             gone as (select distinct doc_id, i from k join r using (g, n) where doc_id <> keeper)
+        select l.doc_id, coalesce(string_agg(line, chr(10) order by l.i) filter (where gone.i is null), '') as text,
+               cast(count(*) as integer) as n_lines, cast(count(gone.i) as integer) as n_dropped
+        from l left join gone on l.doc_id = gone.doc_id and l.i = gone.i group by l.doc_id""",
     "op5_exact_dedup": f"""
         with d as (select doc_id, sha256({LOWER.format(c='text')}) as h from documents),
              g as (select h, max(doc_id) as keep_id, count(*) as group_size from d group by h)
