@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_templates, url_filter, warc_index
+from . import (decontaminate, exact_dedup, html_extract, knn_quality, line_templates, string_kernel, url_filter,
+               warc_index)
 from .common import read
 
 LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,11 +15,19 @@ URL_RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "exa
              url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
 
 
+def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_kernel.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -36,12 +45,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_knn_quality": op1_knn_quality,
     "op3_line_templates": op3_line_templates,
+    "op4_string_kernel": op4_string_kernel,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_index": op6_warc_index,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE = {

@@ -124,3 +124,39 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
         keep[first[r]] = True
     kept = np.maximum(count - n + 1, (count > 0).astype(np.int64))
     return out[keep], np.concatenate([[0], np.cumsum(kept)])
+
+
+_SHAPE = np.where((_BYTES >= 97) & (_BYTES <= 122) | (_BYTES >= 128), 97,
+                  np.where((_BYTES >= 65) & (_BYTES <= 90), 65, np.where((_BYTES >= 48) & (_BYTES <= 57), 48, _BYTES)))
+_SHAPE[[9, 10, 11, 12, 13]] = 32
+_SHAPE = _SHAPE.astype(np.uint8)
+
+
+def shape_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for the shapes of blank-separated tokens: letters, capitals and digits become one
+    class each, other characters stay, and runs count once (``Foo##`` and ``Quux###`` have one shape)."""
+    found, starts = [], []
+    base, end = int(offsets[0]), int(offsets[-1])
+    for a in range(base, end, _SEGMENT):  # a token cut by a segment's end counts as two
+        b = min(a + _SEGMENT, end)
+        c = _SHAPE[data[a:b]]
+        cuts = offsets[np.searchsorted(offsets, a):np.searchsorted(offsets, b)] - a
+        change = np.ones(len(c), bool)
+        change[1:] = c[1:] != c[:-1]
+        change[cuts] = True
+        at = np.flatnonzero(change)
+        c = c[at]
+        row_start = np.isin(at, cuts, assume_unique=False) if len(cuts) else np.zeros(len(at), bool)
+        inside = c != 32
+        new = inside.copy()
+        new[1:] &= ~inside[:-1] | row_start[1:]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | row_start[1:]
+        s, e = np.flatnonzero(new), np.flatnonzero(last) + 1
+        total = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _power(_RADIX, len(c)), out=total[1:])
+        found.append(mix((total[e] - total[s]) * _power(_INVERSE, len(c) + 1)[s]))
+        starts.append(at[s] + a)
+    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return hashes, np.searchsorted(at, offsets)
