@@ -43,10 +43,12 @@ from .common import is_held_out, stored
 from .knn_quality import labelled_rows
 from .words import row_slices, strings
 
-SYMBOLS, SPAN, DECAY = 64, 5, 0.6
+SYMBOLS, SPAN, DECAY = 64, 5, 0.7
 CANDIDATES = 2000
 LANDMARKS = 128
 ROUNDS = 3
+#: least log-likelihood ratio of an insult: such an excess comes by chance for one word in about a million
+EVIDENCE = 13.0
 #: margins below this are alike: the floor of a document's margin
 FLOOR = -0.75
 SLICE_BYTES = 2 << 20
@@ -232,6 +234,16 @@ def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: fl
     return w[:-1], float(w[-1])
 
 
+def inserted(word: str) -> list[str]:
+    """Spellings of a word with one more letter: doubled, and a foreign one, at a third and two thirds of it."""
+    if len(word) < 4:
+        return []
+    out = []
+    for at in (len(word) // 3, 2 * len(word) // 3):
+        out += [word[:at] + word[at - 1] + word[at:], word[:at] + "x" + word[at:]]
+    return out
+
+
 def train(positive: list[str], negative: list[str], hard: list[str] = ()) -> tuple[np.ndarray, float]:
     """Triple table and bias of the machine; the lists are ordered by importance."""
     marks = positive[:LANDMARKS] + negative[:LANDMARKS // 2] + list(hard[:LANDMARKS // 2])
@@ -240,10 +252,12 @@ def train(positive: list[str], negative: list[str], hard: list[str] = ()) -> tup
     values, vectors = np.linalg.eigh(z @ z.T)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
-    everything = positive + negative
+    gapped = [v for w in positive[:LANDMARKS] for v in inserted(w)]
+    everything = positive + gapped + negative
     x = np.vstack([_dense(everything[k:k + 500], used)[0] @ z.T for k in range(0, len(everything), 500)]) @ root
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    y = np.array([1.0] * (len(positive) + len(gapped)) + [-1.0] * len(negative))
     weight = np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * len(negative)))
+    weight[len(positive):len(positive) + len(gapped)] /= 10  # made-up spellings teach less than seen ones
     w, bias = hinge_machine(x, y, np.minimum(weight, 10))
     table = np.zeros(SYMBOLS ** 3, np.float32)
     table[used] = (root @ w) @ z
@@ -287,26 +301,31 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
         return None
     counts = stored(rows.mapInArrow(_count_words, "word string, toxic int").groupBy("word").agg(
         F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).where(F.length("word") > 2), "words")
-    odds = F.log((F.col("n1") + 0.5) / sizes[1]) - F.log((F.col("n0") + 0.5) / sizes[0])
-    telling = (counts.where("n1 >= 2").withColumn("odds", odds).where("odds > 2")
-               .orderBy((F.col("odds") * F.col("n1")).desc(), "word").limit(CANDIDATES).collect())
-    common = counts.where("n0 > 0").orderBy(F.desc("n0"), "word").limit(CANDIDATES).collect()
-    if not telling:
+    share = sizes[1] / (sizes[0] + sizes[1])
+    n = F.col("n0") + F.col("n1")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / n / p)).otherwise(0.0)
+    # how far beyond chance toxic documents use a word: log-likelihood ratio against the share of toxic documents
+    ratio = part(F.col("n1"), share) + part(F.col("n0"), 1 - share)
+    positive = [r["word"] for r in counts.where(F.col("n1") / n > share).withColumn("ratio", ratio)
+                .where(F.col("ratio") >= EVIDENCE).orderBy(F.desc("ratio"), "word").limit(CANDIDATES).collect()]
+    if not positive:
         return None
-    # a word counts as an insult when toxic documents use it far beyond chance
-    positive = [r["word"] for r in telling if r["n1"] >= 3 and r["n0"] <= 0.02 * r["n1"] * sizes[0] / sizes[1]]
-    positive = positive or [r["word"] for r in telling]
+    common = counts.where("n0 > 0").orderBy(F.desc("n0"), "word").limit(CANDIDATES).collect()
     spare = counts.where("n0 > 0").orderBy(F.xxhash64("word"), "word").limit(CANDIDATES).collect()
-    negative = list(dict.fromkeys(r["word"] for r in [*common, *spare] if r["word"] not in set(positive)))
+    known = set(positive)
+    negative = list(dict.fromkeys(r["word"] for r in [*common, *spare] if r["word"] not in known))
+    known.update(negative)
+    hard: list[str] = []
     clean = rows.where("toxic = 0")
     for turn in range(ROUNDS):
-        table, bias = train(positive, negative)
+        table, bias = train(positive, negative, hard)
         if turn < ROUNDS - 1:
-            hard = (clean.mapInArrow(_hard_words(table, bias), "word string, margin double")
-                    .groupBy("word").agg(F.max("margin").alias("m"), F.count(F.lit(1)).alias("n"))
-                    .orderBy(F.desc("m"), "word").limit(CANDIDATES).collect())
-            known = set(negative) | set(positive)
-            negative += [r["word"] for r in hard if r["word"] not in known]
+            worst = (clean.mapInArrow(_hard_words(table, bias), "word string, margin double")
+                     .groupBy("word").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), "word")
+                     .limit(CANDIDATES // 2).collect())
+            fresh = [r["word"] for r in worst if r["word"] not in known]
+            known.update(fresh)
+            hard = fresh + hard
     got = (rows.mapInArrow(_margins(table, bias), "toxic int, margin double")
            .groupBy(F.round("margin", 2).alias("m"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect())
     margin = np.repeat([r["m"] for r in got], [r["n"] for r in got])
