@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, exact_dedup, html_extract, knn_quality, line_templates, string_kernel, url_filter,
-               warc_index)
+from . import (decontaminate, exact_dedup, html_extract, jaccard_forest, knn_quality, line_templates, string_kernel,
+               url_filter, warc_index)
 from .common import read
 
 LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -37,6 +37,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_string_kernel": op4_string_kernel,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_index": op6_warc_index,
+    "op7_jaccard_forest": op7_jaccard_forest,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
