@@ -231,3 +231,12 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str =
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      **rules) -> DataFrame:
+    """The documents that are not contaminated (rows are told apart by id and text)."""
+    key = F.xxhash64(id_col, text_col)
+    gone = (contamination(docs.select(key.alias("__key"), text_col), items, id_col="__key", text_col=text_col, **rules)
+            .where("contaminated").select(F.col("doc_id").alias("__key")))
+    return docs.withColumn("__key", key).join(stored(gone, "contaminated"), "__key", "left_anti").drop("__key")

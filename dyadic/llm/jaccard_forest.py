@@ -295,3 +295,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
             .select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"),
                     F.coalesce("n_link_docs", F.lit(0)).alias("n_link_docs"), "group_id",
                     (F.col("rid") == F.col("keeper")).alias("kept"), "text_key"))
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """One document of each near-duplicate group, that with the largest id."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **rules).where("kept")
+                  .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "kept")
+    rows = docs.withColumn("__text_key", key)
+    found = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__text_key"] == kept["__key"]), "left_semi")
+    # a repeated row satisfies the join as often as it repeats
+    return found.dropDuplicates([id_col, "__text_key"]).drop("__text_key")

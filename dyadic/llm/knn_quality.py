@@ -62,7 +62,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             yield c, d, term_shares(data, offsets[c:d + 1])
 
 
-def _share_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def share_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, x in blocks(batch.column(2)):
             yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     chosen = labelled_rows(docs, labels, label_col, max_labelled)
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(
         F.col("__h").alias("h"), F.col("__label").alias("label"), F.col(text_col).alias("t"))
-    got = (rows.mapInArrow(_share_rows, "h long, label int, x binary")
+    got = (rows.mapInArrow(share_rows, "h long, label int, x binary")
            .orderBy("h", "x").limit(max_labelled).collect())
     if not got:
         return {"basis": None, "vectors": None, "labels": np.zeros(0)}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, html_extract, jaccard_forest, knn_quality, line_templates, string_kernel,
-               url_filter, warc_index)
+from . import (decontaminate, exact_dedup, html_extract, jaccard_forest, knn_quality, line_templates, soft_mix,
+               string_kernel, url_filter, warc_index)
 from .common import read
 
 LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -15,6 +16,16 @@ URL_RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "exa
              url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 
 
+#: share of all tokens each domain should have
+TARGETS = {"en": 0.40, "fr": 0.20, "de": 0.20, "es": 0.15, "low": 0.05}
+
+
+def mixed(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Domains: the language of labelled documents of quality 1, and ``low`` for those of quality 0."""
+    domain = F.when(F.col("__label") == 0, F.lit("low")).otherwise(F.col("lang"))
+    return soft_mix.mix(docs, labels, domain, TARGETS, carry)
+
+
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -28,6 +39,10 @@ def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -55,6 +70,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_knn_quality": op1_knn_quality,
+    "op2_soft_mix": op2_soft_mix,
     "op3_line_templates": op3_line_templates,
     "op4_string_kernel": op4_string_kernel,
     "op5_exact_dedup": op5_exact_dedup,

@@ -333,24 +333,42 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
     return {"table": table, "bias": bias, "slope": max(slope, 0.0), "offset": offset}
 
 
+def scores(model: dict | None, column: pa.Array) -> np.ndarray:
+    """Score of every text of a column."""
+    out = np.zeros(len(column))
+    if model:
+        data, offsets = strings(column)
+        for a, b in row_slices(offsets, SLICE_BYTES):
+            margin = document_margins(model["table"], model["bias"], data, offsets[a:b + 1])
+            out[a:b] = 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"], -30, 30)))
+    return np.round(out, 6)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
                    text_col: str = "text", threshold: float = 0.3, **fitting) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, text_col, **fitting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
-            data, offsets = strings(batch.column(2))
-            for a, b in row_slices(offsets, SLICE_BYTES):
-                score = np.zeros(b - a)
-                if m:
-                    margin = document_margins(m["table"], m["bias"], data, offsets[a:b + 1])
-                    score = np.round(1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["offset"], -30, 30))), 6)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                                       pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                                      names=["doc_id", "held_out", "score", "predicted"])
+            score = scores(model.value, batch.column(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score),
+                                   pa.array((score >= threshold).astype(np.int32))],
+                                  names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(F.col(id_col)).alias("held_out"),
                        F.col(text_col).alias("t"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text",
+               threshold: float = 0.3, **fitting) -> DataFrame:
+    """The documents that are not predicted to be toxic, filtered where they are read."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, text_col, **fitting))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(model.value, batch.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
