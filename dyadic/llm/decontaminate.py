@@ -109,10 +109,8 @@ def windows_of(rows: list, n: int) -> dict[tuple, list[int]]:
     return {w: sorted(ids) for w, ids in found.items()}
 
 
-def phrase_starts(window: tuple, rarest: list[int], lists: dict[int, np.ndarray], slop: int = 0) -> np.ndarray:
+def phrase_starts(window: tuple, rarest: list[int], lists: dict[int, np.ndarray]) -> np.ndarray:
     """Positions at which the window begins; ``rarest``: its offsets by ascending list length."""
-    if slop:
-        return _near(window, lists, slop)
     lead = rarest[0]
     starts = lists[window[lead]].astype(np.int64) - lead
     starts = starts[starts >= 0]
@@ -125,8 +123,9 @@ def phrase_starts(window: tuple, rarest: list[int], lists: dict[int, np.ndarray]
     return starts
 
 
-def _near(window: tuple, lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
-    """Starts of stretches of len(window) + slop words that hold every term of the window (as often as it does)."""
+def stretch_starts(window: tuple, lists: dict[int, np.ndarray], slop: int, first: np.ndarray) -> np.ndarray:
+    """Starts of stretches of len(window) + slop words of one document that hold every term of the window (as often
+    as it does); ``first``: position of each document's first word."""
     need: dict[int, int] = {}
     for t in window:
         need[t] = need.get(t, 0) + 1
@@ -134,11 +133,10 @@ def _near(window: tuple, lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
     lead = min(need, key=lambda t: len(lists[t]))
     # a stretch that holds everything can be moved right until it begins with a word of the window
     begins = np.unique(np.concatenate([lists[t] for t in need])).astype(np.int64)
-    around = lists[lead].astype(np.int64)
-    begins = begins[np.searchsorted(around, begins + reach) > np.searchsorted(around, begins)]
-    for t, k in need.items():
-        inside = np.searchsorted(lists[t], begins + reach) - np.searchsorted(lists[t], begins)
-        begins = begins[inside >= k]
+    ends = np.minimum(begins + reach, first[np.searchsorted(first, begins, "right")] - 1)
+    for t in sorted(need, key=lambda t: t != lead):
+        inside = np.searchsorted(lists[t], ends) - np.searchsorted(lists[t], begins)
+        begins, ends = begins[inside >= need[t]], ends[inside >= need[t]]
     return begins
 
 
@@ -158,10 +156,8 @@ def _search(windows: list[tuple[tuple, list[int]]], slop: int):
             counts = [size.get(t, 0) for t in window]
             if not min(counts):
                 continue
-            starts = phrase_starts(window, sorted(range(len(window)), key=counts.__getitem__), lists, slop)
-            if slop and len(starts):
-                starts = starts[np.searchsorted(first, starts + len(window) - 1, "right") ==
-                                np.searchsorted(first, starts, "right")]
+            starts = stretch_starts(window, lists, slop, first) if slop else phrase_starts(
+                window, sorted(range(len(window)), key=counts.__getitem__), lists)
             length = len(window) + slop
             for s, d in zip(starts.tolist(), (np.searchsorted(first, starts, "right") - 1).tolist()):
                 ids, spans = found.setdefault(d, (set(), []))

@@ -160,7 +160,8 @@ def _fold(batches: Iterator[pd.DataFrame], flush: int | None) -> Iterator[pd.Dat
         if flush and index.live >= flush:
             yield _frame(index)
             index = CuckooIndex()
-    yield _frame(index)
+    if index.live:
+        yield _frame(index)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +200,8 @@ def delete(index: DataFrame, digests_gone: DataFrame, n: int) -> DataFrame:
                     shard.insert(key, (_LOWEST if pd.isna(i) else int(i), r, m))
         for key in gone:
             shard.delete(key)
-        yield _frame(shard)
+        if shard.live:
+            yield _frame(shard)
 
     cols = [F.col("keep_id"), F.col("keep_rid"), F.col("group_size")]
     live = index.select("digest", *cols, F.lit(False).alias("dead"))

@@ -234,7 +234,8 @@ def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 hosts.append(host)
                 paths.append(">".join(path))
                 weights.append(len(text_under(blocks, path)))
-        yield pd.DataFrame({"host": hosts, "path": paths, "weight": weights})
+        if hosts:
+            yield pd.DataFrame({"host": hosts, "path": paths, "weight": weights})
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -117,7 +117,7 @@ def solve_rates(table: DataFrame, names: list[str], targets: dict[str, float]) -
         g = metric @ miss
         rate = F.greatest(F.lit(0.0), rate - sum(p[i] * F.lit(float(g[i])) for i in range(k)))
         if step % CHUNK == CHUNK - 1:
-            base, rate = stored(base.drop("__rate").withColumn("__rate", rate), "rates"), F.col("__rate")
+            base, rate = stored(base.withColumn("__rate", rate), "rates"), F.col("__rate")
     return base.withColumn("rate", F.round(rate, 6)).drop("__rate")
 
 
