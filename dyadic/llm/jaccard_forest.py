@@ -269,8 +269,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     blocks = stored(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
     members = stored(groups.join(blocks, "root").join(classes.select("node", "size", "class_id", "text_key"), "node")
                      .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
-    # texts of the members' representatives only; a repeated row may bring its text twice
-    texts = rows.join(members, rows["doc_id"].eqNullSafe(members["class_id"])
+    # texts of the members' representatives only; a repeated row may bring its text twice. The number of members
+    # grows with the corpus, so they are never broadcast
+    texts = rows.join(members.hint("merge"), rows["doc_id"].eqNullSafe(members["class_id"])
                       & (rows["text_key"] == members["text_key"]))
     sets = stored(texts.select("node", "root", "size", "block", "blocks", "t")
                   .mapInArrow(_shingle_rows, "node long, root long, size long, block int, blocks int, shingles binary")
