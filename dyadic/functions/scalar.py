@@ -37,8 +37,9 @@ def predicted_label(score, thr) -> Column:
 
 def calibration_label(score, thr) -> Column:
     """Calibration rule: 0 iff ``score > thr``, else 1 (so score == thr is 1,
-    and a missing score is 1)."""
-    return (~F.coalesce(_c(score) > _c(thr), F.lit(False))).cast("int")
+    and a missing or NaN score is 1)."""
+    above = (_c(score) > _c(thr)) & ~F.isnan(_c(score).cast("double"))
+    return (~F.coalesce(above, F.lit(False))).cast("int")
 
 
 def gap(score, thr) -> Column:
@@ -53,7 +54,13 @@ def mean_of_orientations(a, b) -> Column:
 def capitalize(x) -> Column:
     """First character upper, the rest lower ("PGE2" -> "Pge2"); not per word."""
     s = _c(x)
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))))
+
+
+def json_text(x) -> Column:
+    """A string as JSON text: quoted and escaped."""
+    s = F.to_json(F.array(_c(x)))
+    return F.substr(s, F.lit(2), F.length(s) - 2)
 
 
 def round_places(x, places: int = ROUND_API) -> Column:

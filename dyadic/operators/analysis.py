@@ -20,11 +20,12 @@ from .reshape import swap_pair
 
 def drug_positive_pairs(pairs: DataFrame, drugs: DataFrame | None = None, label: str = "label") -> DataFrame:
     """Observed positives of every focus drug, on either side: rows with
-    ``label = 1`` and ``drug1 = focus`` or ``drug2 = focus`` (column ``focus``).
+    ``label = 1`` and ``drug1 = focus`` or ``drug2 = focus`` (column ``focus``);
+    a drug paired with itself is listed on both sides.
     ``drugs`` (``drug_id``) restricts the focus drugs (semi-join)."""
     pos = pairs.where(F.col(label) == 1)
     a = pos.withColumn("focus", F.col("drug1"))
-    b = pos.withColumn("focus", F.col("drug2")).where(F.col("drug1") != F.col("drug2"))
+    b = pos.withColumn("focus", F.col("drug2"))
     out = a.unionByName(b)
     if drugs is not None:
         out = out.join(drugs.select(F.col("drug_id").alias("focus")), "focus", "left_semi")
@@ -45,7 +46,7 @@ def drug_pairs_both_sides(pairs: DataFrame, row_id: str = "row_id") -> DataFrame
     focus drug is ``drug1`` (``UNION ALL`` of as-drug1 and swapped as-drug2)."""
     f = first_positive_pair(pairs, row_id)
     a = f.withColumn("focus", F.col("drug1"))
-    b = swap_pair(f).withColumn("focus", F.col("drug1")).where(F.col("drug1") != F.col("drug2"))
+    b = swap_pair(f).withColumn("focus", F.col("drug1"))
     return a.unionByName(b)
 
 
@@ -66,7 +67,7 @@ def se_lists(pairs: DataFrame, row_id: str = "row_id") -> DataFrame:
                             F.transform("se_counts", lambda x: F.struct(x["se"].alias("se"), x["_n"].alias("n")))
                             .alias("se_counts"))
     a = lists.withColumn("focus", F.col("drug1"))
-    b = lists.withColumn("focus", F.col("drug2")).where(F.col("drug1") != F.col("drug2"))
+    b = lists.withColumn("focus", F.col("drug2"))
     return a.unionByName(b)
 
 

@@ -78,12 +78,10 @@ def ridge_fit(df: DataFrame, x_col: str, y_col: str, l2: float = 0.01, intercept
     return np.linalg.solve(A + pen, B)
 
 
-def apply_linear(df: DataFrame, x_col: str, W: np.ndarray, out: str = "pred", intercept: bool = True,
-                 max_bytes: int = 1 << 30) -> DataFrame:
-    """``x -> [1, x] W`` as an array column. The weights (width_in x width_out,
-    size-checked) are broadcast once and applied per Arrow batch as one GEMM."""
-    if W.nbytes > max_bytes:
-        raise ValueError(f"weights of {W.nbytes} bytes exceed the broadcast limit {max_bytes}")
+def apply_linear(df: DataFrame, x_col: str, W: np.ndarray, out: str = "pred", intercept: bool = True) -> DataFrame:
+    """``x -> [1, x] W`` as an array column. The weights (width_in x width_out, a
+    size that the widths fix) are broadcast once and applied per Arrow batch as
+    one GEMM."""
     bc = df.sparkSession.sparkContext.broadcast(np.asarray(W, dtype=float))
     fields = list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))]
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import UNKNOWN_SE_PREFIX
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_BROADCAST_BYTES = 512 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -41,22 +40,18 @@ def assert_unique(df: DataFrame, key: Sequence[str], what: str) -> None:
 
 
 def profile_lookup(pairs: DataFrame, profile: DataFrame, key_col: str = "drug_id", vec_col: str = "vec",
-                   broadcast_profiles: bool = True, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   check_unique: bool = True) -> DataFrame:
     """Left-join the profile of ``drug1`` and of ``drug2`` onto every pair row.
 
-    Adds ``vec1`` and ``vec2`` (NULL when a drug has no profile). The profile
-    table is one row per drug (its size is the drug catalogue) and is
-    broadcast only if rows x vector width stays under the byte limit;
-    otherwise the joins are left to the planner.
+    Adds ``vec1`` and ``vec2`` (NULL when a drug has no profile). A duplicated
+    profile id is refused, as it would fan out the pairs. No hint is given:
+    adaptive execution sees the bytes of the vectors at run time and broadcasts
+    them or splits a popular drug.
     """
+    if check_unique and not getattr(profile, "_dyadic_unique", False):
+        assert_unique(profile, [key_col], "profile table")
+        profile._dyadic_unique = True
     prof = profile.select(F.col(key_col).alias("_k"), F.col(vec_col).alias("_v"))
-    if broadcast_profiles:
-        # one bounded pass: row count (up to the limit + 1) and the widest vector
-        probe = prof.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("w")).collect()[0]
-        width = max(int(probe["w"] or 0), 0)
-        limit = min(max_rows, DEFAULT_BROADCAST_BYTES // (8 * width + 48))
-        if probe["n"] <= limit:
-            prof = F.broadcast(prof)
     p1 = prof.select(F.col("_k").alias("drug1"), F.col("_v").alias("vec1"))
     p2 = prof.select(F.col("_k").alias("drug2"), F.col("_v").alias("vec2"))
     return pairs.join(p1, "drug1", "left").join(p2, "drug2", "left").select(*pairs.columns, "vec1", "vec2")
@@ -67,34 +62,9 @@ def threshold_lookup(scored: DataFrame, thr: DataFrame, thr_col: str = "optimal_
     return scored.join(bounded_broadcast(thr).select("se", thr_col), "se", "left").select(*scored.columns, thr_col)
 
 
-def pair_se_list(chosen: DataFrame, observations: DataFrame) -> DataFrame:
-    """All side effects observed for each chosen (drug1, drug2), labels of
-    either class included, as a sorted list. Left join: a chosen pair without
-    observations gets an empty list."""
-    obs = observations.select("drug1", "drug2", "se")
-    keys = chosen.select("drug1", "drug2").distinct()
-    return (keys.join(obs, ["drug1", "drug2"], "left")
-            .groupBy("drug1", "drug2")
-            .agg(F.sort_array(F.collect_list("se")).alias("se_list")))
-
-
 def se_name_lookup(df: DataFrame, names: DataFrame) -> DataFrame:
     """Attach ``name`` per se, defaulting to ``Unknown SE #<id>``."""
     n = bounded_broadcast(names.select("se", F.col("name").alias("_name")))
     return (df.join(n, "se", "left")
             .withColumn("name", F.coalesce(F.col("_name"), F.concat(F.lit(UNKNOWN_SE_PREFIX), F.col("se").cast("string"))))
             .drop("_name"))
-
-
-def pair_se_grid(pair_df: DataFrame, se_ids: DataFrame, max_se: int = 1_000_000) -> DataFrame:
-    """Every pair against every side effect of the catalogue.
-
-    The catalogue is a bounded dimension (checked against ``max_se``); its ids
-    are attached to each pair as an array and exploded, so the plan is a
-    per-row generator with no join and no shuffle.
-    """
-    ids = [r[0] for r in se_ids.select("se").distinct().limit(max_se + 1).collect()]
-    if len(ids) > max_se:
-        raise ValueError(f"side-effect catalogue larger than {max_se}")
-    arr = F.array(*[F.lit(int(i)) for i in sorted(ids)])
-    return pair_df.select("*", F.explode(arr).alias("se"))

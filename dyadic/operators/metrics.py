@@ -171,6 +171,7 @@ def midpoint_threshold(scored: DataFrame, by=("se",), score="score", label="labe
     by = list(by)
     med = curve_summary(scored, by, score, label).select(
         *by, ((F.col("median_pos") + F.col("median_neg")) / 2).alias("midpoint_thr"))
+    med = bounded_broadcast(med)  # one row per group, against all scored rows
     rows = scored.join(med, by).withColumn("_pred", calibration_label(score, "midpoint_thr"))
     return med.join(confusion_counts(rows, "_pred", label, by), by)
 

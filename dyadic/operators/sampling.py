@@ -1,5 +1,12 @@
-"""Sampling and splitting without collecting anything and without putting a
-stratum into one task: every rank below comes from ``ordered_scan``.
+"""Sampling and splitting without collecting anything, without putting a
+stratum into one task and without moving the rows that are not drawn.
+
+A draw keeps the smallest order keys of a stratum. A quantile sketch per stratum
+(partial aggregation over keys only) gives a key below which at least as many
+rows lie as are to be drawn and hardly more; only those candidates, as (stratum,
+key, row id), go through ``ordered_scan`` for their exact ranks, and the drawn row
+ids are joined back. So what is shuffled grows with the size of the draw, not
+with the width of the table or the number of samples.
 
 Draw order. A draw takes, inside each stratum, the rows with the smallest
 *order key*, ties broken by the row id. The default key is
@@ -14,13 +21,17 @@ does: strata of 5 rows give 0 at 10 %, 15 give 2, 25 give 2.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import bounded_broadcast
 from .scan import ordered_scan
 
+#: relative rank error of the quantile sketches is at most one in so many
+ACCURACY = 10_000
 PRIME = 1000003
 MULT = 7919
 STEP = 104729
@@ -45,16 +56,26 @@ def stratified_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] =
 def repeated_holdout(df: DataFrame, frac: float = 0.1, samples: int = 1, strata: Sequence[str] = ("se", "label"),
                      row_id: str = "row_id", method: str = "xxhash64", first: int = 0) -> DataFrame:
     """``samples`` independent draws in one job (rows may recur across draws).
-
-    Each row is repeated once per sample number and ranked within
-    ``(sample_no, *strata)`` by the draw key of that sample.
-    """
-    strata = list(strata)
-    rep = df.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("sample_no"))
-    keyed = rep.select("*", draw_key(row_id, F.col("sample_no"), method).alias("_key"), F.lit(1).alias("_one"))
-    s = ordered_scan(keyed, ["sample_no", *strata], ["_key", row_id], sums=["_one"])
-    take = F.col("cum__one") <= F.bround(F.lit(frac) * F.col("tot__one"), 0)
-    return s.where(take).select("sample_no", *df.columns)
+    ``row_id`` identifies a row."""
+    by = ["sample_no", *strata]
+    numbers = F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("sample_no")
+    keyed = (df.select(*strata, row_id, numbers)
+             .select("*", draw_key(row_id, F.col("sample_no"), method).alias("_key")))
+    # rank error of the sketch: 1 / ACCURACY of the stratum, and a row or two; a stratum uses the first of these
+    # shares that covers its draw with that error (the last one covers everything)
+    shares = [*[min(1.0, frac + 2 / ACCURACY + k) for k in (0.0001, 0.001, 0.01, 0.1)], 1.0]
+    n = F.count(F.lit(1))
+    need = (F.bround(F.lit(frac) * n, 0) + 3) / n + 2 / ACCURACY
+    sketch = F.percentile_approx("_key", shares, ACCURACY)
+    bound = F.coalesce(*[F.when(need <= p, sketch[i]) for i, p in enumerate(shares)], sketch[len(shares) - 1])
+    sizes = keyed.groupBy(*by).agg(F.bround(F.lit(frac) * n, 0).alias("_take"), bound.alias("_bound"))
+    sizes = bounded_broadcast(sizes.checkpoint(eager=True))  # one row per sample and stratum, read twice
+    same = [keyed[c].eqNullSafe(sizes[c]) for c in by]
+    near = (keyed.join(sizes, same).where((F.col("_take") > 0) & (F.col("_key") <= F.col("_bound")))
+            .select(*[keyed[c] for c in by], row_id, "_key", "_take", F.lit(1).alias("_one")))
+    drawn = (ordered_scan(near, by, ["_key", row_id], sums=["_one"]).where(F.col("cum__one") <= F.col("_take"))
+             .select("sample_no", row_id))
+    return df.join(drawn, row_id).select("sample_no", *df.columns)
 
 
 def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se", "label"),
@@ -72,33 +93,47 @@ def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se"
     return keyed.join(drawn, ["_a", "_b", *strata], "left_semi").drop("_a", "_b")
 
 
+def row_at_rank(df: DataFrame, order: Sequence[str], share: float, rank: int) -> tuple | None:
+    """Values of ``order`` of the row with this 1-based rank, where ``rank`` is
+    about ``share`` of all rows. ``order[0]`` is narrowed by a quantile sketch;
+    only the rows between two sketch values are ranked exactly."""
+    key = order[0]
+    slack = 2 / ACCURACY + 3 / max(1, df.count())
+    at = [max(0.0, share - slack), min(1.0, share + slack)]
+    low, high = df.agg(F.percentile_approx(key, at, ACCURACY)).first()[0]
+    below = df.where(F.col(key) < F.lit(low)).count()
+    near = df.where(F.col(key).between(low, high)).select(*order, F.lit(1).alias("_one"))
+    row = ordered_scan(near, [], order, sums=["_one"], broadcast_offsets=True).where(
+        F.col("cum__one") == rank - below).first()
+    return None if row is None else tuple(row[c] for c in order)
+
+
+def _up_to(order: Sequence[str], row: tuple) -> Column:
+    """Is a row at or before ``row`` in this order? (lexicographic)"""
+    out = F.lit(True)
+    for c, v in reversed(list(zip(order, row))):
+        out = (F.col(c) < v) | ((F.col(c) == v) & out)
+    return out
+
+
 def train_test_split(df: DataFrame, train_frac: float = 0.8, row_id: str = "row_id", seed: int = 0,
                      method: str = "xxhash64") -> DataFrame:
     """Shuffle and cut: the first ``bround(train_frac * n)`` rows of the shuffled
-    order are ``train``, the rest ``test`` (column ``split``)."""
-    keyed = df.select("*", draw_key(row_id, seed, method).alias("_key"), F.lit(1).alias("_one"))
-    s = ordered_scan(keyed, [], ["_key", row_id], sums=["_one"], broadcast_offsets=True)
-    cut = F.bround(F.lit(train_frac) * F.col("tot__one"), 0)
-    return s.select(*df.columns, F.when(F.col("cum__one") <= cut, "train").otherwise("test").alias("split"))
+    order are ``train``, the rest ``test`` (column ``split``). The cut row is
+    found first; the split itself is a column expression."""
+    keyed = df.select("*", draw_key(row_id, seed, method).alias("_key"))
+    n = df.count()
+    cut = round(train_frac * n)  # half to even
+    order = ["_key", row_id]
+    row = row_at_rank(keyed.select(*order), order, train_frac, cut) if cut else None
+    train = _up_to(order, row) if row else F.lit(False)
+    return keyed.select(*df.columns, F.when(train, "train").otherwise("test").alias("split"))
 
 
 def tail_validation_split(df: DataFrame, validation_split: float = 0.1, row_id: str = "row_id") -> DataFrame:
     """The last rows in row order, as a trailing validation split of a fit
     (``floor(n * (1 - v))`` rows train, the rest validation)."""
-    s = ordered_scan(df.withColumn("_one", F.lit(1)), [], [row_id], sums=["_one"], broadcast_offsets=True)
-    split_at = F.floor(F.col("tot__one") * (1.0 - validation_split))
-    return s.where(F.col("cum__one") > split_at).select(*df.columns)
-
-
-def batch_assign(df: DataFrame, batch_size: int = 1024, row_id: str = "row_id",
-                 shuffle_seed: int | None = None, method: str = "xxhash64") -> DataFrame:
-    """``batch_id = floor(rank / batch_size)``; ``ceil(n / b)`` batches. Rank is
-    row order, or with ``shuffle_seed`` a seeded shuffle (one per epoch: pass
-    the epoch number as the seed)."""
-    keyed = df.withColumn("_one", F.lit(1))
-    order = [row_id]
-    if shuffle_seed is not None:
-        keyed = keyed.withColumn("_key", draw_key(row_id, shuffle_seed, method))
-        order = ["_key", row_id]
-    s = ordered_scan(keyed, [], order, sums=["_one"], broadcast_offsets=True)
-    return s.select(*df.columns, F.floor((F.col("cum__one") - 1) / batch_size).cast("long").alias("batch_id"))
+    n = df.count()
+    cut = math.floor(n * (1.0 - validation_split))
+    row = row_at_rank(df.select(row_id), [row_id], 1.0 - validation_split, cut) if cut else None
+    return df.where(~_up_to([row_id], row)) if row else df

@@ -5,8 +5,8 @@ Two forms of the pair model:
 * **identity head** (``H = T = I``, offset ``r`` per side effect, embedding =
   profile): available as column expressions (``identity_score``, used for
   per-row scoring of a pair table) and as the same Arrow-batched kernel as
-  the full model (``screen_scores_identity``) for the pair x catalogue screen,
-  where the higher-order array functions would run interpreted per row;
+  the full model (``screen_ranked``) for the screen of pairs against the
+  catalogue, where the higher-order array functions would run interpreted per row;
 * **full model**: per pair, shared dense + batch norm on each drug, two
   sigmoid gates on the concatenation, gated batch norms, a shared dense
   embedding; per side effect, ``||H e1 + r - T e2|| + ||H e2 + r - T e1||``.
@@ -16,8 +16,11 @@ Two forms of the pair model:
   for a screen of distinct pairs (``screen_ranked``) the per-pair count and
   top-k ranking are done there too.
 
-Weights are inputs (arrays or parquet), never trained here. They are shipped
-to executors once as broadcast variables after a size check.
+Weights are inputs (arrays or parquet), never trained here. The per-side-effect
+part is shipped as a list of broadcast blocks of ``BLOCK_BYTES`` each, and the
+kernels go through the blocks with a running count and top list, so a larger
+catalogue means more blocks on the same path; the shared layers are one more
+broadcast, whose size the layer widths fix.
 
 The expression predictor (descriptors -> expression profile) is the second
 model: fingerprints 1024->512->128, properties 100->128, output ``10 tanh``.
@@ -37,7 +40,7 @@ from pyspark.sql import types as T
 from ..functions.vector import translation_distance
 
 BN_EPS = 1e-3          # batch-norm epsilon of the reference's layers (library default)
-MAX_BROADCAST_BYTES = 1 << 30
+BLOCK_BYTES = 64 << 20     # per-side-effect weights in one broadcast
 
 
 # ------------------------------------------------------------------ identity head
@@ -65,6 +68,34 @@ def se_translation_fit(pairs_with_vecs: DataFrame, label: str = "label") -> Data
             .select("se", vector_to_array(F.col("_m")).alias("r")))
 
 
+def se_translation_fit_by_counts(pairs: DataFrame, profile: DataFrame, label: str = "label") -> DataFrame:
+    """``se_translation_fit`` without carrying a vector per observation: the mean
+    is linear in the vectors, so the +1 / -1 uses of each drug are counted per
+    side effect first and every drug's vector is joined once per side effect
+    that it occurs with."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    have = profile.where(F.col("vec").isNotNull()).select("drug_id")
+    side = lambda c: have.select(F.col("drug_id").alias(c))
+    lo_first = F.col("drug1") < F.col("drug2")
+    pos = (pairs.where(F.col(label) == 1).join(side("drug1"), "drug1", "left_semi")
+           .join(side("drug2"), "drug2", "left_semi")
+           .select("se", F.when(lo_first, F.col("drug2")).otherwise(F.col("drug1")).alias("plus"),
+                   F.when(lo_first, F.col("drug1")).otherwise(F.col("drug2")).alias("minus"))
+           .groupBy("se", "plus", "minus").agg(F.count(F.lit(1)).alias("n")))
+    uses = (pos.select("se", "n", F.explode(F.array(
+        F.struct(F.col("plus").alias("drug_id"), F.col("n").alias("w")),
+        F.struct(F.col("minus").alias("drug_id"), (-F.col("n")).alias("w")))).alias("u"))
+        .groupBy("se", "u.drug_id").agg(F.sum("u.w").alias("w"), F.sum("n").alias("uses")))
+    # every observation counts once on either side
+    size = uses.groupBy("se").agg((F.sum("uses") / 2).alias("rows"))
+    scaled = (uses.join(profile.select("drug_id", "vec"), "drug_id")
+              .select("se", array_to_vector(F.transform("vec", lambda x: x * F.col("w"))).alias("_d")))
+    total = scaled.groupBy("se").agg(vector_to_array(Summarizer.sum(F.col("_d"))).alias("_s"))
+    return total.join(size, "se").select("se", F.transform("_s", lambda x: x / F.col("rows")).alias("r"))
+
+
 # ------------------------------------------------------------------- weights
 def _bn(rng, n):
     return dict(gamma=1.0 + 0.1 * rng.standard_normal(n), beta=0.1 * rng.standard_normal(n),
@@ -160,12 +191,6 @@ class PairModel:
         return out
 
 
-def _check_size(obj_bytes: int, what: str, limit: int = MAX_BROADCAST_BYTES):
-    if obj_bytes > limit:
-        raise ValueError(f"{what}: {obj_bytes} bytes exceeds the broadcast limit {limit}; "
-                         "split the side effects into blocks and score each block in its own pass")
-
-
 def _mat(col: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Array column -> (matrix, present mask); missing rows become zeros."""
     present = col.notna().to_numpy()
@@ -180,8 +205,7 @@ def pair_embed(pairs_with_vecs: DataFrame, model: PairModel) -> DataFrame:
     profiles ``s1, s2`` and the first hidden layer ``h1``. Missing profiles
     give NULL outputs. Run it on *distinct* pairs, never per side effect."""
     spark = pairs_with_vecs.sparkSession
-    _check_size(model.nbytes(), "pair model")
-    bc = spark.sparkContext.broadcast(model)
+    bc = spark.sparkContext.broadcast(_model_block(model, 0, 0))  # the shared layers
     d_in = model.W1.shape[0]
     keep = [c for c in pairs_with_vecs.columns if c not in ("vec1", "vec2")]
     arr = T.ArrayType(T.DoubleType())
@@ -203,13 +227,9 @@ def pair_embed(pairs_with_vecs: DataFrame, model: PairModel) -> DataFrame:
     return pairs_with_vecs.mapInPandas(run, out_schema)
 
 
-def _se_block_ranges(n_se: int, per_se_bytes: int, shared_bytes: int, limit: int) -> list[tuple[int, int]]:
-    """Split ``n_se`` side effects into contiguous blocks whose parameters
-    (plus the shared part) each fit under ``limit`` bytes."""
-    room = limit - shared_bytes
-    if room < per_se_bytes:
-        raise ValueError("shared model layers alone exceed the broadcast limit")
-    step = max(1, room // max(1, per_se_bytes))
+def se_blocks(n_se: int, per_se_bytes: int) -> list[tuple[int, int]]:
+    """Contiguous ranges of side effects whose weights take about ``BLOCK_BYTES`` each."""
+    step = max(1, BLOCK_BYTES // max(1, per_se_bytes))
     return [(a, min(n_se, a + step)) for a in range(0, n_se, step)]
 
 
@@ -218,177 +238,75 @@ def _model_block(model: PairModel, a: int, b: int) -> PairModel:
                         "tails": model.tails[a:b], "r": model.r[a:b]})
 
 
-def screen_scores_full(pairs_with_vecs: DataFrame, model: PairModel, thr: dict[int, float] | None = None,
-                       flagged_only: bool = True, block: int | None = None,
-                       limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Both orientations of each pair against every side effect of the model.
-
-    Emits ``drug1, drug2, se, predicted_score_x, predicted_score_y,
-    mean_predicted_score`` (and only rows with ``mean < thr`` when
-    ``flagged_only``). ``thr``: threshold per se (a catalogue-sized dict).
-
-    The model is broadcast when it fits ``limit``; beyond it the side-effect
-    heads are split into blocks that fit, each block is scored in its own
-    pass over the pairs, and the passes are unioned.
-    """
-    if model.nbytes() > limit:
-        n_se = len(model.se_ids)
-        per_se = (model.heads.nbytes + model.tails.nbytes + model.r.nbytes) // max(1, n_se)
-        shared = model.nbytes() - per_se * n_se
-        parts = [screen_scores_full(pairs_with_vecs, _model_block(model, a, b), thr, flagged_only, block, limit)
-                 for a, b in _se_block_ranges(n_se, per_se, shared, limit)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    spark = pairs_with_vecs.sparkSession
-    thr_arr = None
-    if thr is not None:
-        thr_arr = np.array([thr.get(int(s), np.nan) for s in model.se_ids], dtype=float)
-    bc = spark.sparkContext.broadcast((model, thr_arr))
-    d_in = model.W1.shape[0]
-    schema = T.StructType([T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()),
-                           T.StructField("se", T.IntegerType()),
-                           T.StructField("predicted_score_x", T.DoubleType()),
-                           T.StructField("predicted_score_y", T.DoubleType()),
-                           T.StructField("mean_predicted_score", T.DoubleType())])
-
-    def run(batches):
-        m, t = bc.value
-        se = m.se_ids
-        for pdf in batches:
-            x1, p1 = _mat(pdf["vec1"], d_in)
-            x2, p2 = _mat(pdf["vec2"], d_in)
-            ok = p1 & p2
-            if not ok.any():
-                continue
-            x1, x2 = x1[ok], x2[ok]
-            d1 = pdf["drug1"].to_numpy()[ok]
-            d2 = pdf["drug2"].to_numpy()[ok]
-            a1, a2, *_ = m.embed(x1, x2)
-            b1, b2, *_ = m.embed(x2, x1)
-            sx = m.scores(a1, a2, block)
-            sy = m.scores(b1, b2, block)
-            mean = (sx + sy) / 2
-            if flagged_only and t is not None:
-                mask = mean < t[None, :]
-            else:
-                mask = np.ones_like(mean, dtype=bool)
-            pi, si = np.nonzero(mask)
-            yield pd.DataFrame({"drug1": d1[pi], "drug2": d2[pi], "se": se[si].astype(np.int32),
-                                "predicted_score_x": sx[pi, si], "predicted_score_y": sy[pi, si],
-                                "mean_predicted_score": mean[pi, si]})
-
-    return pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, schema)
-
-
-def identity_params(r_table: DataFrame, thr: DataFrame | None, max_se: int = 100_000):
-    """Collect the per-side-effect offsets (and thresholds) of the identity
-    head: a catalogue-sized table, checked against ``max_se`` rows."""
-    t = r_table.select("se", "r")
-    if thr is not None:
-        t = t.join(thr.select("se", "optimal_thr"), "se", "left")
-    rows = t.limit(max_se + 1).collect()
-    if len(rows) > max_se:
-        raise ValueError(f"side-effect catalogue larger than {max_se}")
-    rows = sorted((r for r in rows if r["r"] is not None), key=lambda r: r["se"])
-    se = np.array([r["se"] for r in rows], dtype=np.int64)
-    R = np.array([r["r"] for r in rows], dtype=float) if rows else np.zeros((0, 0))
-    th = np.array([r["optimal_thr"] if thr is not None and r["optimal_thr"] is not None else np.nan
-                   for r in rows], dtype=float)
+def identity_params(r_table: DataFrame, thr: DataFrame | None):
+    """Offsets (and thresholds) of the identity head per side effect, in se
+    order, streamed to the driver partition by partition: a model's worth of
+    numbers, one row per side effect."""
+    t = r_table.select("se", "r").where(F.col("r").isNotNull())
+    t = t.join(thr.select("se", "optimal_thr"), "se", "left") if thr is not None else t.withColumn(
+        "optimal_thr", F.lit(None).cast("double"))
+    rows = sorted(((r["se"], np.array(r["r"], dtype=float), r["optimal_thr"]) for r in t.toLocalIterator()),
+                  key=lambda r: r[0])
+    se = np.array([r[0] for r in rows], dtype=np.int64)
+    R = np.stack([r[1] for r in rows]) if rows else np.zeros((0, 0))
+    th = np.array([np.nan if r[2] is None else r[2] for r in rows], dtype=float)
     return se, R, th
 
 
-def screen_scores_identity(pairs_with_vecs: DataFrame, se_ids: np.ndarray, R: np.ndarray, thr: np.ndarray,
-                           flagged_only: bool = True, cells: int = 4_000_000,
-                           limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Identity-head scores of both orientations for every (pair, se), computed
-    per Arrow batch as dense arrays (side effects in blocks of at most
-    ``cells`` pair x se x width values); with ``flagged_only`` only rows with
-    ``mean < thr`` leave the batch. Offsets beyond ``limit`` bytes are split
-    into side-effect blocks scored in separate passes (unioned)."""
-    if R.nbytes + thr.nbytes > limit and len(se_ids) > 1:
-        per_se = (R.nbytes + thr.nbytes) // len(se_ids)
-        parts = [screen_scores_identity(pairs_with_vecs, se_ids[a:b], R[a:b], thr[a:b], flagged_only, cells, limit)
-                 for a, b in _se_block_ranges(len(se_ids), per_se, 0, limit)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    spark = pairs_with_vecs.sparkSession
-    _check_size(R.nbytes + thr.nbytes, "identity head", limit)
-    bc = spark.sparkContext.broadcast((se_ids, R, thr))
-    width = R.shape[1] if R.size else 0
-    schema = T.StructType([T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()),
-                           T.StructField("se", T.IntegerType()),
-                           T.StructField("predicted_score_x", T.DoubleType()),
-                           T.StructField("predicted_score_y", T.DoubleType()),
-                           T.StructField("mean_predicted_score", T.DoubleType())])
+def _blocks(spark: SparkSession, se_ids: np.ndarray, R: np.ndarray | None, model: PairModel | None,
+            thr: np.ndarray | None):
+    """Broadcasts of the shared layers (None for the identity head) and of each
+    block of (se ids, offsets or model part, thresholds)."""
+    sc = spark.sparkContext
+    n = len(se_ids)
+    size = (R.nbytes if model is None else model.heads.nbytes + model.tails.nbytes + model.r.nbytes) // max(1, n) + 16
+    cut = lambda x, a, b: None if x is None else x[a:b]
+    parts = [(se_ids[a:b], cut(R, a, b), None if model is None else _heads(model, a, b), cut(thr, a, b))
+             for a, b in se_blocks(n, size)]
+    shared = None if model is None else sc.broadcast(_model_block(model, 0, 0))
+    return shared, [sc.broadcast(p) for p in parts]
 
-    def run(batches):
-        se, Rm, th = bc.value
-        for pdf in batches:
-            x1, p1 = _mat(pdf["vec1"], width)
-            x2, p2 = _mat(pdf["vec2"], width)
-            ok = p1 & p2
-            if not ok.any() or len(se) == 0:
-                continue
-            x1, x2 = x1[ok], x2[ok]
-            d1 = pdf["drug1"].to_numpy()[ok]
-            d2 = pdf["drug2"].to_numpy()[ok]
-            P = x1.shape[0]
-            step = max(1, cells // max(1, P * width))
-            for a in range(0, len(se), step):
-                r = Rm[a:a + step][None, :, :]
-                u = x1[:, None, :] + r - x2[:, None, :]
-                v = x2[:, None, :] + r - x1[:, None, :]
-                du = np.sqrt(np.einsum("psd,psd->ps", u, u))
-                dv = np.sqrt(np.einsum("psd,psd->ps", v, v))
-                sx, sy = du + dv, dv + du
-                mean = (sx + sy) / 2
-                mask = (mean < th[None, a:a + step]) if flagged_only else np.ones_like(mean, dtype=bool)
-                pi, si = np.nonzero(mask)
-                if len(pi):
-                    yield pd.DataFrame({"drug1": d1[pi], "drug2": d2[pi], "se": se[a + si].astype(np.int32),
-                                        "predicted_score_x": sx[pi, si], "predicted_score_y": sy[pi, si],
-                                        "mean_predicted_score": mean[pi, si]})
-
-    return pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, schema)
+
+def _heads(model: PairModel, a: int, b: int) -> PairModel:
+    """Only the per-side-effect part of a range of side effects."""
+    none = {k: None for k in model.__dict__ if k not in ("se_ids", "heads", "tails", "r", "extra")}
+    return PairModel(**none, se_ids=model.se_ids[a:b], heads=model.heads[a:b], tails=model.tails[a:b], r=model.r[a:b])
 
 
 def score_rows_full(rows_with_vecs: DataFrame, model: PairModel) -> DataFrame:
     """Score each row's *own* side effect with the full model, both
     orientations in one pass: adds ``score_fwd`` (drug1, drug2) and
-    ``score_rev`` (drug2, drug1). Inside an Arrow batch the rows are grouped
-    by side effect and each group is one GEMM against that head. Rows with a
+    ``score_rev`` (drug2, drug1). Inside an Arrow batch the rows are sorted by
+    side effect once and each run is one GEMM against that head. Rows with a
     missing profile or an unknown side effect get NULL scores."""
-    spark = rows_with_vecs.sparkSession
-    _check_size(model.nbytes(), "pair model")
-    bc = spark.sparkContext.broadcast(model)
+    shared, parts = _blocks(rows_with_vecs.sparkSession, model.se_ids, None, model, None)
     d_in = model.W1.shape[0]
     keep = [c for c in rows_with_vecs.columns if c not in ("vec1", "vec2")]
     schema = T.StructType([f for f in rows_with_vecs.schema.fields if f.name in keep] +
                           [T.StructField("score_fwd", T.DoubleType()), T.StructField("score_rev", T.DoubleType())])
 
     def run(batches):
-        m = bc.value
-        pos = {int(s): i for i, s in enumerate(m.se_ids)}
+        m = shared.value
         for pdf in batches:
             x1, p1 = _mat(pdf["vec1"], d_in)
             x2, p2 = _mat(pdf["vec2"], d_in)
             fwd = np.full(len(pdf), np.nan)
             rev = np.full(len(pdf), np.nan)
-            se_idx = pdf["se"].map(lambda v: pos.get(int(v), -1) if pd.notna(v) else -1).to_numpy()
-            ok = p1 & p2 & (se_idx >= 0)
-            if ok.any():
+            se = pdf["se"].fillna(-1).to_numpy().astype(np.int64)
+            ok = np.flatnonzero(p1 & p2)
+            ok = ok[np.argsort(se[ok], kind="stable")]
+            if len(ok):
                 a1, a2, *_ = m.embed(x1[ok], x2[ok])
                 b1, b2, *_ = m.embed(x2[ok], x1[ok])
-                idx_ok = np.nonzero(ok)[0]
-                for k in np.unique(se_idx[ok]):
-                    sel = se_idx[ok] == k
-                    sub = _model_block(m, k, k + 1)
-                    fwd[idx_ok[sel]] = sub.scores(a1[sel], a2[sel])[:, 0]
-                    rev[idx_ok[sel]] = sub.scores(b1[sel], b2[sel])[:, 0]
+                begin = np.flatnonzero(np.concatenate([[True], se[ok][1:] != se[ok][:-1]]))
+                for part in parts:
+                    ids, _, heads, _ = part.value
+                    at = np.searchsorted(ids, se[ok][begin])
+                    for lo, hi, k in zip(begin, np.append(begin[1:], len(ok)), at):
+                        if k < len(ids) and ids[k] == se[ok[lo]]:
+                            one = _heads(heads, k, k + 1)
+                            fwd[ok[lo:hi]] = one.scores(a1[lo:hi], a2[lo:hi])[:, 0]
+                            rev[ok[lo:hi]] = one.scores(b1[lo:hi], b2[lo:hi])[:, 0]
             res = pdf[keep].copy()
             res["score_fwd"] = pd.array(np.where(np.isnan(fwd), None, fwd), dtype="Float64")
             res["score_rev"] = pd.array(np.where(np.isnan(rev), None, rev), dtype="Float64")
@@ -428,25 +346,35 @@ def _rank_rows(d1, d2, se_ids, sx, sy, th, top):
                          "total_predicted_reactions": total[pi].astype(np.int64)})
 
 
+def _merge_blocks(found: list[pd.DataFrame], top: int) -> pd.DataFrame:
+    """Ranked rows of several blocks of side effects as one ranking per pair."""
+    rows = pd.concat(found, ignore_index=True)
+    pair = ["drug1", "drug2"]
+    # each block repeats its own count on its rows
+    blocks = rows.groupby([*pair, "_block"], sort=False)["total_predicted_reactions"].first()
+    total = blocks.groupby(pair, sort=False).sum().rename("total_predicted_reactions").reset_index()
+    rows = rows.drop(columns=["total_predicted_reactions", "_block"]).sort_values(
+        [*pair, "gap", "se"], ascending=[True, True, False, True], kind="stable")
+    rows["rank"] = (rows.groupby(pair, sort=False).cumcount() + 1).astype(np.int32)
+    return rows[rows["rank"] <= top].merge(total, on=pair)[RANKED_SCHEMA.fieldNames()]
+
+
 def screen_ranked(pairs_with_vecs: DataFrame, thr: np.ndarray, top: int, se_ids: np.ndarray | None = None,
                   R: np.ndarray | None = None, model: PairModel | None = None,
                   cells: int = 4_000_000) -> DataFrame:
     """Screen of *distinct* pairs with the ranking done in the kernel: each
-    pair is scored against the whole catalogue (identity head ``R`` or the
-    full ``model``) inside one task, so its flagged count and its top ``top``
-    side effects are final there -- only those rows leave the batch and no
-    ranking shuffle follows. ``thr`` is aligned with the catalogue order
-    (ascending se). Rows are processed in chunks so the pair x catalogue
-    matrices stay within ``cells`` values."""
-    spark = pairs_with_vecs.sparkSession
+    pair is embedded once and scored against the whole catalogue (identity head
+    ``R`` or the full ``model``), block of side effects by block, inside one
+    task, so its flagged count and its top ``top`` side effects are final there
+    -- only those rows leave the batch and no ranking shuffle follows. ``thr`` is
+    aligned with the catalogue order (ascending se). Rows are processed in
+    chunks so the pair x block matrices stay within ``cells`` values."""
     if model is not None:
         se_ids = model.se_ids
-        _check_size(model.nbytes() + thr.nbytes, "pair model")
         width = model.W1.shape[0]
     else:
-        _check_size(R.nbytes + thr.nbytes, "identity head")
         width = R.shape[1] if R.size else 0
-    bc = spark.sparkContext.broadcast((se_ids, R, model, thr))
+    shared, parts = _blocks(pairs_with_vecs.sparkSession, se_ids, R, model, thr)
 
     def identity_scores(x1, x2, Rm):
         S = Rm.shape[0]
@@ -464,29 +392,31 @@ def screen_ranked(pairs_with_vecs: DataFrame, thr: np.ndarray, top: int, se_ids:
         return sx, sy
 
     def run(batches):
-        se, Rm, m, th = bc.value
-        S = len(se)
-        chunk = max(1, cells // max(1, S))
         for pdf in batches:
             x1, p1 = _mat(pdf["vec1"], width)
             x2, p2 = _mat(pdf["vec2"], width)
             ok = p1 & p2
-            if not ok.any() or S == 0:
+            if not ok.any() or not parts:
                 continue
             x1, x2 = x1[ok], x2[ok]
             d1 = pdf["drug1"].to_numpy()[ok]
             d2 = pdf["drug2"].to_numpy()[ok]
+            chunk = max(1, cells // max(len(p.value[0]) for p in parts))
             for c in range(0, x1.shape[0], chunk):
                 a1, a2 = x1[c:c + chunk], x2[c:c + chunk]
-                if m is None:
-                    sx, sy = identity_scores(a1, a2, Rm)
-                else:
-                    e1, e2, *_ = m.embed(a1, a2)
-                    f1, f2, *_ = m.embed(a2, a1)
-                    sx, sy = m.scores(e1, e2), m.scores(f1, f2)
-                out = _rank_rows(d1[c:c + chunk], d2[c:c + chunk], se, sx, sy, th, top)
-                if len(out):
-                    yield out
+                if shared is not None:
+                    e1, e2, *_ = shared.value.embed(a1, a2)
+                    f1, f2, *_ = shared.value.embed(a2, a1)
+                found = []
+                for k, part in enumerate(parts):
+                    ids, Rm, heads, th = part.value
+                    sx, sy = (identity_scores(a1, a2, Rm) if heads is None
+                              else (heads.scores(e1, e2), heads.scores(f1, f2)))
+                    rows = _rank_rows(d1[c:c + chunk], d2[c:c + chunk], ids, sx, sy, th, top)
+                    if len(rows):
+                        found.append(rows.assign(_block=k))
+                if found:
+                    yield (found[0][RANKED_SCHEMA.fieldNames()] if len(parts) == 1 else _merge_blocks(found, top))
 
     return pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, RANKED_SCHEMA)
 
@@ -538,7 +468,6 @@ def predict_expression(desc: DataFrame, model: FeatureModel, keep: Sequence[str]
     """``desc`` has ``fp`` and ``desc`` array columns (see ``reshape.split_*``);
     adds ``pred`` (array of doubles in [-10, 10])."""
     spark = desc.sparkSession
-    _check_size(model.nbytes(), "feature model")
     bc = spark.sparkContext.broadcast(model)
     keep = list(keep)
     schema = T.StructType([f for f in desc.schema.fields if f.name in keep] +
@@ -562,8 +491,9 @@ def load_pair_model(spark: SparkSession, path: str) -> PairModel:
     """Read pair-model weights written by ``save_pair_model`` (parquet: one
     row per tensor, name + shape + flat values). Weights are parameters of
     the catalogue's size, read on the driver once and broadcast."""
-    rows = spark.read.parquet(path).collect()
-    t = {r["name"]: np.asarray(r["values"], dtype=float).reshape(r["shape"]) for r in rows}
+    # one tensor at a time: the driver holds the model once, not the rows beside it
+    t = {r["name"]: np.asarray(r["values"], dtype=float).reshape(r["shape"])
+         for r in spark.read.parquet(path).toLocalIterator()}
     bn = lambda p: {k: t[f"{p}.{k}"] for k in ("gamma", "beta", "mean", "var")}
     return PairModel(W1=t["W1"], b1=t["b1"], bn1=bn("bn1"), G1=t["G1"], g1=t["g1"], G2=t["G2"], g2=t["g2"],
                      bn_s1=bn("bn_s1"), bn_s2=bn("bn_s2"), V=t["V"], v=t["v"], bn_e=bn("bn_e"),

@@ -7,7 +7,7 @@ reference (``SE`` then one column per sample) is only an edge format.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gap, mean_of_orientations, predicted_label
@@ -19,35 +19,27 @@ MERGED_COLUMNS = ["drug1", "drug2", "se", "label", "predicted_label_x", "predict
                   "final_predicted_label", "gap", "n_copies"]
 
 
-def threshold_mean(thr: DataFrame, mode: str = "compat", out: str = "optimal_thr") -> DataFrame:
-    """One threshold per se from ``n`` calibration samples.
+def threshold_mean(thr: DataFrame, mode: str = "last5", out: str = "optimal_thr") -> DataFrame:
+    """One threshold per se from ``n`` calibration samples; ``n`` is the width of
+    the whole table (its largest sample number + 1), so a side effect that lacks
+    the last samples still averages the same sample numbers as the others.
 
-    ``mode='compat'`` reproduces the reference's slice of the wide frame
-    ``[SE, t0 .. t(n-1)]``: columns ``-7 .. -3`` (the last two samples are
-    skipped). With ``n >= 7`` that is samples ``n-7 .. n-3``; with ``2 <= n <= 6``
-    the se id itself is part of the average; with ``n = 1`` nothing is left and
-    the threshold is NULL. ``mode='last5'`` averages the last five samples.
-    Missing sample values are skipped, as in a pandas mean.
+    ``mode='last5'`` averages the last five samples. ``mode='compat'`` is the
+    reference's slice of the wide frame, samples ``n-7 .. n-3``; fewer than seven
+    samples are refused, as that slice would run into the id column. Missing
+    sample values are skipped, as in a pandas mean.
     """
-    n = F.max("sample_no").over(Window.partitionBy("se")) + 1
-    t = thr.select("se", "sample_no", "thr", n.alias("_n"))
-    j = F.col("sample_no") + 1                      # column index in the wide frame
+    last = thr.agg(F.max("sample_no")).first()[0]
+    n = 0 if last is None else last + 1
     if mode == "compat":
-        lo = F.greatest(F.lit(0), F.col("_n") + 1 - 7)
-        hi = F.col("_n") + 1 - 3
-        take = (j >= lo) & (j <= hi)
-        with_se = (lo == 0) & (hi >= 0)
+        if 0 < n < 7:
+            raise ValueError(f"mode 'compat' needs at least 7 samples, found {n}")
+        lo, hi = n - 7, n - 3
     elif mode == "last5":
-        take = F.col("sample_no") >= F.col("_n") - 5
-        with_se = F.lit(False)
+        lo, hi = n - 5, n - 1
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    v = F.when(take, F.col("thr"))
-    agg = t.groupBy("se").agg(F.sum(v).alias("_s"), F.count(v).alias("_c"),
-                              F.max(with_se.cast("int")).alias("_with_se"))
-    s = F.coalesce(F.col("_s"), F.lit(0.0)) + F.when(F.col("_with_se") == 1, F.col("se").cast("double")).otherwise(0.0)
-    c = F.col("_c") + F.col("_with_se")
-    return agg.select("se", F.when(c > 0, s / c).alias(out))
+    return thr.groupBy("se").agg(F.avg(F.when(F.col("sample_no").between(lo, hi), F.col("thr"))).alias(out))
 
 
 def apply_threshold(scored: DataFrame, thr: DataFrame, score: str = "predicted_score",

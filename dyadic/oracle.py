@@ -11,17 +11,17 @@ from __future__ import annotations
 FIXTURE_CTES = """
 fx_pairs_raw as (
   select a.drug1, b.drug2, a.se, a.label, a.c1, b.c2, a.n1 * b.n2 n
-  from (select l_orderkey order_key, l_linenumber + 1 line_no, l_suppkey drug1,
+  from (select l_orderkey order_key, l_linenumber line_no, l_suppkey drug1,
                cast(l_quantity as integer) % 30 se, case when l_returnflag = 'R' then 1 else 0 end label,
                cast(round(l_extendedprice * 100) as bigint) c1, count(*) n1
         from lineitem group by all) a
   join (select l_orderkey order_key, l_linenumber line_no, l_suppkey drug2,
                cast(round(l_extendedprice * 100) as bigint) c2, count(*) n2
         from lineitem group by all) b
-    on a.order_key = b.order_key and a.line_no = b.line_no
+    on a.order_key = b.order_key and a.line_no < b.line_no
   where a.drug1 <> b.drug2),
 fx_scored as (
-  select (drug1 * 100000 + drug2) * 100 + se row_id, drug1, drug2, se,
+  select (drug1 * 1000000000 + drug2) * 100 + se row_id, drug1, drug2, se,
          case when 3 * sum(label * n) > sum(n) then 1 else 0 end label,
          cast(sum(c1 * n) as double) / sum(n) / 1e7 score_fwd,
          cast(sum(c2 * n) as double) / sum(n) / 1e7 score_rev
@@ -31,7 +31,7 @@ fx_drug as (
   select s_suppkey drug_id, 'CID' || lpad(cast(s_suppkey as varchar), 9, '0') stitch_id, s_name name
   from supplier),
 fx_profile as (
-  select vec_id drug_id, cast(embedding as double[]) vec from embeddings where label <> 3),
+  select vec_id drug_id, cast(embedding as double[]) vec from embeddings),
 fx_side_effect as (select n_nationkey se, n_name name from nation),
 fx_se_cat as (select distinct cast(l_quantity as integer) % 30 se from lineitem),
 fx_threshold as (

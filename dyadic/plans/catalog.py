@@ -113,7 +113,7 @@ select s.drug1, s.drug2, s.se, s.label, round(s.score_fwd, 6) predicted_score,
 from fx_scored s left join fx_thr_mean t on s.se = t.se"""))
 def q_apply_threshold(spark, sf):
     ori, _ = orientations(fx.scored(spark, sf))
-    thr = threshold_mean(fx.threshold(spark, sf))
+    thr = threshold_mean(fx.threshold(spark, sf), "compat")
     return rounded(apply_threshold(ori, thr))
 
 
@@ -123,7 +123,7 @@ from fx_scored s left join fx_thr_mean t on s.se = t.se"""))
 def q_threshold_lookup(spark, sf):
     from ..operators.joins import threshold_lookup
     s = fx.scored(spark, sf).select("row_id", "se")
-    return rounded(threshold_lookup(s, threshold_mean(fx.threshold(spark, sf))))
+    return rounded(threshold_lookup(s, threshold_mean(fx.threshold(spark, sf), "compat")))
 
 
 # ---------------------------------------------------------------- curve metrics
@@ -220,7 +220,7 @@ from (select s.se, s.label, cast(coalesce(s.score_fwd < t.optimal_thr, false) as
       from fx_scored s left join fx_thr_mean t on s.se = t.se) s group by s.se"""))
 def q_confusion_counts(spark, sf):
     ori, _ = orientations(fx.scored(spark, sf))
-    lab = apply_threshold(ori, threshold_mean(fx.threshold(spark, sf)))
+    lab = apply_threshold(ori, threshold_mean(fx.threshold(spark, sf), "compat"))
     return M.confusion_counts(lab, "predicted_label")
 
 
@@ -235,7 +235,7 @@ from (select s.se,
         from fx_scored s left join fx_thr_mean t on s.se = t.se) s group by s.se)"""))
 def q_sn_sp_pr(spark, sf):
     ori, _ = orientations(fx.scored(spark, sf))
-    lab = apply_threshold(ori, threshold_mean(fx.threshold(spark, sf)))
+    lab = apply_threshold(ori, threshold_mean(fx.threshold(spark, sf), "compat"))
     return rounded(M.sn_sp_pr(M.confusion_counts(lab, "predicted_label")).select("se", "sn", "sp", "pr"))
 
 
@@ -246,7 +246,7 @@ q_lab as (select s.drug1, s.drug2, s.se, s.label, s.score_fwd predicted_score,
     *O.perf_ctes("q_lab", "predicted_label", "predicted_score"), select=O.perf_select("pf")))
 def q_test_performance(spark, sf):
     ori, _ = orientations(fx.scored(spark, sf))
-    lab = apply_threshold(ori, threshold_mean(fx.threshold(spark, sf)))
+    lab = apply_threshold(ori, threshold_mean(fx.threshold(spark, sf), "compat"))
     return rounded(M.test_performance(lab))
 
 
@@ -398,21 +398,15 @@ def q_tail_validation_split(spark, sf):
     return S.tail_validation_split(fx.pairs(spark, sf).select("row_id"), 0.1)
 
 
-@register("batch_assign", O.with_fixtures(select="""
-select row_id, cast(floor((row_number() over (order by row_id) - 1) / 1024) as bigint) batch_id from fx_pairs"""))
-def q_batch_assign(spark, sf):
-    return S.batch_assign(fx.pairs(spark, sf).select("row_id"), 1024)
-
-
 # --------------------------------------------------------------- Q3 screen
 from ..functions import scalar as C  # noqa: E402
-from ..operators.joins import pair_se_grid, profile_lookup, se_name_lookup  # noqa: E402
-from ..operators.scoring import identity_score, se_translation_fit  # noqa: E402
+from ..operators.joins import profile_lookup, se_name_lookup  # noqa: E402
+from ..operators.scoring import identity_score, se_translation_fit_by_counts  # noqa: E402
 from .screen import score_identity, screen, valid_requests  # noqa: E402
 
 
 def _r_table(spark, sf):
-    return se_translation_fit(profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf)))
+    return se_translation_fit_by_counts(fx.pairs(spark, sf), fx.profile(spark, sf))
 
 
 def _screen(spark, sf):
@@ -484,8 +478,8 @@ def q_top_side_effects(spark, sf):
 
 @register("sink_pair_json", O.with_fixtures(*_SCREEN_CTES, """
 q_items as (select drug1, drug2, max(total_predicted_reactions) total,
-  '[' || string_agg(printf('{"se_id": %d, "name": "%s", "confidence_gap": %.4f, "probability_score": %.4f}',
-                           se, name, confidence_gap, probability_score), ', ' order by rank) || ']' items
+  '[' || string_agg(printf('{"se_id": %d, "name": %s, "confidence_gap": %.4f, "probability_score": %.4f}',
+                           se, cast(to_json(name) as varchar), confidence_gap, probability_score), ', ' order by rank) || ']' items
   from q_res group by drug1, drug2)""", select="""
 select v.request_id, v.drug1, v.drug2, 'success' status, coalesce(i.total, 0) total_predicted_reactions,
   coalesce(i.items, '[]') top_results,
@@ -513,23 +507,17 @@ def q_src_requests(spark, sf):
     return valid_requests(fx.requests(spark, sf), distinct_guard=True)[1]
 
 
-@register("pair_se_cross", O.with_fixtures("""
-q_pairs as (select distinct drug1, drug2 from fx_request
-  where drug1 is not null and drug2 is not null and drug1 <> 0 and drug2 <> 0)""",
-    select="select p.drug1, p.drug2, c.se from q_pairs p cross join fx_se_cat c"))
-def q_pair_se_cross(spark, sf):
-    v, _ = valid_requests(fx.requests(spark, sf))
-    return pair_se_grid(v.select("drug1", "drug2").distinct(), fx.se_catalogue(spark, sf))
-
-
-@register("translation_score", O.with_fixtures(*_SCREEN_CTES, select="""
-select drug1, drug2, se, round(sx, 6) score from q_sc"""))
+@register("translation_score", O.with_fixtures(*_R_CTES, f"""
+q_s as (select p.row_id, p.drug1, p.drug2, p.se,
+  case when p.vec1 is null or p.vec2 is null or r.r is null then null
+       else {_dist_sql('p.vec1', 'p.vec2', 'r.r')} + {_dist_sql('p.vec2', 'p.vec1', 'r.r')} end score
+  from q_pv p left join q_r r on p.se = r.se)""",
+    select="select row_id, drug1, drug2, se, round(score, 6) score from q_s"))
 def q_translation_score(spark, sf):
-    v, _ = valid_requests(fx.requests(spark, sf))
-    pairs = v.select("drug1", "drug2").distinct()
-    s = score_identity(pairs, fx.profile(spark, sf), _r_table(spark, sf),
-                       threshold_mean(fx.screen_threshold(spark, sf), "last5"), fx.se_catalogue(spark, sf))
-    return rounded(s.select("drug1", "drug2", "se", F.col("predicted_score_x").alias("score")))
+    """Identity-head score of every observed (pair, se) row."""
+    s = score_identity(fx.pairs(spark, sf).select("row_id", "drug1", "drug2", "se"), fx.profile(spark, sf),
+                       _r_table(spark, sf), threshold_mean(fx.screen_threshold(spark, sf), "last5"))
+    return rounded(s.select("row_id", "drug1", "drug2", "se", F.col("predicted_score_x").alias("score")))
 
 
 @register("predict_pairs", O.with_fixtures(*_R_CTES, """
@@ -556,10 +544,10 @@ def q_predict_pairs(spark, sf):
 
 
 @register("flagged_only", O.with_fixtures(*O.MERGED_CTES, select="""
-select drug1, drug2, se, round(gap, 6) gap from q1_merged where final_predicted_label = 1"""))
+select drug1, drug2, se, round(gap, 6) gap, n_copies from q1_merged where final_predicted_label = 1"""))
 def q_flagged_only(spark, sf):
     m = _evaluation(spark, sf).merged
-    return rounded(m.where(F.col("final_predicted_label") == 1).select("drug1", "drug2", "se", "gap"))
+    return rounded(m.where(F.col("final_predicted_label") == 1).select("drug1", "drug2", "se", "gap", "n_copies"))
 
 
 @register("se_name_lookup", O.with_fixtures(select="""
@@ -613,19 +601,12 @@ def q_drug_menu(spark, sf):
     return d.select("drug_id", "name", C.drug_menu_text("name", "drug_id").alias("menu_text"))
 
 
-@register("src_drug", O.with_fixtures(select="select drug_id, stitch_id, name from fx_drug"))
-def q_src_drug(spark, sf):
-    return fx.drug(spark, sf)
-
-
 @register("sink_metadata", O.with_fixtures(select="""
-select drug_id, name, '{"pubchemID": ' || cast(drug_id as varchar) || ', "name": "' || name || '"}' record
+select drug_id, name, '{"pubchemID": ' || cast(drug_id as varchar) || ', "name": ' || to_json(name) || '}' record
 from fx_drug"""))
 def q_sink_metadata(spark, sf):
     d = fx.drug(spark, sf)
-    rec = F.concat(F.lit('{"pubchemID": '), F.col("drug_id").cast("string"), F.lit(', "name": "'), F.col("name"),
-                   F.lit('"}'))
-    return d.select("drug_id", "name", rec.alias("record"))
+    return d.select("drug_id", "name", SK.drug_record().alias("record"))
 
 
 # ------------------------------------------------------- Q4 signature analysis
@@ -644,7 +625,7 @@ _LISTS_CTE = """q_lists as (select f.drug1, f.drug2, list(o.se order by o.se) se
 @register("drug_positive_pairs", O.with_fixtures(select="""
 select drug1 focus, row_id, drug1, drug2, se, label from fx_pairs where label = 1
 union all
-select drug2 focus, row_id, drug1, drug2, se, label from fx_pairs where label = 1 and drug1 <> drug2"""))
+select drug2 focus, row_id, drug1, drug2, se, label from fx_pairs where label = 1"""))
 def q_drug_positive_pairs(spark, sf):
     return A.drug_positive_pairs(fx.pairs(spark, sf))
 
@@ -657,7 +638,7 @@ def q_first_positive_pair(spark, sf):
 @register("drug_pairs_both_sides", O.with_fixtures(_FIRST_CTE, select="""
 select drug1 focus, drug1, drug2, row_id, se, label from q_first
 union all
-select drug2 focus, drug2 drug1, drug1 drug2, row_id, se, label from q_first where drug1 <> drug2"""))
+select drug2 focus, drug2 drug1, drug1 drug2, row_id, se, label from q_first"""))
 def q_drug_pairs_both_sides(spark, sf):
     return A.drug_pairs_both_sides(fx.pairs(spark, sf))
 
@@ -665,7 +646,7 @@ def q_drug_pairs_both_sides(spark, sf):
 @register("pair_se_list", O.with_fixtures(_FIRST_CTE, _LISTS_CTE, select="""
 select drug1 focus, drug1, drug2, array_to_string(se_list, ',') se_list from q_lists
 union all
-select drug2 focus, drug1, drug2, array_to_string(se_list, ',') se_list from q_lists where drug1 <> drug2"""))
+select drug2 focus, drug1, drug2, array_to_string(se_list, ',') se_list from q_lists"""))
 def q_pair_se_list(spark, sf):
     s = A.se_lists(fx.pairs(spark, sf))
     return s.select("focus", "drug1", "drug2", F.array_join("se_list", ",").alias("se_list"))
@@ -685,9 +666,9 @@ def q_pair_se_binary(spark, sf):
 select drug_id, rank, pos, 1000 + pos gene_id, round(a, 6) abs_value from (
   select drug_id, pos, a, row_number() over (partition by drug_id order by a desc, pos) rank from (
     select drug_id, unnest(range(0, len(vec))) pos, abs(unnest(vec)) a from fx_profile))
-where rank <= 10"""))
+where rank <= 100"""))
 def q_top_genes(spark, sf):
-    t = A.top_positions(fx.profile(spark, sf), "vec", 10, fx.gene_header(64))
+    t = A.top_positions(fx.profile(spark, sf), "vec", 100, fx.gene_header(64))
     return rounded(t.select("drug_id", F.col("rank").cast("bigint"), F.col("pos").cast("bigint"), "gene_id",
                             "abs_value"))
 
@@ -724,10 +705,10 @@ def q_fill_zero(spark, sf):
 _DESC_CTE = """q_desc as (select vec_id row_id,
   list_transform(embedding[1:16], lambda x: case when x > 0 then 1.0 else 0.0 end)
     || [case when embedding[17] > embedding[18] then 1.0 else 0.0 end] fp,
-  cast(embedding[17:26] as double[]) d, cast(embedding[27:34] as double[]) y from embeddings)"""
+  cast(embedding[17:40] as double[]) d, cast(embedding[41:64] as double[]) y from embeddings)"""
 
 
-def _parts(spark, sf, n_desc=10):
+def _parts(spark, sf, n_desc=fx.N_DESC):
     return R.split_descriptor_both(fx.descriptors(spark, sf), n_desc, keep=("row_id",))
 
 
@@ -758,7 +739,7 @@ def q_split_fp_label(spark, sf):
 @register("split_desc_label", O.with_fixtures(_DESC_CTE, select="""
 select row_id, len(d) n_desc, len(y) n_y, round(list_sum(d), 6) desc_sum, round(list_sum(y), 6) y_sum from q_desc"""))
 def q_split_desc_label(spark, sf):
-    p = R.split_desc_label(fx.descriptors(spark, sf), 10, keep=("row_id",))
+    p = R.split_desc_label(fx.descriptors(spark, sf), fx.N_DESC, keep=("row_id",))
     sm = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return rounded(p.select("row_id", F.size("desc").cast("bigint").alias("n_desc"),
                             F.size("y").cast("bigint").alias("n_y"), sm("desc").alias("desc_sum"),
@@ -772,12 +753,12 @@ def q_split_features(spark, sf):
     return p.select("row_id", F.size("fp").cast("bigint").alias("n_fp"), F.size("desc").cast("bigint").alias("n_desc"))
 
 
-_PAIRED_CTE = "q_py as (select row_id, y, d[1:8] p from q_desc)"
+_PAIRED_CTE = "q_py as (select row_id, y, d p from q_desc)"
 
 
 def _paired(spark, sf):
     p = _parts(spark, sf)
-    return p.select("row_id", "y", F.slice("desc", 1, 8).alias("pred"))
+    return p.select("row_id", "y", F.col("desc").alias("pred"))
 
 
 def _pearson_sql(a, b):
@@ -796,7 +777,7 @@ def q_row_pearson(spark, sf):
 
 
 @register("gene_pearson", O.with_fixtures(_DESC_CTE, _PAIRED_CTE, """
-q_z as (select unnest(range(0, 8)) pos, unnest(y) t, unnest(p) p from q_py)""", """
+q_z as (select unnest(range(0, 24)) pos, unnest(y) t, unnest(p) p from q_py)""", """
 q_s as (select pos, count(*) n, sum(t) st, sum(p) sp, sum(t * p) stp, sum(t * t) stt, sum(p * p) spp
   from q_z group by pos)""", select="""
 select cast(pos as integer) pos, round(greatest(-1.0, least(1.0, (stp - st * sp / n) /
@@ -813,16 +794,17 @@ def q_mse(spark, sf):
 
 
 @register("ridge_gram", O.with_fixtures(_DESC_CTE, """
-q_x as (select row_id, [1.0] || d x, y from q_desc)""", """
-q_l as (select row_id, unnest(range(0, 11)) i, unnest(x) xi from q_x)""", """
-q_r as (select row_id, unnest(range(0, 8)) j, unnest(y) yj from q_x)""", select="""
+q_x as (select row_id, [1.0] || fp || d x, y from q_desc)""", """
+q_l as (select row_id, unnest(range(0, 42)) i, unnest(x) xi from q_x)""", """
+q_r as (select row_id, unnest(range(0, 24)) j, unnest(y) yj from q_x)""", select="""
 select 'xx' block, cast(a.i as integer) i, cast(b.i as integer) j, round(sum(a.xi * b.xi), 6) value
 from q_l a join q_l b on a.row_id = b.row_id group by a.i, b.i
 union all
 select 'xy' block, cast(a.i as integer) i, cast(b.j as integer) j, round(sum(a.xi * b.yj), 6) value
 from q_l a join q_r b on a.row_id = b.row_id group by a.i, b.j"""))
 def q_ridge_gram(spark, sf):
-    return rounded(ridge_gram(_parts(spark, sf), "desc", "y", intercept=True).drop("rows"))
+    p = _parts(spark, sf).select(F.concat("fp", "desc").alias("x"), "y")
+    return rounded(ridge_gram(p, "x", "y", intercept=True).drop("rows"))
 
 
 @register("activations", O.with_fixtures(select="""
@@ -843,7 +825,7 @@ def q_se_distinct(spark, sf):
 
 
 # ------------------------------------------- model-based queries (rows only)
-from ..operators.scoring import FeatureModel, PairModel, pair_embed, predict_expression, screen_scores_full  # noqa: E402
+from ..operators.scoring import FeatureModel, PairModel, pair_embed, predict_expression  # noqa: E402
 from .profiles import predict_profiles  # noqa: E402
 from .signature import drug_signature  # noqa: E402
 
@@ -854,11 +836,6 @@ def _pair_model(width=64, emb=16, n_se=N_SE):
     return PairModel.random(MODEL_SEED, width, emb, list(range(n_se)))
 
 
-def _request_pairs(spark, sf):
-    v, _ = valid_requests(fx.requests(spark, sf))
-    return profile_lookup(v.select("drug1", "drug2").distinct(), fx.profile(spark, sf))
-
-
 @register("pair_embed")
 def q_pair_embed(spark, sf):
     """Embeddings of every distinct observed pair (both drugs), full model."""
@@ -876,9 +853,10 @@ def q_gated_profile(spark, sf):
 
 @register("translation_score_full")
 def q_translation_score_full(spark, sf):
-    """Both orientations of every requested pair against all side effects,
-    full heads, every score emitted (no threshold)."""
-    return screen_scores_full(_request_pairs(spark, sf), _pair_model(), None, flagged_only=False)
+    """Both orientations of every observed (pair, se) row, full heads."""
+    from ..operators.scoring import score_rows_full
+    rows = fx.pairs(spark, sf).select("row_id", "drug1", "drug2", "se")
+    return score_rows_full(profile_lookup(rows, fx.profile(spark, sf)), _pair_model())
 
 
 @register("screen_full")
@@ -892,14 +870,14 @@ def q_screen_full(spark, sf):
 
 @register("predict_expression")
 def q_predict_expression(spark, sf):
-    m = FeatureModel.random(MODEL_SEED, 17, 10, 8, "both", hidden_fp=(12, 6), hidden_pr=(6,))
+    m = FeatureModel.random(MODEL_SEED, 17, fx.N_DESC, fx.N_DESC, "both", hidden_fp=(12, 6), hidden_pr=(6,))
     return predict_expression(_parts(spark, sf), m)
 
 
 @register("predict_profiles")
 def q_predict_profiles(spark, sf):
     """Descriptors -> ridge fit on Spark -> predictions -> quality summary."""
-    return predict_profiles(fx.descriptors(spark, sf), 10).quality
+    return predict_profiles(fx.descriptors(spark, sf), fx.N_DESC).quality
 
 
 @register("ridge_fit")
@@ -916,17 +894,25 @@ def q_profile_clusters(spark, sf):
     return A.profile_clusters(fx.profile(spark, sf), "vec", 5)
 
 
-@register("drug_signature")
+@register("drug_signature", O.with_fixtures(_FIRST_CTE, """
+q_top as (select drug_id, rank, pos, 1000 + pos gene_id, a from (
+  select drug_id, pos, a, row_number() over (partition by drug_id order by a desc, pos) rank from (
+    select drug_id, unnest(range(0, len(vec))) pos, abs(unnest(vec)) a from fx_profile)) where rank <= 100)""", """
+q_both as (select drug1 focus, drug1, drug2 from q_first union all select drug2 focus, drug2 drug1, drug1 drug2 from q_first)""",
+    select="""
+select b.focus, b.drug1, b.drug2, t.rank, t.pos, t.gene_id, round(t.a, 6) abs_value
+from q_both b join q_top t on b.drug1 = t.drug_id"""))
 def q_drug_signature(spark, sf):
     """Top-genes table of the signature job (identity model) for all drugs."""
-    sig = drug_signature(fx.pairs(spark, sf), fx.profile(spark, sf), N_SE, k=10, genes=fx.gene_header(64))
-    return sig.top_genes
+    sig = drug_signature(fx.pairs(spark, sf), fx.profile(spark, sf), N_SE, k=100, genes=fx.gene_header(64))
+    return rounded(sig.top_genes.select("focus", "drug1", "drug2", F.col("rank").cast("bigint"),
+                                        F.col("pos").cast("bigint"), "gene_id", "abs_value"))
 
 
 @register("signature_clusters")
 def q_signature_clusters(spark, sf):
     """Clusters of the focus drugs' pair vectors (identity model)."""
-    sig = drug_signature(fx.pairs(spark, sf), fx.profile(spark, sf), N_SE, k=10, genes=fx.gene_header(64))
+    sig = drug_signature(fx.pairs(spark, sf), fx.profile(spark, sf), N_SE, k=100, genes=fx.gene_header(64))
     return sig.clusters()
 
 
@@ -941,23 +927,22 @@ def q_se_one_hot(spark, sf):
 # ------------------------------------------------------------ Q6 stream
 @register("screen_stream", ORACLE["sink_pair_json"])
 def q_screen_stream(spark, sf):
-    """The request stream (events file as a stream source) screened by
-    ``foreachBatch`` into a parquet sink under the session's checkpoint dir;
-    the result read back must equal the batch responses."""
+    """The request stream screened by ``foreachBatch`` into a parquet sink under
+    the session's checkpoint dir, four files and one file per micro-batch; the
+    result read back must equal the batch responses."""
     import uuid
     from ..session import ensure_checkpoint_dir
     from ..streaming import screen_stream as ss
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/screen_stream/{uuid.uuid4().hex}"
-    ev_schema = fx.table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(ev_schema).option("basePath", sf).parquet(f"{sf}/events.parque[t]")
-              .select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"),
-                      F.col("user_id").alias("drug1"),
-                      (F.col("event_id") % 1000).alias("drug2")))
+    requests = fx.requests(spark, sf)
+    requests.repartition(4, "request_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     side = ss.prepare(fx.profile(spark, sf), fx.screen_threshold(spark, sf), fx.side_effect(spark, sf),
                       _r_table(spark, sf))
     q = ss.start(spark, stream, side, f"{base}/out", f"{base}/chk")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch_id")
+    schema = _screen(spark, sf).responses.schema
+    return spark.read.schema(schema).parquet(f"{base}/out/responses").select(*schema.names)
 
 
 # ------------------------------------------------------- sources and sinks
@@ -965,52 +950,74 @@ from ..sources import readers as RD  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 
 
+def _as_csv(spark, df, name):
+    """``df`` written as CSV part files below the checkpoint dir; the path."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{name}-{uuid.uuid4().hex}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@register("src_drug", O.with_fixtures(select="select drug_id, stitch_id, name from fx_drug"))
+def q_src_drug(spark, sf):
+    d = fx.drug(spark, sf).select(F.col("drug_id").alias("_idx"), F.col("stitch_id").alias("STITCH_id"), "name",
+                                  F.col("drug_id").alias("pubchemID"))
+    return RD.read_drug_csv(spark, _as_csv(spark, d, "drug"))
+
+
 @register("src_pairs_zip", O.with_fixtures(select="""
 select l_suppkey drug1, l_partkey drug2, l_linenumber se, case when l_returnflag = 'R' then 1 else 0 end label
 from lineitem"""))
 def q_src_pairs_zip(spark, sf):
-    """Features and labels as two separate projections of one file, zipped
-    back together by row position."""
+    """Features and labels as two files without an index, zipped by row position."""
     li = fx.table(spark, sf, "lineitem")
-    x = RD.with_row_index(li.select(F.col("l_suppkey").alias("drug1"), F.col("l_partkey").alias("drug2"),
-                                    F.col("l_linenumber").alias("se")))
-    y = RD.with_row_index(li.select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label")))
-    return x.join(y, "row_id").select("drug1", "drug2", "se", "label")
+    x = li.select(F.col("l_suppkey").alias("drug1"), F.col("l_partkey").alias("drug2"), F.col("l_linenumber").alias("SE"))
+    y = li.select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"))
+    return RD.read_pairs_zip(spark, _as_csv(spark, x, "x"), _as_csv(spark, y, "y")).drop("row_id")
 
 
 @register("src_side_effect", O.with_fixtures(select="select se, name from fx_side_effect"))
 def q_src_side_effect(spark, sf):
-    return fx.side_effect(spark, sf)
+    d = fx.side_effect(spark, sf).select(F.col("se").alias("SE_map"), F.col("name").alias("Side Effect Name"))
+    return RD.read_side_effect_csv(spark, _as_csv(spark, d, "side_effect"))
 
 
 @register("src_profile", O.with_fixtures(select="""
 select drug_id, len(vec) width, round(list_sum(vec), 6) total from fx_profile"""))
 def q_src_profile(spark, sf):
-    p = fx.profile(spark, sf)
+    wide = fx.profile(spark, sf).select(F.col("drug_id").alias("pubchem"),
+                                        *[F.col("vec")[i].alias(f"g{i}") for i in range(64)])
+    p = RD.read_profile_csv(spark, _as_csv(spark, wide, "profile"), 64)
     return rounded(p.select("drug_id", F.size("vec").cast("bigint").alias("width"),
                             F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
 @register("src_thresholds", O.with_fixtures(select="select se, sample_no, round(thr, 6) thr from fx_threshold"))
 def q_src_thresholds(spark, sf):
-    return rounded(fx.threshold(spark, sf))
+    names = list(range(fx.N_THRESHOLD_SAMPLES))
+    wide = (fx.threshold(spark, sf).groupBy("se").pivot("sample_no", names).agg(F.first("thr"))
+            .select(F.col("se").alias("_idx"), F.col("se").alias("SE"), *[F.col(str(k)).alias(f"t{k}") for k in names]))
+    return rounded(RD.read_thresholds_csv(spark, _as_csv(spark, wide, "threshold")))
 
 
 @register("src_occurrence", O.with_fixtures(select="""
 select se, cast(sum(n) as bigint) num_occur from fx_pairs_raw group by se"""))
 def q_src_occurrence(spark, sf):
-    """Occurrence count per side effect, derived from the observations."""
-    return fx.pairs_raw(spark, sf).groupBy("se").agg(F.sum("n").alias("num_occur"))
+    """Occurrence counts from a file whose row number is the side effect (one row per side effect)."""
+    n = fx.pairs_raw(spark, sf).groupBy("se").agg(F.sum("n").alias("num_occur"))
+    counts = n.repartitionByRange(2, "se").sortWithinPartitions("se").select(F.col("num_occur").cast("double"))
+    return RD.read_occurrence_csv(spark, _as_csv(spark, counts, "occurrence"))
 
 
 @register("sink_top_genes", O.with_fixtures("""
 q_top as (select drug_id, 1000 + pos gene_id, row_number() over (partition by drug_id order by a desc, pos) rank
   from (select drug_id, unnest(range(0, len(vec))) pos, abs(unnest(vec)) a from fx_profile))""",
     select="select drug_id, " + ", ".join(
-        f'max(case when rank = {r + 1} then gene_id end) "{r}"' for r in range(10)) + " from q_top group by drug_id"))
+        f'max(case when rank = {r + 1} then gene_id end) "{r}"' for r in range(100)) + " from q_top group by drug_id"))
 def q_sink_top_genes(spark, sf):
-    t = A.top_positions(fx.profile(spark, sf), "vec", 10, fx.gene_header(64))
-    return SK.top_genes_wide(t, key=("drug_id",), k=10)
+    t = A.top_positions(fx.profile(spark, sf), "vec", 100, fx.gene_header(64))
+    return SK.top_genes_wide(t, key=("drug_id",), k=100)
 
 
 @register("sink_predictions", ORACLE["merge_both_pairs"])
@@ -1042,30 +1049,32 @@ def q_profile_lookup(spark, sf):
 
 @register("src_pairs_indexed", O.with_fixtures(select="select row_id, drug1, drug2, se, label from fx_pairs"))
 def q_src_pairs_indexed(spark, sf):
-    """Features and labels carried as two tables with an explicit index,
-    joined on it (the indexed-file layout)."""
-    s = fx.pairs(spark, sf)
-    x = s.select(F.col("row_id").alias("idx"), "drug1", "drug2", "se")
-    y = s.select(F.col("row_id").alias("idx"), "label")
-    return x.join(y, "idx").select(F.col("idx").alias("row_id"), "drug1", "drug2", "se", "label")
+    """Features and labels in two files with an explicit index, joined on it."""
+    p = fx.pairs(spark, sf)
+    x = p.select(F.col("row_id").alias("idx"), "drug1", "drug2", F.col("se").alias("SE"))
+    y = p.select(F.col("row_id").alias("idx"), "label")
+    return RD.read_pairs_indexed(spark, _as_csv(spark, x, "x"), _as_csv(spark, y, "y"))
 
 
 @register("src_genes", O.with_fixtures(select="""
 select distinct cast(pos as integer) pos, 1000 + pos gene_id from (
   select unnest(range(0, len(vec))) pos from fx_profile)"""))
 def q_src_genes(spark, sf):
-    """Gene header for the profile positions present in the data."""
+    """Gene header for the profile positions present in the data, as a gene list file."""
     p = fx.profile(spark, sf).select(F.explode(F.sequence(F.lit(0), F.size("vec") - 1)).alias("pos")).distinct()
-    return p.select(F.col("pos").cast("int"), (F.lit(1000) + F.col("pos")).cast("bigint").alias("gene_id"))
+    genes = (p.repartitionByRange(2, "pos").sortWithinPartitions("pos")
+             .select(F.col("pos").alias("_idx"), (F.lit(1000) + F.col("pos")).cast("bigint").alias("0")))
+    return RD.read_gene_list(spark, _as_csv(spark, genes, "genes"))
 
 
 @register("src_descriptor", O.with_fixtures(select="select vec_id row_id, " + ", ".join(
     [f"cast(case when embedding[{i + 1}] > 0 then 1.0 else 0.0 end as double) fp{i}" for i in range(16)] +
     ["cast(case when embedding[17] > embedding[18] then 1.0 else 0.0 end as double) pubfp_x"] +
-    [f"round(cast(embedding[{17 + i}] as double), 6) d{i}" for i in range(10)] +
-    [f"round(cast(embedding[{27 + i}] as double), 6) y{i}" for i in range(8)]) + " from embeddings"))
+    [f"round(cast(embedding[{17 + i}] as double), 6) d{i}" for i in range(fx.N_DESC)] +
+    [f"round(cast(embedding[{17 + fx.N_DESC + i}] as double), 6) y{i}" for i in range(fx.N_DESC)]) + " from embeddings"))
 def q_src_descriptor(spark, sf):
-    return rounded(fx.descriptors(spark, sf))
+    d = RD.read_descriptor_csv(spark, _as_csv(spark, fx.descriptors(spark, sf), "descriptor"))
+    return rounded(d).withColumn("row_id", F.col("row_id").cast("long"))
 
 
 @register("sink_thresholds", ORACLE["calibrate"])
@@ -1132,13 +1141,13 @@ def q_calibrate_identity(spark, sf):
 def q_evaluate_full(spark, sf):
     """Q1 with our own scorer: every observation scored by the full model in
     both orientations in one pass (no orientation join), labelled against the
-    averaged thresholds, per-se performance. The test set is the observations
-    whose two drugs have a profile (a missing profile would exclude its se)."""
+    averaged thresholds, per-se performance; a side effect that the rules
+    exclude keeps its row with the reason."""
     from ..operators.scoring import score_rows_full
     from ..operators.thresholds import merge_scored_orientations
-    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf)).where(
-        F.col("vec1").isNotNull() & F.col("vec2").isNotNull())
+    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf))
     scored = score_rows_full(pv, _pair_model())
     thr = threshold_mean(fx.threshold(spark, sf, base=1750, per_sample=5, per_se=5), "last5")
     merged = merge_scored_orientations(scored, thr)
-    return M.merged_performance(merged)
+    perf, excluded = M.merged_performance(merged, with_excluded=True)
+    return perf.unionByName(excluded.select("se", "reason"), allowMissingColumns=True)

@@ -50,7 +50,7 @@ def orientations(scored: DataFrame, fwd: str = "score_fwd", rev: str = "score_re
     return ori, swi
 
 
-def evaluate(ori: DataFrame, swi: DataFrame, thresholds: DataFrame, mode: str = "compat") -> Evaluation:
+def evaluate(ori: DataFrame, swi: DataFrame, thresholds: DataFrame, mode: str = "last5") -> Evaluation:
     thr = bounded_broadcast(threshold_mean(thresholds, mode))
     merged = merge_both_pairs(apply_threshold(ori, thr), apply_threshold(swi, thr), thr)
     return Evaluation(merged, thr)

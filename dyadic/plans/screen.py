@@ -7,13 +7,10 @@ the top ``k`` by gap with names, rounding and severity -> one response per
 request.
 
 Plan shape: the per-pair work (profile lookup, embedding) happens once per
-*distinct* pair, before the side effects are attached, so it is not repeated
-for each of the side effects; the side-effect catalogue (offsets or heads and
-thresholds) is shipped once per executor after a size check, every Arrow
-batch of pairs is scored against it as dense arrays, and only flagged rows
-leave the batch -- the pair x catalogue product never exists as rows; ranking
-is a window per pair (at most catalogue-size rows per pair, and Spark applies
-the top-k limit before the shuffle).
+*distinct* pair; the catalogue (offsets or heads, and thresholds) is shipped
+once per executor in blocks, every Arrow batch of pairs is scored against it as
+dense arrays, and only the ranked rows leave the batch -- the pair x catalogue
+product never exists as rows.
 """
 
 from __future__ import annotations
@@ -23,19 +20,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import (TOP_RESULTS, gap, predicted_label, round_places, se_display_name, severity,
+from ..functions.scalar import (TOP_RESULTS, gap, json_text, predicted_label, round_places, se_display_name, severity,
                                  summary_sentence)
-from ..operators.joins import bounded_broadcast, pair_se_grid, profile_lookup
+from ..operators.joins import bounded_broadcast, profile_lookup
 import numpy as np
 
-from ..operators.scoring import (MAX_BROADCAST_BYTES, PairModel, identity_params, identity_score, screen_ranked,
-                                 screen_scores_full, screen_scores_identity)
+from ..operators.scoring import PairModel, identity_params, identity_score, screen_ranked
 from ..operators.thresholds import threshold_mean
 
 
-MAX_CATALOGUE = 100_000     # side effects a screen may carry to the executors
-
-
 @dataclass
 class Screen:
     results: DataFrame      # drug1, drug2, rank, se, name, confidence_gap, probability_score, severity, total
@@ -65,16 +58,13 @@ def valid_requests(requests: DataFrame, distinct_guard: bool = False):
             r.where(bad).withColumn("reason", reason).drop("_m1", "_m2"))
 
 
-def score_identity(pairs: DataFrame, profile: DataFrame, r_table: DataFrame, thr: DataFrame,
-                   se_catalogue: DataFrame) -> DataFrame:
-    """Identity-head scores of both orientations for every (pair, se)."""
-    pv = profile_lookup(pairs, profile)
-    grid = pair_se_grid(pv, se_catalogue)
-    params = bounded_broadcast(r_table.select("se", "r").join(thr, "se", "outer"))
-    g = grid.join(params, "se", "left")
+def score_identity(rows: DataFrame, profile: DataFrame, r_table: DataFrame, thr: DataFrame) -> DataFrame:
+    """Identity-head scores of both orientations of observed ``(drug1, drug2, se)`` rows."""
+    params = r_table.select("se", "r").join(thr, "se", "outer")
+    g = profile_lookup(rows, profile).join(params, "se", "left")
     x = identity_score("vec1", "vec2", "r")
     y = identity_score("vec2", "vec1", "r")
-    return g.select("drug1", "drug2", "se", x.alias("predicted_score_x"), y.alias("predicted_score_y"),
+    return g.select(*rows.columns, x.alias("predicted_score_x"), y.alias("predicted_score_y"),
                     ((x + y) / 2).alias("mean_predicted_score"), "optimal_thr")
 
 
@@ -104,8 +94,8 @@ def rank_flagged(scored: DataFrame, names: DataFrame, top: int = TOP_RESULTS) ->
 
 def responses(valid: DataFrame, results: DataFrame) -> DataFrame:
     """One response per valid request: total and the ranked list as JSON text."""
-    item = F.format_string('{"se_id": %d, "name": "%s", "confidence_gap": %.4f, "probability_score": %.4f}',
-                           "se", "name", "confidence_gap", "probability_score")
+    item = F.format_string('{"se_id": %d, "name": %s, "confidence_gap": %.4f, "probability_score": %.4f}',
+                           "se", json_text("name"), "confidence_gap", "probability_score")
     per_pair = (results.groupBy("drug1", "drug2")
                 .agg(F.max("total_predicted_reactions").alias("total_predicted_reactions"),
                      F.array_sort(F.collect_list(F.struct("rank", item.alias("txt")))).alias("_items")))
@@ -131,30 +121,22 @@ def screen(requests: DataFrame, profile: DataFrame, thresholds: DataFrame, names
            se_catalogue: DataFrame, r_table: DataFrame | None = None, model: PairModel | None = None,
            mode: str = "last5", top: int = TOP_RESULTS, distinct_guard: bool = False) -> Screen:
     """The screen. Pairs are distinct, so every pair is scored against the
-    whole catalogue inside one task and ranked there (``screen_ranked``);
-    when the catalogue's parameters exceed the broadcast limit they are
-    scored in blocks and ranked by a window instead."""
+    whole catalogue (the side effects of ``se_catalogue`` that have weights)
+    inside one task and ranked there (``screen_ranked``), in blocks of side
+    effects whatever the catalogue's size."""
     valid, rejects = valid_requests(requests, distinct_guard)
     pairs = valid.select("drug1", "drug2").distinct()
-    thr = threshold_mean(thresholds, mode)
+    listed = se_catalogue.select("se").distinct()
+    thr = threshold_mean(thresholds, mode).join(listed, "se", "left_semi")
     pv = profile_lookup(pairs, profile)
     if model is None:
-        se_ids, R, th = identity_params(r_table, thr)
-        if R.nbytes + th.nbytes <= MAX_BROADCAST_BYTES:
-            results = format_ranked(screen_ranked(pv, th, top, se_ids=se_ids, R=R), names)
-        else:
-            flagged = screen_scores_identity(pv, se_ids, R, th, flagged_only=True)
-            results = rank_flagged(flagged.join(bounded_broadcast(thr), "se", "left"), names, top)
+        se_ids, R, th = identity_params(r_table.join(listed, "se", "left_semi"), thr)
+        ranked = screen_ranked(pv, th, top, se_ids=se_ids, R=R)
     else:
-        rows = thr.limit(MAX_CATALOGUE + 1).collect()          # one row per side effect
-        if len(rows) > MAX_CATALOGUE:
-            raise ValueError(f"side-effect catalogue larger than {MAX_CATALOGUE}")
-        thr_map = {int(r["se"]): r["optimal_thr"] for r in rows if r["optimal_thr"] is not None}
-        if model.nbytes() <= MAX_BROADCAST_BYTES:
-            m = _sorted_model(model)
-            th = np.array([thr_map.get(int(x), np.nan) for x in m.se_ids], dtype=float)
-            results = format_ranked(screen_ranked(pv, th, top, model=m), names)
-        else:
-            flagged = screen_scores_full(pv, model, thr_map, flagged_only=True)
-            results = rank_flagged(flagged.join(bounded_broadcast(thr), "se", "left"), names, top)
+        # thresholds of the model's own side effects; without one nothing is flagged
+        thr_map = {int(r["se"]): r["optimal_thr"] for r in thr.where("optimal_thr is not null").toLocalIterator()}
+        m = _sorted_model(model)
+        th = np.array([thr_map.get(int(x), np.nan) for x in m.se_ids], dtype=float)
+        ranked = screen_ranked(pv, th, top, model=m)
+    results = format_ranked(ranked, names)
     return Screen(results, responses(valid, results), rejects)

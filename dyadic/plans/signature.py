@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators.analysis import (drug_pairs_both_sides, gene_corr_distance, profile_clusters, se_lists,
                                   top_positions)
-from ..operators.joins import profile_lookup
 from ..operators.reshape import pair_se_binary
 
 
@@ -37,12 +36,17 @@ def drug_signature(pairs: DataFrame, profile: DataFrame, n_se: int, k: int = 100
     """``gated``: optional per-pair vectors (``drug1, drug2, s1``) from the full
     model; without it the drug's profile is used (identity model)."""
     both = drug_pairs_both_sides(pairs)
+    keys = both.select("focus", "drug1", "drug2")
     if gated is not None:
         pv = both.join(gated.select("drug1", "drug2", F.col("s1").alias("vec1")), ["drug1", "drug2"], "left")
+        tops = top_positions(pv.select("focus", "drug1", "drug2", "vec1").where(F.col("vec1").isNotNull()),
+                             "vec1", k, genes)
     else:
-        pv = profile_lookup(both, profile).drop("vec2")
+        one_side = profile.select(F.col("drug_id").alias("drug1"), F.col("vec").alias("vec1"))
+        pv = both.join(one_side, "drug1", "left").select(*both.columns, "vec1")
+        # the vector depends on the drug alone: sort it once per drug, then join the short list
+        per_drug = top_positions(one_side.where(F.col("vec1").isNotNull()), "vec1", k, genes)
+        tops = keys.join(per_drug, "drug1").select("focus", "drug1", "drug2", "rank", "pos", "gene_id", "abs_value")
     lists = pair_se_binary(se_lists(pairs), n_se)
-    tops = top_positions(pv.select("focus", "drug1", "drug2", "vec1").where(F.col("vec1").isNotNull()),
-                         "vec1", k, genes)
     vecs = pv.select("focus", "drug1", "drug2", "vec1").where(F.col("vec1").isNotNull())
     return Signature(pv, lists, tops, vecs, n_clusters)

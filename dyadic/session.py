@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,7 @@ def get_session(master: str | None = None, app: str = "dyadic",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -58,6 +60,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers wherever the driver was
+    started: a zip of it is handed to Spark's file distribution once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_dyadic_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="dyadic-zip-"), "dyadic.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("dyadic", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._dyadic_shipped = True
+
+
 def default_slices(spark: SparkSession) -> int:
     """Number of range slices used by ordered scans (see ``operators.scan``)."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,14 +8,15 @@ DuckDB runs on the same parquet files; the two must stay in step.
 
 All stand-ins are linear in their inputs (no all-pairs expansion):
 
-* ``pairs_raw``  -- two lines of one order on adjacent line numbers form an
-  observation "drug1 taken with drug2" (drugs are suppliers), ``se`` is the
-  quantity bucket, ``label`` is "line was returned". Equi-join on
-  ``(order, line + 1)`` after collapsing identical lines (copy count ``n``).
+* ``pairs_raw``  -- any two lines of one order form an observation "drug1 taken
+  with drug2" (drugs are suppliers; the earlier line is drug1), ``se`` is the
+  earlier line's quantity bucket, ``label`` is "line was returned". Equi-join on
+  the order, which holds a handful of lines, after collapsing identical lines
+  (copy count ``n``).
 * ``scored``     -- one row per ``(drug1, drug2, se)`` with a score for each
   orientation (ratio of integer sums: bit-equal in Spark and DuckDB).
-* ``profile``    -- 64-float vectors from ``embeddings``; vectors of class 3
-  are withheld so that some drugs have no profile (the NULL path).
+* ``profile``    -- 64-float vectors from ``embeddings``, all of them; request
+  ids beyond the table have no profile (the NULL path).
 * ``side_effect`` -- names from ``nation``; se ids 25..29 have none.
 * ``threshold``  -- 8 calibration samples for every se of the catalogue.
 * ``requests``   -- screening requests from ``events``.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_THRESHOLD_SAMPLES = 8
+N_DESC = 24     # property columns, and target columns, of the stand-in descriptor table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +42,20 @@ def pairs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     first = (li.select(
         F.col("l_orderkey").alias("order_key"),
-        (F.col("l_linenumber") + 1).alias("line_no"),
+        F.col("l_linenumber").alias("line1"),
         F.col("l_suppkey").alias("drug1"),
         (F.col("l_quantity").cast("int") % 30).alias("se"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c1"))
-        .groupBy("order_key", "line_no", "drug1", "se", "label", "c1").agg(F.count(F.lit(1)).alias("n1")))
+        .groupBy("order_key", "line1", "drug1", "se", "label", "c1").agg(F.count(F.lit(1)).alias("n1")))
     second = (li.select(
         F.col("l_orderkey").alias("order_key"),
-        F.col("l_linenumber").alias("line_no"),
+        F.col("l_linenumber").alias("line2"),
         F.col("l_suppkey").alias("drug2"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c2"))
-        .groupBy("order_key", "line_no", "drug2", "c2").agg(F.count(F.lit(1)).alias("n2")))
-    return (first.join(second, ["order_key", "line_no"])
-            .where(F.col("drug1") != F.col("drug2"))
+        .groupBy("order_key", "line2", "drug2", "c2").agg(F.count(F.lit(1)).alias("n2")))
+    return (first.join(second, "order_key")
+            .where((F.col("line1") < F.col("line2")) & (F.col("drug1") != F.col("drug2")))
             .select("drug1", "drug2", "se", "label", "c1", "c2", (F.col("n1") * F.col("n2")).alias("n")))
 
 
@@ -65,7 +67,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.when(3 * F.sum(F.col("label") * F.col("n")) > n, 1).otherwise(0).alias("label"),
                  (F.sum(F.col("c1") * F.col("n")).cast("double") / n / 1e7).alias("score_fwd"),
                  (F.sum(F.col("c2") * F.col("n")).cast("double") / n / 1e7).alias("score_rev"))
-            .select(((F.col("drug1") * 100000 + F.col("drug2")) * 100 + F.col("se")).alias("row_id"),
+            .select(((F.col("drug1") * 1000000000 + F.col("drug2")) * 100 + F.col("se")).alias("row_id"),
                     "drug1", "drug2", "se", "label", "score_fwd", "score_rev"))
 
 
@@ -82,9 +84,7 @@ def drug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return (e.where(F.col("label") != 3)
-            .select(F.col("vec_id").alias("drug_id"),
-                    F.col("embedding").cast("array<double>").alias("vec")))
+    return e.select(F.col("vec_id").alias("drug_id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def side_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide descriptor table in file order: fp0..fp15, pubfp_x, d0..d9, y0..y7.
+    """Wide descriptor table in file order: fp0..fp15, pubfp_x, d0..d23, y0..y23
+    (all 64 slots of a vector).
 
     ``pubfp_x`` contains "fp" and therefore lands among the fingerprints,
     as the unanchored column match of the reference does.
@@ -132,8 +133,8 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = [F.col("vec_id").alias("row_id")]
     cols += [F.when(el(i + 1) > 0, 1.0).otherwise(0.0).alias(f"fp{i}") for i in range(16)]
     cols += [F.when(el(17) > el(18), 1.0).otherwise(0.0).alias("pubfp_x")]
-    cols += [el(17 + i).alias(f"d{i}") for i in range(10)]
-    cols += [el(27 + i).alias(f"y{i}") for i in range(8)]
+    cols += [el(17 + i).alias(f"d{i}") for i in range(N_DESC)]
+    cols += [el(17 + N_DESC + i).alias(f"y{i}") for i in range(N_DESC)]
     return e.select(*cols)
 
 

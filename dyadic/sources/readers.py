@@ -3,10 +3,8 @@ parquet), with declared schemas -- nothing is inferred.
 
 Row position is a key in the original files (features and labels are two
 files zipped by row; a side-effect id is a row number). ``with_row_index``
-materialises that position as ``row_id`` without collecting: per-partition
-row counts (one small aggregate), their running offsets, and the position of
-each row inside its partition. For a single input file the partitions follow
-the file offsets, so the index is the file row number.
+materialises that position as ``row_id`` without collecting, over any number
+of part files.
 """
 
 from __future__ import annotations
@@ -17,17 +15,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import assert_unique
+
 
 def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Dense 0-based position of each row in read order."""
-    tagged = df.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_p", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offs), "_p")
+    """Dense 0-based position of each row in the files of ``df``, a plain file
+    read: files in path order, rows in file order.
+
+    A task may read splits of several files in any order, so positions are
+    counted per split: rows per (file, split start), running offsets over the
+    splits in path and start order (one row per split reaches the window and the
+    broadcast), and the place of a row inside its split.
+    """
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                       F.monotonically_increasing_id().alias("_m"))
+    counts = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = tagged.join(F.broadcast(offs), ["_f", "_b"])
     return out.select(*df.columns, (F.col("_off") + F.col("_m") - F.col("_m0")).alias(name))
 
 
+def _same_length(x: DataFrame, y: DataFrame, what: str) -> None:
+    nx, ny = x.count(), y.count()
+    if nx != ny:
+        raise ValueError(f"{what}: {nx} feature rows but {ny} labels")
+
+
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
 
@@ -53,7 +67,10 @@ def read_profile_csv(spark: SparkSession, path: str, width: int, key: str = "pub
     """Wide expression matrix: key column then ``width`` values -> ``(drug_id, vec)``."""
     fields = [T.StructField(key, T.LongType())] + [T.StructField(f"g{i}", T.DoubleType()) for i in range(width)]
     d = _csv(spark, path, T.StructType(fields))
-    return d.select(F.col(key).alias("drug_id"), F.array(*[F.col(f"g{i}") for i in range(width)]).alias("vec"))
+    value = lambda i: F.when(~F.isnan(f"g{i}"), F.col(f"g{i}"))  # noqa: E731  NaN is a missing value
+    out = d.select(F.col(key).alias("drug_id"), F.array(*[value(i) for i in range(width)]).alias("vec"))
+    assert_unique(out, ["drug_id"], path)
+    return out
 
 
 _PAIR_X = T.StructType([T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()),
@@ -64,6 +81,7 @@ def read_pairs_zip(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
     """Pair features and labels in two files without an index, zipped by row."""
     x = with_row_index(_csv(spark, x_path, _PAIR_X))
     y = with_row_index(_csv(spark, y_path, T.StructType([T.StructField("label", T.IntegerType())])))
+    _same_length(x, y, f"{x_path} and {y_path}")
     return x.join(y, "row_id").select("row_id", "drug1", "drug2", F.col("SE").alias("se"), "label")
 
 
@@ -76,6 +94,8 @@ def read_pairs_indexed(spark: SparkSession, x_path: str, y_path: str) -> DataFra
         raise ValueError(f"{y_path}: no 'label' column (found {header})")
     ys = T.StructType([T.StructField("idx", T.LongType()), T.StructField("label", T.IntegerType())])
     y = _csv(spark, y_path, ys)
+    _same_length(x, y, f"{x_path} and {y_path}")
+    _same_length(x, x.join(y, "idx"), f"{x_path} joined with {y_path}")
     return x.join(y, "idx").select(F.col("idx").alias("row_id"), "drug1", "drug2", F.col("SE").alias("se"), "label")
 
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import json_text
+
 
 def write_predictions(merged: DataFrame, path: str, fmt: str = "parquet", partition_by_se: bool = False) -> None:
     """Merged predictions (drug1, drug2, se, label, ... , gap)."""
@@ -35,5 +37,10 @@ def write_top_genes(top: DataFrame, path: str, wide: bool = False, k: int = 100)
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def drug_record(drug_id: str = "drug_id", name: str = "name"):
+    """JSON record of one drug for the drug list."""
+    return F.concat(F.lit('{"pubchemID": '), F.col(drug_id).cast("string"), F.lit(', "name": '), json_text(name), F.lit("}"))
+
+
 def write_responses(responses: DataFrame, path: str) -> None:
     responses.write.mode("overwrite").json(path)

@@ -1,12 +1,15 @@
 """Q6 -- the screen as a Structured Streaming job.
 
-A stream of requests ``(request_id, ts, drug1, drug2)`` is screened micro-batch
-by micro-batch with ``foreachBatch``: the catalogue side (profiles, offsets,
-thresholds, names) is static and prepared once; each micro-batch runs the
-same screen as the batch job. Responses are written per batch id with
-overwrite semantics, so a replayed batch after a failure rewrites the same
-output (idempotent sink); duplicate request ids inside the watermark are
-dropped first. Stateless apart from that deduplication.
+A stream of requests ``(request_id, drug1, drug2)`` is screened micro-batch by
+micro-batch with ``foreachBatch``: the catalogue side (profiles, offsets,
+thresholds, names) is static and prepared once; each micro-batch runs the same
+screen as the batch job. Every request ends in exactly one of two outputs,
+``responses`` or ``rejects``, however late it arrives: a repeated request id is
+recognised by the ids written by earlier batches (an anti-join with the keyed
+output), not by a watermark that would drop late requests. Requests without an
+id cannot be told apart and are all answered. Output is written per batch id
+with overwrite semantics and a batch looks at earlier batches only, so a batch
+that is replayed after a failure rewrites the same output.
 """
 
 from __future__ import annotations
@@ -37,26 +40,39 @@ def prepare(profile: DataFrame, thresholds: DataFrame, names: DataFrame, r_table
             mode: str = "last5") -> StaticSide:
     thr = bounded_broadcast(threshold_mean(thresholds, mode))
     se_ids, R, th = identity_params(r_table, thr)
-    return StaticSide(profile, names, thr, se_ids, R, th)
+    return StaticSide(profile, bounded_broadcast(names), thr, se_ids, R, th)
 
 
-def screen_batch(requests: DataFrame, side: StaticSide) -> DataFrame:
-    """Responses for one batch of requests (same rules as ``plans.screen``)."""
-    valid, _ = valid_requests(requests)
+def screen_batch(requests: DataFrame, side: StaticSide) -> tuple[DataFrame, DataFrame]:
+    """Responses and rejects of one batch of requests (same rules as ``plans.screen``)."""
+    valid, rejects = valid_requests(requests)
     pairs = valid.select("drug1", "drug2").distinct()
     ranked = screen_ranked(profile_lookup(pairs, side.profile), side.th, TOP_RESULTS, se_ids=side.se_ids, R=side.R)
-    return responses(valid, format_ranked(ranked, side.names))
+    return responses(valid, format_ranked(ranked, side.names)), rejects
+
+
+def _seen(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame:
+    """Request ids that batches before ``batch_id`` have answered or rejected."""
+    read = lambda part: (spark.read.schema("request_id long, batch_id long").parquet(f"{out_path}/{part}")
+                         .where((F.col("batch_id") < batch_id) & F.col("request_id").isNotNull()).select("request_id"))
+    return read("responses").unionByName(read("rejects"))
 
 
 def start(spark: SparkSession, stream: DataFrame, side: StaticSide, out_path: str, checkpoint: str,
-          watermark: str = "1 hour", trigger_available_now: bool = True):
-    """Run the streaming screen; returns the ``StreamingQuery``."""
-    deduped = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["request_id"])
+          trigger_available_now: bool = True):
+    """Run the streaming screen into ``out_path``/responses and /rejects; returns the ``StreamingQuery``."""
+    nothing = spark.createDataFrame([], "request_id long")
+    for part in ("responses", "rejects"):  # the folders exist before the first batch reads them
+        nothing.write.mode("overwrite").parquet(f"{out_path}/{part}/batch_id=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        out = screen_batch(batch, side).withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        keyed = batch.where(F.col("request_id").isNotNull()).dropDuplicates(["request_id"])
+        fresh = (keyed.join(_seen(spark, out_path, batch_id), "request_id", "left_anti")
+                 .unionByName(batch.where(F.col("request_id").isNull())))
+        answered, rejected = screen_batch(fresh, side)
+        answered.write.mode("overwrite").parquet(f"{out_path}/responses/batch_id={batch_id}")
+        rejected.write.mode("overwrite").parquet(f"{out_path}/rejects/batch_id={batch_id}")
 
-    w = deduped.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     return w.start()

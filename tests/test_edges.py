@@ -111,22 +111,62 @@ def test_self_pair_removed_by_remainder(spark):
     assert all(r["drug1"] != r["drug2"] for r in rest) and len(rest) == 2
 
 
-@pytest.mark.parametrize("n,expected", [(1, None), (2, 0.0), (5, None), (6, None), (7, "t0..t4"), (8, "t1..t5")])
-def test_threshold_compat_slices(spark, n, expected):
-    rows = [(3, k, 0.1 * (k + 1)) for k in range(n)]
-    thr = threshold_mean(spark.createDataFrame(rows, "se int, sample_no int, thr double")).collect()[0]["optimal_thr"]
-    if n == 1:
-        assert thr is None
-    elif n == 2:
-        assert thr == 3.0                           # only the SE id itself is averaged
-    elif n in (5, 6):
-        lo, hi = 0, n - 2
-        vals = [3.0] + [0.1 * (k + 1) for k in range(0, hi)]
-        assert abs(thr - sum(vals) / len(vals)) < 1e-12
-    elif n == 7:
-        assert abs(thr - np.mean([0.1 * (k + 1) for k in range(0, 5)])) < 1e-12
+@pytest.mark.parametrize("n", [1, 2, 6, 7, 8])
+def test_threshold_samples(spark, n):
+    rows = [(3, k, 0.1 * (k + 1)) for k in range(n)] + [(4, 0, 7.0)]      # se 4 lacks all but the first sample
+    df = spark.createDataFrame(rows, "se int, sample_no int, thr double")
+    mean = lambda mode: {r["se"]: r["optimal_thr"] for r in threshold_mean(df, mode).collect()}
+    last = [0.1 * (k + 1) for k in range(n)][-5:]
+    got = mean("last5")
+    assert abs(got[3] - sum(last) / len(last)) < 1e-12 and got[4] == (7.0 if n <= 5 else None)
+    if n < 7:
+        with pytest.raises(ValueError):
+            threshold_mean(df, "compat")
     else:
-        assert abs(thr - np.mean([0.1 * (k + 1) for k in range(1, 6)])) < 1e-12
+        vals = [0.1 * (k + 1) for k in range(n - 7, n - 2)]
+        assert abs(mean("compat")[3] - sum(vals) / 5) < 1e-12 and mean("compat")[4] == (7.0 if n == 7 else None)
+
+
+def test_threshold_width_is_that_of_the_whole_table(spark):
+    rows = [(1, k, float(k)) for k in range(8)] + [(2, k, float(k)) for k in range(7)]
+    df = spark.createDataFrame(rows, "se int, sample_no int, thr double")
+    got = {r["se"]: r["optimal_thr"] for r in threshold_mean(df, "compat").collect()}
+    assert got == {1: 3.0, 2: 3.0}
+
+
+def test_json_text_is_escaped(spark):
+    import json
+    from dyadic.plans.screen import responses
+    names = ['plain', 'a "quoted" \\ name', 'tab\there', 'ünï']
+    res = spark.createDataFrame([(1, 2, i + 1, i, n, 0.25, 0.5, "High", 4) for i, n in enumerate(names)],
+                                "drug1 long, drug2 long, rank int, se int, name string, confidence_gap double, "
+                                "probability_score double, severity string, total_predicted_reactions long")
+    valid = spark.createDataFrame([(7, 1, 2)], "request_id long, drug1 long, drug2 long")
+    doc = json.loads(responses(valid, res).first()["response_json"])
+    assert [x["name"] for x in doc["top_results"]] == names
+    from dyadic.sources.sinks import drug_record
+    drugs = spark.createDataFrame(list(enumerate(names)), "drug_id long, name string")
+    assert [json.loads(r[0])["name"] for r in drugs.select(drug_record()).collect()] == names
+
+
+def test_self_pair_is_listed_on_both_sides(spark):
+    from dyadic.operators.analysis import drug_pairs_both_sides, drug_positive_pairs, se_lists
+    df = spark.createDataFrame([(0, 5, 5, 1, 1), (1, 5, 6, 2, 1)], "row_id long, drug1 long, drug2 long, se int, label int")
+    for out in (drug_positive_pairs(df), drug_pairs_both_sides(df), se_lists(df)):
+        assert sorted(r["focus"] for r in out.collect()) == [5, 5, 5, 6]
+
+
+def test_nan_score_counts_as_missing_in_calibration(spark):
+    row = spark.createDataFrame([(float("nan"), 0.5)], "s double, t double").select(
+        calibration_label("s", "t").alias("c"), predicted_label("s", "t").alias("p")).first()
+    assert (row["c"], row["p"]) == (1, 0)
+
+
+def test_duplicated_profile_id_is_refused(spark):
+    from dyadic.operators.joins import profile_lookup
+    prof = spark.createDataFrame([(1, [0.0]), (1, [1.0])], "drug_id long, vec array<double>")
+    with pytest.raises(ValueError):
+        profile_lookup(spark.createDataFrame([(1, 1)], "drug1 long, drug2 long"), prof)
 
 
 def test_small_strata_sizes(spark):
@@ -218,13 +258,3 @@ def test_hot_group_spans_many_slices(spark):
     res = SC.ordered_scan(df, ["g"], ["k"], sums=["one"], slices=8)
     top = res.where("g = 0").agg(F.max("cum_one").alias("m"), F.max("tot_one").alias("t")).collect()[0]
     assert top["m"] == top["t"] == 20000
-
-
-def test_batches_cover_rows_and_shuffle(spark):
-    df = spark.range(0, 2500).withColumnRenamed("id", "row_id")
-    plain = S.batch_assign(df, 1000)
-    assert sorted(r["count"] for r in plain.groupBy("batch_id").count().collect()) == [500, 1000, 1000]
-    assert plain.where("batch_id = 0").agg(F.max("row_id")).collect()[0][0] == 999
-    shuf = S.batch_assign(df, 1000, shuffle_seed=1)
-    assert sorted(r["count"] for r in shuf.groupBy("batch_id").count().collect()) == [500, 1000, 1000]
-    assert shuf.where("batch_id = 0").agg(F.max("row_id")).collect()[0][0] > 999

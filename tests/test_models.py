@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from dyadic.operators.scoring import FeatureModel, PairModel, pair_embed, predict_expression, screen_scores_full
+from dyadic.operators import scoring
+from dyadic.operators.scoring import (FeatureModel, PairModel, pair_embed, predict_expression, score_rows_full,
+                                      screen_ranked)
 
 
 def _pairs(spark, n=40, d=8, seed=0):
@@ -37,24 +39,19 @@ def test_pair_embed_matches_rowwise(spark):
     assert out[(999, 1000)]["e1"] is None
 
 
-def test_full_scores_match_rowwise_and_partitioning(spark):
-    df, rows = _pairs(spark)
-    m = PairModel.random(5, 8, 4, [0, 1, 2])
-    a = {(r["drug1"], r["drug2"], r["se"]): r for r in
-         screen_scores_full(df.repartition(3), m, None, flagged_only=False).collect()}
-    b = {(r["drug1"], r["drug2"], r["se"]): r for r in
-         screen_scores_full(df.coalesce(1), m, None, flagged_only=False).collect()}
-    assert a.keys() == b.keys()
-    d1, d2, v1, v2 = rows[0]
-    e1, e2 = _row_forward(m, np.array(v1), np.array(v2))
-    f1, f2 = _row_forward(m, np.array(v2), np.array(v1))
-    for k, s in enumerate(m.se_ids):
-        H, T, r = m.heads[k], m.tails[k], m.r[k]
-        x = np.linalg.norm(H @ e1 + r - T @ e2) + np.linalg.norm(H @ e2 + r - T @ e1)
-        y = np.linalg.norm(H @ f1 + r - T @ f2) + np.linalg.norm(H @ f2 + r - T @ f1)
-        got = a[(d1, d2, int(s))]
-        assert abs(got["predicted_score_x"] - x) < 1e-9 and abs(got["predicted_score_y"] - y) < 1e-9
-        assert abs(got["mean_predicted_score"] - (x + y) / 2) < 1e-9
+def _every_score(rows, m):
+    """(drug1, se) -> scores of both orientations, row by row."""
+    out = {}
+    for d1, d2, v1, v2 in rows:
+        if v1 is None or v2 is None:
+            continue
+        e1, e2 = _row_forward(m, np.array(v1), np.array(v2))
+        f1, f2 = _row_forward(m, np.array(v2), np.array(v1))
+        for k, s in enumerate(m.se_ids):
+            H, T, r = m.heads[k], m.tails[k], m.r[k]
+            out[(d1, int(s))] = (np.linalg.norm(H @ e1 + r - T @ e2) + np.linalg.norm(H @ e2 + r - T @ e1),
+                                 np.linalg.norm(H @ f1 + r - T @ f2) + np.linalg.norm(H @ f2 + r - T @ f1))
+    return out
 
 
 def test_expression_predictor_range(spark):
@@ -69,50 +66,59 @@ def test_expression_predictor_range(spark):
     assert np.allclose(np.array([got[i] for i in range(20)]), ref)
 
 
-def test_full_scores_blocked_equal_broadcast(spark):
-    """Above the broadcast limit the side effects are scored in blocks; the
-    result is the same rows."""
-    df, _ = _pairs(spark, n=15)
-    m = PairModel.random(7, 8, 4, list(range(9)))
-    whole = screen_scores_full(df, m, None, flagged_only=False)
-    shared = m.nbytes() - (m.heads.nbytes + m.tails.nbytes + m.r.nbytes)
-    per_se = (m.heads.nbytes + m.tails.nbytes + m.r.nbytes) // 9
-    blocked = screen_scores_full(df, m, None, flagged_only=False, limit=shared + 2 * per_se)
-    assert blocked.count() == whole.count() == 15 * 9
-    assert blocked.exceptAll(whole).count() == 0
-
-
-def test_score_rows_full_matches_catalogue_scores(spark):
-    from dyadic.operators.scoring import score_rows_full
+def test_row_scores_match_rowwise_over_blocks_and_partitions(spark, monkeypatch):
     df, rows = _pairs(spark, n=12)
     m = PairModel.random(9, 8, 4, [0, 1, 2])
+    want = _every_score(rows, m)
     with_se = df.withColumn("se", (F.col("drug1") % 4).cast("int"))      # se 3 is unknown to the model
-    got = {(r["drug1"], r["se"]): (r["score_fwd"], r["score_rev"]) for r in score_rows_full(with_se, m).collect()}
-    full = {(r["drug1"], r["se"]): (r["predicted_score_x"], r["predicted_score_y"]) for r in
-            screen_scores_full(df, m, None, flagged_only=False).collect()}
-    for (d1, se), (f, r) in got.items():
-        if se == 3 or d1 == 999:
-            assert f is None and r is None
-        else:
-            assert abs(f - full[(d1, se)][0]) < 1e-9 and abs(r - full[(d1, se)][1]) < 1e-9
-
-
-def test_kernel_ranking_equals_window_ranking(spark):
-    """In-kernel top-k per pair equals flagged rows ranked by a window."""
-    from pyspark.sql import Window
-    from dyadic.operators.scoring import screen_ranked
-    df, _ = _pairs(spark, n=30)
+    for block, parts in ((scoring.BLOCK_BYTES, 1), (1, 3)):
+        monkeypatch.setattr(scoring, "BLOCK_BYTES", block)
+        for r in score_rows_full(with_se.repartition(parts), m).collect():
+            got = (r["score_fwd"], r["score_rev"])
+            if r["se"] == 3 or r["drug1"] == 999:
+                assert got == (None, None)
+            else:
+                assert np.allclose(got, want[(r["drug1"], r["se"])], atol=1e-9)
+
+
+def test_ranking_matches_rowwise_over_blocks(spark, monkeypatch):
+    """In-kernel top-k per pair equals flagged rows sorted row by row, with one
+    block of side effects and with several."""
+    df, rows = _pairs(spark, n=30)
     m = PairModel.random(4, 8, 4, list(range(12)))
-    allrows = screen_scores_full(df, m, None, flagged_only=False)
-    med = allrows.approxQuantile("mean_predicted_score", [0.5], 0.0)[0]
-    th = np.full(12, med)
-    k = 5
-    got = screen_ranked(df, th, k, model=m).select("drug1", "drug2", "se", "rank", "total_predicted_reactions")
-    fl = allrows.where(F.col("mean_predicted_score") < med).withColumn("gap", F.abs(F.col("mean_predicted_score") - med))
-    pair = Window.partitionBy("drug1", "drug2")
-    ref = (fl.select("drug1", "drug2", "se",
-                     F.row_number().over(pair.orderBy(F.col("gap").desc(), "se")).alias("rank"),
-                     F.count(F.lit(1)).over(pair).alias("total_predicted_reactions"))
-           .where(F.col("rank") <= k))
-    assert got.count() == ref.count() > 0
-    assert got.exceptAll(ref).count() == 0
+    want = {k: sum(v) / 2 for k, v in _every_score(rows, m).items()}
+    med = float(np.median(list(want.values())))
+    th, k = np.full(12, med), 5
+    for per_block in (12, 5, 1):
+        size = (m.heads.nbytes + m.tails.nbytes + m.r.nbytes) // 12 + 16
+        monkeypatch.setattr(scoring, "BLOCK_BYTES", per_block * size)
+        assert len(scoring.se_blocks(12, size)) == -(-12 // per_block)
+        got = screen_ranked(df, th, k, model=m).collect()
+        assert got
+        by_pair = {}
+        for r in got:
+            by_pair.setdefault(r["drug1"], []).append((r["rank"], r["se"], r["total_predicted_reactions"]))
+        for d1, *_ in rows[:-1]:
+            flagged = sorted((-abs(want[(d1, s)] - med), s) for s in range(12) if want[(d1, s)] < med)
+            assert sorted(by_pair.get(d1, [])) == [(i + 1, s, len(flagged)) for i, (_, s) in enumerate(flagged[:k])]
+    # the identity head goes through the same blocks
+    R = np.random.default_rng(0).standard_normal((7, 8))
+    ids, thr = np.arange(7), np.full(7, 9.0)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 1 << 20)
+    one = screen_ranked(df, thr, 3, se_ids=ids, R=R)
+    whole = sorted(map(tuple, one.select("drug1", "se", "rank", "total_predicted_reactions").collect()))
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 100)
+    cut = screen_ranked(df, thr, 3, se_ids=ids, R=R)
+    assert whole == sorted(map(tuple, cut.select("drug1", "se", "rank", "total_predicted_reactions").collect())) != []
+
+
+def test_offsets_by_counts_equal_the_mean_of_differences(spark):
+    from dyadic.operators.joins import profile_lookup
+    rng = np.random.default_rng(6)
+    prof = spark.createDataFrame([(i, rng.standard_normal(5).tolist()) for i in range(1, 9)], "drug_id long, vec array<double>")
+    obs = [(int(a), int(b), int(s), int(y)) for a, b, s, y in zip(*(rng.integers(1, 11, 300), rng.integers(1, 11, 300),
+                                                                    rng.integers(0, 4, 300), rng.integers(0, 2, 300)))]
+    pairs = spark.createDataFrame(obs, "drug1 long, drug2 long, se int, label int")
+    a = {r["se"]: r["r"] for r in scoring.se_translation_fit(profile_lookup(pairs, prof)).collect()}
+    b = {r["se"]: r["r"] for r in scoring.se_translation_fit_by_counts(pairs, prof).collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)

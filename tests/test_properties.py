@@ -89,12 +89,42 @@ def test_mirror_doubles_and_keeps_pair_set(spark, sf_dir):
 
 def test_row_index_is_dense_over_many_partitions(spark, tmp_path):
     from dyadic.sources.readers import with_row_index
-    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 3).alias("v"))
-    idx = with_row_index(df).collect()
+    path = str(tmp_path / "rows")
+    spark.range(0, 5000, numPartitions=7).select((F.col("id") * 3).alias("v")).write.parquet(path)
+    idx = with_row_index(spark.read.parquet(path)).collect()
     assert sorted(r["row_id"] for r in idx) == list(range(5000))
     assert all(r["v"] == 3 * r["row_id"] for r in idx)
 
 
+def test_holdout_sizes_and_ranks_with_the_default_key(spark):
+    """Each stratum gives its smallest keys, exactly as many as its rounded share, for every sample."""
+    from dyadic.operators import sampling as S
+    df = spark.range(0, 30000).select(F.col("id").alias("row_id"), (F.col("id") % 97 % 7).cast("int").alias("se"),
+                                      (F.col("id") % 2).cast("int").alias("label"), F.lit("x").alias("wide")).union(
+        spark.range(30000, 30015).select("id", F.lit(99), F.lit(0), F.lit("y")))
+    got = S.repeated_holdout(df, 0.1, 2)
+    keyed = df.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("sample_no"))
+    keyed = keyed.withColumn("_k", F.xxhash64("row_id", "sample_no"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("sample_no", "se", "label")
+    want = (keyed.withColumn("rn", F.row_number().over(w.orderBy("_k", "row_id")))
+            .withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("rn") <= F.bround(F.col("n") * 0.1, 0))
+            .select("sample_no", *df.columns))
+    assert got.count() == want.count() > 5000 and got.exceptAll(want).count() == 0
+
+
+def test_global_splits_are_exact(spark):
+    from dyadic.operators import sampling as S
+    df = spark.range(0, 20011).select((F.col("id") * 3).alias("row_id"))
+    split = S.train_test_split(df, 0.8)
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 16009, "test": 4002}
+    tail = sorted(r["row_id"] for r in S.tail_validation_split(df, 0.1).collect())
+    assert tail == [3 * k for k in range(18009, 20011)]
+    one = spark.createDataFrame([(5,)], "row_id long")
+    assert S.tail_validation_split(one, 0.1).count() == 1 and S.train_test_split(one, 0.1).first()["split"] == "test" and S.train_test_split(one).first()["split"] == "train"
+    assert S.train_test_split(df.limit(0)).count() == 0
+
+
 def test_evaluate_swap_invariance_and_totals(spark, sf_dir):
     """Swapping the two inputs of the evaluation keeps mean, label and gap;
     confusion counts add up to the rows; gaps are non-negative."""

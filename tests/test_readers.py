@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from dyadic.sources import readers as RD
@@ -44,3 +46,33 @@ def test_readers_roundtrip(spark, duck):
     _write_csv(f"{d}/genes.csv", ["", "0"], [(0, 16), (1, 23)])
     assert sorted(RD.read_gene_list(spark, f"{d}/genes.csv").collect()) == [(0, 16), (1, 23)]
     assert os.path.isdir(d)
+
+
+def test_zip_over_several_part_files(spark, tmp_path):
+    """X and y are cut into parts at different places; rows still meet by position."""
+    rows = [(i, i % 7, i % 3, (i * 7919) % 2) for i in range(3000)]
+    def write(name, cuts, line, header):
+        d = tmp_path / name
+        d.mkdir()
+        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+            (d / f"part-{k:05d}.csv").write_text(header + "\n" + "".join(line(r) + "\n" for r in rows[a:b]))
+        return str(d)
+    x = write("x", [2900, 2950], lambda r: f"{r[0]},{r[1]},{r[2]}", "drug1,drug2,SE")
+    y = write("y", [50, 1700], lambda r: str(r[3]), "label")
+    got = sorted(tuple(r) for r in RD.read_pairs_zip(spark, x, y).collect())
+    assert got == [(i, *r) for i, r in enumerate(rows)]
+    short = write("short", [10], lambda r: str(r[3]), "label")
+    with open(f"{short}/part-00001.csv", "a") as f:
+        f.write("1\n")
+    with pytest.raises(ValueError):
+        RD.read_pairs_zip(spark, x, short)
+
+
+def test_profile_reader_reads_nan_as_missing_and_refuses_duplicates(spark, tmp_path):
+    p = tmp_path / "profiles.csv"
+    p.write_text("pubchem,a,b\n1,0.5,NaN\n2,,1.5\n")
+    got = {r["drug_id"]: r["vec"] for r in RD.read_profile_csv(spark, str(p), 2).collect()}
+    assert got == {1: [0.5, None], 2: [None, 1.5]}
+    p.write_text("pubchem,a,b\n1,0.5,1\n1,2,1.5\n")
+    with pytest.raises(ValueError):
+        RD.read_profile_csv(spark, str(p), 2)

@@ -1,5 +1,5 @@
-"""Streaming screen: duplicates inside the watermark are dropped, and the
-stream's responses equal the batch responses for the same requests."""
+"""Streaming screen: every request ends in responses or rejects, once, however
+late it comes, and the responses equal the batch responses."""
 
 import datetime as dt
 
@@ -9,21 +9,29 @@ from dyadic.sources import fixtures as fx
 from dyadic.streaming import screen_stream as ss
 
 
-def test_stream_dedup_and_equals_batch(spark, sf_dir, tmp_path):
+def test_stream_answers_every_request_once(spark, sf_dir, tmp_path):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, base + dt.timedelta(minutes=i), 1 + i % 7, 2 + i % 5) for i in range(40)]
-    rows += rows[:10]                                  # replayed requests
+    late = (100, base - dt.timedelta(days=1), 1, 2)
+    bad = [(101, base, None, 2), (102, base - dt.timedelta(days=2), 0, 3)]
+    batches = [rows[:25], rows[20:] + [bad[0]], rows[:10] + [late, bad[1], bad[0]]]  # later files replay requests
     src = tmp_path / "requests"
     schema = "request_id long, ts timestamp, drug1 long, drug2 long"
-    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(src))
-    stream = spark.readStream.schema(schema).parquet(str(src))
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     side = ss.prepare(fx.profile(spark, sf_dir), fx.screen_threshold(spark, sf_dir), fx.side_effect(spark, sf_dir),
                       _r_table(spark, sf_dir))
-    q = ss.start(spark, stream, side, str(tmp_path / "out"), str(tmp_path / "chk"))
-    q.awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
-    assert out.count() == 40 and out.select("request_id").distinct().count() == 40
-    batch = screen(spark.createDataFrame(rows[:40], schema), fx.profile(spark, sf_dir),
-                   fx.screen_threshold(spark, sf_dir), fx.side_effect(spark, sf_dir), fx.se_catalogue(spark, sf_dir),
-                   r_table=_r_table(spark, sf_dir)).responses
+    out_path = str(tmp_path / "out")
+    ss.start(spark, stream, side, out_path, str(tmp_path / "chk")).awaitTermination()
+    valid = spark.createDataFrame([*rows, late], schema)
+    batch = screen(valid, fx.profile(spark, sf_dir), fx.screen_threshold(spark, sf_dir), fx.side_effect(spark, sf_dir),
+                   fx.se_catalogue(spark, sf_dir), r_table=_r_table(spark, sf_dir)).responses
+    out = spark.read.schema(batch.schema).parquet(f"{out_path}/responses").select(*batch.columns)
+    assert out.count() == 41
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+    rejects = spark.read.schema("request_id long, reason string").parquet(f"{out_path}/rejects").collect()
+    assert sorted(r["request_id"] for r in rejects) == [101, 102]
+    # a replayed batch writes the same again
+    again = spark.read.schema("request_id long, batch_id long").parquet(f"{out_path}/responses")
+    assert again.where("batch_id >= 0").select("batch_id").distinct().count() == 3
