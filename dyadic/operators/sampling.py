@@ -71,7 +71,7 @@ def repeated_holdout(df: DataFrame, frac: float = 0.1, samples: int = 1, strata:
     sizes = keyed.groupBy(*by).agg(F.bround(F.lit(frac) * n, 0).alias("_take"), bound.alias("_bound"))
     sizes = bounded_broadcast(sizes.checkpoint(eager=True))  # one row per sample and stratum, read twice
     same = [keyed[c].eqNullSafe(sizes[c]) for c in by]
-    near = (keyed.join(sizes, same).where((F.col("_take") > 0) & (F.col("_key") <= F.col("_bound")))
+    near = (keyed.join(sizes, same).where((F.col("_take") > 0) & (_as_double("_key") <= _as_double("_bound")))
             .select(*[keyed[c] for c in by], row_id, "_key", "_take", F.lit(1).alias("_one")))
     drawn = (ordered_scan(near, by, ["_key", row_id], sums=["_one"]).where(F.col("cum__one") <= F.col("_take"))
              .select("sample_no", row_id))
@@ -93,6 +93,11 @@ def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se"
     return keyed.join(drawn, ["_a", "_b", *strata], "left_semi").drop("_a", "_b")
 
 
+def _as_double(key: str) -> Column:
+    """Keys as the sketch sees them: it works on doubles, which keep the order of longs but not all their digits."""
+    return F.col(key).cast("double")
+
+
 def row_at_rank(df: DataFrame, order: Sequence[str], share: float, rank: int) -> tuple | None:
     """Values of ``order`` of the row with this 1-based rank, where ``rank`` is
     about ``share`` of all rows. ``order[0]`` is narrowed by a quantile sketch;
@@ -101,8 +106,9 @@ def row_at_rank(df: DataFrame, order: Sequence[str], share: float, rank: int) ->
     slack = 2 / ACCURACY + 3 / max(1, df.count())
     at = [max(0.0, share - slack), min(1.0, share + slack)]
     low, high = df.agg(F.percentile_approx(key, at, ACCURACY)).first()[0]
-    below = df.where(F.col(key) < F.lit(low)).count()
-    near = df.where(F.col(key).between(low, high)).select(*order, F.lit(1).alias("_one"))
+    value = _as_double(key)
+    below = df.where(value < float(low)).count()
+    near = df.where(value.between(float(low), float(high))).select(*order, F.lit(1).alias("_one"))
     row = ordered_scan(near, [], order, sums=["_one"], broadcast_offsets=True).where(
         F.col("cum__one") == rank - below).first()
     return None if row is None else tuple(row[c] for c in order)
