@@ -89,13 +89,16 @@ def gene_corr_distance(df: DataFrame, vec_col: str = "vec") -> DataFrame:
     distance of the cluster map), as ``(pos_i, pos_j, distance)``.
 
     Every partition adds up its ``[1, x]' [1, x]`` in one Arrow pass
-    (``fit.ridge_gram``); the ``width^2`` sums are combined by a keyed
-    aggregation and turned into correlations on the executors -- nothing
-    passes through the driver.
+    (``fit.ridge_gram``), around the column means so that large offsets do not
+    cancel; the sums are written once and turned into correlations on the
+    executors.
     """
-    from .fit import ridge_gram
+    from ..session import ensure_checkpoint_dir
+    from .fit import column_means, ridge_gram
     v = df.where(F.col(vec_col).isNotNull()).select(fill_zero(vec_col).alias("_x"))
-    g = ridge_gram(v, "_x", None, intercept=True).where(F.col("block") == "xx").drop("block")
+    g = ridge_gram(v, "_x", None, intercept=True, shift=column_means(v, "_x")).where(F.col("block") == "xx").drop("block")
+    ensure_checkpoint_dir(df.sparkSession)
+    g = g.checkpoint(eager=True)  # width^2 rows, read three times below
     s1 = g.where((F.col("i") == 0) & (F.col("j") > 0)).select(F.col("j").alias("_k"), F.col("value").alias("_s"),
                                                              F.col("rows").alias("_n"))
     sq = g.where((F.col("i") == F.col("j")) & (F.col("i") > 0)).select(F.col("i").alias("_k"), F.col("value").alias("_q"))
@@ -118,16 +121,20 @@ def profile_clusters(df: DataFrame, vec_col: str = "vec", k: int = 5, seed: int
     with cosine distance (k-means|| start). Replaces average-linkage
     clustering, which has no distributed form; the labels are not the same.
 
-    The features are persisted for the iterations of the fit (each iteration
-    is one pass); the persisted copy is recomputed from lineage if lost."""
+    A row without a direction (constant or missing values only) has no
+    correlation with any other; such rows form one cluster of their own,
+    number ``k``. The features are persisted for the iterations of the fit
+    (recomputed from lineage if lost) and released after it."""
     from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    cu = with_centre_unit(df.select(*id_cols, fill_zero(vec_col).alias("_z")), "_z", "_u").where(
-        F.col("_u").isNotNull())
-    feats = cu.select(*id_cols, array_to_vector("_u").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(feats)
-    return model.transform(feats).select(*id_cols, F.col("prediction").alias("cluster"))
+    cu = with_centre_unit(df.select(*id_cols, fill_zero(vec_col).alias("_z")), "_z", "_u")
+    feats = cu.where(F.col("_u").isNotNull()).select(*id_cols, array_to_vector("_u").alias("features"))
+    flat = cu.where(F.col("_u").isNull()).select(*id_cols, F.lit(k).alias("cluster"))
+    kept = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(kept)
+    kept.unpersist()
+    return model.transform(feats).select(*id_cols, F.col("prediction").alias("cluster")).unionByName(flat)
 
 
 def with_row_pearson(df: DataFrame, a: str, b: str, out: str = "pearson") -> DataFrame:
@@ -147,10 +154,13 @@ def gene_pearson(df: DataFrame, truth: str, pred: str, eps: float = 1e-7) -> Dat
     ``denominator + eps``, clipped to [-1, 1] (average them for the single
     number). Each partition sums its rows as vectors in one Arrow pass and
     emits ``width`` rows; a keyed sum combines the partitions -- rows are never
-    exploded into one row per position."""
+    exploded into one row per position. Sums are taken around the column means,
+    so large offsets do not cancel."""
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
+    from .fit import column_means
+    mean_t, mean_p = column_means(df, truth), column_means(df, pred)
     schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("n", T.LongType())] +
                           [T.StructField(c, T.DoubleType()) for c in ("st", "sp", "stp", "stt", "spp")])
 
@@ -159,8 +169,8 @@ def gene_pearson(df: DataFrame, truth: str, pred: str, eps: float = 1e-7) -> Dat
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            t = np.stack(pdf[truth].to_numpy()).astype(float)
-            p = np.stack(pdf[pred].to_numpy()).astype(float)
+            t = np.stack(pdf[truth].to_numpy()).astype(float) - mean_t
+            p = np.stack(pdf[pred].to_numpy()).astype(float) - mean_p
             cur = [np.full(t.shape[1], t.shape[0], dtype=np.int64), t.sum(0), p.sum(0), (t * p).sum(0),
                    (t * t).sum(0), (p * p).sum(0)]
             acc = cur if acc is None else [a + c for a, c in zip(acc, cur)]

@@ -5,9 +5,9 @@ rebuilt: they are a different algorithm and are documented as such.
 
 * ``ridge_gram`` / ``ridge_fit`` -- multi-output ridge regression from
   descriptors to expression by the normal equations: every partition forms
-  its ``X'X`` and ``X'Y`` in one Arrow batch loop, the partial matrices are
-  summed by a keyed aggregation (``width^2`` keys), and only the
-  ``width x width`` system is solved on the driver.
+  its ``X'X`` and ``X'Y`` in one Arrow batch loop and gives one row, these are
+  added up in a tree, and only the ``width x width`` system is solved on the
+  driver.
 * ``se_translation_fit`` (in ``scoring``) -- the identity-head offsets.
 """
 
@@ -20,16 +20,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ridge_gram(df: DataFrame, x_col: str, y_col: str | None = None, intercept: bool = True) -> DataFrame:
+BUCKETS = 32     # partial matrices meet in so many tasks before the last one adds those up
+
+
+def column_means(df: DataFrame, col: str) -> np.ndarray:
+    """Mean of every position of an array column (one row of numbers)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    got = df.where(F.col(col).isNotNull()).agg(Summarizer.mean(array_to_vector(col)).alias("m")).first()["m"]
+    return np.zeros(0) if got is None else got.toArray()
+
+
+def ridge_gram(df: DataFrame, x_col: str, y_col: str | None = None, intercept: bool = True,
+               shift: np.ndarray | None = None) -> DataFrame:
     """Entries of ``X'X`` (``block='xx'``) and ``X'Y`` (``block='xy'``) as
     ``(block, i, j, value, rows)``, summed over all rows (``rows`` = row count). With ``intercept`` a
-    leading 1 is added to each x row."""
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("i", T.IntegerType()),
-                           T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType()),
-                           T.StructField("rows", T.LongType())])
+    leading 1 is added to each x row; ``shift`` is subtracted from every x first.
+
+    A partition gives one row: its upper triangle and ``X'Y`` as one array. The
+    arrays are added up in ``BUCKETS`` tasks and then in one, and only that last
+    row is spread into entries."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     cols = [x_col] + ([y_col] if y_col else [])
 
     def part(batches):
+        from pyspark import TaskContext
         xx = xy = None
         n = 0
         for pdf in batches:
@@ -37,27 +53,38 @@ def ridge_gram(df: DataFrame, x_col: str, y_col: str | None = None, intercept: b
                 continue
             n += len(pdf)
             X = np.stack(pdf[x_col].to_numpy()).astype(float)
+            if shift is not None:
+                X = X - shift
             if intercept:
                 X = np.hstack([np.ones((X.shape[0], 1)), X])
             xx = X.T @ X if xx is None else xx + X.T @ X
             if y_col:
                 Y = np.stack(pdf[y_col].to_numpy()).astype(float)
                 xy = X.T @ Y if xy is None else xy + X.T @ Y
-        if xx is None:
-            return
-        out = []
-        for name, m in (("xx", xx), ("xy", xy)):
-            if m is None:
-                continue
-            ii, jj = np.indices(m.shape)
-            out.append(pd.DataFrame({"block": name, "i": ii.ravel().astype(np.int32),
-                                     "j": jj.ravel().astype(np.int32), "value": m.ravel(), "rows": n}))
-        yield pd.concat(out, ignore_index=True)
-
-    parts = df.select(*cols).mapInPandas(part, schema)
-    # every partition with rows emits every entry, so the summed ``rows`` of any
-    # entry is the total row count
-    return parts.groupBy("block", "i", "j").agg(F.sum("value").alias("value"), F.sum("rows").alias("rows"))
+        if xx is not None:
+            flat = [xx[np.triu_indices(len(xx))]] + ([xy.ravel()] if y_col else [])
+            yield pd.DataFrame({"bucket": [TaskContext.get().partitionId() % BUCKETS], "rows": [n],
+                                "width": [len(xx)], "m": [np.concatenate(flat)]})
+
+    def entries(batches):
+        for pdf in batches:
+            for n, w, m in zip(pdf["rows"], pdf["width"], pdf["m"]):
+                if m is None:
+                    continue
+                w, tri = int(w), int(w) * (int(w) + 1) // 2
+                full = np.zeros((w, w))
+                full[np.triu_indices(w)] = m[:tri]
+                full = full + np.triu(full, 1).T
+                for name, block in (("xx", full), ("xy", np.asarray(m[tri:]).reshape(w, -1))):
+                    ii, jj = np.indices(block.shape)
+                    yield pd.DataFrame({"block": name, "i": ii.ravel().astype(np.int32),
+                                        "j": jj.ravel().astype(np.int32), "value": block.ravel(), "rows": int(n)})
+
+    parts = df.select(*cols).mapInPandas(part, "bucket int, rows long, width int, m array<double>")
+    add = [F.sum("rows").alias("rows"), F.max("width").alias("width"), Summarizer.sum(F.col("v")).alias("v")]
+    few = parts.select("bucket", "rows", "width", array_to_vector("m").alias("v")).groupBy("bucket").agg(*add)
+    total = few.agg(*add).where("rows is not null").select("rows", "width", vector_to_array("v").alias("m"))
+    return total.mapInPandas(entries, "block string, i int, j int, value double, rows long")
 
 
 def ridge_fit(df: DataFrame, x_col: str, y_col: str, l2: float = 0.01, intercept: bool = True) -> np.ndarray:

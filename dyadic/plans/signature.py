@@ -19,7 +19,7 @@ class Signature:
     pairs: DataFrame         # focus, drug1, drug2, se, label, row_id, vec1
     se_lists: DataFrame      # focus, drug1, drug2, se_list, se_binary
     top_genes: DataFrame     # focus, drug1, drug2, rank, pos, gene_id, abs_value
-    vectors: DataFrame       # focus, drug1, drug2, vec1 (non-missing)
+    vectors: DataFrame       # focus, drug1, drug2, vec1 (NULL without a profile)
     n_clusters: int = 5
 
     def corr_distance(self) -> DataFrame:
@@ -48,5 +48,5 @@ def drug_signature(pairs: DataFrame, profile: DataFrame, n_se: int, k: int = 100
         per_drug = top_positions(one_side.where(F.col("vec1").isNotNull()), "vec1", k, genes)
         tops = keys.join(per_drug, "drug1").select("focus", "drug1", "drug2", "rank", "pos", "gene_id", "abs_value")
     lists = pair_se_binary(se_lists(pairs), n_se)
-    vecs = pv.select("focus", "drug1", "drug2", "vec1").where(F.col("vec1").isNotNull())
+    vecs = pv.select("focus", "drug1", "drug2", "vec1")
     return Signature(pv, lists, tops, vecs, n_clusters)

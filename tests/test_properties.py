@@ -165,3 +165,26 @@ def test_pair_model_weights_roundtrip(spark, tmp_path):
             assert np.allclose(getattr(back, k), v)
     x = np.random.default_rng(0).standard_normal((5, 6))
     assert np.allclose(m.embed(x, x[::-1])[0], back.embed(x, x[::-1])[0])
+
+
+def test_correlations_survive_large_offsets(spark):
+    from dyadic.operators.analysis import gene_corr_distance, gene_pearson
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 4)) + 1e6
+    y = x + rng.standard_normal((400, 4))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)],
+                               "vec array<double>, other array<double>").repartition(5)
+    want = 1 - np.corrcoef(x.T)
+    for r in gene_corr_distance(df).collect():
+        assert abs(r["distance"] - want[r["pos_i"], r["pos_j"]]) < 1e-6
+    for r in gene_pearson(df, "vec", "other").collect():
+        assert abs(r["r"] - np.corrcoef(x[:, r["pos"]], y[:, r["pos"]])[0, 1]) < 1e-6
+
+
+def test_clusters_keep_rows_without_direction(spark):
+    from dyadic.operators.analysis import profile_clusters
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(30)] + [(100, [2.0] * 6), (101, None)]
+    got = {r["drug_id"]: r["cluster"] for r in
+           profile_clusters(spark.createDataFrame(rows, "drug_id long, vec array<double>"), k=3).collect()}
+    assert len(got) == 32 and got[100] == got[101] == 3 and all(got[i] < 3 for i in range(30))
