@@ -114,6 +114,23 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def formula_matrix(salt: int, *shape: int) -> np.ndarray:
+    """Weights by a rule on their indices, for checks that another engine can
+    repeat: ``((7 i + 13 j + salt) mod 11 - 5) / 20``, a leading third index times 3 more."""
+    steps = (7, 13) if len(shape) == 2 else (3, 7, 13)
+    total = sum(step * index for step, index in zip(steps, np.indices(shape))) + salt
+    return (total % 11 - 5) / 20.0
+
+
+def formula_bias(salt: int, n: int) -> np.ndarray:
+    return ((np.arange(n) + salt) % 5 - 2) / 10.0
+
+
+def formula_norm(n: int) -> dict:
+    j = np.arange(n)
+    return dict(gamma=1 + j % 3 / 10.0, beta=(j % 4 - 1) / 10.0, mean=j % 2 / 10.0, var=1 + j % 5 / 10.0)
+
+
 @dataclass
 class PairModel:
     """Dense weights of the pair model (Keras layout: ``y = x @ W + b``)."""
@@ -152,6 +169,20 @@ class PairModel:
             tails=rng.standard_normal((s, d_se, d_emb)) / np.sqrt(d_emb),
             r=0.1 * rng.standard_normal((s, d_se)))
 
+    @staticmethod
+    def formula(d_in: int, d_emb: int, se_ids: Sequence[int]) -> "PairModel":
+        """Weights by the index rules above; salts 1 to 6 in the order of the layers."""
+        s = len(se_ids)
+        return PairModel(
+            W1=formula_matrix(1, d_in, d_in), b1=formula_bias(1, d_in), bn1=formula_norm(d_in),
+            G1=formula_matrix(2, 2 * d_in, d_in), g1=formula_bias(2, d_in),
+            G2=formula_matrix(3, 2 * d_in, d_in), g2=formula_bias(3, d_in),
+            bn_s1=formula_norm(d_in), bn_s2=formula_norm(d_in),
+            V=formula_matrix(4, d_in, d_emb), v=formula_bias(4, d_emb), bn_e=formula_norm(d_emb),
+            se_ids=np.asarray(sorted(se_ids), dtype=np.int64), heads=formula_matrix(5, s, d_emb, d_emb),
+            tails=formula_matrix(6, s, d_emb, d_emb),
+            r=((np.arange(s)[:, None] + np.arange(d_emb)[None, :]) % 7 - 3) / 10.0)
+
     def nbytes(self) -> int:
         return sum(v.nbytes for v in self.__dict__.values() if isinstance(v, np.ndarray)) + \
             sum(a.nbytes for d in (self.bn1, self.bn_s1, self.bn_s2, self.bn_e) for a in d.values())
@@ -448,6 +479,20 @@ class FeatureModel:
         return FeatureModel(variant, lf, lp, rng.standard_normal((d, n_out)) / np.sqrt(d),
                             0.01 * rng.standard_normal(n_out))
 
+    @staticmethod
+    def formula(n_fp: int, n_props: int, n_out: int, variant: str = "both", hidden_fp=(12, 6),
+                hidden_pr=(6,)) -> "FeatureModel":
+        """Weights by the index rules; salts 1, 2 .. on fingerprints, 11 .. on properties, 21 on the output."""
+        def stack(n_in, hidden, salt):
+            out, d = [], n_in
+            for k, h in enumerate(hidden):
+                out.append((formula_matrix(salt + k, d, h), formula_bias(salt + k, h), formula_norm(h)))
+                d = h
+            return out, d
+        lf, dfp = stack(n_fp, hidden_fp, 1) if variant in ("both", "fp") else ([], 0)
+        lp, dpr = stack(n_props, hidden_pr, 11) if variant in ("both", "props") else ([], 0)
+        return FeatureModel(variant, lf, lp, formula_matrix(21, dfp + dpr, n_out), formula_bias(21, n_out))
+
     def nbytes(self) -> int:
         return sum(W.nbytes + b.nbytes for W, b, _ in self.layers_fp + self.layers_pr) + self.W_out.nbytes
 

@@ -215,3 +215,77 @@ def describe_select(src: str) -> str:
   {r6(f'quantile_cont({m}, 0.25)', 'q25')}, {r6(f'quantile_cont({m}, 0.5)', 'q50')},
   {r6(f'quantile_cont({m}, 0.75)', 'q75')}, {r6(f'max({m})', 'max')} from {src}""")
     return "\nunion all\n".join(parts)
+
+
+# ------------------------------------------------ layers with weights by rule
+def linear_sql(x: str, n_in: int, n_out: int, salt: int, bias: bool = True, row0: int = 0) -> str:
+    """``x @ W + b`` with the index rules of ``scoring.formula_matrix``; ``row0``: first row of W that x meets."""
+    b = f" + ((j + {salt}) % 5 - 2)::double / 10" if bias else ""
+    return (f"list_transform(range(0, {n_out}), lambda j: list_sum(list_transform(range(0, {n_in}), "
+            f"lambda i: ({x})[i + 1] * ((7 * (i + {row0}) + 13 * j + {salt}) % 11 - 5)::double / 20)){b})")
+
+
+def norm_sql(x: str, n: int) -> str:
+    return (f"list_transform(range(0, {n}), lambda j: (({x})[j + 1] - (j % 2)::double / 10) "
+            f"/ sqrt(1 + (j % 5)::double / 10 + 0.001::double) * (1 + (j % 3)::double / 10) + ((j % 4) - 1)::double / 10)")
+
+
+def each_sql(x: str, expr: str) -> str:
+    return f"list_transform({x}, lambda z: {expr})"
+
+
+ELU = "case when z > 0 then z else exp(z) - 1 end"
+
+
+def feature_model_ctes(src: str, n_fp: int, n_props: int, n_out: int, variant: str, hidden_fp=(12, 6),
+                       hidden_pr=(6,)) -> list[str]:
+    """CTEs up to ``fm`` (row_id, pred) over ``src`` (row_id, fp, d)."""
+    ctes, n, width = [f"fm0 as (select row_id, fp a, d b from {src})"], 0, 0
+    parts = []
+    for col, n_in, hidden, salt, on in (("a", n_fp, hidden_fp, 1, variant in ("both", "fp")),
+                                        ("b", n_props, hidden_pr, 11, variant in ("both", "props"))):
+        if not on:
+            continue
+        for k, h in enumerate(hidden):
+            other = "b" if col == "a" else "a"
+            relu = each_sql(linear_sql(col, n_in, h, salt + k), "greatest(z, 0)")
+            ctes.append(f"fm{n + 1} as (select row_id, {other}, {relu} {col} from fm{n})")
+            ctes.append(f"fm{n + 2} as (select row_id, {other}, {norm_sql(col, h)} {col} from fm{n + 1})")
+            n, n_in = n + 2, h
+        parts.append(col)
+        width += n_in
+    ctes.append(f"fmc as (select row_id, {' || '.join(parts)} c from fm{n})")
+    ctes.append(f"fm as (select row_id, {each_sql(linear_sql('c', width, n_out, 21), '10 * tanh(z)')} pred from fmc)")
+    return ctes
+
+
+def pair_model_ctes(pairs: str, d: int = 64, e: int = 16) -> list[str]:
+    """CTEs up to ``pm`` (drug1, drug2, s1, h1, e1, e2) over distinct ``pairs`` (drug1, drug2); per-drug layers are
+    computed once per drug."""
+    mul = lambda h, a, b, salt: (f"list_transform(range(0, {d}), lambda j: {h}[j + 1] * "
+                                 f"(1 / (1 + exp(-({a}[j + 1] + {b}[j + 1] + ((j + {salt}) % 5 - 2)::double / 10)))))")
+    return [
+        f"pm_l as (select drug_id, {each_sql(linear_sql('vec', d, d, 1), ELU)} z1 from fx_profile)",
+        f"pm_h as (select drug_id, {norm_sql('z1', d)} h from pm_l)",
+        f"""pm_g as (select drug_id, h, {linear_sql('h', d, d, 2, False)} t1, {linear_sql('h', d, d, 2, False, d)} u1,
+  {linear_sql('h', d, d, 3, False)} t2, {linear_sql('h', d, d, 3, False, d)} u2 from pm_h)""",
+        f"""pm_m as (select p.drug1, p.drug2, a.h h1, {mul('a.h', 'a.t1', 'b.u1', 2)} m1, {mul('b.h', 'a.t2', 'b.u2', 3)} m2
+  from {pairs} p left join pm_g a on p.drug1 = a.drug_id left join pm_g b on p.drug2 = b.drug_id)""",
+        f"pm_s as (select drug1, drug2, h1, {norm_sql('m1', d)} s1, {norm_sql('m2', d)} s2 from pm_m)",
+        f"pm_e as (select drug1, drug2, h1, s1, {linear_sql('s1', d, e, 4)} x1, {linear_sql('s2', d, e, 4)} x2 from pm_s)",
+        f"""pm as (select drug1, drug2, s1, h1, {norm_sql(each_sql('x1', ELU), e)} e1, {norm_sql(each_sql('x2', ELU), e)} e2
+  from pm_e)"""]
+
+
+def head_distance_sql(a: str, b: str, e: int = 16, se: str = "se") -> str:
+    """``|H a + r - T b|`` of side effect ``se`` with the index rules."""
+    w = lambda salt: f"((3 * {se} + 7 * f + 13 * i + {salt}) % 11 - 5)::double / 20"
+    diff = (f"list_sum(list_transform(range(0, {e}), lambda i: {a}[i + 1] * {w(5)} - {b}[i + 1] * {w(6)})) "
+            f"+ (({se} + f) % 7 - 3)::double / 10")
+    return f"sqrt(list_sum(list_transform(range(0, {e}), lambda f: ({diff}) ** 2)))"
+
+
+def sums_sql(c: str) -> str:
+    """Sum and position-weighted sum of a list, rounded."""
+    return (f"round(list_sum({c}), 6) {c}_sum, "
+            f"round(list_sum(list_transform(range(0, len({c})), lambda j: (j + 1) * {c}[j + 1])), 6) {c}_wsum")

@@ -829,49 +829,115 @@ from ..operators.scoring import FeatureModel, PairModel, pair_embed, predict_exp
 from .profiles import predict_profiles  # noqa: E402
 from .signature import drug_signature  # noqa: E402
 
-MODEL_SEED = 3      # weights are inputs; the registered queries use seeded stand-in weights
+def _pair_model(width=64, emb=16, n_se=N_SE):
+    """Weights are inputs; the registered queries use weights by a rule that the SQL side repeats."""
+    return PairModel.formula(width, emb, list(range(n_se)))
 
 
-def _pair_model(width=64, emb=16, n_se=N_SE):
-    return PairModel.random(MODEL_SEED, width, emb, list(range(n_se)))
+def _sums(*cols):
+    """Sum and position-weighted sum of array columns."""
+    out = []
+    for c in cols:
+        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        weighted = F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+        out += [total.alias(f"{c}_sum"), weighted.alias(f"{c}_wsum")]
+    return out
+
+
+_DISTINCT_CTE = "q_dp as (select distinct drug1, drug2 from fx_pairs)"
 
 
-@register("pair_embed")
+@register("pair_embed", O.with_fixtures(_DISTINCT_CTE, *O.pair_model_ctes("q_dp"),
+                                        select=f"select drug1, drug2, {O.sums_sql('e1')}, {O.sums_sql('e2')} from pm"))
 def q_pair_embed(spark, sf):
     """Embeddings of every distinct observed pair (both drugs), full model."""
     pv = profile_lookup(fx.pairs(spark, sf).select("drug1", "drug2").distinct(), fx.profile(spark, sf))
-    e = pair_embed(pv, _pair_model())
-    return e.select("drug1", "drug2", "e1", "e2")
+    return rounded(pair_embed(pv, _pair_model()).select("drug1", "drug2", *_sums("e1", "e2")))
 
 
-@register("gated_profile")
+@register("gated_profile", O.with_fixtures(_DISTINCT_CTE, *O.pair_model_ctes("q_dp"),
+                                           select=f"select drug1, drug2, {O.sums_sql('s1')}, {O.sums_sql('h1')} from pm"))
 def q_gated_profile(spark, sf):
     """Gated profile of drug1 (``s1``) per pair, by layer name, not position."""
     pv = profile_lookup(fx.pairs(spark, sf).select("drug1", "drug2").distinct(), fx.profile(spark, sf))
-    return pair_embed(pv, _pair_model()).select("drug1", "drug2", "s1", "h1")
+    return rounded(pair_embed(pv, _pair_model()).select("drug1", "drug2", *_sums("s1", "h1")))
 
 
-@register("translation_score_full")
+@register("translation_score_full", O.with_fixtures(
+    "q_dp as (select drug1, drug2 from fx_pairs union select drug2, drug1 from fx_pairs)", *O.pair_model_ctes("q_dp"),
+    f"""q_full as (select p.row_id, p.drug1, p.drug2, p.se,
+  {O.head_distance_sql('a.e1', 'a.e2')} + {O.head_distance_sql('a.e2', 'a.e1')} score_fwd,
+  {O.head_distance_sql('b.e1', 'b.e2')} + {O.head_distance_sql('b.e2', 'b.e1')} score_rev
+  from fx_pairs p join pm a on p.drug1 = a.drug1 and p.drug2 = a.drug2
+  join pm b on p.drug2 = b.drug1 and p.drug1 = b.drug2)""",
+    select="select row_id, drug1, drug2, se, round(score_fwd, 6) score_fwd, round(score_rev, 6) score_rev from q_full"))
 def q_translation_score_full(spark, sf):
     """Both orientations of every observed (pair, se) row, full heads."""
     from ..operators.scoring import score_rows_full
     rows = fx.pairs(spark, sf).select("row_id", "drug1", "drug2", "se")
-    return score_rows_full(profile_lookup(rows, fx.profile(spark, sf)), _pair_model())
+    return rounded(score_rows_full(profile_lookup(rows, fx.profile(spark, sf)), _pair_model()))
+
+
+_FULL_BASE = 2800     # thresholds on the scale of the full model's scores
+_FULL_THR_CTE = f"""q_fthr as (select c.se, avg(({_FULL_BASE} + 5 * cast(r.range as integer) + 5 * c.se)::double / 1000.0)
+  optimal_thr from fx_se_cat c cross join range(3, 8) r group by c.se)"""
+
 
+def _full_threshold(spark, sf):
+    return fx.threshold(spark, sf, base=_FULL_BASE, per_sample=5, per_se=5)
 
-@register("screen_full")
+
+_SCREEN_SELECT = """
+select drug1, drug2, rank, se, name, confidence_gap, probability_score,
+  case when confidence_gap > 0.15 then 'Critical' when confidence_gap > 0.08 then 'High' else 'Moderate' end severity,
+  total_predicted_reactions from q_res"""
+
+
+@register("screen_full", O.with_fixtures(
+    """q_valid as (select request_id, drug1, drug2 from fx_request
+  where drug1 is not null and drug2 is not null and drug1 <> 0 and drug2 <> 0)""",
+    "q_pairs as (select distinct drug1, drug2 from q_valid)",
+    "q_dp as (select drug1, drug2 from q_pairs union select drug2, drug1 from q_pairs)",
+    *O.pair_model_ctes("q_dp"), _FULL_THR_CTE,
+    f"""q_sc as (select p.drug1, p.drug2, c.se, t.optimal_thr,
+  {O.head_distance_sql('a.e1', 'a.e2', se='c.se')} + {O.head_distance_sql('a.e2', 'a.e1', se='c.se')} sx,
+  {O.head_distance_sql('b.e1', 'b.e2', se='c.se')} + {O.head_distance_sql('b.e2', 'b.e1', se='c.se')} sy
+  from q_pairs p cross join fx_se_cat c join pm a on p.drug1 = a.drug1 and p.drug2 = a.drug2
+  join pm b on p.drug2 = b.drug1 and p.drug1 = b.drug2 join q_fthr t on c.se = t.se
+  where a.e1 is not null and a.e2 is not null)""", *_SCREEN_CTES[-3:], select=_SCREEN_SELECT))
 def q_screen_full(spark, sf):
     """The screen with the full pair model: flagged rows only leave the batch."""
-    s = screen(fx.requests(spark, sf), fx.profile(spark, sf), fx.threshold(spark, sf, base=1750, per_sample=5,
-                                                                            per_se=5),
-               fx.side_effect(spark, sf), fx.se_catalogue(spark, sf), model=_pair_model(), mode="last5")
-    return s.results
+    s = screen(fx.requests(spark, sf), fx.profile(spark, sf), _full_threshold(spark, sf), fx.side_effect(spark, sf),
+               fx.se_catalogue(spark, sf), model=_pair_model(), mode="last5")
+    return s.results.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _predicted(spark, sf, variant):
+    m = FeatureModel.formula(17, fx.N_DESC, fx.N_DESC, variant)
+    out = predict_expression(_parts(spark, sf), m)
+    return rounded(out.select("row_id", F.posexplode("pred").alias("pos", "value"))
+                   .withColumn("pos", F.col("pos").cast("bigint")))
+
+
+def _predicted_sql(variant):
+    return O.with_fixtures(_DESC_CTE, *O.feature_model_ctes("q_desc", 17, fx.N_DESC, fx.N_DESC, variant), select=f"""
+select row_id, unnest(range(0, {fx.N_DESC})) pos, round(unnest(pred), 6) value from fm""")
 
 
-@register("predict_expression")
+@register("predict_expression", _predicted_sql("both"))
 def q_predict_expression(spark, sf):
-    m = FeatureModel.random(MODEL_SEED, 17, fx.N_DESC, fx.N_DESC, "both", hidden_fp=(12, 6), hidden_pr=(6,))
-    return predict_expression(_parts(spark, sf), m)
+    """Expression predicted from fingerprints and properties."""
+    return _predicted(spark, sf, "both")
+
+
+@register("predict_expression_fp", _predicted_sql("fp"))
+def q_predict_expression_fp(spark, sf):
+    return _predicted(spark, sf, "fp")
+
+
+@register("predict_expression_props", _predicted_sql("props"))
+def q_predict_expression_props(spark, sf):
+    return _predicted(spark, sf, "props")
 
 
 @register("predict_profiles")
@@ -1137,7 +1203,23 @@ def q_calibrate_identity(spark, sf):
     return rounded(calibrate(train, samples=2, frac=0.1, score_fn=score_fn, method="lcg").thresholds)
 
 
-@register("evaluate_full")
+_EVAL_FULL_CTES = [
+    "q_dp as (select drug1, drug2 from fx_pairs union select drug2, drug1 from fx_pairs)", *O.pair_model_ctes("q_dp"),
+    _FULL_THR_CTE, f"""q_f0 as (select p.se, p.label,
+  {O.head_distance_sql('a.e1', 'a.e2', se='p.se')} + {O.head_distance_sql('a.e2', 'a.e1', se='p.se')} fwd,
+  {O.head_distance_sql('b.e1', 'b.e2', se='p.se')} + {O.head_distance_sql('b.e2', 'b.e1', se='p.se')} rev
+  from fx_pairs p join pm a on p.drug1 = a.drug1 and p.drug2 = a.drug2
+  join pm b on p.drug2 = b.drug1 and p.drug1 = b.drug2)""",
+    "q_full as (select se, label, (round(fwd, 6) + round(rev, 6)) / 2 score from q_f0)",
+    """q_fl as (select f.se, f.label, f.score, cast(coalesce(f.score < t.optimal_thr, false) as integer) pred
+  from q_full f left join q_fthr t on f.se = t.se)"""]
+
+
+@register("evaluate_full", O.with_fixtures(*_EVAL_FULL_CTES, *O.perf_ctes("q_fl", "pred", "score"), select=(
+    O.perf_select("pf").replace(" from pf", ", cast(null as varchar) reason from pf") + """
+union all select se, null, null, null, null, null,
+  case when n_classes <= 1 then 'single class' else 'missing score' end from pf_prof
+where n_classes <= 1 or n_missing > 0""")))
 def q_evaluate_full(spark, sf):
     """Q1 with our own scorer: every observation scored by the full model in
     both orientations in one pass (no orientation join), labelled against the
@@ -1146,8 +1228,9 @@ def q_evaluate_full(spark, sf):
     from ..operators.scoring import score_rows_full
     from ..operators.thresholds import merge_scored_orientations
     pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf))
-    scored = score_rows_full(pv, _pair_model())
-    thr = threshold_mean(fx.threshold(spark, sf, base=1750, per_sample=5, per_se=5), "last5")
+    # a pair and its swap score alike but for the last digit, which would break their tie by chance
+    scored = rounded(score_rows_full(pv, _pair_model()))
+    thr = threshold_mean(_full_threshold(spark, sf), "last5")
     merged = merge_scored_orientations(scored, thr)
     perf, excluded = M.merged_performance(merged, with_excluded=True)
-    return perf.unionByName(excluded.select("se", "reason"), allowMissingColumns=True)
+    return rounded(perf).unionByName(excluded.select("se", "reason"), allowMissingColumns=True)
