@@ -45,7 +45,9 @@ from .words import row_slices, strings
 
 SYMBOLS, SPAN, DECAY = 64, 5, 0.7
 CANDIDATES = 2000
-LANDMARKS = 128
+LANDMARKS = 256
+#: of the strongest insults, so many also teach gapped spellings
+GAPPED = 64
 ROUNDS = 3
 #: least log-likelihood ratio of an insult: such an excess comes by chance for one word in about a million
 EVIDENCE = 13.0
@@ -213,7 +215,7 @@ def _margins(table: np.ndarray, bias: float):
     return run
 
 
-def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 30.0,
+def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 3.0,
                   passes: int = 60) -> tuple[np.ndarray, float]:
     """Linear support vector machine by dual coordinate ascent (the bias is one more constant feature)."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -252,13 +254,14 @@ def train(positive: list[str], negative: list[str], hard: list[str] = ()) -> tup
     values, vectors = np.linalg.eigh(z @ z.T)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
-    gapped = [v for w in positive[:LANDMARKS] for v in inserted(w)]
+    gapped = [v for w in positive[:GAPPED] for v in inserted(w)]
     everything = positive + gapped + negative
     x = np.vstack([_dense(everything[k:k + 500], used)[0] @ z.T for k in range(0, len(everything), 500)]) @ root
     y = np.array([1.0] * (len(positive) + len(gapped)) + [-1.0] * len(negative))
-    weight = np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * len(negative)))
-    weight[len(positive):len(positive) + len(gapped)] /= 10  # made-up spellings teach less than seen ones
-    w, bias = hinge_machine(x, y, np.minimum(weight, 10))
+    weight = np.ones(len(y))
+    weight[:len(positive)] = np.sqrt(len(positive) / (1 + np.arange(len(positive))))  # the surest insults weigh most
+    weight[len(positive):len(positive) + len(gapped)] = 0.3  # made-up spellings teach less than seen ones
+    w, bias = hinge_machine(x, y, weight)
     table = np.zeros(SYMBOLS ** 3, np.float32)
     table[used] = (root @ w) @ z
     return table, bias
