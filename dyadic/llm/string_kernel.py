@@ -52,9 +52,8 @@ ROUNDS = 3
 #: least log-likelihood ratio of an insult: such an excess comes by chance for one word in about a million
 EVIDENCE = 13.0
 #: margins below this are alike: the floor of a document's margin
-FLOOR = -0.75
+FLOOR = -0.25
 SLICE_BYTES = 2 << 20
-_GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a + 1)]
 
 _SKIP = 255
 _SYMBOL = np.zeros(256, np.uint8)
@@ -99,12 +98,13 @@ def spell(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def triples(c: np.ndarray, word: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
     """For every gap pattern: its weight, where it fits, and the triples (as table indexes) there."""
     c = c.astype(np.int32)
-    for a, b in _GAPS:
-        d = a + b
+    for d in range(2, SPAN + 1):
         if len(c) <= d:
-            continue
+            break
         at = np.flatnonzero(word[d:] == word[:-d])
-        yield DECAY ** (d + 1), at, (c[at] << 12) | (c[at + a] << 6) | c[at + d]
+        outer = (c[at] << 12) | c[at + d]
+        for a in range(1, d):
+            yield DECAY ** (d + 1), at, outer | (c[at + a] << 6)
 
 
 def features(c: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +123,10 @@ def features(c: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 def word_margins(table: np.ndarray, bias: float, c: np.ndarray, word: np.ndarray, n: int,
                  least: float = FLOOR) -> tuple[np.ndarray, np.ndarray]:
     """Words whose margin exceeds ``least``, and those margins."""
-    total = np.zeros(n)
+    sums = np.zeros(len(c))
     for weight, at, index in triples(c, word):
-        total += weight * np.bincount(word[at], table[index], minlength=n)
+        sums[at] += weight * table[index]
+    total = np.bincount(word, sums, minlength=n)
     length = np.bincount(word, minlength=n)
     # the contiguous triples alone bound the norm from below: by Cauchy-Schwarz over at most length - 2 features
     shortest = DECAY ** 3 * np.sqrt(np.maximum(length - 2, 0))
