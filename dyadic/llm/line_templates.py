@@ -1,7 +1,8 @@
 """Line dedup by a fixed-depth template tree; DataFrame functions only.
 
-A line's tokens (split at blanks; a token with a digit is a variable field) lead
-it down a tree of fixed depth: token count, then the ``LEAD`` leading tokens. In
+A line's tokens (split at blanks, and every character of a script that writes no
+blanks is one; a token with a digit is a variable field, but for lines under
+``CONSTANT`` tokens, which are compared by their exact tokens) lead it down a tree of fixed depth: token count, then the ``LEAD`` leading tokens. In
 the leaf a line belongs to its exact template and, if it is long enough, to the
 ``BLOCKS`` templates in which one block of the remaining tokens is a variable
 field too; so two lines of a leaf share a template when they differ in one block
@@ -13,8 +14,8 @@ Shuffles: (leaf, document) pairs with partial sums; the lines of shared leaves;
 their templates with partial sums; and the documents once, by id. Hot leaves and
 templates are joined against stored tables, so adaptive execution can split them.
 
-Defined cases: a null text stays null and has no lines; empty lines and lines of
-fewer than ``min_tokens`` tokens always stay; repeats inside one document count
+Defined cases: a null text stays null and has no lines; lines without tokens
+always stay (and those of fewer than ``min_tokens``, if it is raised); repeats inside one document count
 once and stay or go together; a null id ranks below every id; rows that repeat id
 and text act as one document; whatever other columns exist is carried along.
 """
@@ -28,12 +29,17 @@ from .common import stored
 
 LEAD, BLOCKS = 3, 4
 FIELD = "<*>"
+#: least tokens of a line with variable fields
+CONSTANT = 4
 BLANK = r"[ \t\r\f]+"
+#: scripts that write no blanks between words
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def tokens_of(line: Column) -> Column:
-    plain = F.array_remove(F.split(line, BLANK), "")
-    return F.when(line.rlike("[0-9]"), F.transform(
+    spaced = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
+    plain = F.array_remove(F.split(spaced, BLANK), "")
+    return F.when(line.rlike("[0-9]") & (F.size(plain) >= CONSTANT), F.transform(
         plain, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(plain)
 
 
@@ -47,13 +53,13 @@ def _templates(long_tokens: int) -> Column:
         F.array(*[variant(out) for out in range(-1, BLOCKS)]))
 
 
-def recurring_lines(docs: DataFrame, min_tokens: int = 4, long_tokens: int = 10, min_docs: int = 2,
+def recurring_lines(docs: DataFrame, min_tokens: int = 1, long_tokens: int = 10, min_docs: int = 2,
                     short_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to drop: one row per document with such lines (id, row_key, dropped: 0-based line numbers)."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"),
                         F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
     lines = (lines.withColumn("tokens", tokens_of(F.col("line"))).withColumn("n", F.size("tokens"))
-             .where(F.col("n") >= min_tokens)
+             .where(F.col("n") >= max(min_tokens, 1))
              .withColumn("lead", F.xxhash64(F.col("n"), F.slice("tokens", 1, LEAD)))
              .select("id", "row_key", "line_no", "n", "lead", _templates(long_tokens).alias("templates")))
     lines = stored(lines, "lines")

@@ -98,6 +98,25 @@ def test_line_templates_short_lines_need_more_documents(spark):
     assert sum(r.n_dropped for r in line_templates.drop_recurring_lines(docs.limit(9)).collect()) == 0
 
 
+def test_line_templates_drop_lines_of_any_length(spark):
+    rows = [(k, f"Les.\nAnd ornd.\n\nPage {k}\nTotal 7\nown{k}\u00e9 x{'y' * k}") for k in range(12)]
+    out = {r.doc_id: r for r in line_templates.drop_recurring_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # numbers of short lines are no fields: the page numbers differ, the totals do not
+    assert [out[k].n_dropped for k in range(12)] == [3] * 11 + [0]
+    assert out[3].text == "\nPage 3\nown3\u00e9 xyyy" and out[11].text == rows[11][1]
+    few = line_templates.drop_recurring_lines(spark.createDataFrame(rows[:9], "doc_id long, text string"))
+    assert sum(r.n_dropped for r in few.collect()) == 0
+
+
+def test_line_templates_of_scripts_without_blanks(spark):
+    for passage in ("\u672c\u7f51\u7ad9\u7684\u5185\u5bb9\u672a\u7ecf\u8bb8\u53ef\u4e0d\u5f97\u8f6c\u8f7d",
+                    "\u3053\u306e\u30b5\u30a4\u30c8\u306e\u7121\u65ad\u8ee2\u8f09\u3092\u7981\u3058\u307e\u3059",
+                    "\u0e2a\u0e07\u0e27\u0e19\u0e25\u0e34\u0e02\u0e2a\u0e34\u0e17\u0e18\u0e34\u0e4c"):
+        docs = spark.createDataFrame([(1, passage), (2, passage), (3, passage[:5])], "doc_id long, text string")
+        assert {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(docs).collect()} == {1: 1, 2: 0, 3: 0}
+
+
 def plain_contamination(docs, items, n=13):
     wins = defaultdict(set)
     for i, t in items:
