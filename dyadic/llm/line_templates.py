@@ -1,12 +1,13 @@
 """Line dedup by a fixed-depth template tree; DataFrame functions only.
 
 A line's tokens (split at blanks, and every character of a script that writes no
-blanks is one; a token with a digit is a variable field, but for lines under
-``CONSTANT`` tokens, which are compared by their exact tokens) lead it down a tree of fixed depth: token count, then the ``LEAD`` leading tokens. In
+blanks is one; a token with a digit is a variable field) lead it down a tree of fixed depth: token count, then the ``LEAD`` leading tokens. In
 the leaf a line belongs to its exact template and, if it is long enough, to the
 ``BLOCKS`` templates in which one block of the remaining tokens is a variable
 field too; so two lines of a leaf share a template when they differ in one block
-only. A template recurs when enough different documents hold it (short templates,
+only. A template needs ``CONSTANT`` tokens with letters and without digits, and as
+many as half of its tokens; a line with fewer is compared by its exact tokens. So
+rows of numbers share no template unless they are equal. A template recurs when enough different documents hold it (short templates,
 which prose repeats by chance, need more). Of a recurring template the document
 with the largest id keeps its lines; the lines of the others are dropped.
 
@@ -29,28 +30,45 @@ from .common import stored
 
 LEAD, BLOCKS = 3, 4
 FIELD = "<*>"
-#: least tokens of a line with variable fields
+#: least constant tokens of a template with variable fields
 CONSTANT = 4
 BLANK = r"[ \t\r\f]+"
-#: scripts that write no blanks between words
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: scripts that write no blanks between words, as ranges (a look-up of scripts takes several times as long): Thai and
+#: Lao, Burmese, Khmer, Han with its radicals and marks, kana
+UNSPACED = (r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u19e0-\u19ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+            r"\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}]")
 
 
-def tokens_of(line: Column) -> Column:
-    spaced = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
-    plain = F.array_remove(F.split(spaced, BLANK), "")
-    return F.when(line.rlike("[0-9]") & (F.size(plain) >= CONSTANT), F.transform(
+def _constants(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.rlike(r"^[^0-9]*?[\p{L}\p{M}][^0-9]*$")))
+
+
+def _holds(constants: Column, n: Column) -> Column:
+    return (constants >= CONSTANT) & (2 * constants >= n)
+
+
+def plain_tokens(line: Column) -> Column:
+    unspaced = (F.octet_length(line) > F.length(line)) & line.rlike(UNSPACED)
+    spaced = F.when(unspaced, F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
+    return F.array_remove(F.split(spaced, BLANK), "")
+
+
+def tokens_of(plain: Column, digits: Column) -> Column:
+    return F.when(digits & _holds(_constants(plain), F.size(plain)), F.transform(
         plain, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(plain)
 
 
 def _templates(long_tokens: int) -> Column:
-    """Template hashes of a line with columns n, lead and tokens: exact, then each block as a field."""
+    """Template hashes of a line with columns n, lead, tokens and digits: exact, then each block as a field."""
     q = F.ceil((F.col("n") - LEAD) / F.lit(BLOCKS)).cast("int")
-    block = [F.xxhash64(F.slice("tokens", LEAD + 1 + i * q, F.greatest(q, F.lit(0)))) for i in range(BLOCKS)]
+    part = [F.slice("tokens", LEAD + 1 + i * q, F.greatest(q, F.lit(0))) for i in range(BLOCKS)]
+    block = [F.xxhash64(x) for x in part]
+    # a line without digits has constants enough outside of any block
+    enough = [~F.col("digits") | _holds(_constants(F.col("tokens")) - _constants(x), F.col("n")) for x in part]
     variant = lambda out: F.xxhash64(F.col("lead"), F.lit(out), *[
         F.lit(0).cast("long") if i == out else block[i] for i in range(BLOCKS)])
     return F.when(F.col("n") < long_tokens, F.array(variant(-1))).otherwise(
-        F.array(*[variant(out) for out in range(-1, BLOCKS)]))
+        F.array_compact(F.array(variant(-1), *[F.when(enough[out], variant(out)) for out in range(BLOCKS)])))
 
 
 def recurring_lines(docs: DataFrame, min_tokens: int = 1, long_tokens: int = 10, min_docs: int = 2,
@@ -58,8 +76,13 @@ def recurring_lines(docs: DataFrame, min_tokens: int = 1, long_tokens: int = 10,
     """Lines to drop: one row per document with such lines (id, row_key, dropped: 0-based line numbers)."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"),
                         F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
-    lines = (lines.withColumn("tokens", tokens_of(F.col("line"))).withColumn("n", F.size("tokens"))
-             .where(F.col("n") >= max(min_tokens, 1))
+    # a test of the line itself: one of n would tokenise it twice
+    lines = lines.where(F.col("line").rlike(r"[^ \t\r\f]"))
+    lines = (lines.withColumn("plain", plain_tokens(F.col("line"))).withColumn("digits", F.col("line").rlike("[0-9]"))
+             .withColumn("tokens", tokens_of(F.col("plain"), F.col("digits"))).withColumn("n", F.size("tokens")))
+    if min_tokens > 1:
+        lines = lines.where(F.col("n") >= min_tokens)
+    lines = (lines
              .withColumn("lead", F.xxhash64(F.col("n"), F.slice("tokens", 1, LEAD)))
              .select("id", "row_key", "line_no", "n", "lead", _templates(long_tokens).alias("templates")))
     lines = stored(lines, "lines")

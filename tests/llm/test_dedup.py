@@ -109,6 +109,20 @@ def test_line_templates_drop_lines_of_any_length(spark):
     assert sum(r.n_dropped for r in few.collect()) == 0
 
 
+def test_line_templates_keep_rows_of_numbers(spark):
+    row = lambda k, n, mark="": " ".join(f"{mark}{k * 100 + j}.{k}" for j in range(n))
+    table = lambda k: "\n".join([row(k, 12), row(k, 6), f"| {' | '.join(str(k + j) for j in range(9))} |",
+                                 "Mean and median of " + row(k, 8),
+                                 "The four columns " + row(k, 2) + " are left for all " + row(k, 2) + " to see " + row(k, 2)])
+    docs = spark.createDataFrame([(k, table(k)) for k in range(12)], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    # only the last line has constants enough
+    assert [out[k].n_dropped for k in range(12)] == [1] * 11 + [0]
+    assert all(out[k].text == table(k).rpartition("\n")[0] for k in range(11))
+    same = spark.createDataFrame([(1, row(1, 12)), (2, row(1, 12)), (3, row(1, 11) + " 5")], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(same).collect()} == {1: 1, 2: 0, 3: 0}
+
+
 def test_line_templates_of_scripts_without_blanks(spark):
     for passage in ("\u672c\u7f51\u7ad9\u7684\u5185\u5bb9\u672a\u7ecf\u8bb8\u53ef\u4e0d\u5f97\u8f6c\u8f7d",
                     "\u3053\u306e\u30b5\u30a4\u30c8\u306e\u7121\u65ad\u8ee2\u8f09\u3092\u7981\u3058\u307e\u3059",
