@@ -3,7 +3,8 @@
 Pass 1 parses every page into text blocks with the path of the container elements
 around them (generalised: tag, and class tokens without digits). Containers are
 scored by the text outside boilerplate elements that they hold, less the text of
-links; a page votes for its deepest container that holds nearly all of it. Spark
+links; a page votes for its deepest container that holds nearly all of it, extended
+to the article around it, so titles, leads and ends beside it stay. Spark
 adds up the votes per host and path. Pass 2 joins each page with the winning paths
 of its host and re-extracts: a page whose own choice is among the winners keeps
 it, another takes the host's strongest winner that it has, and only a page with
@@ -203,6 +204,8 @@ def parse(page: str) -> list[Block]:
 
 #: share of a page's main text that its chosen container has to hold
 HOLDS = 0.8
+#: containers that are parts of a text, never all of it
+PARTS = {"ul", "ol", "dl", "blockquote", "figure", "details"}
 
 
 def choose(blocks: list[Block]) -> tuple[str, ...] | None:
@@ -216,7 +219,22 @@ def choose(blocks: list[Block]) -> tuple[str, ...] | None:
     total = score.get((), 0)
     if not total:
         return None
-    return max((p for p, s in score.items() if s >= HOLDS * total), key=lambda p: (len(p), score[p], p))
+    path = max((p for p, s in score.items() if s >= HOLDS * total), key=lambda p: (len(p), score[p], p))
+    return _whole(path, blocks)
+
+
+def _whole(path: tuple[str, ...], blocks: list[Block]) -> tuple[str, ...]:
+    """The article around a path: its innermost ``article`` or else ``main``; elsewhere the outermost container below
+    ``body`` with text of its own (a title, a lead) around it, and never a mere list or quotation."""
+    names = [step.partition(".")[0] for step in path]
+    for around in ("article", "main"):
+        if around in names:
+            return path[:len(names) - names[::-1].index(around)]
+    k = len(path)
+    while k > 1 and names[k - 1] in PARTS:
+        k -= 1
+    own = {b.path for b in blocks if b.main and b.linked < len(b.text)}
+    return path[:next((j for j in range(1, k) if names[j - 1] not in ("html", "body") and path[:j] in own), k)]
 
 
 def text_under(blocks: list[Block], path: tuple[str, ...] | None) -> str:

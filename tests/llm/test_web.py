@@ -143,6 +143,18 @@ def test_given_pages_against_their_articles(spark, sf_dir):
         assert r.text == "\n".join(x for x in want if x)
 
 
+def test_text_beside_the_body_stays(spark):
+    body, items = "the real story " * 60, "".join(f"<li>point {k} of the long list" for k in range(40))
+    want = {1: f"Title\nlead\n{body.strip()}\nend", 2: f"Title\nlead\n{body.strip()}", 4: f"lead\n{body.strip()}\nend"}
+    got = extracted(spark, [
+        (1, "http://a/1", f"<article><h1>Title</h1><p>lead</p><div class=body><p>{body}</div><p>end</article>"),
+        (2, "http://b/2", f"<body><div>by</div><div class=post><h1>Title</h1><p>lead</p><div class=body>{body}</div></div>"),
+        (3, "http://c/3", f"<body><div class=t>x</div><div class=post><p>lead</p><ul>{items}</ul><p>end</div>"),
+        (4, "http://d/4", f"<main><p>lead</p><blockquote>{body}</blockquote><p>end</main>")])
+    assert {k: got[k].text for k in want} == want
+    assert got[3].text.startswith("lead\npoint 0") and got[3].text.endswith("list\nend")
+
+
 def test_hosts_agree_on_a_path(spark):
     page = "<body><div class='{}'><p>{}</p></div><div class='story{}'><p>{}</p></div></body>"
     rows = [(k, "http://h/" + str(k), page.format("teaser", "short", k, "the real story " * 30)) for k in range(9)]
