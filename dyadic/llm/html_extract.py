@@ -91,8 +91,30 @@ def _described(attributes: str) -> tuple[str, set[str]]:
     return kind, tokens
 
 
+#: elements that words can rule out: blocks other than headings
+WORDED = BLOCKS - {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 def parse(page: str) -> list[Block]:
-    """Text blocks of a page in order. ``path``: the containers around a block, outermost first."""
+    """Text blocks of a page in order. ``path``: the containers around a block, outermost first.
+
+    Elements that words or ``form`` rule out count after all if no main text is left and they hold most of what
+    they rule out.
+    """
+    exempt: frozenset[int] = frozenset()
+    while True:
+        blocks, held = _parse(page, exempt)
+        total = held.pop(-1, 0)
+        more = exempt | {at for at, n in held.items() if 2 * n > total}
+        if more == exempt or any(b.main and b.linked < len(b.text) for b in blocks):
+            return blocks
+        exempt = more
+
+
+def _parse(page: str, exempt: frozenset[int]) -> tuple[list[Block], dict[int, int]]:
+    """Blocks, and the unlinked text that each element ruled out by words or ``form`` holds (by position; -1: all)."""
+    held: dict[int, int] = {}
+    ruled: list[int | None] = []  # beside the stack: position of the element if words or form rule it out
     blocks: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, container, main
     path: list[str] = []
@@ -106,6 +128,9 @@ def parse(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
                 blocks.append(Block(text, tuple(path), main, linked))
+                inside = [x for x in ruled if x is not None]
+                for x in [-1, *inside] if inside else ():
+                    held[x] = held.get(x, 0) + max(0, len(text) - linked)
             pieces.clear()
         linked = 0
 
@@ -115,6 +140,7 @@ def parse(page: str) -> list[Block]:
             name, container, _ = stack.pop()
             if name in BLOCKS:
                 flush()
+            ruled.pop()
             if container:
                 path.pop()
             if name == "a":
@@ -177,15 +203,16 @@ def parse(page: str) -> list[Block]:
             continue
         attributes = m[3] if m[2] else m[6]
         container = name in CONTAINERS
-        step, kept = name, main
+        step, kept, out = name, main, False
         if attributes:
             kind, tokens = _described(attributes)
             step += kind
             if any(x[0] in ("article", "main") for x in stack):
                 tokens.discard("header")
-            if name not in ("html", "body", "main", "article") and not tokens.isdisjoint(NOT_MAIN_TOKENS):
-                kept = False
-        if name in NOT_MAIN_TAGS:
+            out = (name in WORDED and name not in ("html", "body", "main", "article")
+                   and not tokens.isdisjoint(NOT_MAIN_TOKENS))
+        out = (out or name == "form") and lt not in exempt
+        if out or name in NOT_MAIN_TAGS and name != "form":
             kept = False
         elif name == "header" and not any(x[0] in ("article", "main") for x in stack):
             kept = False
@@ -196,10 +223,11 @@ def parse(page: str) -> list[Block]:
         if container:
             path.append(step)
         stack.append((name, container, kept))
+        ruled.append(lt if out else None)
         main = kept
     close(0)
     flush()
-    return blocks
+    return blocks, held
 
 
 #: share of a page's main text that its chosen container has to hold

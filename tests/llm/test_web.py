@@ -155,6 +155,15 @@ def test_text_beside_the_body_stays(spark):
     assert got[3].text.startswith("lead\npoint 0") and got[3].text.endswith("list\nend")
 
 
+def test_wrappers_named_like_boilerplate():
+    text = lambda page: html_extract.text_under(b := html_extract.parse(page), html_extract.choose(b))
+    story = "the real story " * 30
+    inner = f"<article><h2 id=legal-status>Title</h2><p>{story}<span id=form>end</span></article><div class=sidebar>sb</div>"
+    for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<body class=x><form id=f><div class=no-sidebar>{}</div></form>"):
+        assert text(wrap.format(inner)) == f"Title\n{story}end"
+    assert text(f"<nav>menu</nav><form>{story}</form>") == story.strip()
+
+
 def test_hosts_agree_on_a_path(spark):
     page = "<body><div class='{}'><p>{}</p></div><div class='story{}'><p>{}</p></div></body>"
     rows = [(k, "http://h/" + str(k), page.format("teaser", "short", k, "the real story " * 30)) for k in range(9)]
