@@ -54,7 +54,7 @@ def matched_depth(threshold: float, recall: float) -> int:
     for k in range(DEPTH, 0, -1):
         if 1 - (1 - threshold ** k) ** TREES >= recall:
             return k
-    return 1
+    raise ValueError(f"no depth of {TREES} trees reaches recall {recall} at threshold {threshold}")
 
 
 def labels_of(shingle_set: np.ndarray) -> np.ndarray:

@@ -263,6 +263,11 @@ def test_matched_depth_reaches_the_recall():
     assert jaccard_forest.matched_depth(0.8, 0.5) > k
 
 
+def test_matched_depth_tells_when_no_depth_reaches_the_recall():
+    with pytest.raises(ValueError):
+        jaccard_forest.matched_depth(0.2, 0.99999)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(1000, k) for k in range(60, 90)] + [(5000, 5001), (7, 7)]
     got = {r.node: r.root for r in
