@@ -190,6 +190,8 @@ def find_matches(index: DataFrame, words: DataFrame, n: int = 13, slop: int = 0)
         rows = words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
         windows = sorted(windows_of(rows, n).items())
         part = index.groupBy("segment").applyInPandas(_search(windows, slop), HITS_SCHEMA)
+        if blocks > 1:  # done before the next block's windows are taken
+            part = stored(part, "hits")
         hits = part if hits is None else hits.unionByName(part)
     return hits if hits is not None else spark.createDataFrame([], HITS_SCHEMA)
 

@@ -174,6 +174,17 @@ def test_contamination_against_plain_python(spark, monkeypatch, block_words):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+def test_blocks_are_searched_in_turn(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 12)
+    stored = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: kept.append(name) or stored(df, name))
+    docs = spark.createDataFrame([(1, "w3 w4 w5"), (2, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w3 w4 w5"), (2, "a b c d e f g h i j k l")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).collect()} == {1: 3, 2: 0}
+    assert kept.count("hits") == 2
+
+
 def test_all_terms_index_gives_the_same(spark, monkeypatch):
     passage, items = bench_items()
     docs = spark.createDataFrame([(1, "say " + passage), (2, "w3 w4 w5"), (3, "none")], "doc_id long, text string")
