@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, html_extract, jaccard_forest, knn_quality, line_templates, soft_mix,
-               string_kernel, url_filter, warc_index)
+from . import (decontaminate, exact_dedup, html_extract, jaccard_forest, knn_quality, line_templates, prefix_bpe,
+               soft_mix, string_kernel, url_filter, warc_index)
 from .common import read
 
 LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,6 +69,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.token_digests(read(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_knn_quality": op1_knn_quality,
     "op2_soft_mix": op2_soft_mix,
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op13_prefix_bpe": op13_prefix_bpe,
 }
 
 ORACLE = {
