@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, html_extract, jaccard_forest, knn_quality, line_templates, prefix_bpe,
-               soft_mix, string_kernel, url_filter, warc_index)
+from . import (conversation_repair, decontaminate, exact_dedup, html_extract, jaccard_forest, knn_quality, lexical_rank, line_templates,
+               prefix_bpe, soft_mix, string_kernel, url_filter, warc_index)
 from .common import read
 
 LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,6 +69,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op12_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.token_digests(read(spark, sf_dir, "documents"),
                                     public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -85,6 +93,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_rank": op12_lexical_rank,
     "op13_prefix_bpe": op13_prefix_bpe,
 }
 
@@ -162,4 +172,22 @@ ORACLE = {
                           arg_max(verdict, length(rh || rp)) as verdict
                    from c join rules on ends_with('.' || host, '.' || rh) and starts_with(path, rp) group by page_id)
         select c.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from c left join m using (page_id)""",
+    "op12_lexical_rank": rf"""
+        with d as (select row_number() over () as r, doc_id,
+                          regexp_extract_all({LOWER.format(c='text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+                   from documents),
+             c as (select count(*) filter (len(w) > 0) as docs, sum(len(w)) as words from d),
+             q as (select distinct item_id, unnest(regexp_extract_all({LOWER.format(c='text')},
+                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t from benchmark),
+             f as (select r, doc_id, t, any_value(len(w)) as n, count(*) as tf
+                   from (select r, doc_id, w, unnest(w) as t from d) group by r, doc_id, t),
+             g as (select t, count(*) as df from f group by t),
+             s as (select item_id, r, doc_id, cast(sum(cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+                          * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) as bigint)
+                          as score
+                   from q join f using (t) join g using (t), c group by item_id, r, doc_id)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer)
+               as rank, doc_id, score
+        from s where score > 0
+        qualify row_number() over (partition by item_id order by score desc, doc_id nulls last) <= 50""",
 }
