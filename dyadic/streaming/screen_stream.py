@@ -1,15 +1,27 @@
-"""Q6 -- the screen as a Structured Streaming job.
+"""Q6 -- the screen as a Structured Streaming job with bounded state.
 
 A stream of requests ``(request_id, drug1, drug2)`` is screened micro-batch by
 micro-batch with ``foreachBatch``: the catalogue side (profiles, offsets,
 thresholds, names) is static and prepared once; each micro-batch runs the same
 screen as the batch job. Every request ends in exactly one of two outputs,
-``responses`` or ``rejects``, however late it arrives: a repeated request id is
-recognised by the ids written by earlier batches (an anti-join with the keyed
-output), not by a watermark that would drop late requests. Requests without an
-id cannot be told apart and are all answered. Output is written per batch id
-with overwrite semantics and a batch looks at earlier batches only, so a batch
-that is replayed after a failure rewrites the same output.
+``responses`` or ``rejects``.
+
+Repeated ids are taken out before the batch by ``dropDuplicatesWithinWatermark``:
+the state store holds an id from its arrival until the watermark has passed it by
+``keep``, so the state is as large as the ids that arrive in that time, whatever
+the length of the history, and a batch reads no earlier output.
+
+The watermark runs on *arrival* time, not on the time a request bears: a request
+that is late by its own time is still the first with its id and is answered.
+Arrival is the time of the micro-batch, which never goes back, so no row is behind
+the watermark; a source that records arrival itself names that column (rows more
+than ``keep`` behind the latest arrival are then dropped by Spark and counted in
+the query's progress). A repeat that arrives after its id has left the state is a
+new request.
+
+Requests without an id cannot be told apart: each has a key of its own and is
+answered. Output is written per batch id with overwrite semantics, so a batch that
+is replayed after a failure rewrites the same output.
 """
 
 from __future__ import annotations
@@ -24,6 +36,7 @@ from ..functions.scalar import TOP_RESULTS
 from ..operators.scoring import identity_params, screen_ranked
 from ..operators.thresholds import threshold_mean
 from ..plans.screen import format_ranked, responses, valid_requests
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -51,28 +64,28 @@ def screen_batch(requests: DataFrame, side: StaticSide) -> tuple[DataFrame, Data
     return responses(valid, format_ranked(ranked, side.names)), rejects
 
 
-def _seen(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame:
-    """Request ids that batches before ``batch_id`` have answered or rejected."""
-    read = lambda part: (spark.read.schema("request_id long, batch_id long").parquet(f"{out_path}/{part}")
-                         .where((F.col("batch_id") < batch_id) & F.col("request_id").isNotNull()).select("request_id"))
-    return read("responses").unionByName(read("rejects"))
+def first_arrivals(stream: DataFrame, keep: str = "1 day", arrival: str | None = None) -> DataFrame:
+    """The stream without the repeats that arrive within ``keep``; adds ``_arrival`` and ``_key``."""
+    seen = F.current_timestamp() if arrival is None else F.col(arrival).cast("timestamp")
+    # one branch for all rows: a second one without rows would hold the watermark back
+    key = F.coalesce(F.col("request_id").cast("string"), F.uuid())
+    return (stream.withColumn("_arrival", seen).withColumn("_key", key).withWatermark("_arrival", keep)
+            .dropDuplicatesWithinWatermark(["_key"]))
 
 
 def start(spark: SparkSession, stream: DataFrame, side: StaticSide, out_path: str, checkpoint: str,
-          trigger_available_now: bool = True):
+          trigger_available_now: bool = True, keep: str = "1 day", arrival: str | None = None):
     """Run the streaming screen into ``out_path``/responses and /rejects; returns the ``StreamingQuery``."""
-    nothing = spark.createDataFrame([], "request_id long")
-    for part in ("responses", "rejects"):  # the folders exist before the first batch reads them
-        nothing.write.mode("overwrite").parquet(f"{out_path}/{part}/batch_id=-1")
+    ensure_checkpoint_dir(spark)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.where(F.col("request_id").isNotNull()).dropDuplicates(["request_id"])
-        fresh = (keyed.join(_seen(spark, out_path, batch_id), "request_id", "left_anti")
-                 .unionByName(batch.where(F.col("request_id").isNull())))
+        # read several times, and the state is to be asked once, also after a lost executor
+        fresh = batch.drop("_arrival", "_key").checkpoint()
         answered, rejected = screen_batch(fresh, side)
         answered.write.mode("overwrite").parquet(f"{out_path}/responses/batch_id={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{out_path}/rejects/batch_id={batch_id}")
 
-    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    w = (first_arrivals(stream, keep, arrival).writeStream.outputMode("append").foreachBatch(each)
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     return w.start()
