@@ -402,7 +402,7 @@ def q_tail_validation_split(spark, sf):
 from ..functions import scalar as C  # noqa: E402
 from ..operators.joins import profile_lookup, se_name_lookup  # noqa: E402
 from ..operators.scoring import identity_score, se_translation_fit_by_counts  # noqa: E402
-from .screen import score_identity, screen, valid_requests  # noqa: E402
+from .screen import format_ranked, score_identity, screen, valid_requests  # noqa: E402
 
 
 def _r_table(spark, sf):
@@ -912,6 +912,19 @@ def q_screen_full(spark, sf):
     return s.results.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@register("screen_heads", ORACLE["screen_full"])
+def q_screen_heads(spark, sf):
+    """The full screen with the heads as a table that meets the pairs block by block (seven side effects a block)."""
+    from ..operators.heads import formula_heads, screen_by_blocks
+    from ..operators.scoring import _model_block
+    requests, _ = valid_requests(fx.requests(spark, sf))
+    pv = profile_lookup(requests.select("drug1", "drug2").distinct(), fx.profile(spark, sf))
+    heads = formula_heads(fx.se_catalogue(spark, sf), 16, block_bytes=16 << 10)
+    ranked = screen_by_blocks(pv, _model_block(_pair_model(), 0, 0), heads,
+                              threshold_mean(_full_threshold(spark, sf), "last5"), C.TOP_RESULTS)
+    return format_ranked(ranked, fx.side_effect(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def _predicted(spark, sf, variant):
     m = FeatureModel.formula(17, fx.N_DESC, fx.N_DESC, variant)
     out = predict_expression(_parts(spark, sf), m)
@@ -960,6 +973,38 @@ def q_profile_clusters(spark, sf):
     return A.profile_clusters(fx.profile(spark, sf), "vec", 5)
 
 
+_UNIT_SQL = """q_centred as (
+  select drug_id, list_transform(z, lambda x: x - list_avg(z)) c
+  from (select drug_id, list_transform(vec, lambda x: case when x is null or isnan(x) then 0.0 else x end) z from fx_profile)),
+q_unit as (select drug_id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) u
+           from q_centred where list_dot_product(c, c) > 0)"""
+
+
+@register("nearest_profiles", O.with_fixtures(_UNIT_SQL, """
+q_near as (select a.drug_id, b.drug_id neighbour, floor((1 - list_dot_product(a.u, b.u)) * 1e9 + 0.5) / 1e9 distance
+           from q_unit a join q_unit b on a.drug_id <> b.drug_id)""", select="""
+select drug_id, cast(rank as integer) rank, neighbour, round(distance, 6) distance
+from (select *, row_number() over (partition by drug_id order by distance, neighbour) rank from q_near) where rank <= 10"""))
+def q_nearest_profiles(spark, sf):
+    """The ten rows nearest to each profile by correlation."""
+    from ..operators.neighbours import nearest_rows
+    return rounded(nearest_rows(fx.profile(spark, sf), 10))
+
+
+@register("profile_tree")
+def q_profile_tree(spark, sf):
+    """Each profile's path and leaf in the divisive tree of eight clusters."""
+    from ..operators.hierarchy import divisive_tree
+    return divisive_tree(fx.profile(spark, sf), 8).rows
+
+
+@register("profile_tree_nodes")
+def q_profile_tree_nodes(spark, sf):
+    """Heights and split order of that tree's nodes."""
+    from ..operators.hierarchy import divisive_tree
+    return rounded(divisive_tree(fx.profile(spark, sf), 8).nodes)
+
+
 @register("drug_signature", O.with_fixtures(_FIRST_CTE, """
 q_top as (select drug_id, rank, pos, 1000 + pos gene_id, a from (
   select drug_id, pos, a, row_number() over (partition by drug_id order by a desc, pos) rank from (

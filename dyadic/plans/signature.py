@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.analysis import (drug_pairs_both_sides, gene_corr_distance, profile_clusters, se_lists,
                                   top_positions)
+from ..operators.hierarchy import Tree, divisive_tree
 from ..operators.reshape import pair_se_binary
 
 
@@ -30,6 +31,10 @@ class Signature:
         """Cluster labels of the vectors; fits a model when called."""
         return profile_clusters(self.vectors, "vec1", self.n_clusters, id_cols=("focus", "drug1", "drug2"))
 
+    def tree(self, leaves: int | None = None) -> Tree:
+        """Divisive tree of the vectors; grown when called."""
+        return divisive_tree(self.vectors, leaves or self.n_clusters, "vec1", ("focus", "drug1", "drug2"))
+
 
 def drug_signature(pairs: DataFrame, profile: DataFrame, n_se: int, k: int = 100, genes=None,
                    gated: DataFrame | None = None, n_clusters: int = 5) -> Signature:
