@@ -1,12 +1,16 @@
 """Sampling and splitting without collecting anything, without putting a
 stratum into one task and without moving the rows that are not drawn.
 
-A draw keeps the smallest order keys of a stratum. A quantile sketch per stratum
-(partial aggregation over keys only) gives a key below which at least as many
-rows lie as are to be drawn and hardly more; only those candidates, as (stratum,
-key, row id), go through ``ordered_scan`` for their exact ranks, and the drawn row
-ids are joined back. So what is shuffled grows with the size of the draw, not
-with the width of the table or the number of samples.
+A draw keeps the smallest order keys of a stratum. The rows are read where they lie
+and never repeated per sample: one pass counts, per stratum and sample, the keys in
+``BINS`` equal ranges (a histogram, which adds up over partitions and is all that is
+shuffled); the range in which the draw ends follows. Only the rows of that range, one
+in ``BINS`` or so, are ranked by (key, row id), which gives the last row of the draw
+as a bound. With the bounds (one per stratum and sample) the draw is a column
+expression on the table: an array of the samples that take the row.
+
+A draw of a tenth is itself a tenth of the rows, so heaps of its smallest keys would
+be as large as the draw; histograms have a fixed size.
 
 Draw order. A draw takes, inside each stratum, the rows with the smallest
 *order key*, ties broken by the row id. The default key is
@@ -24,14 +28,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import bounded_broadcast
 from .scan import ordered_scan
 
 #: relative rank error of the quantile sketches is at most one in so many
 ACCURACY = 10_000
+#: equal ranges of the order keys that are counted per stratum and sample
+BINS = 1024
+#: rows of one (sample, stratum) in the range where its draw ends, up to which a window ranks them
+WINDOW_ROWS = 200_000
 PRIME = 1000003
 MULT = 7919
 STEP = 104729
@@ -57,25 +66,96 @@ def repeated_holdout(df: DataFrame, frac: float = 0.1, samples: int = 1, strata:
                      row_id: str = "row_id", method: str = "xxhash64", first: int = 0) -> DataFrame:
     """``samples`` independent draws in one job (rows may recur across draws).
     ``row_id`` identifies a row."""
-    by = ["sample_no", *strata]
-    numbers = F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("sample_no")
-    keyed = (df.select(*strata, row_id, numbers)
-             .select("*", draw_key(row_id, F.col("sample_no"), method).alias("_key")))
-    # rank error of the sketch: 1 / ACCURACY of the stratum, and a row or two; a stratum uses the first of these
-    # shares that covers its draw with that error (the last one covers everything)
-    shares = [*[min(1.0, frac + 2 / ACCURACY + k) for k in (0.0001, 0.001, 0.01, 0.1)], 1.0]
+    return (with_samples(df, frac, samples, strata, row_id, method, first)
+            .select(F.explode("_samples").alias("sample_no"), *df.columns))
+
+
+def with_samples(df: DataFrame, frac: float = 0.1, samples: int = 1, strata: Sequence[str] = ("se", "label"),
+                 row_id: str = "row_id", method: str = "xxhash64", first: int = 0) -> DataFrame:
+    """``df`` with ``_samples``, the (ascending) numbers of the draws that take the row."""
+    bounds = draw_bounds(df, frac, samples, strata, row_id, method, first).checkpoint()  # counted and read
+    # one row per stratum
+    per = bounded_broadcast(bounds.groupBy(*strata).agg(F.collect_list(F.struct(
+        "sample_no", F.col("_key").alias("key"), F.col("_row").alias("row"))).alias("_bounds")))
+    rows = df.join(per, [df[c].eqNullSafe(per[c]) for c in strata], "left")
+    key = lambda b: draw_key(row_id, b["sample_no"], method)
+    taken = F.filter(F.coalesce("_bounds", F.array()), lambda b: (key(b) < b["key"])
+                     | ((key(b) == b["key"]) & (F.col(row_id) <= b["row"])))
+    return rows.select(*[df[c] for c in df.columns], F.array_sort(F.transform(taken, lambda b: b["sample_no"])).alias("_samples"))
+
+
+def training_rows(df: DataFrame, frac: float = 0.1, samples: int = 1,
+                  cols: Sequence[str] = ("drug1", "drug2", "se", "label"), strata: Sequence[str] = ("se", "label"),
+                  row_id: str = "row_id", method: str = "xxhash64", first: int = 0) -> DataFrame:
+    """What every draw leaves for training, in one pass: the values of ``cols`` that occur once in the table, and in
+    ``train_in`` the draws that do not take them (the rule of ``reshape.holdout_remainder``: table and hold-out
+    together, values that occur more than once dropped). One shuffle, on ``cols``, whatever the number of draws."""
     n = F.count(F.lit(1))
-    need = (F.bround(F.lit(frac) * n, 0) + 3) / n + 2 / ACCURACY
-    sketch = F.percentile_approx("_key", shares, ACCURACY)
-    bound = F.coalesce(*[F.when(need <= p, sketch[i]) for i, p in enumerate(shares)], sketch[len(shares) - 1])
-    sizes = keyed.groupBy(*by).agg(F.bround(F.lit(frac) * n, 0).alias("_take"), bound.alias("_bound"))
-    sizes = bounded_broadcast(sizes.checkpoint(eager=True))  # one row per sample and stratum, read twice
-    same = [keyed[c].eqNullSafe(sizes[c]) for c in by]
-    near = (keyed.join(sizes, same).where((F.col("_take") > 0) & (_as_double("_key") <= _as_double("_bound")))
-            .select(*[keyed[c] for c in by], row_id, "_key", "_take", F.lit(1).alias("_one")))
-    drawn = (ordered_scan(near, by, ["_key", row_id], sums=["_one"]).where(F.col("cum__one") <= F.col("_take"))
-             .select("sample_no", row_id))
-    return df.join(drawn, row_id).select("sample_no", *df.columns)
+    drawn = with_samples(df, frac, samples, strata, row_id, method, first)
+    # a value that occurs once has one row, so any of its lists is the list
+    once = drawn.groupBy(*cols).agg(n.alias("_n"), F.first("_samples").alias("_samples")).where(F.col("_n") == 1)
+    numbers = F.sequence(F.lit(first), F.lit(first + samples - 1))
+    return once.select(*cols, F.array_except(numbers, "_samples").alias("train_in"))
+
+
+def key_bin(key: Column, method: str) -> Column:
+    """The key's range, from 0 to ``BINS`` - 1, ascending with it."""
+    if method == "lcg":
+        return F.floor(key * BINS / PRIME).cast("int")
+    return (F.shiftright(key, 64 - (BINS - 1).bit_length()) + BINS // 2).cast("int")
+
+
+def draw_bounds(df: DataFrame, frac: float, samples: int, strata: Sequence[str], row_id: str, method: str,
+                first: int = 0) -> DataFrame:
+    """Per sample and stratum that draws any rows: the order key and the row id of the last one (``_key``, ``_row``)."""
+    import numpy as np
+    import pandas as pd
+    strata = list(strata)
+    by = ["sample_no", *strata]
+    numbers = F.sequence(F.lit(first), F.lit(first + samples - 1))
+    bins = F.transform(numbers, lambda k: key_bin(draw_key(row_id, k, method), method))
+    fields = [f for f in df.schema.fields if f.name in strata]
+
+    def count(batches):
+        found: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, at in pdf.groupby(strata, dropna=False, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                key = tuple(None if pd.isna(v) else v for v in key)
+                flat = np.stack(pdf["_bins"].to_numpy()[at]) + np.arange(samples) * BINS
+                got = np.bincount(flat.ravel(), minlength=samples * BINS)
+                found[key] = found[key] + got if key in found else got
+        for key, total in found.items():
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({**{c: pd.Series([v] * len(at), dtype=object) for c, v in zip(strata, key)},
+                                "sample_no": (first + at // BINS).astype(np.int32), "_bin": (at % BINS).astype(np.int32),
+                                "_n": total[at]})
+
+    schema = T.StructType([*[f for c in strata for f in fields if f.name == c], T.StructField("sample_no", T.IntegerType()),
+                           T.StructField("_bin", T.IntegerType()), T.StructField("_n", T.LongType())])
+    keys = df.select(*strata, bins.alias("_bins"))
+    histogram = keys.mapInPandas(count, schema).groupBy(*by, "_bin").agg(F.sum("_n").alias("_n"))
+    # at most BINS rows a group
+    so_far = Window.partitionBy(*by).orderBy("_bin")
+    ends = (histogram.select("*", F.sum("_n").over(so_far).alias("_upto"),
+                             F.bround(F.lit(frac) * F.sum("_n").over(Window.partitionBy(*by)), 0).alias("_take"))
+            .where((F.col("_take") > 0) & (F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take")))
+            .select(*by, "_bin", "_n", (F.col("_take") - F.col("_upto") + F.col("_n")).cast("long").alias("_rest"))
+            .checkpoint())  # one row per sample and stratum, read twice
+    most = ends.agg(F.max("_n")).first()[0] or 0
+    per = bounded_broadcast(ends.groupBy(*strata).agg(F.collect_list(F.struct("sample_no", "_bin", "_rest")).alias("_ends")))
+    rows = df.select(*strata, row_id).join(per, [df[c].eqNullSafe(per[c]) for c in strata])
+    inside = F.filter("_ends", lambda e: key_bin(draw_key(row_id, e["sample_no"], method), method) == e["_bin"])
+    near = rows.select(*[df[c] for c in strata], df[row_id].alias("_row"), F.explode(inside).alias("_e"))
+    near = near.select("_e.sample_no", *strata, "_row", F.col("_e._rest").alias("_rest"),
+                       draw_key("_row", F.col("_e.sample_no"), method).alias("_key"))
+    if most <= WINDOW_ROWS:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_key", "_row"))
+        last = near.withColumn("_place", place).where(F.col("_place") == F.col("_rest"))
+    else:
+        last = ordered_scan(near.withColumn("_one", F.lit(1)), by, ["_key", "_row"], sums=["_one"]).where(
+            F.col("cum__one") == F.col("_rest"))
+    return last.select(*by, "_key", "_row")
 
 
 def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se", "label"),

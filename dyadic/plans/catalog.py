@@ -492,6 +492,19 @@ def q_sink_pair_json(spark, sf):
     return _screen(spark, sf).responses
 
 
+@register("training_rows", O.with_fixtures(
+    _MIRROR_CTE, "q_src as (select cast(r.range as integer) sample_no, p.* from q_mirror p cross join range(0, 3) r)",
+    f"q_hold as (select * from {_draw_sql('q_src', 'sample_no')})",
+    select="""select sample_no, drug1, drug2, se, label from (
+  select sample_no, drug1, drug2, se, label from q_src
+  union all select sample_no, drug1, drug2, se, label from q_hold)
+group by sample_no, drug1, drug2, se, label having count(*) = 1"""))
+def q_training_rows(spark, sf):
+    """Training rows that three draws leave, all from one pass."""
+    left = S.training_rows(_mirrored(spark, sf), 0.1, 3, method="lcg")
+    return left.select(F.explode("train_in").alias("sample_no"), "drug1", "drug2", "se", "label")
+
+
 @register("valid_requests", O.with_fixtures(select="""
 select request_id, drug1, drug2 from fx_request
 where drug1 is not null and drug2 is not null and drug1 <> 0 and drug2 <> 0 and drug1 <> drug2"""))
