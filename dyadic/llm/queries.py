@@ -98,21 +98,39 @@ QUERIES = {
     "op13_prefix_bpe": op13_prefix_bpe,
 }
 
+#: SQL pieces of op3: characters of scripts without blanks, constant tokens of a list, and the rule for a template
+UNSPACED = (r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{19e0}-\x{19ff}\x{2e80}-\x{2fdf}\x{3005}-\x{3007}"
+            r"\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{a9e0}-\x{a9ff}\x{aa60}-\x{aa7f}"
+            r"\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{20000}-\x{3ffff}]")
+CONSTANTS = r"len(list_filter({w}, lambda x: regexp_matches(x, '[\p{{L}}\p{{M}}]') and not regexp_matches(x, '[0-9]')))"
+HOLDS = "({c} >= 4 and 2 * {c} >= {n})"
+
+
+def _block_template(k: int) -> str:
+    """The line with the k-th block of its tail as a field, if enough constant tokens are left."""
+    block = f"w[4 + {k} * q:3 + {k + 1} * q]"
+    enough = HOLDS.format(c=f"(c - {CONSTANTS.format(w=block)})", n="n")
+    rest = f"array_to_string(w[1:3 + {k} * q], ' '), ' * ', array_to_string(w[4 + {k + 1} * q:], ' ')"
+    return f"case when not digits or {enough} then concat('{k} ', n, ' ', {rest}) end"
+
+
 ORACLE = {
-    "op3_line_templates": """
+    "op3_line_templates": rf"""
         with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line,
                           unnest(range(len(string_split(text, chr(10))))) as i from documents),
-             t as (select doc_id, i, list_transform(
-                       list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda x: x <> ''),
-                       lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as w from l),
-             m as (select *, len(w) as n, cast(ceil((len(w) - 3) / 4) as integer) as q from t where len(w) >= 4),
-             k as (select doc_id, i, n, unnest(case when n < 10 then [array_to_string(w, ' ')] else [
+             p as (select doc_id, i, regexp_matches(line, '[0-9]') as digits, list_filter(string_split_regex(
+                       regexp_replace(line, '({UNSPACED})', ' \1 ', 'g'), '[ \t\r\f]+'), lambda x: x <> '') as w from l),
+             h as (select doc_id, i, digits, len(w) as n,
+                          case when digits and {HOLDS.format(c=CONSTANTS.format(w='w'), n='len(w)')} then list_transform(
+                              w, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) else w end as w
+                   from p where len(w) > 0),
+             m as (select *, cast(ceil((n - 3) / 4) as integer) as q, {CONSTANTS.format(w='w')} as c from h),
+             k as (select doc_id, i, n, unnest(list_filter(case when n < 10 then [array_to_string(w, ' ')] else [
                           array_to_string(w, ' '),
-                          concat('0 ', n, array_to_string(w[1:3] || w[4 + q:], ' ')),
-                          concat('1 ', n, array_to_string(w[1:3 + q], ' '), ' * ', array_to_string(w[4 + 2 * q:], ' ')),
-                          concat('2 ', n, array_to_string(w[1:3 + 2 * q], ' '), ' * ',
-                                 array_to_string(w[4 + 3 * q:], ' ')),
-                          concat('3 ', n, array_to_string(w[1:3 + 3 * q], ' '))] end) as g from m),
+                          {_block_template(0)},
+                          {_block_template(1)},
+                          {_block_template(2)},
+                          {_block_template(3)}] end, lambda g: g is not null)) as g from m),
              r as (select g, n, max(doc_id) as keeper from k group by g, n
                    having count(distinct doc_id) >= case when n < 10 then 10 else 2 end),
              gone as (select distinct doc_id, i from k join r using (g, n) where doc_id <> keeper)
