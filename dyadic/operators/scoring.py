@@ -346,6 +346,68 @@ def score_rows_full(rows_with_vecs: DataFrame, model: PairModel) -> DataFrame:
     return rows_with_vecs.mapInPandas(run, schema)
 
 
+_SCORED = "drug1 long, drug2 long, se int, score_fwd double, score_rev double"
+
+
+def score_observations(rows: DataFrame, profile: DataFrame, se_ids: np.ndarray | None = None, R: np.ndarray | None = None,
+                       model: PairModel | None = None) -> DataFrame:
+    """Score observed rows (``drug1, drug2, se`` and others) with the full ``model`` or the identity head ``R`` of
+    ``se_ids``: adds ``score_fwd`` and ``score_rev`` (drugs swapped).
+
+    Vectors are carried per distinct pair, never per observation: a pair is looked up and embedded once and meets the
+    list of its own side effects (at most the catalogue); the scores come back to the rows as numbers. Rows with a
+    missing profile or an unknown side effect get NULL scores."""
+    from .joins import profile_lookup
+    se_ids = model.se_ids if model is not None else np.asarray(se_ids)
+    order = np.argsort(se_ids, kind="stable")
+    if model is None:
+        se_ids, R = se_ids[order], (R[order] if len(order) else R)
+    else:
+        model = PairModel(**{**model.__dict__, "se_ids": se_ids[order], "heads": model.heads[order],
+                             "tails": model.tails[order], "r": model.r[order]})
+        se_ids = model.se_ids
+    shared, parts = _blocks(rows.sparkSession, se_ids, R, model, None)
+    width = model.W1.shape[0] if model is not None else (R.shape[1] if R.size else 0)
+    pairs = rows.groupBy("drug1", "drug2").agg(F.collect_set(F.col("se").cast("int")).alias("ses"))
+
+    def run(batches):
+        for pdf in batches:
+            x1, p1 = _mat(pdf["vec1"], width)
+            x2, p2 = _mat(pdf["vec2"], width)
+            ok = np.flatnonzero(p1 & p2)
+            if not len(ok) or not parts:
+                continue
+            x1, x2 = x1[ok], x2[ok]
+            if shared is not None:
+                (e1, e2, *_), (f1, f2, *_) = shared.value.embed(x1, x2), shared.value.embed(x2, x1)
+            ses = [np.asarray(s, np.int64) for s in pdf["ses"].iloc[ok]]
+            at, se = np.repeat(np.arange(len(ok)), [len(s) for s in ses]), np.concatenate(ses)
+            by = np.argsort(se, kind="stable")
+            at, se = at[by], se[by]
+            begin = np.flatnonzero(np.concatenate([[True], se[1:] != se[:-1]])) if len(se) else np.zeros(0, np.int64)
+            fwd, rev = np.full(len(se), np.nan), np.full(len(se), np.nan)
+            for part in parts:
+                ids, offsets, heads, _ = part.value
+                place = np.searchsorted(ids, se[begin])
+                for lo, hi, k in zip(begin, np.append(begin[1:], len(se)), place):
+                    if k < len(ids) and ids[k] == se[lo]:
+                        a = at[lo:hi]
+                        if heads is None:
+                            gap = x2[a] - x1[a]
+                            fwd[lo:hi] = rev[lo:hi] = (np.linalg.norm(offsets[k] - gap, axis=1)
+                                                       + np.linalg.norm(offsets[k] + gap, axis=1))
+                        else:
+                            one = _heads(heads, k, k + 1)
+                            fwd[lo:hi] = one.scores(e1[a], e2[a])[:, 0]
+                            rev[lo:hi] = one.scores(f1[a], f2[a])[:, 0]
+            known = ~np.isnan(fwd)
+            yield pd.DataFrame({"drug1": pdf["drug1"].to_numpy()[ok][at[known]], "drug2": pdf["drug2"].to_numpy()[ok][at[known]],
+                                "se": se[known].astype(np.int32), "score_fwd": fwd[known], "score_rev": rev[known]})
+
+    scores = profile_lookup(pairs, profile).mapInPandas(run, _SCORED)
+    return rows.join(scores, ["drug1", "drug2", "se"], "left").select(*[rows[c] for c in rows.columns], "score_fwd", "score_rev")
+
+
 RANKED_SCHEMA = T.StructType([
     T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()), T.StructField("se", T.IntegerType()),
     T.StructField("predicted_score_x", T.DoubleType()), T.StructField("predicted_score_y", T.DoubleType()),

@@ -401,7 +401,7 @@ def q_tail_validation_split(spark, sf):
 # --------------------------------------------------------------- Q3 screen
 from ..functions import scalar as C  # noqa: E402
 from ..operators.joins import profile_lookup, se_name_lookup  # noqa: E402
-from ..operators.scoring import identity_score, se_translation_fit_by_counts  # noqa: E402
+from ..operators.scoring import se_translation_fit_by_counts  # noqa: E402
 from .screen import format_ranked, score_identity, screen, valid_requests  # noqa: E402
 
 
@@ -520,12 +520,17 @@ def q_src_requests(spark, sf):
     return valid_requests(fx.requests(spark, sf), distinct_guard=True)[1]
 
 
-@register("translation_score", O.with_fixtures(*_R_CTES, f"""
-q_s as (select p.row_id, p.drug1, p.drug2, p.se,
-  case when p.vec1 is null or p.vec2 is null or r.r is null then null
-       else {_dist_sql('p.vec1', 'p.vec2', 'r.r')} + {_dist_sql('p.vec2', 'p.vec1', 'r.r')} end score
-  from q_pv p left join q_r r on p.se = r.se)""",
-    select="select row_id, drug1, drug2, se, round(score, 6) score from q_s"))
+#: vectors of each distinct pair first, then its observations
+_PAIR_SCORE_CTES = _R_CTES + ["""q_dv as (
+  select drug1, drug2, list_transform(list_zip(vec1, vec2), lambda t: t[2] - t[1]) ahead,
+         list_transform(list_zip(vec1, vec2), lambda t: t[1] - t[2]) back
+  from (select distinct drug1, drug2, vec1, vec2 from q_pv where vec1 is not null and vec2 is not null))""", """
+q_ps as (select p.row_id, p.drug1, p.drug2, p.se, list_distance(r.r, d.ahead) + list_distance(r.r, d.back) score
+  from fx_pairs p left join q_dv d on p.drug1 = d.drug1 and p.drug2 = d.drug2 left join q_r r on p.se = r.se)"""]
+
+
+@register("translation_score", O.with_fixtures(*_PAIR_SCORE_CTES, select="""
+select row_id, drug1, drug2, se, round(score, 6) score from q_ps"""))
 def q_translation_score(spark, sf):
     """Identity-head score of every observed (pair, se) row."""
     s = score_identity(fx.pairs(spark, sf).select("row_id", "drug1", "drug2", "se"), fx.profile(spark, sf),
@@ -533,27 +538,18 @@ def q_translation_score(spark, sf):
     return rounded(s.select("row_id", "drug1", "drug2", "se", F.col("predicted_score_x").alias("score")))
 
 
-@register("predict_pairs", O.with_fixtures(*_R_CTES, """
-q_thr as (select se, avg(thr) optimal_thr from fx_screen_threshold where sample_no >= 3 group by se)""", f"""
-q_s as (select p.row_id, p.drug1, p.drug2, p.se, t.optimal_thr,
-  case when p.vec1 is null or p.vec2 is null or r.r is null then null
-       else {_dist_sql('p.vec1', 'p.vec2', 'r.r')} + {_dist_sql('p.vec2', 'p.vec1', 'r.r')} end score
-  from q_pv p left join q_r r on p.se = r.se left join q_thr t on p.se = t.se)""", select="""
-select row_id, drug1, drug2, se, cast(coalesce(score < optimal_thr, false) as integer) predicted_label,
-  round(score, 6) predicted_score from q_s"""))
+@register("predict_pairs", O.with_fixtures(*_PAIR_SCORE_CTES, """
+q_thr as (select se, avg(thr) optimal_thr from fx_screen_threshold where sample_no >= 3 group by se)""", select="""
+select row_id, drug1, drug2, p.se, cast(coalesce(score < optimal_thr, false) as integer) predicted_label,
+  round(score, 6) predicted_score from q_ps p left join q_thr t on p.se = t.se"""))
 def q_predict_pairs(spark, sf):
     """Score a pair table (one orientation, dummy labels), threshold, keep
     drug1, drug2, se, predicted_label, predicted_score."""
-    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf))
-    r = _r_table(spark, sf)
-    thr = threshold_mean(fx.screen_threshold(spark, sf), "last5")
-    from ..operators.joins import bounded_broadcast
-    j = pv.join(bounded_broadcast(r), "se", "left").join(bounded_broadcast(thr), "se", "left")
-    s = j.select("row_id", "drug1", "drug2", "se", identity_score("vec1", "vec2", "r").alias("predicted_score"),
-                 "optimal_thr")
+    s = score_identity(fx.pairs(spark, sf).select("row_id", "drug1", "drug2", "se"), fx.profile(spark, sf),
+                       _r_table(spark, sf), threshold_mean(fx.screen_threshold(spark, sf), "last5"))
     return rounded(s.select("row_id", "drug1", "drug2", "se",
-                            C.predicted_label("predicted_score", "optimal_thr").alias("predicted_label"),
-                            "predicted_score"))
+                            C.predicted_label("predicted_score_x", "optimal_thr").alias("predicted_label"),
+                            F.col("predicted_score_x").alias("predicted_score")))
 
 
 @register("flagged_only", O.with_fixtures(*O.MERGED_CTES, select="""
@@ -886,9 +882,9 @@ def q_gated_profile(spark, sf):
     select="select row_id, drug1, drug2, se, round(score_fwd, 6) score_fwd, round(score_rev, 6) score_rev from q_full"))
 def q_translation_score_full(spark, sf):
     """Both orientations of every observed (pair, se) row, full heads."""
-    from ..operators.scoring import score_rows_full
+    from ..operators.scoring import score_observations
     rows = fx.pairs(spark, sf).select("row_id", "drug1", "drug2", "se")
-    return rounded(score_rows_full(profile_lookup(rows, fx.profile(spark, sf)), _pair_model()))
+    return rounded(score_observations(rows, fx.profile(spark, sf), model=_pair_model()))
 
 
 _FULL_BASE = 2800     # thresholds on the scale of the full model's scores
@@ -1250,12 +1246,11 @@ from ci"""))
 def q_calibrate_identity(spark, sf):
     """Q2 as a pipeline: two stratified draws over the mirrored observations,
     every drawn row scored by the identity-head model, cut-off per (draw, se)."""
-    from ..operators.joins import bounded_broadcast
-    prof, r = fx.profile(spark, sf), bounded_broadcast(_r_table(spark, sf))
+    from ..operators.scoring import identity_params, score_observations
+    se_ids, offsets, _ = identity_params(_r_table(spark, sf), None)
 
     def score_fn(hold):
-        pv = profile_lookup(hold, prof).join(r, "se", "left")
-        return pv.withColumn("score", identity_score("vec1", "vec2", "r"))
+        return score_observations(hold, fx.profile(spark, sf), se_ids=se_ids, R=offsets).withColumnRenamed("score_fwd", "score")
 
     train = R.mirror_pairs(fx.pairs(spark, sf))
     return rounded(calibrate(train, samples=2, frac=0.1, score_fn=score_fn, method="lcg").thresholds)
@@ -1283,11 +1278,10 @@ def q_evaluate_full(spark, sf):
     both orientations in one pass (no orientation join), labelled against the
     averaged thresholds, per-se performance; a side effect that the rules
     exclude keeps its row with the reason."""
-    from ..operators.scoring import score_rows_full
+    from ..operators.scoring import score_observations
     from ..operators.thresholds import merge_scored_orientations
-    pv = profile_lookup(fx.pairs(spark, sf), fx.profile(spark, sf))
     # a pair and its swap score alike but for the last digit, which would break their tie by chance
-    scored = rounded(score_rows_full(pv, _pair_model()))
+    scored = rounded(score_observations(fx.pairs(spark, sf), fx.profile(spark, sf), model=_pair_model()))
     thr = threshold_mean(_full_threshold(spark, sf), "last5")
     merged = merge_scored_orientations(scored, thr)
     perf, excluded = M.merged_performance(merged, with_excluded=True)

@@ -25,7 +25,7 @@ from ..functions.scalar import (TOP_RESULTS, gap, json_text, predicted_label, ro
 from ..operators.joins import bounded_broadcast, profile_lookup
 import numpy as np
 
-from ..operators.scoring import PairModel, identity_params, identity_score, screen_ranked
+from ..operators.scoring import PairModel, identity_params, score_observations, screen_ranked
 from ..operators.thresholds import threshold_mean
 
 
@@ -60,12 +60,12 @@ def valid_requests(requests: DataFrame, distinct_guard: bool = False):
 
 def score_identity(rows: DataFrame, profile: DataFrame, r_table: DataFrame, thr: DataFrame) -> DataFrame:
     """Identity-head scores of both orientations of observed ``(drug1, drug2, se)`` rows."""
-    params = r_table.select("se", "r").join(thr, "se", "outer")
-    g = profile_lookup(rows, profile).join(params, "se", "left")
-    x = identity_score("vec1", "vec2", "r")
-    y = identity_score("vec2", "vec1", "r")
-    return g.select(*rows.columns, x.alias("predicted_score_x"), y.alias("predicted_score_y"),
-                    ((x + y) / 2).alias("mean_predicted_score"), "optimal_thr")
+    se_ids, R, _ = identity_params(r_table, None)
+    limits = bounded_broadcast(thr.select("se", "optimal_thr"))
+    scored = score_observations(rows, profile, se_ids=se_ids, R=R).join(limits, "se", "left")
+    return scored.select(*rows.columns, F.col("score_fwd").alias("predicted_score_x"),
+                         F.col("score_rev").alias("predicted_score_y"),
+                         ((F.col("score_fwd") + F.col("score_rev")) / 2).alias("mean_predicted_score"), "optimal_thr")
 
 
 def format_ranked(ranked: DataFrame, names: DataFrame) -> DataFrame:

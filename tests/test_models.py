@@ -122,3 +122,28 @@ def test_offsets_by_counts_equal_the_mean_of_differences(spark):
     a = {r["se"]: r["r"] for r in scoring.se_translation_fit(profile_lookup(pairs, prof)).collect()}
     b = {r["se"]: r["r"] for r in scoring.se_translation_fit_by_counts(pairs, prof).collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_observations_score_like_rows(spark):
+    """Vectors once per distinct pair: repeated rows, unknown side effects and missing profiles included."""
+    df, rows = _pairs(spark, n=12)
+    profile = spark.createDataFrame([(d, v) for r in rows for d, v in ((r[0], r[2]),) if v] , "drug_id long, vec array<double>")
+    m = PairModel.random(3, 8, 4, [4, 1, 9])
+    obs = [(100 * i + s, i, i + 1, s) for i in range(13) for s in (1, 4, 9, 77)] + [(5000, 0, 1, 1), (5001, 0, 1, None), (5002, 3, None, 1)]
+    table = spark.createDataFrame(obs, "row_id long, drug1 long, drug2 long, se int").repartition(3)
+    vec = {r[0]: np.array(r[2]) for r in rows if r[2]}
+    got = {r.row_id: r for r in scoring.score_observations(table, profile, model=m).collect()}
+    R = np.random.default_rng(1).standard_normal((3, 8))
+    flat = {r.row_id: r for r in scoring.score_observations(table, profile, se_ids=np.array([4, 1, 9]), R=R).collect()}
+    assert len(got) == len(flat) == len(obs)
+    for i, a, b, s in obs:
+        if s not in (1, 4, 9) or a not in vec or b not in vec:
+            assert got[i].score_fwd is None and flat[i].score_rev is None
+            continue
+        e1, e2 = _row_forward(m, vec[a], vec[b])
+        k = m.se_ids.tolist().index(s)
+        want = np.linalg.norm(m.heads[k] @ e1 + m.r[k] - m.tails[k] @ e2) + np.linalg.norm(m.heads[k] @ e2 + m.r[k] - m.tails[k] @ e1)
+        assert np.isclose(got[i].score_fwd, want)
+        r = R[[4, 1, 9].index(s)]
+        assert np.isclose(flat[i].score_fwd, np.linalg.norm(vec[a] + r - vec[b]) + np.linalg.norm(vec[b] + r - vec[a]))
+        assert flat[i].score_fwd == flat[i].score_rev
