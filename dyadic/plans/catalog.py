@@ -962,19 +962,89 @@ def q_predict_expression_props(spark, sf):
     return _predicted(spark, sf, "props")
 
 
-@register("predict_profiles")
+#: sums of the normal equations per fold, and Gauss-Jordan elimination (no pivoting: the matrices are positive definite)
+_RIDGE_CTES = [_DESC_CTE, "q_x as (select row_id, row_id % 5 fold, [1.0::double] || fp || d x, y from q_desc)", """
+q_l as (select row_id, fold, unnest(range(0, 42)) i, unnest(x) xi from q_x)""", """
+q_yl as (select row_id, fold, unnest(range(0, 24)) j, unnest(y) yj from q_x)""", """
+q_xx as (select a.fold, a.i, b.i j, sum(a.xi * b.xi) v from q_l a join q_l b on a.row_id = b.row_id group by all)""", """
+q_xy as (select a.fold, a.i, b.j, sum(a.xi * b.yj) v from q_l a join q_yl b on a.row_id = b.row_id group by all)"""]
+
+
+def _solve_sql(keys: str, xx: str, xy: str, name: str) -> list[str]:
+    """CTEs up to ``name`` (keys, i, j, w) from ``xx`` and ``xy`` (keys, i, j, v)."""
+    k = f"{keys}, " if keys else ""
+    on = " and ".join([f"a.{c} = b.{c}" for c in keys.split(", ") if c] + ["a.i = b.i"])
+    by = f"group by {keys}" if keys else ""
+    return [f"""{name}_m as (select {k}list(r order by i) m from (
+  select {', '.join(f'a.{c}' for c in keys.split(', ')) + ', ' if keys else ''}a.i, a.r || b.r r
+  from (select {k}i, list(v order by j) r from {xx} group by {k}i) a
+  join (select {k}i, list(v order by j) r from {xy} group by {k}i) b on {on}) {by})""",
+            f"""{name}_gj as (
+  select {k}0 step, m from {name}_m
+  union all
+  select {k}step + 1, list_transform(m, lambda r, i: case when i = step + 1
+      then list_transform(r, lambda x: x / m[step + 1][step + 1])
+      else list_transform(list_zip(r, m[step + 1]), lambda t: t[1] - t[2] * r[step + 1] / m[step + 1][step + 1]) end)
+  from {name}_gj where step < 42)""",
+            f"""{name} as (select {k}i, unnest(range(0, 24)) j, unnest(r[43:66]) w from (
+  select {k}unnest(range(0, 42)) i, unnest(m) r from {name}_gj where step = 42))"""]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+_RIDGE_FIT_CTES = [*_RIDGE_CTES, """
+q_axx as (select i, j, sum(v) + case when i = j and i > 0 then 0.01 else 0 end v from q_xx group by i, j)""",
+                   "q_axy as (select i, j, sum(v) v from q_xy group by i, j)", *_solve_sql("", "q_axx", "q_axy", "q_w")]
+
+
+@register("predict_profiles", _recursive(O.with_fixtures(*_RIDGE_FIT_CTES, """
+q_p as (select l.row_id, w.j, sum(l.xi * w.w) p from q_l l join q_w w on l.i = w.i group by l.row_id, w.j)""", """
+q_yp as (select y.row_id, y.j, yj t, p from q_yl y join q_p p on y.row_id = p.row_id and y.j = p.j)""", """
+q_row as (select row_id, case when var_pop(t) > 0 and var_pop(p) > 0 then corr(t, p) end r from q_yp group by row_id)""", """
+q_pos as (select j, greatest(-1, least(1, (sum(t * p) - sum(t) * sum(p) / count(*)) / (sqrt(
+    greatest(sum(t * t) - sum(t) * sum(t) / count(*), 0) * greatest(sum(p * p) - sum(p) * sum(p) / count(*), 0)) + 1e-7))) r
+  from q_yp group by j)""", select="""
+select 'mean_row_pearson' metric, round(case when count(r) = count(*) then avg(r) end, 6) as value from q_row
+union all select 'mean_gene_pearson', round(avg(r), 6) from q_pos
+union all select 'mse', round(sum((t - p) * (t - p)) / count(*), 6) from q_yp""")))
 def q_predict_profiles(spark, sf):
     """Descriptors -> ridge fit on Spark -> predictions -> quality summary."""
-    return predict_profiles(fx.descriptors(spark, sf), fx.N_DESC).quality
+    return rounded(predict_profiles(fx.descriptors(spark, sf), fx.N_DESC).quality)
 
 
-@register("ridge_fit")
+@register("ridge_fit", _recursive(O.with_fixtures(*_RIDGE_FIT_CTES, select="""
+select cast(i as integer) i, cast(j as integer) j, round(w, 6) w from q_w""")))
 def q_ridge_fit(spark, sf):
     from ..operators.fit import ridge_fit
     p = _parts(spark, sf)
     W = ridge_fit(p.select(F.concat("fp", "desc").alias("x"), "y"), "x", "y", 0.01)
     rows = [(i, j, float(W[i, j])) for i in range(W.shape[0]) for j in range(W.shape[1])]
-    return spark.createDataFrame(rows, "i int, j int, w double")
+    return rounded(spark.createDataFrame(rows, "i int, j int, w double"))
+
+
+_PENALTIES = [0.01, 1.0, 10.0, 100.0, 1000.0]
+
+
+@register("ridge_choose", _recursive(O.with_fixtures(*_RIDGE_CTES, f"""
+q_pen as (select unnest([{', '.join(f'{p}::double' for p in _PENALTIES)}]) l2)""", """
+q_txx as (select l2, f.fold, i, j, sum(v) + case when i = j and i > 0 then l2 else 0 end v
+  from q_xx x join (select distinct fold from q_x) f on x.fold <> f.fold, q_pen group by l2, f.fold, i, j)""", """
+q_txy as (select l2, f.fold, i, j, sum(v) v
+  from q_xy x join (select distinct fold from q_x) f on x.fold <> f.fold, q_pen group by all)""",
+    *_solve_sql("l2, fold", "q_txx", "q_txy", "q_w"), """
+q_p as (select w.l2, l.row_id, w.j, sum(l.xi * w.w) p from q_l l join q_w w on l.i = w.i and l.fold = w.fold
+  group by all)""", """
+q_e as (select l2, sum((yj - p) * (yj - p)) / count(*) error from q_p p join q_yl y on p.row_id = y.row_id and p.j = y.j
+  group by l2)""", select="""
+select l2, round(error, 6) error, row_number() over (order by error, l2 desc) = 1 chosen from q_e""")))
+def q_ridge_choose(spark, sf):
+    """Penalty of the ridge fit by five folds (row number modulo 5): the error of each and the choice."""
+    from ..operators.fit import ridge_choose
+    p = _parts(spark, sf).select((F.col("row_id") % 5).alias("fold"), F.concat("fp", "desc").alias("x"), "y")
+    best, errors, _ = ridge_choose(p, "x", "y", _PENALTIES)
+    return rounded(spark.createDataFrame([(l2, e, l2 == best) for l2, e in errors], "l2 double, error double, chosen boolean"))
 
 
 @register("profile_clusters")
@@ -1176,6 +1246,22 @@ def q_src_pairs_indexed(spark, sf):
     return RD.read_pairs_indexed(spark, _as_csv(spark, x, "x"), _as_csv(spark, y, "y"))
 
 
+@register("src_train_test", O.with_fixtures(select="""
+select 'train' split, row_id * 2 row_id, drug1, drug2, se, label from fx_pairs where row_id % 10 <> 0
+union all select 'train', row_id * 2 + 1, drug2, drug1, se, label from fx_pairs where row_id % 10 <> 0
+union all select 'test', row_id, drug1, drug2, se, label from fx_pairs where row_id % 10 = 0"""))
+def q_src_train_test(spark, sf):
+    """Four indexed files: training pairs come back with their mirror images, test pairs as they are."""
+    p = fx.pairs(spark, sf)
+    files = {}
+    for name, rows in (("train", p.where("row_id % 10 <> 0")), ("test", p.where("row_id % 10 = 0"))):
+        files[f"{name}_x"] = _as_csv(spark, rows.select(F.col("row_id").alias("idx"), "drug1", "drug2", F.col("se").alias("SE")), "x")
+        files[f"{name}_y"] = _as_csv(spark, rows.select(F.col("row_id").alias("idx"), "label"), "y")
+    train, test_x, test_y = RD.read_train_test(spark, **files)
+    return (train.select(F.lit("train").alias("split"), "*")
+            .unionByName(test_x.join(test_y, "row_id").select(F.lit("test").alias("split"), "*")))
+
+
 @register("src_genes", O.with_fixtures(select="""
 select distinct cast(pos as integer) pos, 1000 + pos gene_id from (
   select unnest(range(0, len(vec))) pos from fx_profile)"""))

@@ -85,18 +85,37 @@ def read_pairs_zip(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
     return x.join(y, "row_id").select("row_id", "drug1", "drug2", F.col("SE").alias("se"), "label")
 
 
-def read_pairs_indexed(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
-    """Pair features and labels with a leading index column, joined on it."""
+def read_indexed_x(spark: SparkSession, path: str) -> DataFrame:
+    """Pair features with a leading index column."""
     xs = T.StructType([T.StructField("idx", T.LongType())] + list(_PAIR_X.fields))
-    x = _csv(spark, x_path, xs)
-    header = spark.read.option("header", True).csv(y_path).columns
+    return _csv(spark, path, xs).select(F.col("idx").alias("row_id"), "drug1", "drug2", F.col("SE").alias("se"))
+
+
+def read_indexed_y(spark: SparkSession, path: str) -> DataFrame:
+    """Labels with a leading index column."""
+    header = spark.read.option("header", True).csv(path).columns
     if "label" not in header:
-        raise ValueError(f"{y_path}: no 'label' column (found {header})")
+        raise ValueError(f"{path}: no 'label' column (found {header})")
     ys = T.StructType([T.StructField("idx", T.LongType()), T.StructField("label", T.IntegerType())])
-    y = _csv(spark, y_path, ys)
+    return _csv(spark, path, ys).select(F.col("idx").alias("row_id"), "label")
+
+
+def read_pairs_indexed(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
+    """Pair features and labels with a leading index column, joined on it."""
+    x, y = read_indexed_x(spark, x_path), read_indexed_y(spark, y_path)
+    both = x.join(y, "row_id")
     _same_length(x, y, f"{x_path} and {y_path}")
-    _same_length(x, x.join(y, "idx"), f"{x_path} joined with {y_path}")
-    return x.join(y, "idx").select(F.col("idx").alias("row_id"), "drug1", "drug2", F.col("SE").alias("se"), "label")
+    _same_length(x, both, f"{x_path} joined with {y_path}")
+    return both.select("row_id", "drug1", "drug2", "se", "label")
+
+
+def read_train_test(spark: SparkSession, train_x: str, train_y: str, test_x: str,
+                    test_y: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training pairs with their mirror images, and the separate test features and test labels as they are (``row_id``
+    from the files' index), which need not be labelled alike."""
+    from ..operators.reshape import mirror_pairs
+    return (mirror_pairs(read_pairs_indexed(spark, train_x, train_y)), read_indexed_x(spark, test_x),
+            read_indexed_y(spark, test_y))
 
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
