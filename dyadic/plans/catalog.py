@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -934,6 +935,27 @@ def q_screen_heads(spark, sf):
     return format_ranked(ranked, fx.side_effect(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _screen_pruned(spark, sf):
+    from ..operators.pruned_screen import screen_pruned
+    requests, _ = valid_requests(fx.requests(spark, sf))
+    pv = profile_lookup(requests.select("drug1", "drug2").distinct(), fx.profile(spark, sf))
+    limits = {r["se"]: r["optimal_thr"] for r in threshold_mean(_full_threshold(spark, sf), "last5").toLocalIterator()}
+    model = _pair_model()
+    return screen_pruned(pv, np.array([limits.get(int(s), np.nan) for s in model.se_ids]), C.TOP_RESULTS, model=model)
+
+
+@register("screen_pruned", ORACLE["screen_full"])
+def q_screen_pruned(spark, sf):
+    """The full screen without the scores that cannot be flagged."""
+    return format_ranked(_screen_pruned(spark, sf)[0], fx.side_effect(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("screen_pruned_share")
+def q_screen_pruned_share(spark, sf):
+    """How many of the scores that screen had to take."""
+    return _screen_pruned(spark, sf)[1]
+
+
 def _predicted(spark, sf, variant):
     m = FeatureModel.formula(17, fx.N_DESC, fx.N_DESC, variant)
     out = predict_expression(_parts(spark, sf), m)
