@@ -156,7 +156,7 @@ def test_text_beside_the_body_stays(spark):
 
 
 def test_wrappers_named_like_boilerplate():
-    text = lambda page: html_extract.text_under(b := html_extract.parse(page), html_extract.choose(b))
+    text = html_extract.main_text
     story = "the real story " * 30
     inner = f"<article><h2 id=legal-status>Title</h2><p>{story}<span id=form>end</span></article><div class=sidebar>sb</div>"
     for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<body class=x><form id=f><div class=no-sidebar>{}</div></form>"):
@@ -166,13 +166,121 @@ def test_wrappers_named_like_boilerplate():
 
 def test_hosts_agree_on_a_path(spark):
     page = "<body><div class='{}'><p>{}</p></div><div class='story{}'><p>{}</p></div></body>"
-    rows = [(k, "http://h/" + str(k), page.format("teaser", "short", k, "the real story " * 30)) for k in range(9)]
-    # here the teaser is longer than the story: the host's consensus decides
-    rows.append((9, "http://h/9", page.format("teaser", "a much longer teaser " * 40, 9, "story")))
+    story, teaser = "the real story " * 30, "a much longer teaser " * 40
+    rows = [(k, "http://h/" + str(k), page.format("teaser", "short", k, story)) for k in range(9)]
+    # here the teaser is as long as the story: the host's consensus decides
+    rows.append((9, "http://h/9", page.format("teaser", teaser, 9, story)))
+    # a winner that holds next to nothing of the page's text replaces nothing
+    rows.append((10, "http://h/10", page.format("teaser", teaser, 10, "story")))
     got = extracted(spark, rows)
-    assert got[3].text == ("the real story " * 30).strip() and got[9].text == "story"
+    assert got[3].text == got[9].text == story.strip() and got[10].text == teaser.strip()
     alone = extracted(spark, [(9, "http://other/9", rows[9][2])])
-    assert alone[9].text == ("a much longer teaser " * 40).strip()
+    assert alone[9].text == f"{teaser.strip()}\n{story.strip()}"
+
+
+def test_articles_are_kept_whatever_is_around_them():
+    text, story = html_extract.main_text, "the real story " * 30
+    s = story.strip()
+    assert text(f'<p>Stray line.</p><div class="content-sidebar-wrap"><article><p>{story}</article></div>') == s
+    assert text(f"<p>Stray line.</p><form><article><p>{story}</article></form>") == s
+    assert text(f"<p>Stray</p><header><article><p>{story}</article></header><div class=widget-area>w</div>") == s
+    inner = '<section id="discussion"><p>We discuss.</section><p class="side-effects">none<p class="legal-status">ok'
+    assert text(f"<article><p>{story}</p>{inner}</article>") == f"{s}\nWe discuss.\nnone\nok"
+    for gone in ("<section class=comments><p>reader</section>", "<div id=comment-list>reader</div>", "<div class='ad-slot x2'>ad</div>",
+                 "<div class='notice'>n</div>", "<p hidden>h", "<div hidden='hidden'><p>h</div>", "<span HIDDEN>h</span>"):
+        assert text(f"<article><p>{story}</p>{gone}</article>") == s
+    assert text(f"<article><p>{story}</p><p style='overflow:hidden' data-id=ad>stays <button>no</button>here</article>") == f"{s}\nstays here"
+    # replies are articles too on some pages
+    assert text(f"<div class=post><article><p>{story}</article></div><ol class=comment-list><li><article><p>me too</article></ol>") == s
+
+
+def test_deep_nesting_is_linear():
+    import time
+    pages = ["<div>x" * 20_000, "<div>" * 20_000 + "</section>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<iframe>" * 20_000,
+             "<p><b>" * 20_000, "<li><i>x" * 20_000, '<div class="a b1">' * 20_000 + "x"]
+    for page in pages:
+        began = time.process_time()
+        html_extract.main_text(page, ["html>body>div.x", "div>div"])
+        assert time.process_time() - began < 2
+
+
+def plain_blocks(source):
+    """(path of containers, block text) of simple well-formed markup."""
+    path, blocks, pieces = [], [], []
+
+    def flush():
+        text = " ".join("".join(pieces).split())
+        if text:
+            blocks.append((tuple(path), text))
+        pieces.clear()
+
+    for tag, name, attributes, words in re.findall(r"(<(/?\w+)([^>]*)>)|([^<]+)", source):
+        if words:
+            pieces.append(words)
+            continue
+        flush()
+        if name.startswith("/"):
+            path.pop()
+        else:
+            kind = re.sub(r"[0-9]+", "", "".join(sorted(f".{c}" for c in re.findall(r"class='([^']*)'", attributes)[0].split())
+                                         ) if attributes else "")
+            path.append((name + kind, len(blocks), len(path), tag, random.random()))
+    flush()
+    return blocks
+
+
+def plain_choice(blocks):
+    """By brute force: of all containers with 80 % of the text the deepest; then the outermost below with own text."""
+    total = sum(len(t) for _, t in blocks)
+    places = {p[:k] for p, _ in blocks for k in range(len(p) + 1) if k == 0 or p[k - 1][0].split(".")[0] != "p"}
+    held = {p: sum(len(t) for q, t in blocks if q[:len(p)] == p) for p in places}
+    best = max((p for p in places if held[p] >= html_extract.HOLDS * total), key=len)
+    own = {q[:-1] if q and q[-1][0] == "p" else q for q, _ in blocks}
+    for k in range(1, len(best)):
+        if best[:k] in own and best[k - 1][0] not in ("html", "body"):
+            return best[:k]
+    return best
+
+
+def random_page(rnd, depth=0):
+    out = ""
+    for _ in range(rnd.randrange(1, 4)):
+        if depth < 5 and rnd.random() < 0.55:
+            name, kind = rnd.choice(["div", "section", "td"]), rnd.choice(["", " class='a'", " class='b2 a'"])
+            out += f"<{name}{kind}>{random_page(rnd, depth + 1)}</{name}>"
+        else:
+            out += f"<p>{'w' * rnd.randrange(1, 60)}</p>"
+    return out
+
+
+def test_votes_and_choices_against_brute_force(spark):
+    rnd = random.Random(7)
+    rows = [(k, f"http://h{k % 3}/", "<body>" + random_page(rnd) + "</body>") for k in range(150)]
+    votes, own = defaultdict(lambda: defaultdict(list)), {}
+    name = lambda path: ">".join(step[0] for step in path)
+    for k, url, source in rows:
+        blocks = plain_blocks(source)
+        path = plain_choice(blocks)
+        own[k] = (path, blocks, sum(len(t) for q, t in blocks if q[:len(path)] == path))
+        votes[url][name(path)].append(own[k][2])
+    got = extracted(spark, rows)
+    switched = 0
+    for k, url, _ in rows:
+        path, blocks, worth = own[k]
+        all_votes = sum(len(v) for v in votes[url].values())
+        winners = sorted((p for p, v in votes[url].items() if len(v) >= 0.2 * all_votes),
+                         key=lambda p: (-len(votes[url][p]), -sum(votes[url][p]), p))
+        chosen = path
+        if name(path) not in winners:
+            for w in winners:
+                places = {q[:j] for q, _ in blocks for j in range(1, len(q) + 1) if name(q[:j]) == w}
+                held = {p: sum(len(t) for q, t in blocks if q[:len(p)] == p) for p in places}
+                if held and max(held.values()) >= html_extract.FAIR * worth:
+                    first = max(held, key=lambda p: (held[p], -p[-1][1]))
+                    chosen, switched = first, switched + 1
+                    break
+        assert got[k].text == "\n".join(t for q, t in blocks if q[:len(chosen)] == chosen), k
+    assert switched > 5
 
 
 def test_long_unbalanced_markup_is_linear(spark):
