@@ -29,8 +29,12 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    caught, wrong = held_out_rates(spark, queries.op4_string_kernel(spark, SF), "toxic")
-    assert caught >= 0.5 and wrong <= 0.05
+    df = queries.op4_string_kernel(spark, SF)
+    caught, wrong = held_out_rates(spark, df, "toxic")
+    # 9 of the 14 held-out toxic documents have one of the ten insults that these labels show more than by chance
+    assert caught >= 0.6 and wrong <= 0.02
+    clean = df.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0"), "doc_id")
+    assert clean.select("score").distinct().count() > clean.count() / 2  # no floor: scores rank clean documents too
 
 
 @pytest.mark.parametrize("score", [knn_quality.score_quality, string_kernel.score_toxicity])
@@ -72,18 +76,19 @@ def test_vote_against_brute_force():
         assert abs(got[i] - want) < 1e-5
 
 
-def plain_kernel(a, b):
-    """Gap-weighted three-letter subsequence kernel by enumeration."""
-    def features(word):
-        s, out = "^" + word + "^", {}
-        for i, j, k in itertools.combinations(range(len(s)), 3):
-            if k - i <= string_kernel.SPAN:
-                u = s[i] + s[j] + s[k]
-                out[u] = out.get(u, 0) + string_kernel.DECAY ** (k - i + 1)
-        return out
-    f, g = features(a), features(b)
-    dot = lambda x, y: sum(v * y.get(u, 0) for u, v in x.items())
-    return dot(f, g) / (dot(f, f) * dot(g, g)) ** 0.5
+def plain_features(window):
+    """Gap-weighted three-symbol subsequences by enumeration."""
+    s, out = " " + window + " ", {}
+    for i, j, k in itertools.combinations(range(len(s)), 3):
+        if k - i <= string_kernel.SPAN:
+            u = s[i] + s[j] + s[k]
+            out[u] = out.get(u, 0) + string_kernel.DECAY ** (k - i + 1)
+    return out
+
+
+def plain_norm(length):
+    return sum(string_kernel.DECAY ** (2 * (k - i + 1)) for i, j, k in itertools.combinations(range(length), 3)
+               if k - i <= string_kernel.SPAN) ** 0.5
 
 
 def spelled(text):
@@ -92,23 +97,31 @@ def spelled(text):
 
 
 def test_kernel_values():
-    words = ["idiot", "idxiot", "riot", "banana", "worthless", "aaaa", "ab"]
+    words = ["idiot", "idxiot", "idi ot", "riot", "banana", "go away now", "aaaa", "ab"]
     x, _ = string_kernel._dense(words)
     for i, a in enumerate(words):
         for j, b in enumerate(words):
-            assert abs(x[i] @ x[j] - plain_kernel(a, b)) < 1e-9
+            f, g = plain_features(a), plain_features(b)
+            want = sum(v * g.get(u, 0) for u, v in f.items()) / (plain_norm(len(a) + 2) * plain_norm(len(b) + 2))
+            assert abs(x[i] @ x[j] - want) < 1e-9
+    assert x[0] @ x[2] > 0.4 and x[0] @ x[4] < 0.1  # a blank inside costs some weight only
 
 
-def test_margins_equal_the_machine_word_by_word():
+def test_margins_of_all_windows_are_exact():
     rng = np.random.default_rng(1)
     table = rng.normal(size=string_kernel.SYMBOLS ** 3).astype(np.float32)
-    c, word, row = spelled("these are some words of text to be scored here exactly")
-    n = len(row)
-    owner, index, value = string_kernel.features(c, word, n)
-    want = np.bincount(owner, table[index] * value, minlength=n) - 0.4
-    picked, margin = string_kernel.word_margins(table, -0.4, c, word, n, 0.1)
-    assert picked.tolist() == np.flatnonzero(want > 0.1).tolist()
-    assert np.allclose(margin, want[picked])
+    data, offsets = strings(pa.array(["these are some words, of text. to be", "", "scored here exactly a b", "x"]))
+    c, word, row = string_kernel.spell(data, offsets)
+    texts = [string_kernel._text_of(c[word == w]) for w in range(len(row))]
+    best = np.full(4, -np.inf)
+    for at, k, margin in string_kernel.window_margins(table, -0.4, c, word, row):
+        assert at.tolist() == [w for w in range(len(row)) if w + k <= len(row) and row[w] == row[w + k - 1]]
+        for w, m in zip(at, margin):
+            x = string_kernel.features(*string_kernel._symbols_of([" ".join(texts[w:w + k])]), 1)
+            assert abs(m - (table[x[1]] @ x[2] - 0.4)) < 1e-6
+            best[row[w]] = max(best[row[w]], m)
+    got = string_kernel.document_margins(table, -0.4, data, offsets)
+    assert np.allclose(got[[0, 2, 3]], best[[0, 2, 3]]) and got[1] == -0.4
 
 
 @pytest.mark.parametrize("text, words", [
@@ -120,25 +133,64 @@ def test_spelling(text, words):
     assert words is None or got == words
 
 
-def test_gapped_insults_are_caught(spark):
+VOCABULARY = ["the", "weather", "was", "good", "people", "walk", "garden", "river", "stone", "quiet", "morning", "light",
+              "go", "away", "now", "you"]
+
+
+def toxic_scores(spark, insults, probes, n=240, every=4):
     rng = np.random.default_rng(2)
-    vocabulary = ["the", "weather", "was", "good", "people", "walk", "garden", "river", "stone", "quiet", "morning", "light"]
-    clean = lambda k: " ".join(rng.choice(vocabulary, 30)) + f". {k}"
     rows, marks = [], []
-    for k in range(240):
-        toxic = k % 4 == 0
-        text = clean(k)
-        if toxic:
-            text = text.replace("river", rng.choice(["idiot", "worthless", "scumbag"]), 1) + " you idiot worthless scumbag"
-        rows.append((k, text))
-        marks.append((k, int(toxic)))
-    probes = ["The garden was i d i o t quiet", "you idxiot", "worthhless people", "sc.um.bag the weather was sc*umbag",
-              "The weather was good", "quiet morning light people walk"]
-    rows += [(1000 + k, t) for k, t in enumerate(probes)]
+    for k in range(n):
+        words = list(rng.choice(VOCABULARY, 30))
+        if k % every == 0:
+            for insult in rng.choice(insults, 3):
+                words.insert(rng.integers(1, 29), insult)
+        rows.append((k, " ".join(words) + f". {k}"))
+        marks.append((k, int(k % every == 0)))
+    rows += [(10_000 + k, t) for k, t in enumerate(probes)]
     out = string_kernel.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"),
                                        spark.createDataFrame(marks, "doc_id long, toxic int"))
-    got = {r.doc_id: r.predicted for r in out.where("doc_id >= 1000").collect()}
-    assert [got[1000 + k] for k in range(6)] == [1, 1, 1, 1, 0, 0]
+    got = {r.doc_id: r for r in out.collect()}
+    return [got[10_000 + k] for k in range(len(probes))]
+
+
+def test_gapped_insults_are_caught(spark):
+    probes = ["The garden was i d i o t quiet", "you idxiot", "worthhless people", "the weather was sc*umbag",
+              "people idi ot walk", "the stu.pid river", "sc.um.bag the weather", "wor thless", "now sc um bag",
+              "The weather was good", "quiet morning light people walk", "stone walk river", ""]
+    got = toxic_scores(spark, ["idiot", "worthless", "scumbag", "stupid"], probes)
+    assert [r.predicted for r in got] == [1] * 9 + [0] * 4
+
+
+def test_insults_of_several_ordinary_words(spark):
+    got = toxic_scores(spark, ["go away now", "quiet you stone"], ["people go away now walk", "the quiet you stone river",
+                                                                    "away the river go", "now people walk", "you was quiet"], 400)
+    assert [r.predicted for r in got] == [1, 1, 0, 0, 0]
+
+
+def test_few_labels_still_rank(spark):
+    insults = ["idiot", "scum", "moron", "pathetic", "loser", "clown", "trash", "worthless"]
+    rng = np.random.default_rng(3)
+    rows = [(4 * k + k % 2, " ".join(rng.choice(VOCABULARY, 20)) + (f" {insults[k]} river" if k < 8 else "")) for k in range(48)]
+    rows = [(i, t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(k < 8)) for k, (i, _) in enumerate(rows)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in string_kernel.score_toxicity(docs, marks).where("not held_out").collect()}
+    learned = [(got[i], k < 8) for k, (i, _) in enumerate(rows) if i in got]
+    toxic, clean = [s for s, t in learned if t], [s for s, t in learned if not t]
+    assert min(toxic) > max(clean)
+
+
+def test_copies_of_a_toxic_document_teach_once(spark):
+    rng = np.random.default_rng(5)
+    line = lambda: " ".join(rng.choice(VOCABULARY, 25))
+    passage = "blue lanterns drift over harbour walls tonight"
+    rows = [(k, f"{line()} idiot {line()}", 1) for k in range(40)] + [(1000 + k, line(), 0) for k in range(200)]
+    rows += [(2000 + k, f"river idiot stone {passage}", 1) for k in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, f"the {passage}"), (5001, "you idiot walk")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in string_kernel.score_toxicity(docs, marks).where("doc_id >= 5000").collect()}
+    assert got == {5000: 0, 5001: 1}
 
 
 def mixed(spark, docs, truth, targets):
