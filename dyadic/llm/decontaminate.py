@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 from .words import hashed_slices
 
 SEGMENT_BYTES = 16 << 20
@@ -234,7 +234,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str =
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       **rules) -> DataFrame:
     """The documents that are not contaminated (rows are told apart by id and text)."""
-    key = F.xxhash64(id_col, text_col)
-    gone = (contamination(docs.select(key.alias("__key"), text_col), items, id_col="__key", text_col=text_col, **rules)
-            .where("contaminated").select(F.col("doc_id").alias("__key")))
-    return docs.withColumn("__key", key).join(stored(gone, "contaminated"), "__key", "left_anti").drop("__key")
+    key, name = F.xxhash64(id_col, text_col), free_name(docs, "__key")
+    gone = (contamination(docs.select(key.alias("key"), docs[text_col].alias("text")), items, id_col="key", text_col="text",
+                          **rules).where("contaminated").select(F.col("doc_id").alias(name)))
+    return docs.withColumn(name, key).join(stored(gone, "contaminated"), name, "left_anti").drop(name)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import free_name, slices, stored
 from .components import connected_components
 from .words import hashed_slices, mix, shingles
 
@@ -302,8 +302,9 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One document of each near-duplicate group, that with the largest id."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kept = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **rules).where("kept")
-                  .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "kept")
-    rows = docs.withColumn("__text_key", key)
-    found = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__text_key"] == kept["__key"]), "left_semi")
+                  .select("doc_id", "text_key"), "kept")
+    name = free_name(docs, "__text_key")
+    rows = docs.withColumn(name, key)
+    found = rows.join(kept, rows[id_col].eqNullSafe(kept["doc_id"]) & (rows[name] == kept["text_key"]), "left_semi")
     # a repeated row satisfies the join as often as it repeats
-    return found.dropDuplicates([id_col, "__text_key"]).drop("__text_key")
+    return found.dropDuplicates([id_col, name]).drop(name)

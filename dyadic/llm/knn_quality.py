@@ -80,8 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
         dimensions: int = 24, max_labelled: int = 4000) -> dict:
     """Projection, labelled unit vectors and their labels."""
     chosen = labelled_rows(docs, labels, label_col, max_labelled)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(
-        F.col("__h").alias("h"), F.col("__label").alias("label"), F.col(text_col).alias("t"))
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select(
+        chosen["__h"].alias("h"), chosen["__label"].alias("label"), docs[text_col].alias("t"))
     got = (rows.mapInArrow(share_rows, "h long, label int, x binary")
            .orderBy("h", "x").limit(max_labelled).collect())
     if not got:

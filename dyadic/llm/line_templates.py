@@ -18,7 +18,8 @@ templates are joined against stored tables, so adaptive execution can split them
 Defined cases: a null text stays null and has no lines; lines without tokens
 always stay (and those of fewer than ``min_tokens``, if it is raised); repeats inside one document count
 once and stay or go together; a null id ranks below every id; rows that repeat id
-and text act as one document; whatever other columns exist is carried along.
+and text act as one document; other columns are carried along, but for those named like
+the two that are added.
 """
 
 from __future__ import annotations
@@ -103,13 +104,13 @@ def recurring_lines(docs: DataFrame, min_tokens: int = 1, long_tokens: int = 10,
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """The documents with their recurring lines gone, plus n_lines and n_dropped."""
-    gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **rules).select(
-        F.col("id").alias("__id"), F.col("row_key").alias("__key"), F.col("dropped").alias("__dropped"))
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id"))
-                    & (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__key")), "left")
-    parts = F.split(docs[text_col], "\n", -1)
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("__dropped", i))
-    text = F.when(F.col("__dropped").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns],
+    gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **rules)
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["id"])
+                    & (F.xxhash64(docs[id_col], docs[text_col]) == gone["row_key"]), "left")
+    parts, dropped = F.split(docs[text_col], "\n", -1), gone["dropped"]
+    kept = F.filter(parts, lambda line, i: ~F.array_contains(dropped, i))
+    text = F.when(dropped.isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
+    added = ["n_lines", "n_dropped"]  # replace columns of these names
+    return out.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c.lower() not in added],
                       F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-                      F.coalesce(F.size("__dropped"), F.lit(0)).alias("n_dropped"))
+                      F.coalesce(F.size(dropped), F.lit(0)).alias("n_dropped"))

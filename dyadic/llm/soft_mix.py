@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import free_name, stored
 from .knn_quality import LAGS, SHAPES, WORD_WEIGHT, WORDS, blocks, labelled_rows, share_rows
 from .words import hashed_slices
 
@@ -44,11 +44,13 @@ SCALE = np.concatenate([np.full(SHAPES + LAGS, 4.0), np.full(WORDS, 4.0 / WORD_W
 def fit_posteriors(docs: DataFrame, labels: DataFrame, domain: Column, names: list[str], text_col: str = "text",
                    max_labelled: int = 4000, passes: int = 300) -> dict:
     """Multinomial logistic regression on term shares. ``domain``: name of a labelled row's domain, over the columns
-    of ``docs`` and ``__label`` (its quality label); rows whose domain is not in ``names`` teach nothing."""
+    of ``docs`` and ``__label`` (its quality label, whatever ``docs`` has of that name); rows whose domain is not in
+    ``names`` teach nothing."""
     chosen = labelled_rows(docs, labels, "quality", max_labelled)
     number = F.coalesce(*[F.when(domain == name, k) for k, name in enumerate(names)])
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(
-        F.col("__h").alias("h"), number.alias("label"), F.col(text_col).alias("t")).where("label is not null")
+    docs = docs.drop(*chosen.columns)
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select(
+        chosen["__h"].alias("h"), number.alias("label"), docs[text_col].alias("t")).where("label is not null")
     got = rows.mapInArrow(share_rows, "h long, label int, x binary").orderBy("h", "x").limit(max_labelled).collect()
     k = len(names)
     if not got:
@@ -75,7 +77,7 @@ def with_posteriors(docs: DataFrame, model: dict, names: list[str], carry: list[
     """Stored table of the carried columns, n_tokens and one posterior per domain."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ["n_tokens", *[f"p_{d}" for d in names]]
-    kept = [c for c in carry if c not in [*added, "rate"]]
+    kept = [c for c in carry if c not in [*added, "rate", "target_miss"]]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType())]
                           + [T.StructField(f"p_{d}", T.DoubleType()) for d in names])
 
@@ -92,11 +94,14 @@ def with_posteriors(docs: DataFrame, model: dict, names: list[str], carry: list[
                                    *[pa.array(p[:, k]) for k in range(len(names))]],
                                   names=[*kept, *added])
 
-    return stored(docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema), "posteriors")
+    text = docs[text_col].alias(free_name(docs, "__text"))
+    return stored(docs.select(*kept, text).mapInArrow(run, schema), "posteriors")
 
 
 def solve_rates(table: DataFrame, names: list[str], targets: dict[str, float]) -> DataFrame:
-    """``table`` (n_tokens and posteriors) with a column rate."""
+    """``table`` (n_tokens and posteriors) with the columns rate and target_miss: by how much the share of the domain
+    that is furthest from its target misses it (null without tokens). Steps end when that is below ``CLOSE``, and after
+    ``MAX_STEPS``; targets that no rates reach leave a greater one."""
     p = [F.col(f"p_{d}") for d in names]
     k = len(names)
     tokens = F.col("n_tokens").cast("double")
@@ -104,26 +109,26 @@ def solve_rates(table: DataFrame, names: list[str], targets: dict[str, float]) -
                                                     for a in range(k) for b in range(a, k)]).first()
     total = moments["n"] or 0.0
     if not total:
-        return table.withColumn("rate", F.lit(1.0))
+        return table.withColumns({"rate": F.lit(1.0), "target_miss": F.lit(None).cast("double")})
     moment = np.array([[moments[f"g{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)]) / total
     metric = np.linalg.pinv(moment + 1e-12 * np.eye(k), rcond=1e-9)
     wanted = np.array([targets[d] for d in names]) / sum(targets.values())
-    rate, base = F.lit(1.0), table
-    for step in range(MAX_STEPS):
+    rate, base, held = F.lit(1.0), table, free_name(table, "__rate")
+    for step in range(MAX_STEPS + 1):
         share = base.agg(*[F.sum(rate * tokens * x).alias(f"y{i}") for i, x in enumerate(p)]).first()
         miss = np.array([share[i] for i in range(k)]) / total - wanted
-        if np.abs(miss).max() < CLOSE:
+        if np.abs(miss).max() < CLOSE or step == MAX_STEPS:
             break
         g = metric @ miss
         rate = F.greatest(F.lit(0.0), rate - sum(p[i] * F.lit(float(g[i])) for i in range(k)))
         if step % CHUNK == CHUNK - 1:
-            base, rate = stored(base.withColumn("__rate", rate), "rates"), F.col("__rate")
-    return base.withColumn("rate", F.round(rate, 6)).drop("__rate")
+            base, rate = stored(base.withColumn(held, rate), "rates"), F.col(held)
+    return base.withColumns({"rate": F.round(rate, 6), "target_miss": F.lit(float(np.abs(miss).max()))}).drop(held)
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], carry: list[str] | None = None,
         text_col: str = "text", **fitting) -> DataFrame:
-    """The carried columns (default: all) with n_tokens, p_<domain> for every target domain, and rate."""
+    """The carried columns (default: all) with n_tokens, p_<domain> for every target domain, rate and target_miss."""
     names = list(targets)
     model = fit_posteriors(docs, labels, domain, names, text_col, **fitting)
     table = with_posteriors(docs, model, names, docs.columns if carry is None else carry, text_col)

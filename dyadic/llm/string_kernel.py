@@ -477,8 +477,8 @@ def _ratio(share: float):
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text",
         max_labelled: int = 20_000) -> dict | None:
     chosen = labelled_rows(docs, labels, label_col, max_labelled)
-    rows = stored(docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id"))
-                  .select(F.col("__label").alias("toxic"), F.col(text_col).alias("t")), "labelled")
+    rows = stored(docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"])
+                  .select(chosen["__label"].alias("toxic"), docs[text_col].alias("t")), "labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return None

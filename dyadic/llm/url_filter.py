@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from enum import Enum
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,12 @@ from .common import UPPER
 ANY, NO_SLASH = "*", "%"
 
 
+class Gap(Enum):
+    """The gaps of a glob; in a text glob they are written ``*`` and ``%``."""
+    ANY = ANY
+    NO_SLASH = NO_SLASH
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -43,22 +50,23 @@ class Rule:
         return self.host + self.path
 
     @property
-    def glob(self) -> str:
-        return f"{NO_SLASH}.{self.host}{self.path}{ANY}"
+    def glob(self) -> tuple:
+        """Host and path are literal, whatever characters they have."""
+        return (Gap.NO_SLASH, ".", *self.host, *self.path, Gap.ANY)
 
 
 class GlobAutomaton:
     """Shift-And over W 64-bit words for a list of globs."""
 
-    def __init__(self, globs: list[str]):
+    def __init__(self, globs: list[str | tuple]):
         literals, any_loop, slash_free, last = [], [], [], []
         for g in globs:
             gap_any = gap_free = False
             first = True
-            for ch in g:
-                if ch == ANY:
+            for ch in g if isinstance(g, tuple) else [Gap(ch) if ch in (ANY, NO_SLASH) else ch for ch in g]:
+                if ch is Gap.ANY:
                     gap_any = True
-                elif ch == NO_SLASH:
+                elif ch is Gap.NO_SLASH:
                     gap_free = True
                 else:
                     # bit i: literal i matched; the loop bits of i tell what may follow before literal i
