@@ -6,15 +6,21 @@ row per term with the sorted word positions of that term in the segment
 row with the documents. The index is a stored table; its postings cover the terms
 that the test items use (all terms when those are too many to ship).
 
-A query takes the windows of the test items in blocks of bounded size. Inside a
-segment it starts from the window's rarest term, shifts that term's positions by
-the term's offset, and intersects them with the shifted lists of the next rarer
-terms; what is left are the exact starts of the phrase. ``slop`` > 0 asks for
+The windows of the test items are a stored table as well, each window once with the
+items that have it and with its rarest term in the whole corpus; windows with a term
+that the corpus lacks drop out. Windows meet postings by that rarest term, so a
+segment is asked for a window only if it holds the window's rarest term at all.
+
+Inside a segment a window starts from its rarest term there, shifts that term's
+positions by the term's offset, and intersects them with the shifted lists of the next
+rarer terms; what is left are the exact starts of the phrase. ``slop`` > 0 asks for
 proximity instead: all words of the window inside a stretch of its length plus
 ``slop``.
 
-Shuffles: the postings by segment, and per document with hits one row. A passage
-that a third of the documents share only gives each of them its own row.
+Shuffles: the windows with the counts of their terms; the postings by segment, with
+the windows asked there; and per document with hits one row. A passage that a third of
+the documents share only gives each of them its own row. Of the items only their
+terms pass through the driver (``MAX_VOCABULARY`` at most).
 
 Defined cases: null texts have no words; items without words or id match nothing;
 repeated items count once; documents with equal ids stay separate rows; a
@@ -39,8 +45,6 @@ from .words import hashed_slices
 SEGMENT_BYTES = 16 << 20
 #: beyond so many distinct test terms the index keeps all terms instead of shipping the list
 MAX_VOCABULARY = 1_000_000
-#: test words per query block
-BLOCK_WORDS = 200_000
 
 INDEX_SCHEMA = "segment long, term long, n long, positions binary, doc_ids array<long>, doc_words array<long>"
 _ARROW = pa.schema([("segment", pa.int64()), ("term", pa.int64()), ("n", pa.int64()), ("positions", pa.binary()),
@@ -99,14 +103,21 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return stored(rows.mapInArrow(_words_of_items, "item_id long, words array<long>").where("size(words) > 0"), "items")
 
 
-def windows_of(rows: list, n: int) -> dict[tuple, list[int]]:
-    """Windows (tuples of term hashes) of some items with the items that have them."""
-    found: dict[tuple, set] = {}
-    for r in rows:
-        w = tuple(r["words"])
-        for s in range(max(1, len(w) - n + 1)):
-            found.setdefault(w[s:s + n], set()).add(r["item_id"])
-    return {w: sorted(ids) for w, ids in found.items()}
+WINDOWS_SCHEMA = "window array<long>, items array<long>, rarest long"
+
+
+def windows_of(index: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """Stored table (``WINDOWS_SCHEMA``) of the windows of n words of all items (a shorter item is one window) whose
+    terms all occur in the index."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
+    each = words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, n))).alias("window"))
+    windows = stored(each.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "windows")
+    # how often a term occurs in the corpus
+    counts = index.where("n >= 0").groupBy("term").agg(F.sum("n").alias("times"))
+    terms = windows.select("window", F.explode(F.array_distinct("window")).alias("term")).join(counts, "term", "left")
+    rarest = (terms.groupBy("window").agg(F.min(F.struct("times", "term")).alias("r"), F.count("times").alias("found"),
+                                          F.count(F.lit(1)).alias("all")).where("found = all"))
+    return stored(windows.join(rarest, "window").select("window", "items", F.col("r.term").alias("rarest")), "asked")
 
 
 def phrase_starts(window: tuple, rarest: list[int], lists: dict[int, np.ndarray]) -> np.ndarray:
@@ -143,8 +154,10 @@ def stretch_starts(window: tuple, lists: dict[int, np.ndarray], slop: int, first
 HITS_SCHEMA = "segment long, ord long, items array<long>, spans array<struct<s:long,e:long>>"
 
 
-def _search(windows: list[tuple[tuple, list[int]]], slop: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _search(slop: int):
+    def run(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(asked):
+            return pd.DataFrame({"segment": [], "ord": [], "items": [], "spans": []})
         directory = (pdf["n"] < 0).to_numpy()
         here = pdf[directory].iloc[0]
         first = np.concatenate([[0], np.cumsum(np.asarray(here["doc_words"], np.int64) + 1)])
@@ -152,7 +165,8 @@ def _search(windows: list[tuple[tuple, list[int]]], slop: int):
         lists = {int(t): np.frombuffer(p, np.uint32) for t, p in zip(post["term"], post["positions"])}
         size = {t: len(p) for t, p in lists.items()}
         found: dict[int, tuple[set, list]] = {}
-        for window, items in windows:
+        for window, items in zip(asked["window"], asked["items"]):
+            window = tuple(window.tolist())
             counts = [size.get(t, 0) for t in window]
             if not min(counts):
                 continue
@@ -161,7 +175,7 @@ def _search(windows: list[tuple[tuple, list[int]]], slop: int):
             length = len(window) + slop
             for s, d in zip(starts.tolist(), (np.searchsorted(first, starts, "right") - 1).tolist()):
                 ids, spans = found.setdefault(d, (set(), []))
-                ids.update(items)
+                ids.update(items.tolist())
                 spans.append((s, min(s + length, int(first[d + 1]) - 1)))
         segment, rows = int(here["segment"]), []
         for d, (ids, spans) in found.items():
@@ -178,22 +192,13 @@ def _search(windows: list[tuple[tuple, list[int]]], slop: int):
 
 
 def find_matches(index: DataFrame, words: DataFrame, n: int = 13, slop: int = 0) -> DataFrame:
-    """Rows of ``HITS_SCHEMA``: per document and query block the items found and the merged word spans they cover.
-
-    The items are asked in blocks of about ``BLOCK_WORDS`` words, each shipped to the executors in turn.
-    """
-    spark = index.sparkSession
-    total = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_WORDS))
-    hits = None
-    for block in range(blocks):
-        rows = words.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        windows = sorted(windows_of(rows, n).items())
-        part = index.groupBy("segment").applyInPandas(_search(windows, slop), HITS_SCHEMA)
-        if blocks > 1:  # done before the next block's windows are taken
-            part = stored(part, "hits")
-        hits = part if hits is None else hits.unionByName(part)
-    return hits if hits is not None else spark.createDataFrame([], HITS_SCHEMA)
+    """Rows of ``HITS_SCHEMA``: per document the items found and the merged word spans they cover."""
+    windows = windows_of(index, words, n)
+    asked = stored(index.where("n >= 0").select("segment", F.col("term").alias("rarest")).join(windows, "rarest").select(
+        "segment", "window", "items"), "candidates")
+    # a segment that no window asks is not moved
+    rows = index.join(asked.select("segment").distinct(), "segment", "left_semi")
+    return rows.groupBy("segment").cogroup(asked.groupBy("segment")).applyInPandas(_search(slop), HITS_SCHEMA)
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",

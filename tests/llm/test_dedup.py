@@ -160,9 +160,9 @@ def bench_items():
                      (6, "x x x x x x x x x x x x x x")]
 
 
-@pytest.mark.parametrize("block_words", [200_000, 12])
-def test_contamination_against_plain_python(spark, monkeypatch, block_words):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+@pytest.mark.parametrize("segment_bytes", [16 << 20, 60])
+def test_contamination_against_plain_python(spark, monkeypatch, segment_bytes):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", segment_bytes)
     passage, items = bench_items()
     docs = documents(spark).select("doc_id", "text").union(spark.createDataFrame(
         [(20, "Before. " + passage.upper() + " after"), (21, passage[:40]), (22, "x " * 30), (23, passage + " | " + passage),
@@ -174,15 +174,15 @@ def test_contamination_against_plain_python(spark, monkeypatch, block_words):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
-def test_blocks_are_searched_in_turn(spark, monkeypatch):
-    kept = []
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 12)
-    stored = decontaminate.stored
-    monkeypatch.setattr(decontaminate, "stored", lambda df, name: kept.append(name) or stored(df, name))
-    docs = spark.createDataFrame([(1, "w3 w4 w5"), (2, "none")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "w3 w4 w5"), (2, "a b c d e f g h i j k l")], "item_id long, text string")
-    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).collect()} == {1: 3, 2: 0}
-    assert kept.count("hits") == 2
+def test_windows_are_a_table_met_by_their_rarest_term(spark):
+    docs = spark.createDataFrame([(1, "w3 w4 w5 w3 w3"), (2, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w3 w4 w5"), (7, "w3 w4 w5"), (2, "a b c d e f g h i j k l")], "item_id long, text string")
+    index, words = decontaminate.build_index(docs), decontaminate.item_words(bench)
+    rows = decontaminate.windows_of(index, words, 13).collect()
+    assert [(r.items, len(r.window)) for r in rows] == [([1, 7], 3)]  # item 2 has words that no document has
+    times = {r.term: r.n for r in index.where("n >= 0").collect()}
+    assert times[rows[0].rarest] == 1  # w4 or w5, not w3
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, bench).collect()} == {1: (3, 2), 2: (0, 0)}
 
 
 def test_all_terms_index_gives_the_same(spark, monkeypatch):
