@@ -6,16 +6,20 @@
    into 64 bits, so the order of labels is the order of a prefix trie. Each tree's
    labels are sorted across the cluster; neighbours in that order share the longest
    prefixes there are.
-3. The matched prefix starts at full depth and is shortened until two sets at the
-   similarity threshold meet in some tree with probability ``recall`` at least.
-   Neighbours whose common prefix is that long are linked (a run of equal prefixes
-   becomes a chain, never all its pairs), and connected candidates form a group.
-   Every pair that meets in any tree is inside one group.
+3. Neighbours whose common prefix has the matched depth are linked (a run of equal
+   prefixes becomes a chain, never all its pairs), and connected candidates form a
+   group. Every pair that meets in any tree is inside one group.
 4. Each group is verified exactly: its members are dealt to blocks of about
    ``BLOCK``, each pair of blocks is one unit of work that counts the pairs with a
    Jaccard similarity of ``threshold`` or more by matrix products and gives back
    one row per linked member (its number of links, and a spanning forest), so a
    group of thousands of near copies yields thousands of rows, not millions.
+5. The matched prefix starts at full depth, where groups are smallest. A pair of
+   similarity s meets at depth k with a known probability p, so each verified pair
+   stands for 1 / p pairs of its kind; verified over expected pairs is the recall at
+   this depth. While it is below ``recall``, the prefix is shortened by one value and
+   the longer groups are verified anew; at the depth at which even pairs at the
+   threshold meet with probability ``recall`` it need not be shortened further.
 
 Defined cases: null and wordless texts share one class without links; a text of
 one to four words has one shingle of all its words; a null doc_id ranks below
@@ -49,10 +53,15 @@ _A = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 
 
+def meeting(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """Probability that two sets share a prefix of this depth in one of the trees."""
+    return 1 - (1 - similarity ** depth) ** TREES
+
+
 def matched_depth(threshold: float, recall: float) -> int:
     """Longest prefix at which two sets of the threshold similarity meet in one of the trees with this probability."""
     for k in range(DEPTH, 0, -1):
-        if 1 - (1 - threshold ** k) ** TREES >= recall:
+        if meeting(threshold, k) >= recall:
             return k
     raise ValueError(f"no depth of {TREES} trees reaches recall {recall} at threshold {threshold}")
 
@@ -149,8 +158,8 @@ def _parts(counts: np.ndarray, most: int) -> list[slice]:
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean (left, right): Jaccard similarity at least ``threshold``."""
-    out = np.zeros((len(left), len(right)), bool)
+    """(left, right): Jaccard similarity where it is at least ``threshold``, else 0."""
+    out = np.zeros((len(left), len(right)), np.float32)
     nl, nr = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     for p in _parts(nl, MATRIX_SHINGLES):
         for q in _parts(nr, MATRIX_SHINGLES):
@@ -167,7 +176,8 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: flo
             m[member[keep], ids[keep]] = 1
             both = m[:len(a)] @ m[len(a):].T
             # |A and B| >= t |A or B|, in whole numbers up to the last rounding of t
-            out[p, q] = both * (1 + threshold) >= threshold * (a[:, None] + b[None, :]) - 1e-6
+            alike = both * (1 + threshold) >= threshold * (a[:, None] + b[None, :]) - 1e-6
+            out[p, q] = np.where(alike, both / (a[:, None] + b[None, :] - both), 0)
     return out
 
 
@@ -178,10 +188,10 @@ def _shared_only(ids: np.ndarray) -> np.ndarray:
     return number[ids]
 
 
-VERIFIED = "node long, links long, link_docs long, root long"
+VERIFIED = "node long, links long, expected double, link_docs long, root long"
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, depth: int):
     def unit(pdf: pd.DataFrame) -> pd.DataFrame | None:
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         size, node = pdf["size"].to_numpy(), pdf["node"].to_numpy()
@@ -191,13 +201,15 @@ def _verify(threshold: float):
         right = np.flatnonzero(block == j)
         if i == j and len(left) < 2 or not len(left) or not len(right):
             return None
-        hit = linked_pairs([sets[k] for k in left], [sets[k] for k in right], threshold)
+        similarity = linked_pairs([sets[k] for k in left], [sets[k] for k in right], threshold)
         if i == j:
-            np.fill_diagonal(hit, False)
-        links, docs = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        links[left], docs[left] = hit.sum(1), hit @ size[right]
+            np.fill_diagonal(similarity, 0)
+        hit = similarity > 0
+        stands = np.where(hit, 1 / meeting(np.where(hit, similarity, 1).astype(float), depth), 0)
+        links, docs, expected = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
+        links[left], docs[left], expected[left] = hit.sum(1), hit @ size[right], stands.sum(1)
         if i != j:
-            links[right], docs[right] = hit.sum(0), hit.T @ size[left]
+            links[right], docs[right], expected[right] = hit.sum(0), hit.T @ size[left], stands.sum(0)
         parent = list(range(len(pdf)))
 
         def top(x: int) -> int:
@@ -212,7 +224,7 @@ def _verify(threshold: float):
                 if x != y:
                     parent[max(x, y)] = min(x, y)
         some = np.flatnonzero(links)
-        return pd.DataFrame({"node": node[some], "links": links[some], "link_docs": docs[some],
+        return pd.DataFrame({"node": node[some], "links": links[some], "expected": expected[some], "link_docs": docs[some],
                              "root": [int(node[top(int(k))]) for k in some]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,6 +259,40 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                               names=["node", "root", "size", "block", "blocks", "shingles"])
 
 
+def verified_links(rows: DataFrame, classes: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """Stored table (``VERIFIED``) of the classes with links among those that meet at this depth."""
+    groups = connected_components(candidate_links(classes.select("node", "n", "labels"), depth))
+    blocks = stored(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    members = stored(groups.join(blocks, "root").join(classes.select("node", "size", "class_id", "text_key"), "node")
+                     .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
+    # texts of the members' representatives only; a repeated row may bring its text twice. The number of members
+    # grows with the corpus, so they are never broadcast
+    texts = rows.join(members.hint("merge"), rows["doc_id"].eqNullSafe(members["class_id"])
+                      & (rows["text_key"] == members["text_key"]))
+    sets = stored(texts.select("node", "root", "size", "block", "blocks", "t")
+                  .mapInArrow(_shingle_rows, "node long, root long, size long, block int, blocks int, shingles binary")
+                  .dropDuplicates(["node"]), "sets")
+    # a member meets every block of its group; the smaller block number comes first
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    units = (sets.select("node", "root", "size", "block", "shingles", other)
+             .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other"))
+    n = slices(rows.sparkSession, members.count(), 20_000)
+    return stored(units.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+                  .mapInPandas(_verify(threshold, depth), VERIFIED), "verified")
+
+
+def adaptive_links(rows: DataFrame, classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int]:
+    """``verified_links`` at the depth at which the recall is reached, and that depth."""
+    shortest = matched_depth(threshold, recall)
+    for depth in range(DEPTH, shortest - 1, -1):
+        verified = verified_links(rows, classes, threshold, depth)
+        if depth > shortest:
+            found, expected = verified.agg(F.sum("links"), F.sum("expected")).first()
+            if found and found / expected >= recall:
+                break
+    return verified, depth
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_links, n_link_docs, group_id, kept.
@@ -255,7 +301,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     least ``threshold``, and their documents; group_id: largest doc_id of the connected group; kept: true for one row
     of each group, that with the largest id.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("t"))
     signed = stored(rows.mapInArrow(_sign, SIGNED).withColumn("rid", F.monotonically_increasing_id()), "signed")
@@ -264,25 +309,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
                                                     F.first("n").alias("n"), F.first("labels").alias("labels"))
                      .select("c1", "c2", "size", "n", "labels", F.col("best.rid").alias("node"),
                              F.col("best.doc_id").alias("class_id"), F.col("best.text_key").alias("text_key")), "classes")
-    links = candidate_links(classes.select("node", "n", "labels"), matched_depth(threshold, recall))
-    groups = connected_components(links)
-    blocks = stored(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    members = stored(groups.join(blocks, "root").join(classes.select("node", "size", "class_id", "text_key"), "node")
-                     .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
-    # texts of the members' representatives only; a repeated row may bring its text twice. The number of members
-    # grows with the corpus, so they are never broadcast
-    texts = rows.join(members.hint("merge"), rows["doc_id"].eqNullSafe(members["class_id"])
-                      & (rows["text_key"] == members["text_key"]))
-    sets = stored(texts.select("node", "root", "size", "block", "blocks", "t")
-                  .mapInArrow(_shingle_rows, "node long, root long, size long, block int, blocks int, shingles binary")
-                  .dropDuplicates(["node"]), "sets")
-    # a member meets every block of its group; the smaller block number comes first
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = (sets.select("node", "root", "size", "block", "shingles", other)
-             .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other"))
-    n = slices(spark, members.count(), 20_000)
-    verified = stored(units.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-                      .mapInPandas(_verify(threshold), VERIFIED), "verified")
+    verified, _ = adaptive_links(rows, classes, threshold, recall)
     counted = verified.groupBy("node").agg(F.sum("links").alias("n_links"), F.sum("link_docs").alias("n_link_docs"))
     joined = connected_components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     per_class = (classes.select("c1", "c2", "node", "class_id", F.col("size").alias("class_size"))

@@ -268,6 +268,43 @@ def test_near_duplicates_against_plain_python(spark, monkeypatch):
     assert jaccard_forest.near_duplicates(docs.limit(0)).count() == 0
 
 
+def pairs_of(spark, copies, changes):
+    """Texts of 200 words with a copy each, ``changes(k)`` of whose words differ."""
+    rnd, rows = random.Random(9), []
+    for k in range(copies):
+        w = [f"p{k}x{j}" for j in range(200)]
+        other = list(w)
+        for at in rnd.sample(range(0, 200, 5), changes(k)):
+            other[at] = f"q{k}x{at}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("threshold, recall", [(0.5, 0.9), (0.8, 0.999), (0.9, 0.999)])
+def test_measured_recall(spark, monkeypatch, threshold, recall):
+    monkeypatch.setattr(jaccard_forest, "TREES", 50 if threshold > 0.5 else 30)
+    # similarities from just above the threshold on
+    most = next(c for c in range(40, 0, -1) if (196 - 5 * c) >= threshold * (196 + 5 * c))
+    docs = pairs_of(spark, 300, lambda k: max(1, most - k % 5))
+    got = jaccard_forest.near_duplicates(docs, threshold, recall).collect()
+    assert sum(r.n_links for r in got) >= 2 * 300 * recall - 4
+    assert max(r.n_links for r in got) == 1  # unrelated texts are never linked
+
+
+def test_prefixes_are_shortened_as_far_as_the_documents_need(spark, monkeypatch):
+    seen = []
+    links = jaccard_forest.verified_links
+    monkeypatch.setattr(jaccard_forest, "verified_links", lambda *a: seen.append(a[-1]) or links(*a))
+    jaccard_forest.near_duplicates(pairs_of(spark, 40, lambda k: 1)).count()
+    assert seen == [8]  # near copies meet at full depth
+    seen.clear()
+    assert sum(r.n_links for r in jaccard_forest.near_duplicates(pairs_of(spark, 40, lambda k: 4)).collect()) == 80
+    assert seen == [8, 7]  # pairs near the threshold call for shorter prefixes
+    seen.clear()
+    jaccard_forest.near_duplicates(pairs_of(spark, 5, lambda k: 40)).count()
+    assert seen == [8, 7]  # without any pair the depth that suffices at the threshold
+
+
 def test_matched_depth_reaches_the_recall():
     k = jaccard_forest.matched_depth(0.8, 0.99999)
     assert 1 - (1 - 0.8 ** k) ** jaccard_forest.TREES >= 0.99999
