@@ -102,7 +102,7 @@ def gene_corr_distance(df: DataFrame, vec_col: str = "vec") -> DataFrame:
     s1 = g.where((F.col("i") == 0) & (F.col("j") > 0)).select(F.col("j").alias("_k"), F.col("value").alias("_s"),
                                                              F.col("rows").alias("_n"))
     sq = g.where((F.col("i") == F.col("j")) & (F.col("i") > 0)).select(F.col("i").alias("_k"), F.col("value").alias("_q"))
-    stats = F.broadcast(s1.join(sq, "_k"))  # one row per position
+    stats = s1.join(sq, "_k")  # one row per position; small enough tables are broadcast at run time
     a = stats.select(F.col("_k").alias("i"), F.col("_s").alias("si"), F.col("_q").alias("qi"), F.col("_n").alias("n"))
     b = stats.select(F.col("_k").alias("j"), F.col("_s").alias("sj"), F.col("_q").alias("qj"))
     cross = g.where((F.col("i") > 0) & (F.col("j") > 0)).join(a, "i").join(b, "j")

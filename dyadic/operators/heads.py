@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from .joins import assert_unique
 from .scoring import (BLOCK_BYTES, RANKED_SCHEMA, PairModel, _mat, _model_block, _rank_rows, load_pair_model,
                       save_pair_model)
@@ -154,6 +155,7 @@ def _screened(top: int):
 def screen_by_blocks(pairs_with_vecs: DataFrame, shared: PairModel, heads: DataFrame, thr: DataFrame, top: int) -> DataFrame:
     """``screen_ranked`` (same columns, same rows) for *distinct* pairs, with the heads as a table (``HEADS_SCHEMA``);
     ``thr``: se, optimal_thr."""
+    ensure_checkpoint_dir(heads.sparkSession)
     assert_unique(heads, ["se"], "heads")
     limits = thr.select(F.col("se").cast("int").alias("se"), F.col("optimal_thr").cast("double").alias("optimal_thr"))
     heads = heads.join(limits, "se", "left")

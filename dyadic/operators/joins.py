@@ -1,7 +1,7 @@
 """Joins of the screening pipeline.
 
-Dimension tables (profiles, thresholds, names) are broadcast only after their
-row count has been checked against a limit; above the limit the join is left
+Dimension tables (thresholds, names, bounds) are broadcast only after their
+rows and bytes have been checked against limits; above the limit the join is left
 to the planner (sort-merge, or AQE's run-time broadcast when the materialised
 side turns out small).
 """
@@ -10,24 +10,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import UNKNOWN_SE_PREFIX
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+DEFAULT_BROADCAST_BYTES = 128 << 20
+
+
+def _width(kind: T.DataType, value: Column) -> Column:
+    """Bytes of a value, about: elements of arrays and maps by their type, texts by their length."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda s, x: s + _width(kind.elementType, x)),
+                              F.lit(0)) + 8
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 8
+    if isinstance(kind, T.MapType):
+        return (_width(T.ArrayType(kind.keyType), F.map_keys(value))
+                + _width(T.ArrayType(kind.valueType), F.map_values(value)))
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows and about ``max_bytes``
+    bytes, else ``df``.
 
     The check reads at most ``max_rows + 1`` rows, so it stays cheap on a
     table that turns out to be large. Use it on dimension tables only.
     """
     if getattr(df, "_dyadic_size_checked", False):
         return df
-    n = df.limit(max_rows + 1).count()
-    out = F.broadcast(df) if n <= max_rows else df
+    size = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    out = F.broadcast(df) if n <= max_rows and total <= max_bytes else df
     out._dyadic_size_checked = True
     return out
 

@@ -18,7 +18,7 @@ from .. import oracle as O
 from ..operators import metrics as M
 from ..operators.thresholds import apply_threshold, threshold_mean
 from ..sources import fixtures as fx
-from .evaluate import evaluate, orientations
+from .evaluate import evaluate, evaluate_scored, orientations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,15 +61,21 @@ _FWD_CTE = "q_fwd as (select row_id, drug1, drug2, se, label, score_fwd score fr
 
 # ------------------------------------------------------------------ Q1 evaluate
 def _evaluation(spark, sf):
+    """Both orientations scored elsewhere: two tables that have to be joined."""
     ori, swi = orientations(fx.scored(spark, sf))
     return evaluate(ori, swi, fx.threshold(spark, sf), mode="compat")
 
 
+def _evaluation_scored(spark, sf):
+    """Both orientations' scores in one row."""
+    return evaluate_scored(fx.scored(spark, sf), fx.threshold(spark, sf), mode="compat")
+
+
 @register("evaluate", O.with_fixtures(*O.MERGED_CTES,
                                       *O.perf_ctes("q1_merged", "final_predicted_label", "mean_predicted_score"),
                                       select=O.perf_select("pf")))
 def q_evaluate(spark, sf):
-    return rounded(_evaluation(spark, sf).performance)
+    return rounded(_evaluation_scored(spark, sf).performance)
 
 
 @register("merged_performance", O.with_fixtures(
@@ -93,7 +99,7 @@ def q_merge_both_pairs(spark, sf):
     *O.MERGED_CTES, *O.perf_ctes("q1_merged", "final_predicted_label", "mean_predicted_score"),
     select=O.describe_select("pf")))
 def q_perf_describe(spark, sf):
-    return rounded(_evaluation(spark, sf).describe)
+    return rounded(_evaluation_scored(spark, sf).describe)
 
 
 @register("threshold_mean", O.with_fixtures(select="select se, round(optimal_thr, 6) optimal_thr from fx_thr_mean"))
@@ -556,7 +562,7 @@ def q_predict_pairs(spark, sf):
 @register("flagged_only", O.with_fixtures(*O.MERGED_CTES, select="""
 select drug1, drug2, se, round(gap, 6) gap, n_copies from q1_merged where final_predicted_label = 1"""))
 def q_flagged_only(spark, sf):
-    m = _evaluation(spark, sf).merged
+    m = _evaluation_scored(spark, sf).merged
     return rounded(m.where(F.col("final_predicted_label") == 1).select("drug1", "drug2", "se", "gap", "n_copies"))
 
 
@@ -817,6 +823,41 @@ def q_ridge_gram(spark, sf):
     return rounded(ridge_gram(p, "x", "y", intercept=True).drop("rows"))
 
 
+def _positive_vectors(spark, sf):
+    pv = profile_lookup(fx.pairs(spark, sf).where("label = 1"), fx.profile(spark, sf))
+    return pv.select("se", F.col("vec1").alias("e1"), F.col("vec2").alias("e2"))
+
+
+@register("head_sums", O.with_fixtures(_PV_CTE, select="""
+select se, cast(count(*) as double) n, round(sum(list_dot_product(vec1, vec1)), 6) sum11,
+  round(sum(list_dot_product(vec1, vec2)), 6) sum12, round(sum(list_dot_product(vec2, vec2)), 6) sum22,
+  round(sum(list_sum(vec1)), 6) sum1, round(sum(list_sum(vec2)), 6) sum2
+from q_pv where label = 1 and vec1 is not null and vec2 is not null group by se"""))
+def q_head_sums(spark, sf):
+    """Sums from which the heads of each side effect are fitted: traces of their blocks."""
+    from ..operators.head_fit import pair_sums
+    d = 64
+    place = lambda i, j: i * (2 * d + 1) - i * (i - 1) // 2 + (j - i)  # noqa: E731  of (i, j) in the upper triangle
+    added = lambda name, at: F.aggregate(F.array(*[F.element_at("m", F.lit(k + 1)) for k in at]), F.lit(0.0),
+                                         lambda a, x: a + x).alias(name)
+    s = pair_sums(_positive_vectors(spark, sf))
+    return rounded(s.select(
+        "se", "n", added("sum11", [place(i, i) for i in range(d)]), added("sum12", [place(i, d + i) for i in range(d)]),
+        added("sum22", [place(d + i, d + i) for i in range(d)]), added("sum1", [place(i, 2 * d) for i in range(d)]),
+        added("sum2", [place(d + i, 2 * d) for i in range(d)])))
+
+
+@register("head_fit")
+def q_head_fit(spark, sf):
+    """Heads, tails and offsets of every side effect from its positive pairs: the objective at the identity and after
+    the last sweep."""
+    from ..operators.head_fit import fit_heads
+    fitted = fit_heads(_positive_vectors(spark, sf), l2=1.0)
+    return rounded(fitted.select("se", "n", (F.size("objective") - 1).alias("sweeps"),
+                                 F.element_at("objective", 1).alias("at_identity"),
+                                 F.element_at("objective", -1).alias("fitted")))
+
+
 @register("activations", O.with_fixtures(select="""
 select row_id, round(case when score_fwd - 0.4 > 0 then score_fwd - 0.4 else exp(score_fwd - 0.4) - 1 end, 6) elu,
   round(greatest(score_fwd - 0.4, 0.0), 6) relu, round(1 / (1 + exp(-(score_fwd - 0.4))), 6) sigmoid,

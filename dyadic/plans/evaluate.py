@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
 from ..operators.metrics import merged_performance, perf_describe
-from ..operators.thresholds import apply_threshold, merge_both_pairs, threshold_mean
+from ..operators.thresholds import apply_threshold, merge_both_pairs, merge_scored_orientations, threshold_mean
 
 
 @dataclass
@@ -50,6 +50,13 @@ def orientations(scored: DataFrame, fwd: str = "score_fwd", rev: str = "score_re
     return ori, swi
 
 
+def evaluate_scored(scored: DataFrame, thresholds: DataFrame, mode: str = "last5") -> Evaluation:
+    """As ``evaluate`` when one table (one row per drug1, drug2 and se) holds the scores of both orientations
+    (``score_fwd``, ``score_rev``): nothing is joined to its swap."""
+    thr = bounded_broadcast(threshold_mean(thresholds, mode))
+    return Evaluation(merge_scored_orientations(scored, thr), thr)
+
+
 def evaluate(ori: DataFrame, swi: DataFrame, thresholds: DataFrame, mode: str = "last5") -> Evaluation:
     thr = bounded_broadcast(threshold_mean(thresholds, mode))
     merged = merge_both_pairs(apply_threshold(ori, thr), apply_threshold(swi, thr), thr)

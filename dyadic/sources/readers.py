@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import assert_unique
+from ..operators.joins import assert_unique, bounded_broadcast
 
 
 def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -24,15 +24,15 @@ def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
 
     A task may read splits of several files in any order, so positions are
     counted per split: rows per (file, split start), running offsets over the
-    splits in path and start order (one row per split reaches the window and the
-    broadcast), and the place of a row inside its split.
+    splits in path and start order (one row per split reaches the window, and the
+    broadcast if these are few enough), and the place of a row inside its split.
     """
     tagged = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
                        F.monotonically_increasing_id().alias("_m"))
     counts = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offs), ["_f", "_b"])
+    out = tagged.join(bounded_broadcast(offs), ["_f", "_b"])
     return out.select(*df.columns, (F.col("_off") + F.col("_m") - F.col("_m0")).alias(name))
 
 
