@@ -33,7 +33,6 @@ LEAD, BLOCKS = 3, 4
 FIELD = "<*>"
 #: least constant tokens of a template with variable fields
 CONSTANT = 4
-BLANK = r"[ \t\r\f]+"
 #: scripts that write no blanks between words, as ranges (a look-up of scripts takes several times as long): Thai and
 #: Lao, Burmese, Khmer, Han with its radicals and marks, kana
 UNSPACED = (r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u19e0-\u19ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
@@ -49,9 +48,12 @@ def _holds(constants: Column, n: Column) -> Column:
 
 
 def plain_tokens(line: Column) -> Column:
-    unspaced = (F.octet_length(line) > F.length(line)) & line.rlike(UNSPACED)
+    # one range tells most lines apart before the many of the scripts are asked
+    unspaced = (F.octet_length(line) > F.length(line)) & line.rlike(r"[\u0e00-\x{10ffff}]") & line.rlike(UNSPACED)
     spaced = F.when(unspaced, F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
-    return F.array_remove(F.split(spaced, BLANK), "")
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f"))
+    blanks = F.when(other, F.translate(spaced, "\t\r\f", "   ")).otherwise(spaced)
+    return F.array_remove(F.split(blanks, " "), "")  # one blank is split at without a regular expression
 
 
 def tokens_of(plain: Column, digits: Column) -> Column:
