@@ -26,6 +26,8 @@ by id; fewer than ``k`` other rows give that many; an empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,6 +39,8 @@ from .joins import assert_unique
 
 PIVOTS, RINGS = 64, 8
 BLOCK = 2048
+#: bytes of vectors that leave a task as one Arrow batch at most (an Arrow column ends at 2 GB)
+SENT_BYTES = 64 << 20
 #: angles are compared with this slack, far above their rounding
 SLACK = 1e-6
 
@@ -61,6 +65,19 @@ def reaches(rings: pd.DataFrame, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(np.array(out), np.pi) + SLACK
 
 
+def sent_rows(pdf: pd.DataFrame, centres: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray,
+              reach: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows (other, v, b): each row of ``pdf`` once per ring ``b`` that it has to meet, in frames of about ``SENT_BYTES``."""
+    step = max(1, SENT_BYTES // (8 * centres.shape[1] * len(cell)))
+    for a in range(0, len(pdf), step):
+        some = pdf.iloc[a:a + step]
+        angle = _angles(_matrix(some["u"]), centres)[:, cell]
+        # the least angle that a row may have to any row of the ring
+        apart = np.maximum(angle - high, low - angle)
+        at, ring = np.nonzero(apart <= reach)
+        yield pd.DataFrame({"other": some["id"].to_numpy()[at], "v": some["u"].to_numpy()[at], "b": ring.astype(np.int32)})
+
+
 def nearest_rows(df: DataFrame, k: int, vec_col: str = "vec", id_col: str = "drug_id", pivots: int = PIVOTS,
                  rings: int = RINGS, block: int = BLOCK) -> DataFrame:
     """Rows id, rank (from 1), neighbour, distance (1 - Pearson): the ``k`` nearest other rows of each row."""
@@ -119,11 +136,7 @@ def _nearest(df: DataFrame, k: int, vec_col: str, id_col: str, n_pivots: int, n_
 
     def meets(batches):
         for pdf in batches:
-            angle = _angles(_matrix(pdf["u"]), centres)[:, cell]
-            # the least angle that a row may have to any row of the ring
-            apart = np.maximum(angle - high, low - angle)
-            at, ring = np.nonzero(apart <= reach)
-            yield pd.DataFrame({"other": pdf["id"].to_numpy()[at], "v": pdf["u"].to_numpy()[at], "b": ring.astype(np.int32)})
+            yield from sent_rows(pdf, centres, cell, low, high, reach)
 
     parts = max(1, -(-n // block))
     size = F.element_at(F.array(*[F.lit(int(s)) for s in table["salts"]]), F.col("b") + 1)
