@@ -26,15 +26,19 @@ def mirror_pairs(df: DataFrame, row_id: str | None = "row_id", score_cols: tuple
     With ``score_cols=(fwd, rev)`` the swapped copy takes the reverse score as
     ``score`` and the original the forward one.
     """
-    a, b = df, swap_pair(df)
+    # both rows of a pair come from one reading of the table
+    both = df.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("_swapped"))
+    either = lambda a, b: F.when(F.col("_swapped"), F.col(b)).otherwise(F.col(a))
+    out = {c: F.col(c) for c in df.columns} | {"drug1": either("drug1", "drug2"), "drug2": either("drug2", "drug1")}
     if row_id:
-        a = a.withColumn(row_id, F.col(row_id) * 2)
-        b = b.withColumn(row_id, F.col(row_id) * 2 + 1)
+        out[row_id] = F.col(row_id) * 2 + F.col("_swapped").cast("int")
     if score_cols:
         fwd, rev = score_cols
-        a = a.withColumn("score", F.col(fwd)).drop(fwd, rev)
-        b = b.withColumn("score", F.col(rev)).drop(fwd, rev)
-    return a.unionByName(b)
+        out["score"] = either(fwd, rev)
+        out = {c: v for c, v in out.items() if c not in (fwd, rev)}
+    mirrored = both.select(*[v.alias(c) for c, v in out.items()])
+    mirrored._dyadic_stored = getattr(df, "_dyadic_stored", False)  # as cheap to read again as the table
+    return mirrored
 
 
 def occurs_once(df: DataFrame, cols: Sequence[str]) -> DataFrame:

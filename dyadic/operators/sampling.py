@@ -27,12 +27,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored_once
 from .joins import bounded_broadcast
 from .scan import ordered_scan
 
@@ -74,7 +76,13 @@ def repeated_holdout(df: DataFrame, frac: float = 0.1, samples: int = 1, strata:
 def with_samples(df: DataFrame, frac: float = 0.1, samples: int = 1, strata: Sequence[str] = ("se", "label"),
                  row_id: str = "row_id", method: str = "xxhash64", first: int = 0) -> DataFrame:
     """``df`` with ``_samples``, the (ascending) numbers of the draws that take the row."""
-    bounds = draw_bounds(df, frac, samples, strata, row_id, method, first).checkpoint()  # counted and read
+    df = stored_once(df, "drawn-from")  # read for the histogram, the last rows and the draw
+    return _taken(df, draw_bounds(df, frac, samples, strata, row_id, method, first), strata, row_id, method)
+
+
+def _taken(df: DataFrame, bounds: DataFrame, strata: Sequence[str], row_id: str, method: str) -> DataFrame:
+    """``df`` with ``_samples``, the draws whose bound its ``row_id`` keeps to."""
+    bounds = bounds.checkpoint()  # counted and read
     # one row per stratum
     per = bounded_broadcast(bounds.groupBy(*strata).agg(F.collect_list(F.struct(
         "sample_no", F.col("_key").alias("key"), F.col("_row").alias("row"))).alias("_bounds")))
@@ -168,11 +176,16 @@ def pair_holdout(df: DataFrame, frac: float = 0.1, strata: Sequence[str] = ("se"
     keyed by ``row_id = min(row_id)`` of the pair; every row of ``df`` whose
     canonical key was drawn is returned."""
     lo, hi = F.least("drug1", "drug2"), F.greatest("drug1", "drug2")
-    canon = (df.select(lo.alias("_a"), hi.alias("_b"), *strata, "row_id")
-             .groupBy("_a", "_b", *strata).agg(F.min("row_id").alias("row_id")))
-    drawn = stratified_holdout(canon, frac, strata, sample_no, "row_id", method).drop("row_id")
-    keyed = df.select("*", lo.alias("_a"), hi.alias("_b"))
-    return keyed.join(drawn, ["_a", "_b", *strata], "left_semi").drop("_a", "_b")
+    # one shuffle brings the rows of a canonical row together; all carry its id, and one stands for it in the draw
+    same = Window.partitionBy("_a", "_b", *strata)
+    keyed = (df.select("*", lo.alias("_a"), hi.alias("_b"))
+             .select("*", F.min("row_id").over(same).alias("_first"), F.row_number().over(same.orderBy("row_id")).alias("_place")))
+    # a row without one of the keys counts in the draw but is never returned
+    known = reduce(and_, [F.col(c).isNotNull() for c in ("_a", "_b", *strata)])
+    keyed = stored_once(keyed.select(*df.columns, "_first", (F.col("_place") == 1).alias("_stands"), known.alias("_known")), "pairs")
+    bounds = draw_bounds(keyed.where("_stands").select(*strata, "_first"), frac, 1, strata, "_first", method, sample_no)
+    drawn = _taken(keyed, bounds, strata, "_first", method).where("_known").where(F.size("_samples") > 0)
+    return drawn.select(*df.columns)
 
 
 def _as_double(key: str) -> Column:
@@ -209,6 +222,7 @@ def train_test_split(df: DataFrame, train_frac: float = 0.8, row_id: str = "row_
     """Shuffle and cut: the first ``bround(train_frac * n)`` rows of the shuffled
     order are ``train``, the rest ``test`` (column ``split``). The cut row is
     found first; the split itself is a column expression."""
+    df = stored_once(df, "split")  # read for the size, the sketch, the cut row and the split
     keyed = df.select("*", draw_key(row_id, seed, method).alias("_key"))
     n = df.count()
     cut = round(train_frac * n)  # half to even
@@ -221,6 +235,7 @@ def train_test_split(df: DataFrame, train_frac: float = 0.8, row_id: str = "row_
 def tail_validation_split(df: DataFrame, validation_split: float = 0.1, row_id: str = "row_id") -> DataFrame:
     """The last rows in row order, as a trailing validation split of a fit
     (``floor(n * (1 - v))`` rows train, the rest validation)."""
+    df = stored_once(df, "split")
     n = df.count()
     cut = math.floor(n * (1.0 - validation_split))
     row = row_at_rank(df.select(row_id), [row_id], 1.0 - validation_split, cut) if cut else None

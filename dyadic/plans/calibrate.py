@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import calibrate_se
 from ..operators.sampling import repeated_holdout
+from ..session import stored_once
 
 PAIR_COLS = ["drug1", "drug2", "se", "label"]
 
@@ -43,15 +44,21 @@ def remainder_sizes(train: DataFrame, holdout: DataFrame, samples: int, first: i
     The drawn rows are training rows, so a row survives exactly when its key
     occurs once in ``train`` and was not drawn: ``n_train = (#keys occurring
     once in train) - (#drawn rows with such a key)``. No copy of the training
-    set per sample is made."""
-    once = train.groupBy(*PAIR_COLS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).drop("_n")
-    n_once = once.count()
-    drawn_once = (holdout.join(once, PAIR_COLS, "left_semi").groupBy("sample_no")
-                  .agg(F.count(F.lit(1)).alias("_d")))
-    n_hold = holdout.groupBy("sample_no").agg(F.count(F.lit(1)).alias("n_holdout"))
-    return (n_hold.join(drawn_once, "sample_no", "left")
-            .select("sample_no", (F.lit(n_once) - F.coalesce(F.col("_d"), F.lit(0))).cast("long").alias("n_train"),
-                    "n_holdout"))
+    set per sample is made: training rows and drawn rows meet in one shuffle on
+    the key, where the drawn rows of each sample are counted. A key with a
+    missing value is no drawn row's key."""
+    numbers = range(first, first + samples)
+    n, sample = F.count(F.lit(1)), F.lit(None).cast(holdout.schema["sample_no"].dataType)
+    rows = train.select(*PAIR_COLS, sample.alias("sample_no")).unionByName(
+        holdout.dropna(subset=[*PAIR_COLS, "sample_no"]).select(*PAIR_COLS, "sample_no"))
+    per_key = rows.groupBy(*PAIR_COLS).agg(F.count_if(F.col("sample_no").isNull()).alias("_n"),
+                                           *[F.count_if(F.col("sample_no") == k).alias(f"_d{k}") for k in numbers])
+    n_once, *drawn = per_key.where(F.col("_n") == 1).agg(
+        n, *[F.coalesce(F.sum(f"_d{k}"), F.lit(0)).cast("long") for k in numbers]).first()
+    left = F.array(*[F.lit(n_once - d) for d in drawn]).cast("array<long>")
+    n_hold = holdout.groupBy("sample_no").agg(n.alias("n_holdout"))
+    return n_hold.select("sample_no", F.coalesce(F.get(left, F.col("sample_no") - first), F.lit(n_once)).cast("long").alias("n_train"),
+                         "n_holdout")
 
 
 def calibrate(train: DataFrame, samples: int = 1, frac: float = 0.1,
@@ -59,6 +66,7 @@ def calibrate(train: DataFrame, samples: int = 1, frac: float = 0.1,
               method: str = "xxhash64") -> Calibration:
     """``train`` holds ``row_id, drug1, drug2, se, label`` (already mirrored if
     wanted) and, without ``score_fn``, a ``score`` column."""
+    train = stored_once(train, "observations")
     hold = repeated_holdout(train, frac, samples, ("se", "label"), "row_id", method)
     scored = score_fn(hold) if score_fn else hold
     table = calibrate_se(scored, by=["sample_no", "se"], score=score)

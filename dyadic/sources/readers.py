@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import assert_unique, bounded_broadcast
+from ..session import stored_once
 
 
 def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -103,10 +104,10 @@ def read_indexed_y(spark: SparkSession, path: str) -> DataFrame:
 def read_pairs_indexed(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
     """Pair features and labels with a leading index column, joined on it."""
     x, y = read_indexed_x(spark, x_path), read_indexed_y(spark, y_path)
-    both = x.join(y, "row_id")
+    both = stored_once(x.join(y, "row_id").select("row_id", "drug1", "drug2", "se", "label"), "indexed")  # counted and read
     _same_length(x, y, f"{x_path} and {y_path}")
     _same_length(x, both, f"{x_path} joined with {y_path}")
-    return both.select("row_id", "drug1", "drug2", "se", "label")
+    return both
 
 
 def read_train_test(spark: SparkSession, train_x: str, train_y: str, test_x: str,
