@@ -15,8 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import centre, fill_zero, with_centre_unit
+from ..session import default_slices, stored_once
 from .reshape import swap_pair
 
+#: observed (pair, side effect) rows of one slice of pairs
+SLICE_ROWS = 1_000_000
+
 
 def drug_positive_pairs(pairs: DataFrame, drugs: DataFrame | None = None, label: str = "label") -> DataFrame:
     """Observed positives of every focus drug, on either side: rows with
@@ -55,20 +59,21 @@ def se_lists(pairs: DataFrame, row_id: str = "row_id") -> DataFrame:
     original orientation (two rows per pair: one per focus side), listing
     every observed side effect of the pair whatever its label (sorted, with
     repeats), plus the compact ``se_counts`` (distinct se, count)."""
-    f = first_positive_pair(pairs, row_id).select("drug1", "drug2")
     # pre-aggregate to (pair, se, count): what reaches a pair's group is bounded
     # by the side-effect catalogue, however many times the pair was observed
-    obs = pairs.groupBy("drug1", "drug2", "se").agg(F.count(F.lit(1)).alias("_n"))
-    per_pair = (f.join(obs, ["drug1", "drug2"], "left").groupBy("drug1", "drug2")
-                .agg(F.sort_array(F.collect_list(F.when(F.col("se").isNotNull(), F.struct("se", "_n"))))
-                     .alias("se_counts")))
+    obs = stored_once(pairs.groupBy("drug1", "drug2", "se").agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.max(F.col("label") == 1), F.lit(False)).alias("_pos")), "pair-se")
+    # slices of bounded size, as lists are sorted in memory
+    slices = max(default_slices(pairs.sparkSession), -(-obs.count() // SLICE_ROWS))
+    listed = F.col("se").isNotNull() & F.col("drug1").isNotNull() & F.col("drug2").isNotNull()
+    per_pair = (obs.repartition(slices, "drug1", "drug2").groupBy("drug1", "drug2")
+                .agg(F.sort_array(F.collect_list(F.when(listed, F.struct("se", "_n")))).alias("se_counts"),
+                     F.max("_pos").alias("_pos")).where("_pos"))
     expand = F.flatten(F.transform("se_counts", lambda x: F.array_repeat(x["se"], x["_n"].cast("int"))))
     lists = per_pair.select("drug1", "drug2", expand.alias("se_list"),
                             F.transform("se_counts", lambda x: F.struct(x["se"].alias("se"), x["_n"].alias("n")))
                             .alias("se_counts"))
-    a = lists.withColumn("focus", F.col("drug1"))
-    b = lists.withColumn("focus", F.col("drug2"))
-    return a.unionByName(b)
+    return lists.select("*", F.explode(F.array("drug1", "drug2")).alias("focus"))
 
 
 def top_positions(df: DataFrame, vec_col: str, k: int, genes: Sequence[int] | None = None) -> DataFrame:

@@ -8,12 +8,13 @@ holds the shared layers (whose size the layer widths fix), or one block while a
 local model is written, and never the table.
 
 Screening embeds each distinct pair once, with both orientations, and deals the
-embeddings into slices of bounded size. Blocks and slices meet in a grid: a slice is
-copied to every block and a block to every slice (by the two counts, not by rows),
-both sides are shuffled by the same key (block, slice), and a cogroup holds one
-block and one slice. It gives the block's best side effects of each pair of the
-slice and their number; what is left per pair are at most ``top`` rows a block, from
-which the pair's ranking follows.
+embeddings into slices of bounded size. Blocks that together take ``LANE_BYTES`` are a
+lane. Lanes and slices meet in a grid: a slice is copied to every lane and a lane to
+every slice (by the two counts, not by rows), both sides are shuffled by the same key
+(lane, slice), and a cogroup holds one lane and one slice, which its blocks meet one
+by one. It gives the lane's best side effects of each pair of the slice and their
+number; what is left per pair are at most ``top`` rows a lane, from which the pair's
+ranking follows.
 
 Defined cases: pairs with a missing profile have no rows; a side effect without a
 threshold flags nothing; a head stored twice is refused; no heads or no pairs give
@@ -32,10 +33,12 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from .joins import assert_unique
-from .scoring import (BLOCK_BYTES, RANKED_SCHEMA, PairModel, _mat, _model_block, _rank_rows, load_pair_model,
+from .scoring import (BLOCK_BYTES, RANKED_SCHEMA, PairModel, _mat, _merge_blocks, _model_block, _rank_rows, load_pair_model,
                       save_pair_model)
 
 HEADS_SCHEMA = "block int, se int, d_se int, d_emb int, scale double, head binary, tail binary, r array<double>"
+#: bytes of heads (as stored) that one cogroup meets
+LANE_BYTES = 32 << 20
 #: pairs of one slice
 SLICE = 16_384
 #: pairs x side effects of one matrix in a cogroup
@@ -136,18 +139,23 @@ def embed_pairs(pairs_with_vecs: DataFrame, shared: PairModel) -> DataFrame:
 
 def _screened(top: int):
     def run(key, pairs: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: [] for c in [*RANKED_SCHEMA.fieldNames(), "lane"]})
         if not len(pairs) or not len(heads):
-            return pd.DataFrame({c: [] for c in [*RANKED_SCHEMA.fieldNames(), "block"]})
-        heads = heads.sort_values("se")
-        model, th = _unpacked(heads), heads["optimal_thr"].to_numpy(float)
+            return none
         e1, e2, f1, f2 = (np.stack([np.frombuffer(b) for b in pairs[c]]) for c in ("e1", "e2", "f1", "f2"))
         d1, d2 = pairs["drug1"].to_numpy(), pairs["drug2"].to_numpy()
-        step, found = max(1, CELLS // len(heads)), []
-        for a in range(0, len(pairs), step):
-            cut = slice(a, a + step)
-            sx, sy = model.scores(e1[cut], e2[cut], cells=CELLS), model.scores(f1[cut], f2[cut], cells=CELLS)
-            found.append(_rank_rows(d1[cut], d2[cut], model.se_ids, sx, sy, th, top))
-        return pd.concat(found, ignore_index=True).assign(block=key[0])
+        found = []
+        for block, some in heads.groupby("block"):
+            some = some.sort_values("se")
+            model, th = _unpacked(some), some["optimal_thr"].to_numpy(float)
+            step = max(1, CELLS // len(some))
+            for a in range(0, len(pairs), step):
+                cut = slice(a, a + step)
+                sx, sy = model.scores(e1[cut], e2[cut], cells=CELLS), model.scores(f1[cut], f2[cut], cells=CELLS)
+                rows = _rank_rows(d1[cut], d2[cut], model.se_ids, sx, sy, th, top)
+                if len(rows):
+                    found.append(rows.assign(_block=block))
+        return _merge_blocks(found, top).assign(lane=key[0]) if found else none
 
     return run
 
@@ -159,17 +167,30 @@ def screen_by_blocks(pairs_with_vecs: DataFrame, shared: PairModel, heads: DataF
     assert_unique(heads, ["se"], "heads")
     limits = thr.select(F.col("se").cast("int").alias("se"), F.col("optimal_thr").cast("double").alias("optimal_thr"))
     heads = heads.join(limits, "se", "left")
-    embedded = embed_pairs(pairs_with_vecs, shared).checkpoint()
-    n_slices = max(1, -(-embedded.count() // SLICE))
-    blocks = [r["block"] for r in heads.select("block").distinct().collect()]  # as many as the weights have 64 MB
+    n_slices = max(1, -(-pairs_with_vecs.where("vec1 is not null and vec2 is not null").count() // SLICE))
+    # blocks of up to LANE_BYTES together are a lane, which a slice of pairs meets block by block in one cogroup; a slice
+    # is sent once per lane, not once per block
+    size = F.sum(F.octet_length("head") + F.octet_length("tail") + 8 * F.size("r")).alias("bytes")
+    lane, filled = {}, 0
+    for r in heads.groupBy("block").agg(size).orderBy("block").collect():  # as many as the weights have 64 MB
+        filled += r["bytes"]
+        at = max(lane.values(), default=0)
+        if lane and filled > LANE_BYTES:
+            at, filled = at + 1, r["bytes"]
+        lane[r["block"]] = at
+    lanes = sorted(set(lane.values()))
+    embedded = embed_pairs(pairs_with_vecs, shared)
     pairs = (embedded.withColumn("slice", F.pmod(F.xxhash64("drug1", "drug2"), F.lit(n_slices)).cast("int"))
-             .withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks]).cast("array<int>"))))
-    # each slice gets its own copy of a block: as many as there are bounded slices
-    copies = heads.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-    part = (pairs.groupBy("block", "slice").cogroup(copies.groupBy("block", "slice"))
-            .applyInPandas(_screened(top), T.StructType([*RANKED_SCHEMA.fields, T.StructField("block", T.IntegerType())])))
+             .withColumn("lane", F.explode(F.array(*[F.lit(k) for k in lanes]).cast("array<int>"))))
+    # each slice gets its own copy of a lane: as many as there are bounded slices
+    places = heads.sparkSession.createDataFrame(sorted(lane.items()), "block int, lane int")
+    copies = heads.join(F.broadcast(places), "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
+    part = (pairs.groupBy("lane", "slice").cogroup(copies.groupBy("lane", "slice"))
+            .applyInPandas(_screened(top), T.StructType([*RANKED_SCHEMA.fields, T.StructField("lane", T.IntegerType())])))
+    if len(lanes) <= 1:
+        return part.select(*RANKED_SCHEMA.fieldNames())  # ranked over all blocks already
     pair = Window.partitionBy("drug1", "drug2")
-    # each block repeats its own count on its rows, the first of which has rank 1
+    # each lane repeats its own count on its rows, the first of which has rank 1
     ranked = part.select(
         "drug1", "drug2", "se", "predicted_score_x", "predicted_score_y", "mean_predicted_score", "gap",
         F.row_number().over(pair.orderBy(F.col("gap").desc(), F.col("se"))).alias("rank"),
