@@ -85,7 +85,7 @@ def test_sums_in_place_of_arrays(spark):
             if x is None:
                 assert r[f"{c}_sum"] is None and r[f"{c}_wsum"] is None
             else:
-                assert r[f"{c}_sum"] == sum(x) and r[f"{c}_wsum"] == sum(v * (i + 1) for i, v in enumerate(x))
+                assert np.allclose([r[f"{c}_sum"], r[f"{c}_wsum"]], [sum(x), sum(v * (i + 1) for i, v in enumerate(x))], atol=1e-12)
 
 
 def test_rows_sent_to_rings_leave_in_bounded_frames(monkeypatch):
