@@ -49,9 +49,11 @@ def drug_pairs_both_sides(pairs: DataFrame, row_id: str = "row_id") -> DataFrame
     """First positive pair of each focus drug on either side, oriented so the
     focus drug is ``drug1`` (``UNION ALL`` of as-drug1 and swapped as-drug2)."""
     f = first_positive_pair(pairs, row_id)
-    a = f.withColumn("focus", F.col("drug1"))
-    b = swap_pair(f).withColumn("focus", F.col("drug1"))
-    return a.unionByName(b)
+    # both orientations of a row at once: the pairs are grouped one time
+    ways = F.explode(F.array(F.struct("drug1", "drug2"), F.struct(F.col("drug2").alias("drug1"), F.col("drug1").alias("drug2"))))
+    others = [c for c in f.columns if c not in ("drug1", "drug2")]
+    return (f.select(*others, ways.alias("_w"))
+            .select("_w.drug1", "_w.drug2", *others, F.col("_w.drug1").alias("focus")))
 
 
 def se_lists(pairs: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -120,7 +122,7 @@ def gene_corr_distance(df: DataFrame, vec_col: str = "vec") -> DataFrame:
 
 
 def profile_clusters(df: DataFrame, vec_col: str = "vec", k: int = 5, seed: int = 7,
-                     id_cols: Sequence[str] = ("drug_id",)) -> DataFrame:
+                     id_cols: Sequence[str] = ("drug_id",), weight_col: str | None = None) -> DataFrame:
     """Cluster rows by correlation: rows are centred and scaled to unit length
     (cosine of such rows = Pearson), missing values become 0, then k-means
     with cosine distance (k-means|| start). Replaces average-linkage
@@ -128,16 +130,19 @@ def profile_clusters(df: DataFrame, vec_col: str = "vec", k: int = 5, seed: int
 
     A row without a direction (constant or missing values only) has no
     correlation with any other; such rows form one cluster of their own,
-    number ``k``. The features are persisted for the iterations of the fit
+    number ``k``. ``weight_col``: how many rows of this vector a row stands for
+    (greater than 0). The features are persisted for the iterations of the fit
     (recomputed from lineage if lost) and released after it."""
     from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    cu = with_centre_unit(df.select(*id_cols, fill_zero(vec_col).alias("_z")), "_z", "_u")
-    feats = cu.where(F.col("_u").isNotNull()).select(*id_cols, array_to_vector("_u").alias("features"))
+    weight = [weight_col] if weight_col else []
+    cu = with_centre_unit(df.select(*id_cols, *weight, fill_zero(vec_col).alias("_z")), "_z", "_u")
+    feats = cu.where(F.col("_u").isNotNull()).select(*id_cols, *weight, array_to_vector("_u").alias("features"))
     flat = cu.where(F.col("_u").isNull()).select(*id_cols, F.lit(k).alias("cluster"))
     kept = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(kept)
+    means = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20)
+    model = (means.setWeightCol(weight_col) if weight_col else means).fit(kept)
     kept.unpersist()
     return model.transform(feats).select(*id_cols, F.col("prediction").alias("cluster")).unionByName(flat)
 

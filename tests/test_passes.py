@@ -115,3 +115,31 @@ def test_lanes_do_not_change_the_ranking(spark, monkeypatch, lane_bytes):
                             for r in d.collect())
     want = rows(screen_ranked(pv, np.array(thr), 3, model=model))
     assert want and rows(got) == want
+
+
+def test_a_drug_is_clustered_once_and_labels_each_of_its_pairs(spark, monkeypatch):
+    from dyadic.plans import signature as G
+    fitted, whole = [], A.profile_clusters
+
+    def counted(df, *args, **options):
+        fitted.append({r["drug1"]: r["weight"] for r in df.collect()})
+        return whole(df, *args, **options)
+
+    monkeypatch.setattr(G, "profile_clusters", counted)
+    pairs = spark.createDataFrame([(i, i % 4, 4 + i % 5, i % 3, 1) for i in range(40)] + [(90, 0, 0, 1, 1), (91, 1, 2, 0, 0), (92, 50, 1, 0, 1)],
+                                  "row_id long, drug1 long, drug2 long, se int, label int")
+    flat, left, right = [1.0] * 4, [1.0, 2.0, 3.0, 4.0], [4.0, 3.0, 2.0, 1.5]
+    vecs = [(d, flat if d == 4 else left if d % 2 else right) for d in range(9)] + [(3, right), (60, left), (None, left)]
+    sig = G.drug_signature(pairs, spark.createDataFrame(vecs, "drug_id long, vec array<double>"), 3, n_clusters=2)
+    got = sig.clusters().collect()
+    keys = [tuple(r) for r in sig.vectors.select("focus", "drug1", "drug2").collect()]
+    assert sorted((r["focus"], r["drug1"], r["drug2"]) for r in got) == sorted(keys)
+    (weights,) = fitted
+    n = {d: sum(k[1] == d for k in set(keys)) for d in range(9)}
+    n[0] += 1  # a drug paired with itself stands on both sides
+    assert weights == n
+    of = {}
+    for r in got:
+        of.setdefault(r["drug1"], set()).add(r["cluster"])
+    assert of[4] == of[50] == {2}  # no direction; no profile
+    assert of[3] == {0, 1} and of[0] == of[2] == of[6] == of[8] != of[1] == of[5] == of[7] and len(of[1]) == 1
