@@ -20,13 +20,13 @@ pairs are counted.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-from .scoring import RANKED_SCHEMA, PairModel, _blocks, _heads, _mat, _merge_blocks, _rank_rows
+from ..session import stored_once
+from .scoring import RANKED_SCHEMA, PairModel, _blocks
 
 #: pairs grouped at a time, and groups that they make at most
 CHUNK, GROUPS = 2048, 32
@@ -102,46 +102,85 @@ def candidates(scorer, parts: tuple, th: np.ndarray) -> list[tuple[np.ndarray, n
 _PAIRS = T.StructType([T.StructField("drug1", T.LongType()), T.StructField("drug2", T.LongType()),
                        T.StructField("n_scored", T.LongType()), T.StructField("ranked", T.ArrayType(T.StructType(
                            [f for f in RANKED_SCHEMA.fields if f.name not in ("drug1", "drug2")])))])
+#: ranked rows without their pair, as Arrow has them
+_ITEM = pa.struct([(f.name, {"integer": pa.int32(), "long": pa.int64(), "double": pa.float64()}[f.dataType.typeName()])
+                   for f in _PAIRS.fields[3].dataType.elementType.fields])
+
+
+def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """List column -> (matrix, present mask); missing rows become zeros, missing elements NaN."""
+    present = np.asarray(column.is_valid())
+    m = np.zeros((len(column), width))
+    if present.any():
+        if (lengths := column.drop_null().value_lengths().unique().to_pylist()) != [width]:
+            raise ValueError(f"vectors of {lengths} values for a model of {width}")
+        m[present] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return m, present
+
+
+def _best(ids, th, sx, sy, top: int) -> tuple[np.ndarray, dict]:
+    """Flagged side effects per pair (row), and the ``top`` largest gaps of each (ties: lower side effect first) as
+    columns with the pair's row ``at``. Scores that were not taken are NaN and never flagged."""
+    mean = (sx + sy) / 2
+    with np.errstate(invalid="ignore"):
+        flag = mean < th[None, :]
+    at, k = np.nonzero(flag)
+    total = np.bincount(at, minlength=len(mean))
+    gap = np.abs(mean[at, k] - th[k])
+    order = np.lexsort((k, -gap, at))
+    first = np.concatenate([[0], np.cumsum(total)[:-1]])
+    order = order[np.arange(len(at)) - first[at] < top]  # rows of ``at`` are already in order
+    at, k, gap = at[order], k[order], gap[order]
+    return total, {"at": at, "se": ids[k].astype(np.int32), "predicted_score_x": sx[at, k], "predicted_score_y": sy[at, k],
+                   "mean_predicted_score": mean[at, k], "gap": gap}
 
 
 def screen_pruned(pairs_with_vecs: DataFrame, thr: np.ndarray, top: int, se_ids: np.ndarray | None = None,
                   R: np.ndarray | None = None, model: PairModel | None = None) -> tuple[DataFrame, DataFrame]:
     """Ranked rows of *distinct* pairs (``RANKED_SCHEMA``), and one row of figures: ``n_pairs``, ``n_scores`` (pairs times
-    side effects) and ``n_scored``. ``thr`` is in the order of the catalogue (ascending side effects)."""
-    ensure_checkpoint_dir(pairs_with_vecs.sparkSession)
+    side effects) and ``n_scored``. ``thr`` is in the order of the catalogue (ascending side effects). A chunk's rankings
+    are made as whole columns and stored as Parquet, where the figures read their own column alone."""
     se_ids = model.se_ids if model is not None else se_ids
     width = model.W1.shape[0] if model is not None else (R.shape[1] if R.size else 0)
     shared, parts = _blocks(pairs_with_vecs.sparkSession, se_ids, R, model, thr)
-    fields = [f.name for f in _PAIRS.fields[3].dataType.elementType.fields]
+
+    def chunk_of(d1, d2, x1, x2, scorers):
+        scored, total, found = np.zeros(len(d1), np.int64), np.zeros(len(d1), np.int64), []
+        for ids, th, scorer in scorers:
+            points = scorer.points(x1, x2, shared.value if shared is not None else None)
+            sx, sy = np.full((len(d1), len(ids)), np.nan), np.full((len(d1), len(ids)), np.nan)
+            for rows, se in candidates(scorer, points, th):
+                scored[rows] += len(se)
+                if len(se):
+                    sx[np.ix_(rows, se)], sy[np.ix_(rows, se)] = scorer.scores(tuple(p[rows] for p in points), se)
+            flagged, best = _best(ids, th, sx, sy, top)
+            total += flagged
+            found.append(best)
+        best = {name: np.concatenate([f[name] for f in found]) for name in found[0]}
+        if len(found) > 1:
+            order = np.lexsort((best["se"], -best["gap"], best["at"]))
+            best = {name: values[order] for name, values in best.items()}
+        held = np.bincount(best["at"], minlength=len(d1))
+        rank = np.arange(len(best["at"])) - np.repeat(np.cumsum(held) - held, held) + 1
+        best = {name: values[rank <= top] for name, values in (best | {"rank": rank.astype(np.int32)}).items()}
+        best["total_predicted_reactions"] = total[best["at"]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(best["at"], minlength=len(d1)))]).astype(np.int32)
+        items = pa.StructArray.from_arrays([pa.array(best[f.name], f.type) for f in _ITEM], fields=list(_ITEM))
+        return pa.RecordBatch.from_arrays([d1, d2, pa.array(scored), pa.ListArray.from_arrays(pa.array(ends), items)],
+                                          names=_PAIRS.fieldNames())
 
     def run(batches):
         scorers = [(ids, th, _Identity(Rm) if heads is None else _Full(heads)) for ids, Rm, heads, th in (p.value for p in parts)]
-        for pdf in batches:
-            if not scorers:
-                pdf = pdf.iloc[:0]
-            x1, p1 = _mat(pdf["vec1"], width)
-            x2, p2 = _mat(pdf["vec2"], width)
+        for batch in batches if scorers else ():
+            x1, p1 = _vectors(batch.column("vec1"), width)
+            x2, p2 = _vectors(batch.column("vec2"), width)
             ok = np.flatnonzero(p1 & p2)
             for a in range(0, len(ok), CHUNK):
                 at = ok[a:a + CHUNK]
-                d1, d2 = pdf["drug1"].to_numpy()[at], pdf["drug2"].to_numpy()[at]
-                scored, found = np.zeros(len(at), np.int64), []
-                for block, (ids, th, scorer) in enumerate(scorers):
-                    points = scorer.points(x1[at], x2[at], shared.value if shared is not None else None)
-                    for rows, se in candidates(scorer, points, th):
-                        scored[rows] += len(se)
-                        if len(se):
-                            sx, sy = scorer.scores(tuple(p[rows] for p in points), se)
-                            ranked = _rank_rows(d1[rows], d2[rows], ids[se], sx, sy, th[se], top)
-                            found.append(ranked.assign(_block=block))
-                lists: dict[tuple, list] = {}
-                if found:
-                    for r in _merge_blocks(found, top).to_dict("records"):
-                        lists.setdefault((r["drug1"], r["drug2"]), []).append({f: r[f] for f in fields})
-                yield pd.DataFrame({"drug1": d1, "drug2": d2, "n_scored": scored,
-                                    "ranked": [lists.get(key, []) for key in zip(d1, d2)]})
-
-    done = pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInPandas(run, _PAIRS).checkpoint()
+                d1, d2 = (batch.column(c).take(pa.array(at)).cast(pa.int64()) for c in ("drug1", "drug2"))
+                yield chunk_of(d1, d2, x1[at], x2[at], scorers)
+
+    done = stored_once(pairs_with_vecs.select("drug1", "drug2", "vec1", "vec2").mapInArrow(run, _PAIRS), "pruned")
     ranked = done.select("drug1", "drug2", F.explode("ranked").alias("r")).select("drug1", "drug2", "r.*")
     n = F.count(F.lit(1))
     figures = done.agg(n.alias("n_pairs"), (n * len(se_ids)).alias("n_scores"),

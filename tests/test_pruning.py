@@ -59,3 +59,34 @@ def test_nothing_to_screen(spark):
     assert ranked.count() == 0 and tuple(figures.first()) == (0, 0, 0)
     ranked, figures = P.screen_pruned(df, np.zeros(0), 5, se_ids=np.zeros(0, int), R=np.zeros((0, 8)))
     assert ranked.count() == 0 and figures.first().n_scored == 0
+
+
+def test_the_figures_read_one_stored_column(spark):
+    """The lists of ranked rows are stored by columns: whoever only counts the scores does not read them."""
+    rng = np.random.default_rng(4)
+    ranked, figures = P.screen_pruned(pairs(spark, 1.0), np.full(3, 1e9), 2, se_ids=np.arange(3), R=rng.standard_normal((3, 8)))
+    plan = figures._sc._jvm.PythonSQLUtils.explainString(figures._jdf.queryExecution(), "simple")
+    assert "ReadSchema: struct<n_scored:bigint>" in plan
+    assert ranked.count() == 2 * 400
+
+
+@pytest.mark.parametrize("top", [1, 3, 50])
+def test_best_of_a_chunk_is_the_ranking_by_pair(top):
+    from dyadic.operators.scoring import _rank_rows
+    rng = np.random.default_rng(5)
+    sx, sy = np.round(rng.random((2, 40, 12)), 1)  # many ties
+    sx[3], sy[3] = np.nan, np.nan
+    sx[rng.random((40, 12)) < 0.2] = np.nan
+    th, ids = np.round(rng.random(12), 1), np.arange(0, 24, 2)
+    th[5] = np.nan
+    total, best = P._best(ids, th, sx, sy, top)
+    want = _rank_rows(np.arange(40), np.arange(40), ids, sx, sy, th, top).sort_values(["drug1", "rank"])
+    assert list(zip(best["at"], best["se"])) == list(zip(want["drug1"], want["se"])) and len(want)
+    assert np.array_equal(best["gap"], want["gap"]) and np.array_equal(total[best["at"]], want["total_predicted_reactions"])
+
+
+def test_vectors_of_another_width_are_refused(spark):
+    df = spark.createDataFrame([(1, 2, [1.0], [1.0, 2.0, 3.0]), (3, 4, [1.0, 2.0, 3.0], [1.0])],
+                               "drug1 long, drug2 long, vec1 array<double>, vec2 array<double>").coalesce(1)
+    with pytest.raises(Exception, match="for a model of 2"):
+        P.screen_pruned(df, np.ones(1), 1, se_ids=np.arange(1), R=np.ones((1, 2)))
