@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored_once
-from .scoring import RANKED_SCHEMA, PairModel, _blocks
+from .scoring import RANKED_SCHEMA, PairModel, _blocks, list_matrix
 
 #: pairs grouped at a time, and groups that they make at most
 CHUNK, GROUPS = 2048, 32
@@ -107,17 +107,6 @@ _ITEM = pa.struct([(f.name, {"integer": pa.int32(), "long": pa.int64(), "double"
                    for f in _PAIRS.fields[3].dataType.elementType.fields])
 
 
-def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """List column -> (matrix, present mask); missing rows become zeros, missing elements NaN."""
-    present = np.asarray(column.is_valid())
-    m = np.zeros((len(column), width))
-    if present.any():
-        if (lengths := column.drop_null().value_lengths().unique().to_pylist()) != [width]:
-            raise ValueError(f"vectors of {lengths} values for a model of {width}")
-        m[present] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return m, present
-
-
 def _best(ids, th, sx, sy, top: int) -> tuple[np.ndarray, dict]:
     """Flagged side effects per pair (row), and the ``top`` largest gaps of each (ties: lower side effect first) as
     columns with the pair's row ``at``. Scores that were not taken are NaN and never flagged."""
@@ -172,8 +161,8 @@ def screen_pruned(pairs_with_vecs: DataFrame, thr: np.ndarray, top: int, se_ids:
     def run(batches):
         scorers = [(ids, th, _Identity(Rm) if heads is None else _Full(heads)) for ids, Rm, heads, th in (p.value for p in parts)]
         for batch in batches if scorers else ():
-            x1, p1 = _vectors(batch.column("vec1"), width)
-            x2, p2 = _vectors(batch.column("vec2"), width)
+            x1, p1 = list_matrix(batch.column("vec1"), width)
+            x2, p2 = list_matrix(batch.column("vec2"), width)
             ok = np.flatnonzero(p1 & p2)
             for a in range(0, len(ok), CHUNK):
                 at = ok[a:a + CHUNK]

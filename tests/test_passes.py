@@ -143,3 +143,20 @@ def test_a_drug_is_clustered_once_and_labels_each_of_its_pairs(spark, monkeypatc
         of.setdefault(r["drug1"], set()).add(r["cluster"])
     assert of[4] == of[50] == {2}  # no direction; no profile
     assert of[3] == {0, 1} and of[0] == of[2] == of[6] == of[8] != of[1] == of[5] == of[7] and len(of[1]) == 1
+
+
+def test_observations_are_shuffled_once(spark, monkeypatch):
+    """Rows are dealt by pair and leave with their scores; lists of a much observed pair are cut."""
+    from dyadic.operators import scoring
+    monkeypatch.setattr(scoring, "LIST_ROWS", 7)
+    rows = [(i, 1, 2, i % 3, f"t{i}") for i in range(100)] + [(200, 3, 4, None, "x"), (201, None, 1, 0, None), (202, 5, 99, 1, "y"), (203, 2, 1, 8, "z")]
+    df = spark.createDataFrame(rows, "row_id long, drug1 long, drug2 long, se int, note string").repartition(3)
+    got = score_observations(df, _profile(spark), model=PairModel.formula(4, 2, [0, 1, 2]))
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning") == 1
+    out = {r["row_id"]: r for r in got.collect()}
+    assert got.columns == [*df.columns, "score_fwd", "score_rev"]
+    assert [tuple(out[r[0]])[:5] for r in rows] == rows
+    assert all(out[i]["score_fwd"] is None and out[i]["score_rev"] is None for i in (200, 201, 202, 203))
+    for s in range(3):
+        assert len({(round(out[i]["score_fwd"], 9), round(out[i]["score_rev"], 9)) for i in range(100) if i % 3 == s}) == 1
