@@ -44,9 +44,10 @@ class Evaluation:
 def orientations(scored: DataFrame, fwd: str = "score_fwd", rev: str = "score_rev"):
     """Split a table holding both orientations' scores into the original rows
     and the swapped rows, as two externally scored tables."""
-    ori = scored.select("drug1", "drug2", "se", "label", F.col(fwd).alias("predicted_score"))
+    copies = [c for c in ("n_copies",) if c in scored.columns]
+    ori = scored.select("drug1", "drug2", "se", "label", F.col(fwd).alias("predicted_score"), *copies)
     swi = scored.select(F.col("drug2").alias("drug1"), F.col("drug1").alias("drug2"), "se", "label",
-                        F.col(rev).alias("predicted_score"))
+                        F.col(rev).alias("predicted_score"), *copies)
     return ori, swi
 
 

@@ -17,7 +17,7 @@ def write_predictions(merged: DataFrame, path: str, fmt: str = "parquet", partit
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
-        w.parquet(path)
+        w.option("compression", "zstd").parquet(path)
 
 
 def write_thresholds(thresholds: DataFrame, path: str) -> None:
