@@ -1,12 +1,16 @@
 """What leaves a task is written once and no wider than the job needs: exchanges that are shared, copies that are bounded."""
 
 import collections
+import dataclasses
 
+import numpy as np
 import pytest
 
+from dyadic.operators import joins
 from dyadic.plans import catalog
 from dyadic.sources import fixtures as fx
 from dyadic.sources import sinks
+from dyadic.streaming import screen_stream as ss
 
 LINES = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_returnflag string, l_extendedprice double"
 
@@ -63,3 +67,52 @@ def test_predictions_are_compressed_by_zstd(spark, tmp_path):
     sinks.write_predictions(df, str(tmp_path / "p"), partition_by_se=True)
     assert list((tmp_path / "p" / "se=3").glob("*.zstd.parquet"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [(1, 2, 0.5, 3)]
+
+
+def _profiles(spark, kind="double"):
+    rows = [(9, [0.5, None, -1.0]), (2, [1.0, 2.0, 3.0]), (7, None), (5, [float("nan"), 0.25, 4.0]), (-3, [0.0, 0.0, 1.0])]
+    return spark.createDataFrame(rows, f"drug_id long, vec array<{kind}>").repartition(3)
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_held_profiles_are_those_of_the_table(spark, monkeypatch, kind):
+    monkeypatch.setattr(joins, "HELD_BYTES", 20)  # several blocks
+    held = joins.held_profiles(_profiles(spark, kind))
+    assert len(held.blocks) > 1
+    m, present = held.matrix(np.array([5, 2, 4, 9, 7, -3, 2, 100]), 3)
+    assert present.tolist() == [True, True, False, True, False, True, True, False]
+    want = [[np.nan, 0.25, 4], [1, 2, 3], [0, 0, 0], [0.5, np.nan, -1], [0, 0, 0], [0, 0, 1], [1, 2, 3], [0, 0, 0]]
+    np.testing.assert_array_equal(m, want)
+    with pytest.raises(ValueError):
+        held.matrix(np.array([2]), 4)
+    with pytest.raises(ValueError):
+        joins.held_profiles(_profiles(spark).unionAll(_profiles(spark)))
+    assert joins.held_profiles(_profiles(spark).limit(0)).matrix(np.array([2]), 3)[1].tolist() == [False]
+    monkeypatch.setattr(joins, "PROFILE_BYTES", 10)
+    assert joins.held_profiles(_profiles(spark, kind)) is None
+
+
+def test_a_micro_batch_broadcasts_no_profiles(spark, sf_dir, monkeypatch):
+    side = ss.prepare(fx.profile(spark, sf_dir), fx.screen_threshold(spark, sf_dir), fx.side_effect(spark, sf_dir),
+                      catalog._r_table(spark, sf_dir))
+    requests = spark.createDataFrame([(i, i % 7, 1 + i % 5) for i in range(30)] + [(40, 10 ** 9, 1), (41, None, 2)],
+                                     "request_id long, drug1 long, drug2 long")
+    answered, _ = ss.screen_batch(requests, side)
+    assert "embeddings.parquet" not in answered._jdf.queryExecution().executedPlan().toString()
+    joined, _ = ss.screen_batch(requests, dataclasses.replace(side, held=None))
+    assert "embeddings.parquet" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, answered.collect())) == sorted(map(tuple, joined.collect()))
+    assert answered.where("total_predicted_reactions > 0").count() > 5
+
+
+def test_stream_state_lies_in_rocksdb(spark, sf_dir, tmp_path):
+    schema = "request_id long, drug1 long, drug2 long"
+    spark.createDataFrame([(1, 1, 2), (1, 1, 2), (2, 0, 2)], schema).write.parquet(str(tmp_path / "in"))
+    side = ss.prepare(fx.profile(spark, sf_dir), fx.screen_threshold(spark, sf_dir), fx.side_effect(spark, sf_dir),
+                      catalog._r_table(spark, sf_dir))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    before = spark.conf.get(ss.PROVIDER, None)
+    ss.start(spark, stream, side, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination()
+    assert spark.conf.get(ss.PROVIDER, None) == before
+    assert list((tmp_path / "chk").glob("state/**/*.zip"))  # snapshots of RocksDB
+    assert spark.read.parquet(str(tmp_path / "out/responses")).count() == 1
