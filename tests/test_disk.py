@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from dyadic.operators import joins
+from dyadic.operators import neighbours as nb
 from dyadic.plans import catalog
 from dyadic.sources import fixtures as fx
 from dyadic.sources import sinks
@@ -116,3 +117,34 @@ def test_stream_state_lies_in_rocksdb(spark, sf_dir, tmp_path):
     assert spark.conf.get(ss.PROVIDER, None) == before
     assert list((tmp_path / "chk").glob("state/**/*.zip"))  # snapshots of RocksDB
     assert spark.read.parquet(str(tmp_path / "out/responses")).count() == 1
+
+
+def _plain_nearest(rows, k):
+    x = {i: np.array(v, dtype=float) - np.mean(v) for i, v in rows}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items()}
+    return [(i, r + 1, j) for i in sorted(x) for r, (_, j) in enumerate(sorted(
+        (np.floor((1 - x[i] @ x[j]) * 1e9 + 0.5), j) for j in x if j != i)[:k])]
+
+
+@pytest.mark.parametrize("floats, lane_bytes", [(True, 64 << 20), (False, 64 << 20), (True, 2000), (False, 1)])
+def test_a_row_travels_once_to_each_lane(spark, monkeypatch, floats, lane_bytes):
+    monkeypatch.setattr(nb, "LANE_BYTES", lane_bytes)
+    monkeypatch.setattr(nb, "TILE", (7, 16))
+    rng, n, d = np.random.default_rng(4), 60, 10
+    x = rng.standard_normal((n, d)).astype(np.float32 if floats else np.float64)
+    x[20:32] = x[3]  # copies: equal distances go to the lower id
+    rows = [(int(7 * i % n), [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "drug_id long, vec array<double>").repartition(5)
+    got, sent = nb._nearest(df, 4, "vec", "drug_id", 16, 4, 4)
+    lanes = max(8, -(-n // max(1, lane_bytes // (8 * d))))
+    assert sent.count() <= n * lanes  # not once for each of up to 64 rings
+    assert {len(r.v) for r in sent.collect()} == {d * (4 if floats else 8)}
+    assert sorted(tuple(r)[:3] for r in got.collect()) == _plain_nearest(rows, 4)
+
+
+def test_units_are_those_of_the_expression(spark):
+    from dyadic.functions.vector import with_centre_unit
+    x = np.random.default_rng(6).standard_normal((50, 33))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, z array<double>")
+    want = [r.u for r in with_centre_unit(df, "z", "u").orderBy("id").collect()]
+    np.testing.assert_array_equal(nb._units(x), want)
